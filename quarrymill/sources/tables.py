@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+import quarrymill
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, beside what PYTHONPATH or --py-files give them."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(quarrymill.__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(p for p in [home, *paths] if p)
+    return spark
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of the folder `sf_dir`, through Spark's reader alone, so any Hadoop path will do."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
