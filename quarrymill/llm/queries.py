@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import packing, simhash, token_counts
+from quarrymill.llm import packing, simhash, subwords, token_counts
 from quarrymill.sources import read_table
 
 
@@ -21,5 +21,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_simhash, op9_token_counts)}
+def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), drop=0.1, seed=42, streams=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_simhash, op9_token_counts, op10_subwords)}
 ORACLE_SQL: dict[str, str] = {}
