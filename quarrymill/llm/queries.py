@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import fingerprints, packing, simhash, subwords, token_counts
+from quarrymill.llm import fingerprints, packing, simhash, subwords, token_counts, toxicity
 from quarrymill.sources import read_table
 
 
@@ -17,6 +17,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(read_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.score_documents(docs, toxicity.fit(docs, labels), threshold=0.5)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -29,5 +34,5 @@ def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), drop=0.1, seed=42, streams=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_fingerprints, op5_simhash, op9_token_counts, op10_subwords)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_fingerprints, op4_toxicity, op5_simhash, op9_token_counts, op10_subwords)}
 ORACLE_SQL: dict[str, str] = {}
