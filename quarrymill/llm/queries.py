@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import fingerprints, packing, simhash, subwords, token_counts, toxicity
+from quarrymill.llm import fingerprints, packing, quality, simhash, subwords, token_counts, toxicity
 from quarrymill.sources import read_table
 
 
@@ -13,6 +13,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.score_documents(docs, quality.fit(docs, labels), threshold=0.3)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(read_table(spark, sf_dir, "documents"))
 
@@ -34,5 +39,5 @@ def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), drop=0.1, seed=42, streams=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_fingerprints, op4_toxicity, op5_simhash, op9_token_counts, op10_subwords)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_fingerprints, op4_toxicity, op5_simhash, op9_token_counts, op10_subwords)}
 ORACLE_SQL: dict[str, str] = {}
