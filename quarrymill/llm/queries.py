@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import fingerprints, packing, pii, quality, simhash, subwords, token_counts, topk, toxicity
+from quarrymill.llm import fingerprints, packing, pii, quality, secrets, simhash, subwords, token_counts, topk, toxicity
 from quarrymill.sources import read_table
 
 
@@ -40,6 +40,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.find(docs, secrets.fit(docs))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,7 +53,7 @@ def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), drop=0.1, seed=42, streams=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_fingerprints, op4_toxicity, op5_simhash, op6_topk_search, op7_pii, op9_token_counts, op10_subwords)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_fingerprints, op4_toxicity, op5_simhash, op6_topk_search, op7_pii, op8_secrets, op9_token_counts, op10_subwords)}
 ORACLE_SQL: dict[str, str] = {
     "op6_topk_search": """
         WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
