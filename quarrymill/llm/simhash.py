@@ -127,3 +127,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = joined.join(names, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, crowd: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of `docs`, all columns, without near duplicates: of each component the row of its least id stays.
+
+    Of rows that repeat an id, one stays. Rows of a null id can't be named as copies and stay. What goes is
+    a list of ids: it is broadcast if it has at most `broadcast_rows` rows, else joined by a shuffle.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, crowd)
+    found = cut(found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__least"), F.count("*").alias("__rows")))
+    gone = found.where(F.col("__id") != F.col("__least")).select("__id")
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    if found.where("__rows > 1").isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
