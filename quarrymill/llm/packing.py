@@ -32,12 +32,15 @@ from quarrymill.sources.tables import cut
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Words whose normal form is their lower case, letter by letter: printable ASCII without "<", and composed Latin letters.
 PLAIN = re.compile("[!-;=-~\u00c0-\u012f\u0131-\u0148\u014a-\u017e]+")
+PLAIN_TEXT = re.compile("[ \n\t\r!-;=-~\u00c0-\u012f\u0131-\u0148\u014a-\u017e]*")
+#: A comma or full stop that ends a longer run of marks.
+MARKS = re.compile(r"[!-/:-@\[-`{-~][,.](?:[ \n]|$)")
 
 
 class WordTokenizer:
     """Ids of texts under a vocabulary that drops white space, with a bounded memory of words."""
 
-    CACHE = 600_000
+    CACHE = 900_000
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -88,11 +91,21 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
-        White space ends a word whatever stands around it, so words are encoded alone and remembered.
+        White space ends a word whatever stands around it, so words are encoded alone and remembered; those of
+        plain letters in lower case, which is how they are encoded.
         A text with other white space than blank, tab and line ends is encoded whole.
         """
-        words = [t.split() for t in texts]
-        plain = [sum(map(len, w)) + sum(map(t.count, " \n\t\r")) == len(t) for t, w in zip(texts, words, strict=True)]
+        words, plain = [], []
+        for t in texts:
+            if PLAIN_TEXT.fullmatch(t):
+                t = t.lower()
+                if not MARKS.search(t):  # a mark after a letter or digit is a pre-token of its own, so it may be a word of its own
+                    t = t.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+                words.append(t.split())
+                plain.append(True)
+            else:
+                words.append(t.split())
+                plain.append(sum(map(len, words[-1])) + sum(map(t.count, " \n\t\r")) == len(t))
         used = [w for w, p in zip(words, plain, strict=True) if p]
         missing = set(chain.from_iterable(used)).difference(self.cache)
         if len(self.cache) + len(missing) > self.CACHE:
