@@ -1,10 +1,6 @@
 """All queries of the catalogue with the SQL that states the same result."""
 
-from __future__ import annotations
+from quarrymill.plans import curation, evaluation, events, graphs, ranking, statistics  # noqa: F401  (they register)
+from quarrymill.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
