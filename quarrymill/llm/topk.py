@@ -171,24 +171,24 @@ def top_k(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id"
     shards = max(1, -(-n // shard_rows))
     blocks = max(1, -(-(n // every + 1) // block_rows))
     candidates = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int"))
-    queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
+    queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("qb"))
     # a block's home shard is its number modulo the shards, so home shards are spread as blocks are
-    home = (F.col("block") % shards).cast("int")
+    home = lambda block: (F.col(block) % shards).cast("int")
     schema = "query_id bigint, id bigint, score bigint"
 
     def search(asked: DataFrame, cells: DataFrame) -> DataFrame:
         found = cells.join(candidates, "shard").select("shard", "block", "id", "v")
-        return asked.groupBy("shard", "block").cogroup(found.groupBy("shard", "block")).applyInPandas(_cell(k), schema)
+        return asked.groupBy("qs", "qb").cogroup(found.groupBy("shard", "block")).applyInPandas(_cell(k), schema)
 
     session = table.sparkSession
     grid = session.range(blocks).select(F.col("id").cast("int").alias("block"))
-    first = queries.select("qid", "qv", "block", home.alias("shard"), F.lit(_LOW).alias("floor"))
-    start = cut(search(first, grid.withColumn("shard", home)))
+    first = queries.select("qid", "qv", "qb", home("qb").alias("qs"), F.lit(_LOW).alias("floor"))
+    start = cut(search(first, grid.withColumn("shard", home("block"))))
     floors = start.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_LOW)).alias("floor"))
     both = start
     if shards > 1:
-        cells = session.range(blocks * shards).select(F.floor(F.col("id") / shards).cast("int").alias("block"), (F.col("id") % shards).cast("int").alias("shard")).where(F.col("shard") != home)
-        asked = queries.join(floors, F.col("qid") == F.col("query_id"), "left").select("qid", "qv", "block", F.coalesce("floor", F.lit(_LOW)).alias("floor")).join(F.broadcast(cells), "block")
-        both = start.union(search(asked.select("qid", "qv", "block", "shard", "floor"), F.broadcast(cells)))
+        cells = lambda block, shard: session.range(blocks * shards).select(F.floor(F.col("id") / shards).cast("int").alias(block), (F.col("id") % shards).cast("int").alias(shard)).where(F.col(shard) != home(block))
+        asked = queries.join(floors, F.col("qid") == F.col("query_id"), "left").select("qid", "qv", "qb", F.coalesce("floor", F.lit(_LOW)).alias("floor")).join(F.broadcast(cells("qb", "qs")), "qb")
+        both = start.union(search(asked.select("qid", "qv", "qb", "qs", "floor"), F.broadcast(cells("block", "shard"))))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
