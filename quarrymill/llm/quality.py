@@ -114,7 +114,8 @@ class QualityModel:
             while end < len(texts) and (size == 0 or size + len(texts[end]) <= chars):
                 size += len(texts[end]) + PASSAGE
                 end += 1
-            out[start:end] = 1 / (1 + np.exp(-np.clip(self.logits(*encode(texts[start:end])), -40, 40)))
+            # rounded: sums in another order, with other texts in the batch, may differ in the last digits
+            out[start:end] = np.round(1 / (1 + np.exp(-np.clip(self.logits(*encode(texts[start:end])), -40, 40))), 9)
             start = end
         return out
 
