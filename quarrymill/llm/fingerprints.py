@@ -32,6 +32,11 @@ _FULL = (1 << 62) - 1
 BLOCK = 1024
 
 
+def _hashed(units: Column, seed: int) -> Column:
+    # the seed is bound here: a second parameter of the lambda would be the place in the array
+    return F.transform(units, lambda u: F.xxhash64(u, F.lit(seed)))
+
+
 def vector(text: Column) -> Column:
     """The lanes of a text as an array of bigint: 2 * WIDE sums modulo 2**32, then n, then 21 * SIGNS packed sums.
 
@@ -42,14 +47,14 @@ def vector(text: Column) -> Column:
     def wide(units: Column) -> Column:
         halves = []
         for seed in range(WIDE):
-            hashes = F.transform(units, lambda u, seed=seed: F.xxhash64(u, F.lit(seed)))
+            hashes = _hashed(units, seed)
             halves.append(F.transform(F.array(hashes), lambda hs: F.array(F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: (a + h.bitwiseAND(0xFFFFFFFF)).bitwiseAND(0xFFFFFFFF)), F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: (a + F.shiftrightunsigned(h, 32)).bitwiseAND(0xFFFFFFFF))))[0])
         return F.concat(*halves)
 
     def signs(units: Column) -> Column:
         sums = [F.array(F.size(units).cast("long"))]
         for seed in range(SIGNS):
-            hashes = F.transform(units, lambda u, seed=seed: F.xxhash64(u, F.lit(100 + seed)))
+            hashes = _hashed(units, 100 + seed)
             sums.append(F.transform(F.array(hashes), lambda hs: F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: a.bitwiseAND(_FULL) + F.call_function("shiftright", h, i).bitwiseAND(_BITS))))[0])
         return F.concat(*sums)
 
@@ -107,6 +112,8 @@ def with_next(docs: DataFrame, block: int = BLOCK, broadcast_rows: int = 200_000
     Which block that is comes from a narrow table of one row for each block, ordered the same way by
     blocks of blocks until one is left.
     """
+    if block < 2:
+        raise ValueError("a block has at least 2 ids")
     rows = docs.withColumn("blk", F.floor(F.col("doc_id") / F.lit(block)).cast("long"))
     heads = rows.groupBy("blk").agg(F.max("doc_id").alias("head"))
     target = _previous(heads.select("blk"), block).withColumnRenamed("previous", "to")
@@ -121,14 +128,13 @@ def with_next(docs: DataFrame, block: int = BLOCK, broadcast_rows: int = 200_000
 
 
 def _previous(keys: DataFrame, block: int) -> DataFrame:
-    """blk and the next greater blk as `previous`; for the greatest, the least (what wraps around)."""
-    ends = keys.agg(F.min("blk").alias("lo"), F.max("blk").alias("hi")).first()
-    if ends is None or ends["lo"] is None:
-        return keys.select("blk", F.col("blk").alias("previous"))
+    """keys: distinct blk. Returns blk and the next greater blk as `previous`; for the greatest, the least (what wraps around)."""
+    keys = cut(keys)  # read several times below, once more on each level
+    if keys.count() <= block:
+        least = keys.agg(F.min("blk").alias("least"))
+        return keys.withColumn("next", F.lead("blk").over(Window.orderBy("blk"))).join(F.broadcast(least), F.lit(True)).select("blk", F.coalesce("next", "least").alias("previous"))
     up = keys.withColumn("sup", F.floor(F.col("blk") / F.lit(block)).cast("long"))
     own = up.withColumn("previous", F.lead("blk").over(Window.partitionBy("sup").orderBy("blk")))
-    if ends["lo"] // block == ends["hi"] // block:
-        return own.select("blk", F.coalesce("previous", F.lit(ends["lo"])).alias("previous"))
     sups = up.groupBy("sup").agg(F.min("blk").alias("least"))
     after = _previous(sups.select(F.col("sup").alias("blk")), block).select(F.col("blk").alias("sup"), F.col("previous").alias("after"))
     first = after.join(sups.select(F.col("sup").alias("after"), "least"), "after").select("sup", "least")

@@ -98,6 +98,8 @@ class BallTree:
             at = start[live] + wave
             ok = lb[at] * (1 + 1e-12) + 1e-6 >= kth[live]
             live, at = live[ok], at[ok]
+            if not len(live):
+                break
             by = np.argsort(ln[at], kind="stable")
             groups = np.flatnonzero(np.diff(ln[at][by], prepend=-1))
             for a, b in zip(groups, np.append(groups[1:], len(by)), strict=True):
