@@ -20,7 +20,9 @@ def archive_names(spark: SparkSession, path: str) -> DataFrame:
 def repositories(spark: SparkSession, path: str, corrupt: bool = False) -> DataFrame:
     """Repository documents from JSON lines. corrupt: also the column `_corrupt_record` of lines that aren't JSON; else they are left out."""
     rows = spark.read.schema(f"{schemas.REPOSITORY}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows if corrupt else rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # the second half is always true: it keeps a count from reading the corrupt column alone, which Spark refuses
+    sound = F.col("_corrupt_record").isNull() & (F.col("name").isNull() | (F.length("name") >= 0))
+    return rows if corrupt else rows.where(sound).drop("_corrupt_record")
 
 
 def flat_repositories(repos: DataFrame) -> DataFrame:
@@ -64,9 +66,9 @@ def last_wins(parts: Sequence[DataFrame], key: str) -> DataFrame:
 def survey(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
     """A CSV of strings without rows that are all null, or null in all of `keys` (prefixes of column names)."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    rows = rows.dropna(how="all")
+    some = lambda names: F.coalesce(*(F.col(f"`{c}`") for c in names)).isNotNull()  # noqa: E731  names may have dots
     found = [c for k in keys for c in columns_by_prefix(rows.columns, k)]
-    return rows.dropna(how="all", subset=found) if found else rows
+    return rows.where(some(rows.columns) & some(found)) if found else rows.where(some(rows.columns))
 
 
 def columns_by_prefix(columns: Sequence[str], prefix: str) -> list[str]:
@@ -77,7 +79,7 @@ def columns_by_prefix(columns: Sequence[str], prefix: str) -> list[str]:
 
 def unpivot_answers(rows: DataFrame, key: str, answers: Sequence[str]) -> DataFrame:
     """key, question, answer."""
-    return rows.unpivot([key], list(answers), "question", "answer")
+    return rows.unpivot([F.col(f"`{key}`")], [F.col(f"`{a}`") for a in answers], "question", "answer")
 
 
 def reports(spark: SparkSession, path: str) -> DataFrame:
