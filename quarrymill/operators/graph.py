@@ -99,3 +99,25 @@ def first_dotted(names: DataFrame, defined: DataFrame) -> DataFrame:
     w = Window.partitionBy("call_id").orderBy("stage", "seq")
     best = near.union(far).withColumn("rn", F.row_number().over(w)).where("rn = 1")
     return calls.select("call_id").join(best, "call_id", "left").select("call_id", F.concat_ws(":", "dfile", "dname").alias("target"), "stage")
+
+
+def attached_decorators(decorators: DataFrame, defined: DataFrame, reach: int = 100) -> DataFrame:
+    """file, decorator, target: the first function that starts less than `reach` bytes after a decorator's end, else the first class.
+
+    decorators: file, name, stop; defined: file, name, type, start. A decorator with neither is left out.
+    """
+    d = decorators.select("file", F.col("name").alias("decorator"), "stop")
+    found = d.join(defined.select("file", F.col("name").alias("target"), "type", "start"), "file").where((F.col("start") >= F.col("stop")) & (F.col("start") - F.col("stop") < reach))
+    w = Window.partitionBy("file", "decorator", "stop").orderBy((F.col("type") != "function"), "start", "target")
+    return found.where(F.col("type").isin("function", "class")).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("file", "decorator", "target")
+
+
+def evidence_pairs(evidence: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """first, second, src, dst: of two pieces of evidence (pos, id), the edge from the earlier to the later, else the one back; the first `most` by place.
+
+    Edges meet evidence by equality at both ends, so pairs without an edge are never made.
+    """
+    a = edges.select("src", "dst").distinct().join(evidence.select(F.col("id").alias("src"), F.col("pos").alias("p")), "src").join(evidence.select(F.col("id").alias("dst"), F.col("pos").alias("q")), "dst").where("p <> q")
+    pairs = a.select(F.least("p", "q").alias("first"), F.greatest("p", "q").alias("second"), "src", "dst", (F.col("p") > F.col("q")).alias("back"))
+    best = pairs.groupBy("first", "second").agg(F.min_by(F.struct("src", "dst"), F.struct("back", "src", "dst")).alias("e"))
+    return best.orderBy("first", "second").limit(most).select("first", "second", "e.src", "e.dst")

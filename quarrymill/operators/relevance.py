@@ -211,3 +211,25 @@ def evidence_digest(evidence: DataFrame, by: list[str], chars: int = 220) -> Dat
     """One text for each group: its reports by falling confidence, each cut to `chars`."""
     rows = F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("k"), F.col("file").alias("file"), F.substring("text", 1, chars).alias("text"))))
     return evidence.groupBy(*by).agg(rows.alias("rows")).select(*by, F.array_join(F.transform("rows", lambda r: F.format_string("%s (%.2f): %s", r["file"], -r["k"], r["text"])), "\n").alias("digest"))
+
+
+def hints(rules: DataFrame, keywords: DataFrame) -> DataFrame:
+    """pattern, high, low (globs in the order of rules), keywords, anti_keywords (each once, in order) of declared patterns."""
+    globs = rules.groupBy("pattern").agg(*(F.transform(F.sort_array(F.collect_list(F.when(F.coalesce(F.col("priority") == "high", F.lit(False)) == is_high, F.struct("rule_no", "glob")))), lambda x: x["glob"]).alias(n) for n, is_high in (("high", True), ("low", False))))
+    place = keywords.withColumn("__at", F.struct("rule_no", "seq") if "seq" in keywords.columns else F.struct("rule_no", "keyword"))
+    words = place.groupBy("pattern").agg(*(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("__at", "keyword")))), lambda x: x["keyword"])).alias(n) for n, kind in (("keywords", "pos"), ("anti_keywords", "anti"))))
+    empty = F.array().cast("array<string>")
+    return globs.join(words, "pattern", "left").select("pattern", "high", "low", F.coalesce("keywords", empty).alias("keywords"), F.coalesce("anti_keywords", empty).alias("anti_keywords"))
+
+
+def summary(files: DataFrame, centrality: DataFrame, by: str = "repo", sample: int = 50, extensions: int = 6, dirs: int = 8, hubs: int = 5) -> DataFrame:
+    """repo, extensions, dirs, hubs: the most frequent extensions of the first `sample` files (path, seq), the first top folders
+    by name, and the files of highest centrality (path, centrality), each put together with commas."""
+    first = files.withColumn("__rn", F.row_number().over(Window.partitionBy(by).orderBy("seq", "path"))).where(F.col("__rn") <= sample)
+    top = lambda df, order, n, name, out: df.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__k") <= n).groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__k", name))), lambda x: x[name]), ",").alias(out))
+    ext = first.groupBy(by, T.suffix(F.col("path")).alias("ext")).agg(F.count("*").alias("n"))
+    folders = first.select(by, T.first_dir(F.col("path")).alias("dir")).where("dir <> ''").distinct()
+    ranked = files.select(by, "path").distinct().join(centrality.select("path", "centrality"), "path")
+    out = files.select(by).distinct().join(top(ext, [F.desc("n"), F.asc("ext")], extensions, "ext", "extensions"), by, "left")
+    out = out.join(top(folders, [F.asc("dir")], dirs, "dir", "dirs"), by, "left").join(top(ranked, [F.desc("centrality"), F.asc("path")], hubs, "path", "hubs"), by, "left")
+    return out.na.fill("", ["extensions", "dirs", "hubs"])

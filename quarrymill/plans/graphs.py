@@ -88,3 +88,25 @@ def one_edge_per_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), (F.col("event_id") % 20).alias("dst"), F.col("event_type").alias("type")).distinct()
     return graph.successors(edges, edges.where("src % 3 = 0").select(F.col("src").alias("id")).distinct(), "signup")
+
+
+@query(f"""WITH {_GRAPH.replace(", r0 AS (SELECT id, 1::DOUBLE / c.n AS rank FROM n, c)", "")},
+        p AS (SELECT least(src, dst) AS first, greatest(src, dst) AS second, src, dst FROM e WHERE src <> dst)
+        SELECT first, second, arg_min(src, CASE WHEN src > dst THEN 1 ELSE 0 END) AS src, arg_min(dst, CASE WHEN src > dst THEN 1 ELSE 0 END) AS dst FROM p GROUP BY ALL ORDER BY first, second LIMIT 10""")
+def evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten pairs of suppliers with an edge: the report's own limit."""
+    nodes, edges = supply_graph(spark, sf_dir)
+    return graph.evidence_pairs(nodes.select("id", F.col("id").alias("pos")), edges)
+
+
+@query("""WITH c AS (SELECT event_id AS call_id, CAST(user_id % 10 AS VARCHAR) AS file, concat('m.f', event_id % 30) AS name FROM events WHERE event_id < 500),
+        d AS (SELECT CAST(p_partkey % 10 AS VARCHAR) AS file, concat(CASE WHEN p_partkey % 4 = 0 THEN 'm.f' ELSE 'f' END, p_partkey % 25) AS name, p_partkey AS seq FROM part WHERE p_partkey <= 60),
+        j AS (SELECT call_id, d.file AS f, d.name AS n, seq, CASE WHEN c.file = d.file AND c.name = d.name THEN 1 WHEN c.file = d.file THEN 2 ELSE 3 END AS stage FROM c JOIN d
+          ON (c.file = d.file AND d.name IN (c.name, substr(c.name, 3))) OR (c.file <> d.file AND d.name = substr(c.name, 3)))
+        SELECT c.call_id, CAST(coalesce(b.target, '') AS VARCHAR) AS target, CAST(b.stage AS INTEGER) AS stage FROM c LEFT JOIN (SELECT call_id, concat(f, ':', n) AS target, stage FROM j QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY stage, seq) = 1) b USING (call_id)""")
+def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda c: c.cast("string")
+    calls = read_table(spark, sf_dir, "events").where("event_id < 500").select(F.col("event_id").alias("call_id"), text(F.col("user_id") % 10).alias("file"), F.concat(F.lit("m.f"), text(F.col("event_id") % 30)).alias("name"))
+    k = F.col("p_partkey")
+    defined = read_table(spark, sf_dir, "part").where("p_partkey <= 60").select(text(k % 10).alias("file"), F.concat(F.when(k % 4 == 0, "m.f").otherwise("f"), text(k % 25)).alias("name"), k.alias("seq"))
+    return graph.first_dotted(calls, defined)

@@ -203,3 +203,24 @@ def evidence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = read_table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
     return links.groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT concat('r', page_id % 4) AS repo, page_id AS seq, concat('d', page_id % 11, '/f', page_id, CASE page_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.go' ELSE '.md' END) AS path, (page_id * 37 % 101) / 101::DOUBLE AS c FROM pages),
+        s AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY repo ORDER BY seq) <= 50),
+        e AS (SELECT repo, regexp_extract(path, '\\.[a-z]+$') AS ext, count(*) AS n FROM s GROUP BY ALL), d AS (SELECT DISTINCT repo, regexp_extract(path, '^[^/]+') AS dir FROM s),
+        h AS (SELECT repo, path, c FROM f QUALIFY row_number() OVER (PARTITION BY repo ORDER BY c DESC, path) <= 5), g AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY repo ORDER BY dir) <= 8)
+        SELECT repo, (SELECT string_agg(ext, ',' ORDER BY n DESC, ext) FROM e WHERE e.repo = r.repo) AS extensions, (SELECT string_agg(dir, ',' ORDER BY dir) FROM g WHERE g.repo = r.repo) AS dirs,
+          (SELECT string_agg(path, ',' ORDER BY c DESC, path) FROM h WHERE h.repo = r.repo) AS hubs FROM (SELECT DISTINCT repo FROM f) r""")
+def repository_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = F.col("page_id"), F.col("page_id") % 3
+    text = lambda c: c.cast("string")
+    files = read_table(spark, sf_dir, "pages").select(F.concat(F.lit("r"), text(p % 4)).alias("repo"), p.alias("seq"), F.concat(F.lit("d"), text(p % 11), F.lit("/f"), text(p), F.when(k == 0, ".py").when(k == 1, ".go").otherwise(".md")).alias("path"), ((p * 37 % 101) / 101).alias("centrality"))
+    return relevance.summary(files.drop("centrality"), files.select("path", "centrality"))
+
+
+@query("""SELECT pattern, coalesce(string_agg(g, ' ' ORDER BY rule_no) FILTER (priority = 'high'), '') AS high, coalesce(string_agg(g, ' ' ORDER BY rule_no) FILTER (priority <> 'high'), '') AS low
+        FROM (VALUES ('fr', 0, 'fr/*', 'high'), ('fr', 1, '**/fr/[0-9]*', 'low'), ('deep', 0, 'http:/*/*/*', 'low'), ('top', 0, '*/*#top', 'high'), ('net', 0, '*.net/*/*', 'low')) r(pattern, rule_no, g, priority) GROUP BY 1""")
+def pattern_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "pattern string, rule_no int, glob string, priority string")
+    words = spark.createDataFrame(KEYWORDS, "pattern string, rule_no int, keyword string, kind string")
+    return relevance.hints(rules, words).select("pattern", F.array_join("high", " ").alias("high"), F.array_join("low", " ").alias("low"))

@@ -177,3 +177,23 @@ def test_resolution_stages(spark):
     claims = spark.createDataFrame([(1, "src/A.py"), (2, "SRC/a.PY"), (3, "A.py"), (4, "x/b.py"), (5, "none.py")], "claim_id int, claimed string")
     got = {r["claim_id"]: (r["path"], r["stage"]) for r in relevance.resolve_paths(claims, real).collect()}
     assert got == {1: ("src/A.py", 1), 2: ("src/A.py", 2), 3: ("src/A.py", 3), 4: ("lib/b.py", 4), 5: (None, None)}
+
+
+def test_decorators_and_hints(spark):
+    marks = spark.createDataFrame([("f", "@a", 10), ("f", "@b", 300), ("f", "@c", 900)], "file string, name string, stop int")
+    defined = spark.createDataFrame([("f", "K", "class", 12), ("f", "g", "function", 60), ("f", "L", "class", 310), ("f", "h", "function", 1000)], "file string, name string, type string, start int")
+    got = {r["decorator"]: r["target"] for r in graph.attached_decorators(marks, defined).collect()}
+    assert got == {"@a": "g", "@b": "L"}
+    rules = spark.createDataFrame([("p", 1, "b", "high"), ("p", 0, "a", "high"), ("p", 2, "c", None)], "pattern string, rule_no int, glob string, priority string")
+    words = spark.createDataFrame([("p", 1, "y", "pos", 0), ("p", 0, "x", "pos", 1), ("p", 0, "z", "pos", 0), ("p", 2, "x", "pos", 0)], "pattern string, rule_no int, keyword string, kind string, seq int")
+    row = relevance.hints(rules, words).first()
+    assert (row["high"], row["low"], row["keywords"], row["anti_keywords"]) == (["a", "b"], ["c"], ["z", "x", "y"], [])
+
+
+def test_settings():
+    from quarrymill.config import Settings
+
+    assert Settings().problems() == []
+    for wrong in ({"llm_weight": 0.9}, {"medium": 0.6}, {"judge_confidence": 11}, {"keyword_weight": -0.1, "embedding_weight": 0.4}):
+        with pytest.raises(ValueError):
+            Settings(**wrong)
