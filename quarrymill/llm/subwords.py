@@ -34,7 +34,7 @@ _CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 class PieceCodec:
     #: Chunks remembered for each worker.
-    CACHE = 400_000
+    CACHE = 600_000
 
     def __init__(self, path: str, drop: float, seed: int):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -67,7 +67,7 @@ class PieceCodec:
         for byte, i in enumerate(self.byte_id):
             raw[i] = bytes([byte])
         self.raw = raw
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[int, dict[str, bytes]] = {}
 
     def _encode_chunks(self, chunks: list[str], stream: int) -> list[bytes]:
         """Ids of each chunk as little-endian unsigned 32-bit integers."""
@@ -97,20 +97,17 @@ class PieceCodec:
                 continue
             text = text.replace(BLANK, LITERAL)
             words = text.split(" ")
-            if "" in words:
-                cut_up.append(_CHUNK.findall(BLANK + text.replace(" ", BLANK)))
-            else:
-                cut_up.append([BLANK + w for w in words])
-        salt = f"{stream}:"
-        cache = self.cache
-        names = [[salt + c for c in chunks] for chunks in cut_up]
-        missing = set(chain.from_iterable(names)).difference(cache)
-        if len(cache) + len(missing) > self.CACHE:
-            now = set(chain.from_iterable(names)) - missing
-            self.cache = cache = {c: cache[c] for c in now}
-        new, skip = list(missing), len(salt)
-        cache.update(zip(new, self._encode_chunks([c[skip:] for c in new], stream), strict=True))
-        return [b"".join(map(cache.__getitem__, chunks)) for chunks in names]
+            # a word stands for the chunk of it and the blank before it; chunks that aren't of one blank have theirs
+            cut_up.append(_CHUNK.findall(BLANK + text.replace(" ", BLANK)) if "" in words else words)
+        cache = self.cache.setdefault(stream, {})
+        missing = set(chain.from_iterable(cut_up)).difference(cache)
+        if sum(map(len, self.cache.values())) + len(missing) > self.CACHE:
+            now = set(chain.from_iterable(cut_up)) - missing
+            self.cache = {stream: {c: cache[c] for c in now}}
+            cache = self.cache[stream]
+        new = list(missing)
+        cache.update(zip(new, self._encode_chunks([c if c[0] == BLANK else BLANK + c for c in new], stream), strict=True))
+        return [b"".join(map(cache.__getitem__, chunks)) for chunks in cut_up]
 
     def decode(self, ids: bytes) -> str:
         """The text that the ids of `encode` stand for, complete."""
