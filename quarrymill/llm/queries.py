@@ -50,7 +50,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subwords.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), drop=0.1, seed=42, streams=2)
+    return subwords.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), drop=0.1, seed=42)
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_fingerprints, op4_toxicity, op5_simhash, op6_topk_search, op7_pii, op8_secrets, op9_token_counts, op10_subwords)}

@@ -1,10 +1,11 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 A candidate merge - a pair of neighbouring pieces at a place in a chunk - is skipped when a hash of
-(seed, stream, chunk, place, left piece, right piece) falls under the dropout share. There is no
-random state: the same seed gives the same segmentation on any executor and on any retry. A document
-uses one of `streams` streams by a hash of its id, so a word is segmented in several ways across documents.
-With share 0 the ids are those of the library.
+(seed, document, place of the chunk, chunk, place, left piece, right piece) falls under the dropout share. There
+is no random state: the same seed gives the same segmentation on any executor and on any retry. Every occurrence
+of a word has a key of its own, so it varies within documents and across them. What is remembered of a chunk is
+free of dropout: its symbols, its ids and the candidates that lead to them. An occurrence that skips none of
+these has these ids; any other is merged by itself. With share 0 the ids are those of the library.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.bpe import Merger, mix
+from quarrymill.llm.bpe import NONE, Merger, mix
 from quarrymill.llm.common import slices, texts_of
 
 BLANK = "▁"
@@ -32,6 +33,30 @@ LITERAL = "\udc00"
 _CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
+class _Recorder(Merger):
+    """Merges without dropout and notes each candidate: the word's key, the place and the pair."""
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
+        super().__init__(pairs)
+        self.seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def _candidates(self, left, right, offset, word_key):
+        rank, merged = self._look_up(left, right)
+        met = rank < NONE
+        pair = (left[met].astype(np.uint64) << np.uint64(32)) | right[met].astype(np.uint64)
+        self.seen.append((word_key[met], offset[met], pair))
+        return rank, merged
+
+
+def _gather(parts: list[bytes], kind: str, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays of parts[i] for i in which, in a row, and the length of each."""
+    flat = np.frombuffer(b"".join(parts), dtype=kind)
+    sizes = np.array([len(p) for p in parts], dtype=np.int64) // np.dtype(kind).itemsize
+    starts = np.cumsum(sizes) - sizes
+    taken = sizes[which]
+    return flat[np.repeat(starts[which] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())], taken
+
+
 class PieceCodec:
     #: Chunks remembered for each worker.
     CACHE = 600_000
@@ -59,7 +84,7 @@ class PieceCodec:
                 a, b = own.get(piece[:cut]), own.get(piece[cut:])
                 if a is not None and b is not None:
                     pairs[a, b] = (i, rank[scores[piece]])
-        self.merger = Merger(pairs, drop)
+        self.merger, self.recorder = Merger(pairs, drop), _Recorder(pairs)
         self.seed = np.uint64(seed & (2**64 - 1))
         raw = [b""] * n
         for piece, i in own.items():
@@ -67,29 +92,53 @@ class PieceCodec:
         for byte, i in enumerate(self.byte_id):
             raw[i] = bytes([byte])
         self.raw = raw
-        self.cache: dict[int, dict[str, bytes]] = {}
-
-    def _encode_chunks(self, chunks: list[str], stream: int) -> list[bytes]:
+        self.strange: dict[str, int] = {}
+        self.as_bytes: dict[int, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Of each chunk: its place in the lists that follow; ids, key, symbols, and candidates as places and pairs."""
+        self.cache: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.keys: list[int] = []
+        self.symbols: list[bytes] = []
+        self.places: list[bytes] = []
+        self.pairs: list[bytes] = []
+
+    def _symbol(self, char: str) -> int:
+        i = self.own.get(char)
+        if i is None and (i := self.strange.get(char)) is None:
+            i = self.strange[char] = self.n + len(self.strange)
+            self.as_bytes[i] = self.byte_id[np.frombuffer((BLANK if char == LITERAL else char).encode("utf-8"), dtype=np.uint8)]
+        return i
+
+    def _packed(self, merged: list[np.ndarray]) -> list[bytes]:
         """Ids of each chunk as little-endian unsigned 32-bit integers."""
-        if not chunks:
-            return []
-        own, n = self.own, self.n
-        strange: dict[str, int] = {}
-        symbols: list[int] = []
-        for chunk in chunks:
-            for char in chunk:
-                i = own.get(char)
-                symbols.append(i if i is not None else strange.setdefault(char, n + len(strange)))
-        lengths = np.array([len(c) for c in chunks], dtype=np.int64)
-        keys = np.array([xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), stream) for c in chunks], dtype=np.uint64)
-        merged = self.merger.merge(np.array(symbols, dtype=np.int64), lengths, mix(keys ^ self.seed))
-        if strange:
-            as_bytes = {i: self.byte_id[np.frombuffer((BLANK if c == LITERAL else c).encode("utf-8"), dtype=np.uint8)] for c, i in strange.items()}
-            merged = [np.concatenate([as_bytes.get(i, [i]) for i in ids.tolist()]) if (ids >= n).any() else ids for ids in merged]
+        if self.strange:
+            merged = [np.concatenate([self.as_bytes.get(i, [i]) for i in ids.tolist()]) if (ids >= self.n).any() else ids for ids in merged]
         return [ids.astype("<u4").tobytes() for ids in merged]
 
-    def encode(self, texts: list[str], stream: int = 0) -> list[bytes]:
-        """Ids of each text. stream: which of the segmentations of the seed."""
+    def _learn(self, names: list[str]) -> None:
+        if not names:
+            return
+        chunks = [c if c[0] == BLANK else BLANK + c for c in names]
+        symbols = [[self._symbol(char) for char in chunk] for chunk in chunks]
+        self.recorder.seen = []
+        merged = self.recorder.merge(np.array(list(chain.from_iterable(symbols)), dtype=np.int64), np.array([len(x) for x in symbols], dtype=np.int64), np.arange(len(chunks), dtype=np.uint64))
+        word, place, pair = (np.concatenate(x) for x in zip(*self.recorder.seen, strict=True)) if self.recorder.seen else (np.empty(0, np.uint64),) * 3
+        order = np.argsort(word, kind="stable")
+        ends = np.searchsorted(word[order], np.arange(len(chunks), dtype=np.uint64), side="right").tolist()
+        place, pair = place[order].astype("<i4").tobytes(), pair[order].astype("<u8").tobytes()
+        first = len(self.ids)
+        self.ids += self._packed(merged)
+        self.keys += [xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass")) for c in chunks]
+        self.symbols += [np.array(x, dtype="<i4").tobytes() for x in symbols]
+        self.places += [place[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+        self.pairs += [pair[8 * a : 8 * b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+        self.cache.update(zip(names, range(first, first + len(names)), strict=True))
+
+    def encode(self, texts: list[str], stream: int | list[int] = 0) -> list[bytes]:
+        """Ids of each text. stream: which of the segmentations of the seed, for all texts or for each."""
         cut_up = []
         for text in texts:
             if not text:
@@ -99,15 +148,35 @@ class PieceCodec:
             words = text.split(" ")
             # a word stands for the chunk of it and the blank before it; chunks that aren't of one blank have theirs
             cut_up.append(_CHUNK.findall(BLANK + text.replace(" ", BLANK)) if "" in words else words)
-        cache = self.cache.setdefault(stream, {})
-        missing = set(chain.from_iterable(cut_up)).difference(cache)
-        if sum(map(len, self.cache.values())) + len(missing) > self.CACHE:
-            now = set(chain.from_iterable(cut_up)) - missing
-            self.cache = {stream: {c: cache[c] for c in now}}
-            cache = self.cache[stream]
-        new = list(missing)
-        cache.update(zip(new, self._encode_chunks([c if c[0] == BLANK else BLANK + c for c in new], stream), strict=True))
-        return [b"".join(map(cache.__getitem__, chunks)) for chunks in cut_up]
+        missing = set(chain.from_iterable(cut_up)).difference(self.cache)
+        if len(self.cache) + len(missing) > self.CACHE:
+            self._forget()
+            missing = set(chain.from_iterable(cut_up))
+        self._learn(list(missing))
+        counts = np.array([len(x) for x in cut_up], dtype=np.int64)
+        at = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(cut_up)), dtype=np.int64, count=int(counts.sum()))
+        out = list(map(self.ids.__getitem__, at.tolist()))
+        ends = np.cumsum(counts)
+        if self.merger.limit and len(at):
+            streams = np.array([x & (2**64 - 1) for x in ([stream] * len(texts) if isinstance(stream, int) else stream)], dtype=np.uint64)
+            place = np.arange(len(at)) - np.repeat(ends - counts, counts)
+            of_place = mix(np.repeat(streams, counts) ^ mix(place))
+            for i in range(0, len(at), 100_000):
+                self._drop(at[i : i + 100_000], of_place[i : i + 100_000], out, i)
+        return [b"".join(out[b - n : b]) for n, b in zip(counts.tolist(), ends.tolist(), strict=True)]
+
+    def _drop(self, at: np.ndarray, of_place: np.ndarray, out: list[bytes], first: int) -> None:
+        """Merge again those occurrences, from out[first] on, that skip a candidate."""
+        kinds, which = np.unique(at, return_inverse=True)
+        kinds = kinds.tolist()
+        keys = mix(mix(np.array([self.keys[k] for k in kinds], dtype=np.uint64) ^ self.seed)[which] ^ of_place)
+        places, sizes = _gather([self.places[k] for k in kinds], "<i4", which)
+        pairs, _ = _gather([self.pairs[k] for k in kinds], "<u8", which)
+        skipped = self.merger._skipped(np.repeat(keys, sizes), places, pairs >> np.uint64(32), pairs & np.uint64(2**32 - 1))
+        again = np.unique(np.repeat(np.arange(len(at)), sizes)[skipped])
+        symbols, lengths = _gather([self.symbols[k] for k in kinds], "<i4", which[again])
+        for j, ids in zip(again.tolist(), self._packed(self.merger.merge(symbols.astype(np.int64), lengths, keys[again])), strict=True):
+            out[first + j] = ids
 
     def decode(self, ids: bytes) -> str:
         """The text that the ids of `encode` stand for, complete."""
@@ -121,13 +190,13 @@ def codec(path: str, drop: float = 0.0, seed: int = 0) -> PieceCodec:
     return PieceCodec(path, drop, seed)
 
 
-def encode(docs: DataFrame, path: str, drop: float = 0.1, seed: int = 0, streams: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, drop: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text; null and empty texts have an empty array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, drop, seed)
         for batch in slices(batches):
-            ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in _by_stream(tool, batch, streams)]
+            ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in _by_document(tool, batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _rows(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
@@ -146,7 +215,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, drop: float = 0.1, seed: int = 0, streams: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, drop: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, n_pieces, ids_crc32, decoded_sha256 and lossless of every whole text, encoded and decoded again.
 
     A null text counts as empty: 0 pieces, checksum 0. Repeated rows give repeated results, an empty table an
@@ -158,7 +227,7 @@ def round_trip(docs: DataFrame, path: str, drop: float = 0.1, seed: int = 0, str
         tool = codec(path, drop, seed)
         for batch in slices(batches):
             texts = texts_of(batch)
-            ids = _by_stream(tool, batch, streams)
+            ids = _by_document(tool, batch)
             back = [tool.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -180,12 +249,5 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _by_stream(tool: PieceCodec, batch: pa.RecordBatch, streams: int) -> list[bytes]:
-    texts = texts_of(batch)
-    of = [zlib.crc32(str(i).encode("utf-8")) % streams for i in batch.column("doc_id").to_pylist()]
-    out: list[bytes] = [b""] * len(texts)
-    for stream in range(streams):
-        rows = [k for k, s in enumerate(of) if s == stream]
-        for k, ids in zip(rows, tool.encode([texts[k] for k in rows], stream), strict=True):
-            out[k] = ids
-    return out
+def _by_document(tool: PieceCodec, batch: pa.RecordBatch) -> list[bytes]:
+    return tool.encode(texts_of(batch), [xxhash.xxh64_intdigest(str(i).encode("utf-8")) for i in batch.column("doc_id").to_pylist()])

@@ -90,3 +90,30 @@ def test_encode_then_decode(odd):
 def test_decode_nothing(spark, bad):
     rows = spark.createDataFrame([(1, b) for b in bad] or [(1, [])], "doc_id long, ids array<int>")
     assert [r["text"] for r in subwords.decode(rows, PIECE).collect()] == [""]
+
+
+def test_every_occurrence_may_be_segmented_in_its_own_way(spark):
+    docs = spark.createDataFrame([(i, " ".join(["internationalization"] * 40)) for i in range(40)], "doc_id long, text string")
+    of_word = MODEL.encode("internationalization")
+    rows = subwords.encode(docs, PIECE, 0.1, 42).collect()
+    assert len({tuple(r["ids"]) for r in rows}) == 40
+    tool = subwords.PieceCodec(PIECE, 0.1, 42)
+    text = " ".join(["internationalization"] * 2000)
+    whole = tool.encode([text], 5)[0]
+    assert tool.decode(whole) == text and 0 < whole.count(np.array(of_word, "<u4").tobytes()) < 2000
+
+
+def test_candidates_remembered_are_all_that_matter():
+    tool, slow = subwords.PieceCodec(PIECE, 0.1, 42), subwords.PieceCodec(PIECE, 0.1, 42)
+
+    def all_again(at, of_place, out, first):
+        from quarrymill.llm.bpe import mix
+
+        keys = mix(mix(np.array([slow.keys[k] for k in at.tolist()], dtype=np.uint64) ^ slow.seed) ^ of_place)
+        symbols = [np.frombuffer(slow.symbols[k], "<i4") for k in at.tolist()]
+        ids = slow._packed(slow.merger.merge(np.concatenate(symbols).astype(np.int64), np.array([len(x) for x in symbols]), keys))
+        out[first : first + len(at)] = ids
+
+    slow._drop = all_again
+    texts = ["several words of a sentence, and internationalization of 日本 é " * 50, "a  b   c", ""]
+    assert tool.encode(texts, [3, 4, 5]) == slow.encode(texts, [3, 4, 5])
