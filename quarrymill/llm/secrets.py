@@ -2,9 +2,9 @@
 
 Base rules find assignments of credentials, access keys and long hexadecimal strings. The strings they find are
 labelled credentials: a bounded sample of each kind is turned into a prefix tree whose statistically compatible
-states are merged into a probabilistic automaton (see `automata`). Another automaton is inferred from a sample of
-other tokens with digits, the background. Every candidate token of every text is then scored by how much likelier
-its format is under a credential automaton than under the background, and added if that is enough.
+states are merged into a probabilistic automaton (see `automata`). Two more are inferred from samples of other tokens, with
+digits and without: the backgrounds. Every candidate token of every text is then scored by how much likelier its
+format is under a credential automaton than under the likelier background, and added if that is enough.
 """
 
 from __future__ import annotations
@@ -30,8 +30,12 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']? *[:=
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _DIGIT = re.compile(r"[0-9]")
-#: Candidates: whole tokens of credential characters, 12 to 128 of them, with a digit.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=@-])(?=[A-Za-z+/_=-]{0,127}[0-9])[A-Za-z0-9+/_=-]{12,128}(?![A-Za-z0-9+/_.=@-])")
+#: Candidates: whole tokens of credential characters, dots within and '=' at the end included, as long as the shortest
+#: credential at least. What is on the left of ':' or '=' is a token of its own. Names and hosts of addresses aren't tokens.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_@-])(?<![A-Za-z0-9+/_@-]\.)[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+(?:={1,2}+(?![A-Za-z0-9+/_=-]))?+(?!@)")
+LEAST = 8
+#: Tokens that samples are drawn from are no longer than this; what is scored has no limit.
+SAMPLED = 256
 _WORDS = re.compile(r"(?ai:passw|secret|token|api_?key)")
 
 
@@ -48,30 +52,31 @@ def base_spans(text: str) -> list[tuple[Span, str]]:
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int, str]]:
     """(start, end, token) of what may be a credential outside the base spans."""
-    if not _DIGIT.search(text):
-        return []
-    return [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text) if free(("", m.start(), m.end()), base)]
+    return [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text) if m.end() - m.start() >= LEAST and free(("", m.start(), m.end()), base)]
 
 
 @dataclass
 class SecretModel:
-    """One automaton for each kind that has a sample, the background's, and the gain in nats for each symbol that is needed."""
+    """One automaton for each kind that has a sample, the backgrounds', and the gain in nats for each symbol that is needed."""
 
     kinds: dict[str, Automaton]
-    background: Automaton
+    backgrounds: list[Automaton]
     gain: dict[str, float]
     memo: dict[str, str] = field(default_factory=dict)
 
     def kind_of(self, token: str) -> str:
         """The kind whose format the token has, or ''."""
-        if token not in self.memo:
+        if token in self.memo:
+            return self.memo[token]
+        other = max(b.log_likelihood(token) for b in self.backgrounds)
+        gains = {k: (a.log_likelihood(token) - other) / (len(token) + 1) for k, a in self.kinds.items()}
+        best = max(gains, key=gains.get, default="")
+        kind = best if best and gains[best] >= self.gain[best] else ""
+        if len(token) <= SAMPLED:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            other = self.background.log_likelihood(token)
-            gains = {k: (a.log_likelihood(token) - other) / (len(token) + 1) for k, a in self.kinds.items()}
-            best = max(gains, key=gains.get, default="")
-            self.memo[token] = best if best and gains[best] >= self.gain[best] else ""
-        return self.memo[token]
+            self.memo[token] = kind
+        return kind
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """(base spans, all spans) of a text."""
@@ -81,7 +86,7 @@ class SecretModel:
 
 
 def samples(docs: DataFrame, per_kind: int, text_col: str = "text") -> dict[str, list[str]]:
-    """At most `per_kind` distinct credentials of each kind, and as many other tokens ('other'), the least by hash.
+    """At most `per_kind` distinct credentials of each kind, and as many other tokens with digits ('other') and without ('plain'), the least by hash.
 
     Each task keeps the least of its own, so no more than `per_kind` a kind and task are shuffled, and the driver
     gets that many a kind.
@@ -90,7 +95,7 @@ def samples(docs: DataFrame, per_kind: int, text_col: str = "text") -> dict[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        least: dict[str, dict[str, int]] = {k: {} for k in (*KINDS, "other")}
+        least: dict[str, dict[str, int]] = {k: {} for k in (*KINDS, "other", "plain")}
 
         def offer(kind: str, token: str) -> None:
             mine = least[kind]
@@ -102,16 +107,17 @@ def samples(docs: DataFrame, per_kind: int, text_col: str = "text") -> dict[str,
             for text in texts_of(batch):
                 found = base_spans(text)
                 for (kind, _, _), token in found:
-                    if len(token) <= 256:
+                    if len(token) <= SAMPLED:
                         offer(kind, token)
                 for _, _, token in candidates(text, [s for s, _ in found]):
-                    offer("other", token)
+                    if len(token) <= SAMPLED:
+                        offer("other" if _DIGIT.search(token) else "plain", token)
         rows = [(k, t, h) for k, mine in least.items() for t, h in sorted(mine.items(), key=lambda x: (x[1], x[0]))[:per_kind]]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["kind", "token", "h"])
 
     found = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, token string, h bigint"))
     out = {}
-    for kind in (*KINDS, "other"):
+    for kind in (*KINDS, "other", "plain"):
         rows = found.where(F.col("kind") == kind).groupBy("token").agg(F.min("h").alias("h")).orderBy("h", "token").limit(per_kind).collect()
         out[kind] = [r["token"] for r in rows]
     return out
@@ -124,7 +130,7 @@ def fit(docs: DataFrame, per_kind: int = 400, least: int = 20, alpha: float = 0.
     gain that a candidate needs is what all but 2 % of held-back credentials of its kind reach, `margin` at least.
     """
     sample = samples(docs, per_kind, text_col)
-    background = infer(sample["other"][: per_kind * 3 // 4], alpha)
+    backgrounds = [infer(sample[k][: per_kind * 3 // 4], alpha) for k in ("other", "plain")]
     kinds, gain = {}, {}
     for kind in KINDS:
         tokens = sample[kind]
@@ -132,9 +138,9 @@ def fit(docs: DataFrame, per_kind: int = 400, least: int = 20, alpha: float = 0.
             continue
         held = len(tokens) // 4
         kinds[kind] = infer(tokens[held:], alpha)
-        reached = sorted((kinds[kind].log_likelihood(t) - background.log_likelihood(t)) / (len(t) + 1) for t in tokens[:held])
+        reached = sorted((kinds[kind].log_likelihood(t) - max(b.log_likelihood(t) for b in backgrounds)) / (len(t) + 1) for t in tokens[:held])
         gain[kind] = max(margin, float(np.quantile(reached, 0.02)))
-    return SecretModel(kinds, background, gain)
+    return SecretModel(kinds, backgrounds, gain)
 
 
 def find(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -126,3 +126,34 @@ def test_grammar_adds_spans(spark):
     rows = {r["doc_id"]: r["spans"] for r in secrets.find(docs, secrets.fit(docs)).collect()}
     assert rows[240] == f"assign:7:{7 + len(hidden)}"
     assert not any(rows[i] for i in range(120, 240))
+
+
+@pytest.mark.parametrize(
+    ("text", "tokens"),
+    [
+        ("it was zq_abc2defghjk3mnpqrstuv9.", ["zq_abc2defghjk3mnpqrstuv9"]),
+        ("auth=zq_abc2defghjk3mnpqrstuv9 once", ["zq_abc2defghjk3mnpqrstuv9"]),
+        ("key:abc2defghjk3mn==, b64", ["abc2defghjk3mn=="]),
+        ("see eyJhbGciOi.eyJzdWIi0.SflKxwRJ_x here", ["eyJhbGciOi.eyJzdWIi0.SflKxwRJ_x"]),
+        ("x " + "a1" * 100 + " y", ["a1" * 100]),
+        ("nodigitsatall", ["nodigitsatall"]),
+        ("first.lastname1@hostname.example", []),
+    ],
+)
+def test_candidates_are_whole_tokens(text, tokens):
+    assert [t for _, _, t in secrets.candidates(text, [])] == tokens
+
+
+def test_grammar_adds_a_token_at_the_end_of_a_sentence_and_after_a_sign(spark):
+    import random
+
+    random.seed(3)
+    form = lambda: "zq_" + "".join(random.choices("abcdefghjkmnpqrstuv23456789", k=22))
+    rows = [(i, f"password = {form()} and so on") for i in range(120)]
+    rows += [(120 + i, "reference number " + "".join(random.choices("0123456789", k=14)) + " of the extraordinary catalogue") for i in range(120)]
+    hidden = form()
+    rows += [(240, f"It was {hidden}."), (241, f"auth={hidden} once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.find(docs, secrets.fit(docs)).collect()}
+    assert got[240] == f"assign:7:{7 + len(hidden)}" and got[241] == f"assign:5:{5 + len(hidden)}"
+    assert not any(got[i] for i in range(120, 240))
