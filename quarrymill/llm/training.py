@@ -14,7 +14,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     Which ones is decided by a hash of the id, so any order or layout of the input gives the same sample.
     Rows that are held out (see `common.held_out`), unlabelled or of a null id are never in it. An id that is
-    labelled more than once counts as 1 if at least half of its labels do.
+    labelled more than once counts as 1 if at least half of its labels do. A text that doesn't fit the rest of the
+    budget is skipped; only if no text of a class fits, its shortest one is taken all the same.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
     rank = F.xxhash64("doc_id", F.lit(2025))
@@ -24,11 +25,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         ids = part if ids is None else ids.union(part)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.join(F.broadcast(ids), "doc_id").select("r", "doc_id", "text", "y", F.char_length("text").alias("n"))
-    # the budget of characters is spent in the order of the hash; a text beyond it is left out, never shortened
-    sizes = found.select("r", "doc_id", "n").toPandas().sort_values(["r", "doc_id"]).drop_duplicates("doc_id")
-    fits = sizes[sizes["n"].cumsum() <= max_chars]
-    bound = int(fits["r"].max()) if len(fits) else None
-    if bound is None:
+    # the budget of characters is spent in the order of the hash, half of it by each class and then the rest; a text beyond it is left out, never shortened
+    sizes = found.select("r", "doc_id", "n", "y").toPandas().sort_values(["r", "doc_id", "n"]).drop_duplicates("doc_id")
+    chosen = _fitting(list(zip(sizes["r"].tolist(), sizes["n"].tolist(), sizes["y"].tolist(), strict=True)), max_chars)
+    if not chosen:
         return pd.DataFrame({"text": pd.Series(dtype=str), "y": pd.Series(dtype=int)})
-    got = found.where(F.col("r") <= bound).toPandas().sort_values(["r", "doc_id"]).drop_duplicates("doc_id")
+    of = docs.sparkSession.createDataFrame([(r,) for r in chosen], "r long")
+    got = found.join(F.broadcast(of), "r").toPandas().sort_values(["r", "doc_id", "n"]).drop_duplicates("doc_id")
     return got[["text", "y"]].reset_index(drop=True)
+
+
+def _fitting(texts: list[tuple[int, int, int]], max_chars: int) -> list[int]:
+    """The keys of those of the texts (key, characters, class) that the budget takes, in the order given."""
+    chosen: set[int] = set()
+    left = max_chars
+    for y in (0, 1):
+        half = max_chars // 2
+        for key, n, of in texts:
+            if of == y and n <= half:
+                chosen.add(key)
+                half, left = half - n, left - n
+    for key, n, _ in texts:
+        if key not in chosen and n <= left:
+            chosen.add(key)
+            left -= n
+    for y in (0, 1):
+        own = [(n, i, key) for i, (key, n, of) in enumerate(texts) if of == y]
+        if own and not any(key in chosen for _, _, key in own):
+            chosen.add(min(own)[2])
+    return [key for key, _, _ in texts if key in chosen]

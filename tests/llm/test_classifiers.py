@@ -75,3 +75,16 @@ def test_filters_keep_columns(tables, odd):
     for kept in (quality.keep_good(odd, quality.fit(docs, labels)), toxicity.keep_clean(odd, toxicity.fit(docs, labels))):
         assert kept.columns == odd.columns
         kept.collect()
+
+
+@pytest.mark.parametrize("long", [(0,), (1,), (0, 1)])
+def test_a_text_beyond_the_budget_does_not_end_the_sample(spark, long):
+    ids = [r["id"] for r in spark.range(200).where(~held_out(F.col("id"))).orderBy(F.xxhash64("id", F.lit(2025)), "id").collect()]
+    y = {i: k % 2 for k, i in enumerate(ids)}
+    over = {ids[k] for k in long}  # first in the order of the hash
+    docs = spark.createDataFrame([(i, "x" * (5000 if i in over else 10)) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, v) for i, v in y.items()], "doc_id long, good int")
+    got = labelled_sample(docs, labels, "good", 1000, 4000)
+    assert len(got) == len(ids) - len(over) and set(got["text"].str.len()) == {10} and set(got["y"]) == {0, 1}
+    only = labelled_sample(docs.where(F.length("text") > 10), labels, "good", 1000, 4000)
+    assert sorted(only["y"]) == sorted({y[i] for i in over})
