@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from quarrymill.llm import simhash
+from quarrymill.llm import near_copies, simhash
 
 
 def brute_fingerprint(text, k=3):
@@ -81,3 +81,11 @@ def test_keep_one(odd, none):
     assert ids == sorted({r["component_id"] for r in named.collect()})
     assert kept.where("doc_id is null").count() == 2
     assert simhash.keep_one(none).collect() == [] and simhash.near_duplicates(none).collect() == []
+
+
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, near_copies.keep_one])
+def test_unlike_texts_of_one_id_are_decided_by_row(spark, keep_one):
+    text = lambda n: " ".join(f"{n}w{i}" for i in range(80))
+    rows = [(3, text("a")), (7, text("a")), (7, text("b")), (8, text("c")), (8, text("d")), (8, text("d"))]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted({rows[0], *rows[2:]})
