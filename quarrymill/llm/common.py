@@ -32,3 +32,31 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000, text: str
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     """Texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(text).to_pylist()]
+
+
+class Recent:
+    """A bounded memory of keys and their values in two generations.
+
+    When the younger one has more than `limit` keys, `age` forgets the older and the younger takes its place; a key that
+    is used again comes back to the young. So what is used often stays, and 2 * `limit` keys and those of one batch are
+    held at most.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def age(self) -> None:
+        """To be called before each batch."""
+        if len(self.now) > self.limit:
+            self.before, self.now = self.now, {}
+
+    def unknown(self, keys: set) -> set:
+        """Those of the keys without a value. All others are in `now` until it ages."""
+        missing = keys.difference(self.now)
+        if self.before:
+            again = [k for k in missing if k in self.before]
+            self.now.update(zip(again, map(self.before.__getitem__, again), strict=True))
+            missing.difference_update(again)
+        return missing

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarrymill.llm.bpe import Merger, lowest_first
-from quarrymill.llm.common import slices, texts_of
+from quarrymill.llm.common import Recent, slices, texts_of
 from quarrymill.llm.token_counts import byte_alphabet
 from quarrymill.sources.tables import cut
 
@@ -40,14 +40,14 @@ MARKS = re.compile(r"[!-/:-@\[-`{-~][,.](?:[ \n]|$)")
 class WordTokenizer:
     """Ids of texts under a vocabulary that drops white space, with a bounded memory of words."""
 
-    CACHE = 900_000
+    #: A worker remembers twice as many words at most (see `Recent`): some 80 MB.
+    WORDS = 250_000
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
+        self.words = Recent(self.WORDS)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -71,19 +71,27 @@ class WordTokenizer:
         symbols[ends] = self.last[flat[ends]]
         return [ids.astype("<u4").tobytes() for ids in self.merger.merge(symbols, lengths)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words. Those of plain letters are cut and merged here, the others are left to the library."""
-        near = [w for w in words if PLAIN.fullmatch(w)]
-        cut_up = [self.pattern.findall(w.lower()) for w in near]
-        missing = list(set(chain.from_iterable(cut_up)).difference(self.tokens))
-        if len(self.tokens) + len(missing) > self.CACHE // 2:
-            now = set(chain.from_iterable(cut_up)).difference(missing)
-            self.tokens = {t: self.tokens[t] for t in now}
-        self.tokens.update(zip(missing, self._merge(missing), strict=True))
-        look = self.tokens.__getitem__
-        self.cache.update((w, b"".join(map(look, c))) for w, c in zip(near, cut_up, strict=True))
-        far = [w for w in words if w not in self.cache]
-        self.cache.update(zip(far, self._encode(far), strict=True))
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words.
+
+        Those of plain letters and marks are cut here; a part alone has the ids that it has in the word, so parts are
+        remembered as words are. The others are left to the library.
+        """
+        parts, far, marked = set(), [], {}
+        for w in words:
+            if not PLAIN.fullmatch(w):
+                far.append(w)
+            elif w.isalpha() and w.islower():
+                parts.add(w)
+            else:
+                marked[w] = self.pattern.findall(w.lower())
+        parts.update(chain.from_iterable(marked.values()))
+        missing = list(self.words.unknown(parts))
+        known = self.words.now
+        known.update(zip(missing, self._merge(missing), strict=True))
+        look = known.__getitem__
+        known.update((w, b"".join(map(look, c))) for w, c in marked.items())
+        known.update(zip(far, self._encode(far), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,12 +115,9 @@ class WordTokenizer:
                 words.append(t.split())
                 plain.append(sum(map(len, words[-1])) + sum(map(t.count, " \n\t\r")) == len(t))
         used = [w for w, p in zip(words, plain, strict=True) if p]
-        missing = set(chain.from_iterable(used)).difference(self.cache)
-        if len(self.cache) + len(missing) > self.CACHE:
-            now = set(chain.from_iterable(used)) - missing
-            self.cache = {w: self.cache[w] for w in now}
-        self._learn(list(missing))
-        look = self.cache.__getitem__
+        self.words.age()
+        self._learn(self.words.unknown(set(chain.from_iterable(used))))
+        look = self.words.now.__getitem__
         out = [b"".join(map(look, w)) if p else b"" for w, p in zip(words, plain, strict=True)]
         odd = [i for i, p in enumerate(plain) if not p]
         for i, ids in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
