@@ -24,6 +24,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begin[i], begin[i] + 1, ... (sizes[i] of them) of every i, in a row."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(begin - before, sizes) + np.arange(int(sizes.sum()))
+
+
 class Merger:
     #: Longer words are merged one by one with a heap, in n log n steps.
     LONG = 256
@@ -33,15 +39,33 @@ class Merger:
         keys = np.fromiter(((a << 32) | b for a, b in pairs), dtype=np.int64, count=len(pairs))
         made = np.array(list(pairs.values()), dtype=np.int64).reshape(-1, 2)
         order = np.argsort(keys)
-        self.keys, self.merged, self.rank = keys[order], made[order, 0], made[order, 1]
+        # behind the last pair stands one that no symbols make
+        self.keys, self.merged, self.rank = np.append(keys[order], -1), np.append(made[order, 0], 0), np.append(made[order, 1], NONE)
+        # slot -> place of its first key; where other keys have the same slot, a miss is looked up among all keys
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        slot = self._slot(self.keys[:-1])
+        first, place, many = np.unique(slot, return_index=True, return_counts=True)
+        self.slots = np.full(1 << (64 - int(self.shift)), len(keys), np.int32)
+        self.slots[first] = place
+        self.shared = np.zeros(len(self.slots), bool)
+        self.shared[first[many > 1]] = True
         self.limit = np.uint64(min(int(drop * 2.0**64), 2**64 - 1))
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * _M1) >> self.shift).view(np.int64)
+
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = (left << 32) | right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        found = self.keys[at] == key
-        return np.where(found, self.rank[at], NONE), self.merged[at]
+        slot = self._slot(key)
+        at = self.slots[slot]
+        miss = self.keys[at] != key
+        at[miss] = len(self.keys) - 1
+        again = np.flatnonzero(miss & self.shared[slot])
+        if len(again):
+            found = np.searchsorted(self.keys[:-1], key[again])
+            ok = self.keys[found] == key[again]
+            at[again[ok]] = found[ok]
+        return self.rank[at], self.merged[at]
 
     def _skipped(self, word_key: np.ndarray, offset: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         pair = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
@@ -55,66 +79,94 @@ class Merger:
 
     def merge(self, symbols: np.ndarray, lengths: np.ndarray, word_keys: np.ndarray | None = None) -> list[np.ndarray]:
         """Ids of each word after merging. symbols: all words in a row; lengths: theirs, each at least 1."""
+        ids, sizes = self.merge_flat(symbols, lengths, word_keys)
+        ends = np.cumsum(sizes).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+    def merge_flat(self, symbols: np.ndarray, lengths: np.ndarray, word_keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
         n_words = len(lengths)
         keys = np.zeros(n_words, np.uint64) if word_keys is None else word_keys
-        out: list[np.ndarray | None] = [None] * n_words
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if n_words else np.zeros(0, np.int64)
-        long = np.flatnonzero(lengths > self.LONG)
-        for w in long:
-            out[w] = self._merge_one(symbols[starts[w] : starts[w] + lengths[w]], keys[w])
+        sizes = np.zeros(n_words, np.int64)
+        done_words: list[np.ndarray] = []
+        done_ids: list[np.ndarray] = []
+        starts = np.cumsum(lengths) - lengths
+        for w in np.flatnonzero(lengths > self.LONG):
+            one = self._merge_one(symbols[starts[w] : starts[w] + lengths[w]], keys[w])
+            sizes[w] = len(one)
+            done_words.append(np.array([w]))
+            done_ids.append(one)
         which = np.flatnonzero(lengths <= self.LONG)
-        if not len(which):
-            return out
-        keep = np.repeat(lengths <= self.LONG, lengths)
-        sym = symbols[keep].astype(np.int64)
+        if len(which):
+            self._merge_short(symbols, lengths, keys, which, sizes, done_words, done_ids)
+        if not done_words:
+            return np.zeros(0, np.int64), sizes
+        words, ids = np.concatenate(done_words), np.concatenate(done_ids)
+        have = sizes[words]
+        begin = np.zeros(n_words, np.int64)
+        begin[words] = np.cumsum(have) - have
+        return ids[spread(begin, sizes)], sizes
+
+    def _merge_short(self, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, which: np.ndarray, sizes: np.ndarray, done_words: list[np.ndarray], done_ids: list[np.ndarray]) -> None:
+        """Merges the words `which`, all at once: in each round the best candidate of every word that has one.
+
+        Symbols keep their places and know their neighbours, so a round changes a few numbers for each word. What is
+        merged away, and words that are done, are taken out when they are the larger part.
+        """
+        sym = (symbols if len(which) == len(lengths) else symbols[np.repeat(lengths <= self.LONG, lengths)]).astype(np.int64)
         size = lengths[which].astype(np.int64)
-        start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        off = np.arange(len(sym)) - np.repeat(start, size)
-        key = np.repeat(keys[which], size)
-
-        def ranks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return self._candidates(sym[at], sym[at + 1], off[at], key[at])
-
-        rank = np.full(len(sym), NONE)
-        into = np.zeros(len(sym), np.int64)
-        inner = np.ones(len(sym), bool)
-        inner[start + size - 1] = False
-        inner = np.flatnonzero(inner)
-        if len(inner):
-            rank[inner], into[inner] = ranks(inner)
-        while len(which):
-            # rank in the high bits, place in the low ones: the least is the leftmost of the lowest rank
-            order = np.where(rank < NONE, (rank << 31) | np.arange(len(rank)), NONE)
+        start = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(which)), size)
+        place = np.arange(len(sym))
+        off = place - start[word]
+        key = keys[which]
+        after, before = place + 1, place - 1
+        after[start + size - 1] = -1
+        before[start] = -1
+        # of each symbol and the one after it: rank in the high bits, place in the low ones, so the least is the leftmost of the lowest rank
+        order, into = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
+
+        def judge(at: np.ndarray) -> None:
+            rank, into[at] = self._candidates(sym[at], sym[after[at]], off[at], key[word[at]])
+            order[at] = np.where(rank < NONE, (rank << 31) | at, NONE)
+
+        judge(np.flatnonzero(after >= 0))
+        while True:
             best = np.minimum.reduceat(order, start)
-            done = best == NONE
-            if done.any():
-                for w, a, k in zip(which[done], start[done], size[done], strict=True):
-                    out[w] = sym[a : a + k]
-                stay = np.repeat(~done, size)
-                sym, off, key, rank, into = sym[stay], off[stay], key[stay], rank[stay], into[stay]
-                which, size = which[~done], size[~done]
-                if not len(which):
-                    break
-                shift = np.cumsum(~stay)
-                at = (best[~done] & ((1 << 31) - 1)) - shift[best[~done] & ((1 << 31) - 1)]
-                start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-            else:
-                at = best & ((1 << 31) - 1)
-            sym[at] = into[at]
-            gone = np.ones(len(sym), bool)
-            gone[at + 1] = False
-            sym, off, key, rank, into = sym[gone], off[gone], key[gone], rank[gone], into[gone]
-            at = at - np.arange(len(at))
-            start = start - np.arange(len(start))
-            size = size - 1
-            rank[at] = NONE
-            last = start + size - 1
-            right = at[at < last]
-            left = at[at > start] - 1
-            for near in (right, left):
-                if len(near):
-                    rank[near], into[near] = ranks(near)
-        return out
+            going = best < NONE
+            n = int(np.count_nonzero(going))
+            if n <= len(which) // 2:
+                alive = sym >= 0
+                done = alive & ~going[word]
+                done_words.append(which[~going])
+                done_ids.append(sym[done])
+                sizes[which] = np.bincount(word[alive], minlength=len(which))
+                if not n:
+                    return
+                stay = alive & going[word]
+                moved = np.cumsum(stay) - 1
+                after, before = after[stay], before[stay]
+                after, before = np.where(after < 0, -1, moved[after]), np.where(before < 0, -1, moved[before])
+                sym, off, into, order = sym[stay], off[stay], into[stay], order[stay]
+                order = np.where(order < NONE, (order >> 31 << 31) | np.arange(len(order)), NONE)
+                word = (np.cumsum(going) - 1)[word[stay]]
+                which, key = which[going], key[going]
+                start = np.searchsorted(word, np.arange(n))
+                best = np.minimum.reduceat(order, start)
+            elif n < len(which):
+                best = best[going]
+            at = best & ((1 << 31) - 1)
+            right = after[at]
+            beyond = after[right]
+            sym[at], sym[right] = into[at], -1
+            order[at] = order[right] = NONE
+            after[at] = beyond
+            inside = beyond >= 0
+            before[beyond[inside]] = at[inside]
+            left = before[at]
+            near = np.concatenate([at[inside], left[left >= 0]])
+            if len(near):
+                judge(near)
 
     def _merge_one(self, symbols: np.ndarray, word_key: np.uint64) -> np.ndarray:
         """The same for one long word: a heap of (rank, place) over a linked list."""

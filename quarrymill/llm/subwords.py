@@ -14,7 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.bpe import NONE, Merger, mix
+from quarrymill.llm.bpe import NONE, Merger, mix, spread
 from quarrymill.llm.common import slices, texts_of
 
 BLANK = "▁"
@@ -48,18 +48,38 @@ class _Recorder(Merger):
         return rank, merged
 
 
-def _gather(parts: list[bytes], kind: str, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The arrays of parts[i] for i in which, in a row, and the length of each."""
-    flat = np.frombuffer(b"".join(parts), dtype=kind)
-    sizes = np.array([len(p) for p in parts], dtype=np.int64) // np.dtype(kind).itemsize
-    starts = np.cumsum(sizes) - sizes
-    taken = sizes[which]
-    return flat[np.repeat(starts[which] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())], taken
+class _Lists:
+    """Lists of numbers in a row in one growing array."""
+
+    def __init__(self, kind: str):
+        self.data, self.used = np.empty(1 << 12, kind), 0
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        need = self.used + len(flat)
+        if need > len(self.data):
+            data = np.empty(need + need // 4, self.data.dtype)
+            data[: self.used] = self.data[: self.used]
+            self.data = data
+        self.data[self.used : need] = flat
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.used = need
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the lists `which` in a row, and how many each has."""
+        sizes = self.size[which]
+        return self.data[spread(self.begin[which], sizes)], sizes
+
+    def keep(self, which: np.ndarray) -> None:
+        flat, sizes = self.of(which)
+        self.data, self.used = flat, len(flat)
+        self.begin, self.size = np.cumsum(sizes) - sizes, sizes
 
 
 class PieceCodec:
-    #: Chunks remembered for each worker.
-    CACHE = 600_000
+    #: Chunks that a worker remembers, and those of one batch more; beyond it the half that is used least is forgotten.
+    CACHE = 300_000
 
     def __init__(self, path: str, drop: float, seed: int):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -74,8 +94,13 @@ class PieceCodec:
                 own[piece] = i
         if (self.byte_id < 0).any() or any(BLANK in p.lstrip(BLANK) for p in own):
             raise ValueError("this codec is for models with byte fallback and blanks only at the start of pieces")
-        # symbols: pieces by id; characters without a piece from n on
-        self.own, self.n = own, n
+        # symbols: pieces by id; characters without a piece from n on, as the ids of their bytes
+        self.n = n
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for piece, i in own.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = i
+        self.strange = _Lists("<i4")
         scores = {p: model.get_score(i) for p, i in own.items()}
         rank = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
         pairs = {}
@@ -91,54 +116,64 @@ class PieceCodec:
             raw[i] = piece.replace(BLANK, " ").encode("utf-8")
         for byte, i in enumerate(self.byte_id):
             raw[i] = bytes([byte])
-        self.raw = raw
-        self.strange: dict[str, int] = {}
-        self.as_bytes: dict[int, np.ndarray] = {}
-        self._forget()
+        self.raw = _Lists("u1")
+        self.raw.extend(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], dtype=np.int64))
+        # of each chunk: its place in the tables that follow
+        self.cache: dict[str, int] = {}
+        self.ids, self.symbols, self.places, self.pairs = _Lists("<i4"), _Lists("<i4"), _Lists("<i4"), _Lists("<u8")
+        self.keys, self.uses = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def _forget(self) -> None:
-        """Of each chunk: its place in the lists that follow; ids, key, symbols, and candidates as places and pairs."""
-        self.cache: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.keys: list[int] = []
-        self.symbols: list[bytes] = []
-        self.places: list[bytes] = []
-        self.pairs: list[bytes] = []
-
-    def _symbol(self, char: str) -> int:
-        i = self.own.get(char)
-        if i is None and (i := self.strange.get(char)) is None:
-            i = self.strange[char] = self.n + len(self.strange)
-            self.as_bytes[i] = self.byte_id[np.frombuffer((BLANK if char == LITERAL else char).encode("utf-8"), dtype=np.uint8)]
-        return i
-
-    def _packed(self, merged: list[np.ndarray]) -> list[bytes]:
-        """Ids of each chunk as little-endian unsigned 32-bit integers."""
-        if self.strange:
-            merged = [np.concatenate([self.as_bytes.get(i, [i]) for i in ids.tolist()]) if (ids >= self.n).any() else ids for ids in merged]
-        return [ids.astype("<u4").tobytes() for ids in merged]
+        """Keep the half of the chunks that is used most."""
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: self.CACHE // 2])
+        names = list(self.cache)
+        self.cache = {names[i]: k for k, i in enumerate(stay.tolist())}
+        for table in (self.ids, self.symbols, self.places, self.pairs):
+            table.keep(stay)
+        self.keys, self.uses = self.keys[stay], self.uses[stay] // 2
+
+    def _symbols(self, chars: str) -> np.ndarray:
+        codes = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        out = self.symbol_of[codes]
+        if (out < 0).any():
+            for code in np.unique(codes[out < 0]).tolist():
+                self.symbol_of[code] = self.n + len(self.strange.size)
+                char = chr(code)
+                ids = self.byte_id[np.frombuffer((BLANK if char == LITERAL else char).encode("utf-8"), dtype=np.uint8)]
+                self.strange.extend(ids, np.array([len(ids)]))
+            out = self.symbol_of[codes]
+        return out.astype(np.int64)
+
+    def _spelled(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the ids of its bytes for each character that is no piece."""
+        odd = symbols >= self.n
+        if not odd.any():
+            return symbols, sizes
+        begin, each = np.arange(len(symbols)), np.ones(len(symbols), np.int64)
+        begin[odd], each[odd] = len(symbols) + self.strange.begin[symbols[odd] - self.n], self.strange.size[symbols[odd] - self.n]
+        ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(sizes)]
+        return np.concatenate([symbols, self.strange.data[: self.strange.used]])[spread(begin, each)], np.diff(ends, prepend=0)
 
     def _learn(self, names: list[str]) -> None:
         if not names:
             return
         chunks = [c if c[0] == BLANK else BLANK + c for c in names]
-        symbols = [[self._symbol(char) for char in chunk] for chunk in chunks]
+        symbols, lengths = self._symbols("".join(chunks)), np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
         self.recorder.seen = []
-        merged = self.recorder.merge(np.array(list(chain.from_iterable(symbols)), dtype=np.int64), np.array([len(x) for x in symbols], dtype=np.int64), np.arange(len(chunks), dtype=np.uint64))
-        word, place, pair = (np.concatenate(x) for x in zip(*self.recorder.seen, strict=True)) if self.recorder.seen else (np.empty(0, np.uint64),) * 3
+        merged, sizes = self.recorder.merge_flat(symbols, lengths, np.arange(len(chunks), dtype=np.uint64))
+        word, place, pair = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*self.recorder.seen, strict=True)) if self.recorder.seen else (np.empty(0, np.int64),) * 3
         order = np.argsort(word, kind="stable")
-        ends = np.searchsorted(word[order], np.arange(len(chunks), dtype=np.uint64), side="right").tolist()
-        place, pair = place[order].astype("<i4").tobytes(), pair[order].astype("<u8").tobytes()
-        first = len(self.ids)
-        self.ids += self._packed(merged)
-        self.keys += [xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass")) for c in chunks]
-        self.symbols += [np.array(x, dtype="<i4").tobytes() for x in symbols]
-        self.places += [place[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]  # noqa: B905
-        self.pairs += [pair[8 * a : 8 * b] for a, b in zip([0, *ends], ends)]  # noqa: B905
-        self.cache.update(zip(names, range(first, first + len(names)), strict=True))
-
-    def encode(self, texts: list[str], stream: int | list[int] = 0) -> list[bytes]:
-        """Ids of each text. stream: which of the segmentations of the seed, for all texts or for each."""
+        met = np.bincount(word.astype(np.int64), minlength=len(chunks))
+        self.cache.update(zip(names, range(len(self.keys), len(self.keys) + len(names)), strict=True))
+        self.ids.extend(*self._spelled(merged, sizes))
+        self.symbols.extend(symbols, lengths)
+        self.places.extend(place[order], met)
+        self.pairs.extend(pair[order], met)
+        keys = np.fromiter((xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass")) for c in chunks), dtype=np.uint64, count=len(chunks))
+        self.keys, self.uses = np.concatenate([self.keys, mix(keys ^ self.seed)]), np.concatenate([self.uses, np.zeros(len(names), np.int64)])
+
+    def encode_flat(self, texts: list[str], streams: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's end. streams: which of the segmentations of the seed, for each."""
         cut_up = []
         for text in texts:
             if not text:
@@ -148,40 +183,53 @@ class PieceCodec:
             words = text.split(" ")
             # a word stands for the chunk of it and the blank before it; chunks that aren't of one blank have theirs
             cut_up.append(_CHUNK.findall(BLANK + text.replace(" ", BLANK)) if "" in words else words)
-        missing = set(chain.from_iterable(cut_up)).difference(self.cache)
-        if len(self.cache) + len(missing) > self.CACHE:
+        if len(self.cache) > self.CACHE:
             self._forget()
-            missing = set(chain.from_iterable(cut_up))
-        self._learn(list(missing))
+        words = list(chain.from_iterable(cut_up))
         counts = np.array([len(x) for x in cut_up], dtype=np.int64)
-        at = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(cut_up)), dtype=np.int64, count=int(counts.sum()))
-        out = list(map(self.ids.__getitem__, at.tolist()))
+        at = np.fromiter(map(self.cache.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        self._learn(list(dict.fromkeys(words[i] for i in new)))
+        at[new] = [self.cache[words[i]] for i in new]
         ends = np.cumsum(counts)
-        if self.merger.limit and len(at):
-            streams = np.array([x & (2**64 - 1) for x in ([stream] * len(texts) if isinstance(stream, int) else stream)], dtype=np.uint64)
-            place = np.arange(len(at)) - np.repeat(ends - counts, counts)
-            of_place = mix(np.repeat(streams, counts) ^ mix(place))
-            for i in range(0, len(at), 100_000):
-                self._drop(at[i : i + 100_000], of_place[i : i + 100_000], out, i)
-        return [b"".join(out[b - n : b]) for n, b in zip(counts.tolist(), ends.tolist(), strict=True)]
-
-    def _drop(self, at: np.ndarray, of_place: np.ndarray, out: list[bytes], first: int) -> None:
-        """Merge again those occurrences, from out[first] on, that skip a candidate."""
-        kinds, which = np.unique(at, return_inverse=True)
-        kinds = kinds.tolist()
-        keys = mix(mix(np.array([self.keys[k] for k in kinds], dtype=np.uint64) ^ self.seed)[which] ^ of_place)
-        places, sizes = _gather([self.places[k] for k in kinds], "<i4", which)
-        pairs, _ = _gather([self.pairs[k] for k in kinds], "<u8", which)
-        skipped = self.merger._skipped(np.repeat(keys, sizes), places, pairs >> np.uint64(32), pairs & np.uint64(2**32 - 1))
-        again = np.unique(np.repeat(np.arange(len(at)), sizes)[skipped])
-        symbols, lengths = _gather([self.symbols[k] for k in kinds], "<i4", which[again])
-        for j, ids in zip(again.tolist(), self._packed(self.merger.merge(symbols.astype(np.int64), lengths, keys[again])), strict=True):
-            out[first + j] = ids
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        seeds = np.array([x & (2**64 - 1) for x in streams], dtype=np.uint64)
+        of_place = mix(np.repeat(seeds, counts) ^ mix(np.arange(len(at)) - np.repeat(ends - counts, counts)))
+        parts = [self._segment(at[i : i + 50_000], of_place[i : i + 50_000]) for i in range(0, len(at), 50_000)]
+        ids = np.concatenate([np.empty(0, np.int32), *(p for p, _ in parts)])
+        sizes = np.concatenate([np.empty(0, np.int64), *(n for _, n in parts)])
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[ends]
+
+    def _segment(self, at: np.ndarray, of_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks `at`, and how many each has; those occurrences that skip a candidate are merged again."""
+        begin, sizes, pool = self.ids.begin[at], self.ids.size[at], self.ids.data[: self.ids.used]
+        if self.merger.limit:
+            keys = mix(self.keys[at] ^ of_place)
+            met = self.places.size[at]
+            which, of = spread(self.places.begin[at], met), np.repeat(np.arange(len(at)), met)
+            skipped = mix(mix(keys[of] ^ self.places.data[which].astype(np.uint64)) ^ self.pairs.data[which]) < self.merger.limit
+            other = np.zeros(len(at), bool)
+            other[of[skipped]] = True
+            other = np.flatnonzero(other)
+            merged, own = self._spelled(*self.merger.merge_flat(*self.symbols.of(at[other]), keys[other]))
+            begin[other], sizes[other] = len(pool) + np.cumsum(own) - own, own
+            pool = np.concatenate([pool, merged.astype(np.int32)])
+        return pool[spread(begin, sizes)], sizes
+
+    def encode(self, texts: list[str], stream: int | list[int] = 0) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers. stream: which of the segmentations of the seed, for all texts or for each."""
+        ids, ends = self.encode_flat(texts, [stream] * len(texts) if isinstance(stream, int) else stream)
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist())]  # noqa: B905
+
+    def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts that the ids of `encode_flat` stand for, complete."""
+        raw, sizes = self.raw.of(ids)
+        whole, of = raw.tobytes(), np.concatenate([[0], np.cumsum(sizes)])[ends].tolist()
+        return [whole[a + 1 : b].decode("utf-8", "replace") for a, b in zip([0, *of], of)]  # noqa: B905
 
     def decode(self, ids: bytes) -> str:
-        """The text that the ids of `encode` stand for, complete."""
-        whole = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-        return whole[1:].decode("utf-8", "replace") if whole else ""
+        """The text that the ids of one text stand for, complete."""
+        return self.decode_flat(np.frombuffer(ids, dtype="<u4"), np.array([len(ids) // 4]))[0]
 
 
 @lru_cache(maxsize=4)
@@ -196,8 +244,8 @@ def encode(docs: DataFrame, path: str, drop: float = 0.1, seed: int = 0, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, drop, seed)
         for batch in slices(batches):
-            ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in _by_document(tool, batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids, ends = _by_document(tool, batch)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
     return _rows(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
@@ -208,7 +256,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for batch in batches:
-            texts = [tool.decode(np.array(x or [], dtype="<u4").tobytes()) for x in batch.column("ids").to_pylist()]
+            lists = [x or [] for x in batch.column("ids").to_pylist()]
+            texts = tool.decode_flat(np.array(list(chain.from_iterable(lists)), dtype=np.int64), np.cumsum([len(x) for x in lists]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = encoded.select("doc_id", "ids")
@@ -227,14 +276,15 @@ def round_trip(docs: DataFrame, path: str, drop: float = 0.1, seed: int = 0, id_
         tool = codec(path, drop, seed)
         for batch in slices(batches):
             texts = texts_of(batch)
-            ids = _by_document(tool, batch)
-            back = [tool.decode(x) for x in ids]
+            ids, ends = _by_document(tool, batch)
+            back = tool.decode_flat(ids, ends)
+            whole, ends = ids.astype("<u4").tobytes(), ends.tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                    pa.array(np.diff(ends, prepend=0), pa.int64()),
+                    pa.array([zlib.crc32(whole[4 * a : 4 * b]) for a, b in zip([0, *ends], ends)], pa.int64()),  # noqa: B905
                     pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in back], pa.string()),
                     pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
                 ],
@@ -249,5 +299,5 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _by_document(tool: PieceCodec, batch: pa.RecordBatch) -> list[bytes]:
-    return tool.encode(texts_of(batch), [xxhash.xxh64_intdigest(str(i).encode("utf-8")) for i in batch.column("doc_id").to_pylist()])
+def _by_document(tool: PieceCodec, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tool.encode_flat(texts_of(batch), [xxhash.xxh64_intdigest(str(i).encode("utf-8")) for i in batch.column("doc_id").to_pylist()])

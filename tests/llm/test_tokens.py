@@ -1,9 +1,11 @@
 import hashlib
+import re
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -103,17 +105,44 @@ def test_every_occurrence_may_be_segmented_in_its_own_way(spark):
     assert tool.decode(whole) == text and 0 < whole.count(np.array(of_word, "<u4").tobytes()) < 2000
 
 
-def test_candidates_remembered_are_all_that_matter():
-    tool, slow = subwords.PieceCodec(PIECE, 0.1, 42), subwords.PieceCodec(PIECE, 0.1, 42)
-
-    def all_again(at, of_place, out, first):
-        from quarrymill.llm.bpe import mix
-
-        keys = mix(mix(np.array([slow.keys[k] for k in at.tolist()], dtype=np.uint64) ^ slow.seed) ^ of_place)
-        symbols = [np.frombuffer(slow.symbols[k], "<i4") for k in at.tolist()]
-        ids = slow._packed(slow.merger.merge(np.concatenate(symbols).astype(np.int64), np.array([len(x) for x in symbols]), keys))
-        out[first : first + len(at)] = ids
-
-    slow._drop = all_again
-    texts = ["several words of a sentence, and internationalization of 日本 é " * 50, "a  b   c", ""]
-    assert tool.encode(texts, [3, 4, 5]) == slow.encode(texts, [3, 4, 5])
+def plain_mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+    return x ^ (x >> 31)
+
+
+def plain_agenda(text, drop, seed, stream):
+    """Ids of a text by one agenda for each chunk, in plain Python: the library's pieces and scores, hashes as documented."""
+    ids = {MODEL.id_to_piece(i): i for i in range(MODEL.get_piece_size()) if not (MODEL.is_byte(i) or MODEL.is_control(i) or MODEL.is_unknown(i))}
+    out = []
+    chunks = re.findall("▁*[^▁]+|▁+", "▁" + text.replace("▁", "\udc00").replace(" ", "▁")) if text else []
+    for place, chunk in enumerate(chunks):
+        name = chunk[1:] if "  " not in text and not text.startswith(" ") and not text.endswith(" ") else chunk
+        spelled = name if name[:1] == "▁" else "▁" + name
+        key = plain_mix(plain_mix(xxhash.xxh64_intdigest(spelled.encode("utf-8", "surrogatepass")) ^ seed) ^ plain_mix(stream ^ plain_mix(place)))
+        parts = list(enumerate(spelled))  # (place of the first character, piece)
+        while True:
+            found = [(-MODEL.get_score(ids[a + b]), i) for (i, a), (_, b) in zip(parts, parts[1:]) if a in ids and b in ids and a + b in ids and plain_mix(plain_mix(key ^ i) ^ (ids[a] << 32 | ids[b])) >= int(drop * 2**64)]  # noqa: B905
+            if not found:
+                break
+            best = min(found)
+            at = next(k for k, (i, _) in enumerate(parts) if i == best[1])
+            parts[at : at + 2] = [(best[1], parts[at][1] + parts[at + 1][1])]
+        for _, piece in parts:
+            out += [ids[piece]] if piece in ids else [MODEL.piece_to_id(f"<0x{x:02X}>") for x in piece.replace("\udc00", "▁").encode()]
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(TEXT, st.integers(0, 2**64 - 1))
+def test_dropout_is_that_of_a_plain_agenda(text, stream):
+    for tool, drop, seed in ((DROPPED, 0.3, 7), (PLAIN, 0.0, 0)):
+        assert np.frombuffer(tool.encode([text], stream)[0], "<u4").tolist() == plain_agenda(text, drop, seed, stream)
+
+
+def test_segmentations_do_not_depend_on_what_is_remembered():
+    texts = [f"several words of sentence {i}, and internationalization of 日本 é " * 20 for i in range(30)] + ["a  b   c", ""]
+    small, large = subwords.PieceCodec(PIECE, 0.1, 42), subwords.PieceCodec(PIECE, 0.1, 42)
+    small.CACHE = 8  # forgets after each text
+    assert [small.encode([t], i)[0] for i, t in enumerate(texts)] == large.encode(texts, list(range(len(texts))))
+    assert len(small.cache) < 40
