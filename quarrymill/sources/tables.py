@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,18 +30,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names in `spark.checkpoint.dir`.
 
-    Only where that setting is absent (a local session, as in tests) is a folder of our own set.
+    Only where that setting is absent from a local session, as in tests, is a folder of our own set; it goes with the
+    process. A session whose executors are elsewhere needs the setting: they couldn't read each other's files.
     """
     context = spark.sparkContext
     set_already = context._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarrymill-checkpoint-"))
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="quarrymill-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and written to the checkpoint folder; its lineage ends there."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """`df`, computed once and written to the checkpoint folder; its lineage ends there.
+
+    parts: in so many files at most. Small tables of many partitions would be as many files, each costlier than its rows.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
+
+
+def parts_for(rows: int, each: int = 100_000) -> int:
+    """How many partitions a table of narrow rows is worth."""
+    return max(8, -(-rows // each))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
