@@ -51,7 +51,7 @@ def claim(rows: DataFrame, group: str, position: str, member: str, values: str)
     components of the others are walked, each on its own.
     """
     usable = F.array_distinct(F.filter(F.transform(F.coalesce(F.col(values), F.array()), lambda e: F.lower(F.trim(e))), lambda e: ~is_generic_email(e)))
-    base = rows.select(group, position, member, usable.alias("__v")).where(F.size("__v") > 0).withColumn("__m", F.xxhash64(group, position, member))
+    base = rows.select(group, position, member, usable.alias("__v")).where(F.size("__v") > 0).withColumn("__m", F.to_json(F.struct(group, position, member)))
     pairs = base.select("__m", F.explode("__v").alias("__e"))
     shared = pairs.groupBy("__e").agg(F.count_distinct("__m").alias("n")).where("n > 1").select("__e")
     tangled = pairs.join(shared, "__e").select("__m", "__e")
@@ -59,8 +59,8 @@ def claim(rows: DataFrame, group: str, position: str, member: str, values: str)
     free = alone.select(group, position, member, F.col("__v")[0].alias("claimed"))
     if tangled.isEmpty():
         return free
-    edges = tangled.select(F.concat(F.lit("m"), F.col("__m").cast("string")).alias("a"), F.concat(F.lit("e"), F.col("__e")).alias("b"))
-    component = connected_components(edges).where(F.startswith("node", F.lit("m"))).select(F.substring("node", 2, 30).cast("long").alias("__m"), "component")
+    edges = tangled.select(F.concat(F.lit("m"), "__m").alias("a"), F.concat(F.lit("e"), F.col("__e")).alias("b"))
+    component = connected_components(edges).where(F.startswith("node", F.lit("m"))).select(F.expr("substring(node, 2)").alias("__m"), "component")
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"{group} {types[group]}, {position} {types[position]}, {member} {types[member]}, claimed string"
 

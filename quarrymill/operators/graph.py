@@ -89,16 +89,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def first_dotted(names: DataFrame, defined: DataFrame) -> DataFrame:
     """Call resolution: call_id, file, name -> target. A function of that name in the same file, else of its base name
-    (after the last dot) there, else the first of that name in another file."""
+    (after the last dot) there, else the first of that name in another file.
+
+    Definitions are brought down to what a call can meet - the first of each name in a file, and the first two files of
+    each name - so a call meets four rows at most, however many definitions a name has.
+    """
     base = F.element_at(F.split("name", r"\."), -1)
     calls = names.select("call_id", "file", "name", base.alias("base"))
-    d = defined.select(F.col("file").alias("dfile"), F.col("name").alias("dname"), "seq")
-    same = calls.join(d, (F.col("file") == F.col("dfile")) & (F.col("dname").isin(F.col("name")) | (F.col("dname") == F.col("base"))))
-    near = same.select("call_id", "dfile", "dname", F.when(F.col("dname") == F.col("name"), 1).otherwise(2).alias("stage"), "seq")
-    far = calls.join(d, (F.col("dname") == F.col("base")) & (F.col("file") != F.col("dfile"))).select("call_id", "dfile", "dname", F.lit(3).alias("stage"), "seq")
-    w = Window.partitionBy("call_id").orderBy("stage", "seq")
-    best = near.union(far).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return calls.select("call_id").join(best, "call_id", "left").select("call_id", F.concat_ws(":", "dfile", "dname").alias("target"), "stage")
+    firsts = defined.groupBy(F.col("file").alias("dfile"), F.col("name").alias("dname")).agg(F.min("seq").alias("seq"))
+    two = firsts.withColumn("k", F.row_number().over(Window.partitionBy("dname").orderBy("seq", "dfile"))).where("k <= 2").drop("k")
+
+    def stage(n: int, found: DataFrame) -> DataFrame:
+        return found.select("call_id", "dfile", "dname", F.lit(n).alias("stage"), "seq")
+
+    own = stage(1, calls.join(firsts, (F.col("file") == F.col("dfile")) & (F.col("name") == F.col("dname"))))
+    near = stage(2, calls.join(firsts, (F.col("file") == F.col("dfile")) & (F.col("base") == F.col("dname"))))
+    far = stage(3, calls.join(two, F.col("base") == F.col("dname")).where("file <> dfile"))
+    best = own.union(near).union(far).groupBy("call_id").agg(F.min(F.struct("stage", "seq", "dfile", "dname")).alias("b"))
+    return calls.select("call_id").join(best, "call_id", "left").select("call_id", F.concat_ws(":", "b.dfile", "b.dname").alias("target"), F.col("b.stage").alias("stage"))
 
 
 def attached_decorators(decorators: DataFrame, defined: DataFrame, reach: int = 100) -> DataFrame:

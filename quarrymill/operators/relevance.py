@@ -28,8 +28,8 @@ CLASS_WEIGHTS = (
 LITERAL_WEIGHTS = {"url": 0.8, "endpoint": 0.7, "queue": 0.9}
 #: Which signals a file of an extension can have; an unknown extension has all.
 SIGNALS = {
-    ".py": "decorator string class", ".js": "decorator string class", ".ts": "decorator string class", ".java": "decorator string class",
-    ".go": "string class", ".cs": "decorator string class", ".rb": "string class", ".php": "decorator string class", ".sh": "string", ".rs": "decorator string class",
+    ".py": ("decorator", "string", "class"), ".js": ("decorator", "string", "class"), ".ts": ("decorator", "string", "class"), ".java": ("decorator", "string", "class"),
+    ".go": ("string", "class"), ".cs": ("decorator", "string", "class"), ".rb": ("string", "class"), ".php": ("decorator", "string", "class"), ".sh": ("string",), ".rs": ("decorator", "string", "class"),
 }
 
 
@@ -71,6 +71,33 @@ def keyword_hits(files: DataFrame, matches: DataFrame, keywords: DataFrame, path
     return hit.groupBy("pattern", path).agg(gather("pos").alias("keywords"), gather("anti").alias("anti_keywords"))
 
 
+def declared(keywords: list[tuple[str, int, str, str]]) -> Column:
+    """Declared keywords (pattern, rule_no, keyword, kind) as an array of (pattern, pos, anti), keywords sorted, for `keyword_scan`."""
+    words = lambda p, kind: F.array(*(F.lit(k) for k in sorted({k for q, _, k, of in keywords if q == p and of == kind}))).cast("array<string>")
+    return F.array(*(F.struct(F.lit(p).alias("pattern"), words(p, "pos").alias("pos"), words(p, "anti").alias("anti")) for p in sorted({k[0] for k in keywords})))
+
+
+def keyword_scan(files: DataFrame, wanted: Column, path: str = "path", text: str = "text") -> DataFrame:
+    """pattern, path, keywords, anti_keywords, keyword_score of files that have any keyword of a pattern.
+
+    wanted: array of (pattern, pos, anti) of the patterns that a file's rules match - a column of `files`, or the same for
+    all (see `declared`). One scan: the text meets its keywords in its own row, is folded once, and isn't shuffled.
+    """
+
+    def of(doc: Column) -> Column:
+        def one(w: Column) -> Column:
+            have = lambda words: F.filter(words, lambda k: F.contains(doc["t"], F.lower(k)))
+            return F.struct(w["pattern"].alias("pattern"), have(w["pos"]).alias("keywords"), have(w["anti"]).alias("anti_keywords"))
+
+        found = F.filter(F.transform(wanted, one), lambda h: (F.size(h["keywords"]) > 0) | (F.size(h["anti_keywords"]) > 0))
+        weighed = F.array(F.struct(doc["t"].alias("t"), F.when(F.size(found) > 0, _weighed_lines(doc["t"])).alias("ls")))
+        score = lambda h: F.struct(h["pattern"].alias("pattern"), h["keywords"].alias("keywords"), h["anti_keywords"].alias("anti_keywords"), F.transform(weighed, lambda d: _score_of(d, h["keywords"], h["anti_keywords"]))[0].alias("score"))
+        return F.transform(found, score)
+
+    each = files.select(path, F.explode(F.transform(F.array(F.struct(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))), of)[0]).alias("h"))
+    return each.select(F.col("h.pattern").alias("pattern"), path, "h.keywords", "h.anti_keywords", F.col("h.score").alias("keyword_score"))
+
+
 def line_weight(line: Column) -> Column:
     """How much a keyword in this (lower-cased) line is worth: a type, a function, an import, a comment, anything else."""
     has = lambda *parts: F.greatest(*(F.contains(line, F.lit(p)) for p in parts))
@@ -85,22 +112,29 @@ def keyword_score(text: Column, keywords: Column, anti_keywords: Column) -> Colu
     0.8 for each keyword and is 1 at most. Lines and the lower-cased text are computed once for a text.
     """
     folded = F.lower(F.coalesce(text, F.lit("")))
-    packed = F.array(F.struct(folded.alias("t"), F.transform(T.lines(folded, 200), lambda s: F.struct(s.alias("line"), line_weight(s).alias("w"))).alias("ls")))
+    packed = F.array(F.struct(folded.alias("t"), _weighed_lines(folded).alias("ls")))
+    return F.when(F.size(keywords) > 0, F.transform(packed, lambda d: _score_of(d, keywords, anti_keywords))[0]).otherwise(0.0)
+
+
+def _weighed_lines(folded: Column) -> Column:
+    """The first 200 lines with their weights."""
+    return F.transform(T.lines(folded, 200), lambda s: F.struct(s.alias("line"), line_weight(s).alias("w")))
+
 
-    def one(doc: Column) -> Column:
-        def positive(k: Column) -> Column:
-            low = F.lower(k)
-            best = F.array_max(F.transform(F.filter(doc["ls"], lambda s: F.contains(s["line"], low)), lambda s: s["w"]))
-            return 0.15 + F.coalesce(best, F.lit(0.0)) + F.least(T.occurrences(doc["t"], low) * 0.03, F.lit(0.20))
+def _score_of(doc: Column, keywords: Column, anti_keywords: Column) -> Column:
+    """The keyword score from the folded text t and its weighed lines ls."""
 
-        def negative(k: Column) -> Column:
-            return F.least(T.occurrences(doc["t"], F.lower(k)) * 0.08, F.lit(0.30))
+    def positive(k: Column) -> Column:
+        low = F.lower(k)
+        best = F.array_max(F.transform(F.filter(doc["ls"], lambda s: F.contains(s["line"], low)), lambda s: s["w"]))
+        return 0.15 + F.coalesce(best, F.lit(0.0)) + F.least(T.occurrences(doc["t"], low) * 0.03, F.lit(0.20))
 
-        total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, k: a + f(k))
-        raw = F.greatest(total(keywords, positive) - total(anti_keywords, negative), F.lit(0.0))
-        return F.least(raw / (F.size(keywords) * 0.8), F.lit(1.0))
+    def negative(k: Column) -> Column:
+        return F.least(T.occurrences(doc["t"], F.lower(k)) * 0.08, F.lit(0.30))
 
-    return F.when(F.size(keywords) > 0, F.transform(packed, one)[0]).otherwise(0.0)
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, k: a + f(k))
+    raw = F.greatest(total(keywords, positive) - total(anti_keywords, negative), F.lit(0.0))
+    return F.when(F.size(keywords) > 0, F.least(raw / (F.size(keywords) * 0.8), F.lit(1.0))).otherwise(0.0)
 
 
 def priority_score(keyword: Column, embedding: Column, parser: Column, llm: Column, weights: tuple[float, float, float, float] = (0.20, 0.10, 0.00, 0.70)) -> Column:
@@ -140,8 +174,8 @@ def string_score(literals: DataFrame) -> DataFrame:
 def parser_score(scores: DataFrame, path: str = "path") -> DataFrame:
     """The mean of centrality and of those of decorator, string and class score that the file's language can have."""
     ext = T.suffix(F.col(path))
-    has = F.create_map(*(F.lit(x) for pair in SIGNALS.items() for x in pair))[ext]
-    can = lambda s: has.isNull() | F.contains(has, F.lit(s))
+    has = F.create_map(*(x for e, signals in SIGNALS.items() for x in (F.lit(e), F.array(*map(F.lit, signals)))))[ext]
+    can = lambda s: has.isNull() | F.array_contains(has, s)
     parts = F.array_compact(F.array(F.col("centrality"), *(F.when(can(s), F.col(f"{s}_score")) for s in ("decorator", "string", "class"))))
     return scores.withColumn("parser_score", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts))
 

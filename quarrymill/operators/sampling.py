@@ -35,7 +35,7 @@ def variation_sample(rows: DataFrame, stratum: str, key: str, size: int = 20, se
     quota = counts.select(stratum, want.alias("want")).withColumn("before", F.coalesce(F.sum("want").over(Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     quota = quota.select(stratum, F.greatest(F.least(F.col("want"), F.lit(size) - F.col("before")), F.lit(0)).alias("quota"))
     w = Window.partitionBy(stratum).orderBy(shuffled(F.col(key), seed), key)
-    placed = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= size).join(F.broadcast(quota), stratum)
+    placed = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= size).join(quota, stratum)
     picked = placed.where("__rn <= quota").drop("__rn", "quota").withColumn("picked", F.lit("quota"))
     rest = placed.where("__rn > quota").drop("__rn", "quota")
     filled = rest.withColumn("__f", F.row_number().over(Window.orderBy(shuffled(F.col(key), seed + 1), key)))

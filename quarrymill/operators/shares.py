@@ -45,7 +45,7 @@ def cost_ledger(calls: DataFrame, prices: DataFrame, default: tuple[float, float
     models = calls.select("model").distinct()
     named = models.join(F.broadcast(prices), F.startswith(F.col("model"), F.col("prefix")), "left")
     price = named.groupBy("model").agg(F.min_by(F.struct("price_in", "price_out"), "ord").alias("p"))
-    priced = calls.join(F.broadcast(price), "model").withColumn("cost", (F.col("tokens_in") * F.coalesce("p.price_in", F.lit(default[0])) + F.col("tokens_out") * F.coalesce("p.price_out", F.lit(default[1]))) / 1e6)
+    priced = calls.join(price, "model").withColumn("cost", (F.col("tokens_in") * F.coalesce("p.price_in", F.lit(default[0])) + F.col("tokens_out") * F.coalesce("p.price_out", F.lit(default[1]))) / 1e6)
     return priced.groupBy("operation").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").alias("cost"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import rates
+from quarrymill.operators.order import running_total
 
 
 def describe(rows: DataFrame, value: str, by: list[str], sample: bool = False) -> DataFrame:
@@ -21,11 +22,10 @@ def average_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
     """`rows` with the rank of `value`, ties sharing the mean of their places.
 
     Ranks come from counts of distinct values: rows are grouped by value first, and only that smaller table is
-    put in one order.
+    put in order, by ranges.
     """
     counts = rows.groupBy(F.col(value).alias("__x")).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__x").rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select("__x", (F.coalesce(before, F.lit(0)) + (F.col("__n") + 1) / 2).alias(name))
+    ranks = running_total(counts, ["__x"], F.col("__n"), "__b").select("__x", (F.col("__b") + (F.col("__n") + 1) / 2).alias(name))
     return rows.join(ranks, F.col(value) == F.col("__x")).drop("__x")
 
 
@@ -91,23 +91,24 @@ def dominance(rows: DataFrame, group: str, name: str, top: int = 10) -> DataFram
     return ranked.where(F.col("rank") <= top).withColumn("dominance", F.col("n") * F.col("distinct_names") / F.col("total"))
 
 
-def bootstrap_mean(rows: DataFrame, value: str, key: str, resamples: int = 1500, seed: int = 42, level: float = 0.95) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, value: str, key: str, resamples: int = 1500, seed: int = 42, level: float = 0.95, broadcast_rows: int = 100_000) -> DataFrame:
     """n, mean, lo, hi: the percentile interval of the mean over seeded resamples; zeros for fewer than 3 values.
 
     Draw j of resample b picks the value whose place (by key) is a hash of (seed, b, j) modulo n, so the result
-    does not depend on the layout. Meant for small groups: there are n * resamples draws.
+    does not depend on the layout. There are n * resamples draws, made and summed up in parallel; the values are
+    broadcast to them if there are `broadcast_rows` at most, and joined by place otherwise.
     """
-    placed = rows.select(F.col(value).cast("double").alias("x"), (F.row_number().over(Window.orderBy(key)) - 1).alias("i"))
-    n = placed.count()
+    placed = running_total(rows.select(F.col(key).alias("__key"), F.col(value).cast("double").alias("x")), ["__key"], F.lit(1), "i").select("i", "x")
+    n = rows.count()
     if n < 3:
         return rows.sparkSession.createDataFrame([(n, 0.0, 0.0, 0.0)], "n bigint, mean double, lo double, hi double")
-    draws = rows.sparkSession.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    text = F.concat_ws("-", F.lit(str(seed)), "b", "j")
-    picks = draws.withColumn("i", (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % n).cast("int"))
-    means = picks.join(F.broadcast(placed), "i").groupBy("b").agg(F.avg("x").alias("m"))
+    text = F.concat_ws("-", F.lit(str(seed)), F.floor(F.col("id") / n).cast("string"), (F.col("id") % n).cast("string"))
+    draws = rows.sparkSession.range(resamples * n)
+    picks = draws.select(F.floor(F.col("id") / n).alias("b"), (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % n).alias("i"))
+    means = picks.join(F.broadcast(placed) if n <= broadcast_rows else placed, "i").groupBy("b").agg(F.avg("x").alias("m"))
     tail = (1 - level) / 2
     interval = means.agg(F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1 - tail)).alias("hi"))
-    return placed.agg(F.count("*").alias("n"), F.avg("x").alias("mean")).crossJoin(interval)
+    return placed.agg(F.count("*").alias("n"), F.avg("x").alias("mean")).crossJoin(interval)  # one row each
 
 
 def interval_flag(n: Column, lo: Column, hi: Column, wide: float = 0.3) -> Column:

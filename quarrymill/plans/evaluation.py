@@ -121,9 +121,9 @@ def top_confident_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT CAST(seen AS BIGINT) AS seen, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(tn AS BIGINT) AS tn, CAST(fn AS BIGINT) AS fn, {_RATES}
         FROM r WHERE seen % 50 = 0 OR seen = n""")
 def metric_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running sums by doc_id, within parts of 64 ids that are then added up: no window over all rows."""
+    """Running sums by doc_id, within parts of 4096 ids that are then added up: no window over all rows."""
     t, d = F.col("truth"), F.col("detected")
-    rows = outcome_rows(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 64).alias("part"), *(x.cast("long").alias(n) for n, x in (("tp", t & d), ("fp", ~t & d), ("tn", ~t & ~d), ("fn", t & ~d))))
+    rows = outcome_rows(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 4096).alias("part"), *(x.cast("long").alias(n) for n, x in (("tp", t & d), ("fp", ~t & d), ("tn", ~t & ~d), ("fn", t & ~d))))
     return rounded(evaluate.evolution(rows, ["doc_id"], 50, part="part").withColumn("seen", F.col("seen").cast("long")), *_FOUR)
 
 

@@ -99,14 +99,16 @@ def evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.evidence_pairs(nodes.select("id", F.col("id").alias("pos")), edges)
 
 
-@query("""WITH c AS (SELECT event_id AS call_id, CAST(user_id % 10 AS VARCHAR) AS file, concat('m.f', event_id % 30) AS name FROM events WHERE event_id < 500),
-        d AS (SELECT CAST(p_partkey % 10 AS VARCHAR) AS file, concat(CASE WHEN p_partkey % 4 = 0 THEN 'm.f' ELSE 'f' END, p_partkey % 25) AS name, p_partkey AS seq FROM part WHERE p_partkey <= 60),
-        j AS (SELECT call_id, d.file AS f, d.name AS n, seq, CASE WHEN c.file = d.file AND c.name = d.name THEN 1 WHEN c.file = d.file THEN 2 ELSE 3 END AS stage FROM c JOIN d
-          ON (c.file = d.file AND d.name IN (c.name, substr(c.name, 3))) OR (c.file <> d.file AND d.name = substr(c.name, 3)))
-        SELECT c.call_id, CAST(coalesce(b.target, '') AS VARCHAR) AS target, CAST(b.stage AS INTEGER) AS stage FROM c LEFT JOIN (SELECT call_id, concat(f, ':', n) AS target, stage FROM j QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY stage, seq) = 1) b USING (call_id)""")
+@query("""WITH c AS (SELECT event_id AS call_id, CAST(user_id % 10 AS VARCHAR) AS file, concat('m.f', event_id % 30) AS name FROM events),
+        d AS (SELECT CAST(p_partkey % 10 AS VARCHAR) AS f, concat(CASE WHEN p_partkey % 4 = 0 THEN 'm.f' ELSE 'f' END, p_partkey % 25) AS n, min(p_partkey) AS seq FROM part GROUP BY ALL),
+        k AS (SELECT DISTINCT file, name FROM c),
+        j AS (SELECT k.file, k.name, d.f, d.n, CASE WHEN k.file = d.f AND k.name = d.n THEN 1 WHEN k.file = d.f THEN 2 ELSE 3 END AS stage, seq FROM k JOIN d
+          ON (k.file = d.f AND d.n IN (k.name, substr(k.name, 3))) OR (k.file <> d.f AND d.n = substr(k.name, 3))),
+        b AS (SELECT file, name, concat(f, ':', n) AS target, stage FROM j QUALIFY row_number() OVER (PARTITION BY file, name ORDER BY stage, seq) = 1)
+        SELECT c.call_id, CAST(coalesce(b.target, '') AS VARCHAR) AS target, CAST(b.stage AS INTEGER) AS stage FROM c LEFT JOIN b USING (file, name)""")
 def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: c.cast("string")
-    calls = read_table(spark, sf_dir, "events").where("event_id < 500").select(F.col("event_id").alias("call_id"), text(F.col("user_id") % 10).alias("file"), F.concat(F.lit("m.f"), text(F.col("event_id") % 30)).alias("name"))
+    calls = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), text(F.col("user_id") % 10).alias("file"), F.concat(F.lit("m.f"), text(F.col("event_id") % 30)).alias("name"))
     k = F.col("p_partkey")
-    defined = read_table(spark, sf_dir, "part").where("p_partkey <= 60").select(text(k % 10).alias("file"), F.concat(F.when(k % 4 == 0, "m.f").otherwise("f"), text(k % 25)).alias("name"), k.alias("seq"))
+    defined = read_table(spark, sf_dir, "part").select(text(k % 10).alias("file"), F.concat(F.when(k % 4 == 0, "m.f").otherwise("f"), text(k % 25)).alias("name"), k.alias("seq"))
     return graph.first_dotted(calls, defined)

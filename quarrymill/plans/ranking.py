@@ -37,10 +37,10 @@ def tier_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEYWORDS = [("law", 0, "rights", "pos"), ("law", 0, "License", "pos"), ("law", 0, "warranty", "anti"), ("talk", 0, "idiot", "pos"), ("talk", 0, "the", "pos"), ("talk", 0, "erth", "anti")]
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pattern, path, keywords, anti_keywords, keyword_score of documents that have any keyword of a pattern; each matches all documents."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    pairs = docs.select("path", F.explode(F.array(F.lit("law"), F.lit("talk"))).alias("pattern")).withColumn("rule_no", F.lit(0))
-    return relevance.keyword_hits(docs, pairs, spark.createDataFrame(KEYWORDS, "pattern string, rule_no int, keyword string, kind string"))
+    return relevance.keyword_scan(docs, relevance.declared(KEYWORDS))
 
 
 _HITS = """k(pattern, keyword, kind) AS (VALUES ('law', 'rights', 'pos'), ('law', 'License', 'pos'), ('law', 'warranty', 'anti'), ('talk', 'idiot', 'pos'), ('talk', 'the', 'pos'), ('talk', 'erth', 'anti')),
@@ -49,7 +49,7 @@ _HITS = """k(pattern, keyword, kind) AS (VALUES ('law', 'rights', 'pos'), ('law'
 
 @query(f"""WITH {_HITS} SELECT pattern, doc_id AS path, coalesce(string_agg(keyword, ',' ORDER BY keyword) FILTER (kind = 'pos'), '') AS keywords, coalesce(string_agg(keyword, ',' ORDER BY keyword) FILTER (kind = 'anti'), '') AS anti_keywords FROM h GROUP BY ALL""")
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(spark, sf_dir).select("pattern", "path", F.array_join("keywords", ",").alias("keywords"), F.array_join("anti_keywords", ",").alias("anti_keywords"))
+    return scanned(spark, sf_dir).select("pattern", "path", F.array_join("keywords", ",").alias("keywords"), F.array_join("anti_keywords", ",").alias("anti_keywords"))
 
 
 _SCORE = f"""{_HITS},
@@ -65,15 +65,9 @@ _SCORE = f"""{_HITS},
         f AS (SELECT pattern, path, CASE WHEN c > 0 THEN least(greatest(p - a, 0) / (c * 0.8::DOUBLE), 1::DOUBLE) ELSE 0::DOUBLE END AS keyword_score FROM s)"""
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pattern, path, keyword_score of documents that have any keyword."""
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    return hits(spark, sf_dir).join(docs, "path").select("pattern", "path", relevance.keyword_score(F.col("text"), F.col("keywords"), F.col("anti_keywords")).alias("keyword_score"))
-
-
 @query(f"WITH {_SCORE} SELECT pattern, path, round(keyword_score, 6) AS keyword_score FROM f")
 def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scored(spark, sf_dir), "keyword_score")
+    return rounded(scanned(spark, sf_dir).select("pattern", "path", "keyword_score"), "keyword_score")
 
 
 _QUEUE = f"""{_SCORE}, v AS (SELECT pattern, path, round(0.2::DOUBLE * keyword_score + 0.1::DOUBLE * ((path % 10) / 10::DOUBLE) + 0.7::DOUBLE * CASE path % 3 WHEN 0 THEN 1 WHEN 1 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END, 9) AS score FROM f),
@@ -84,7 +78,7 @@ def queued(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.col("path") % 3
     verdict = rates.confidence_value(F.when(third == 0, "high").when(third == 1, "medium").otherwise("low"))
     score = relevance.priority_score(F.col("keyword_score"), (F.col("path") % 10) / 10, F.lit(0.0), verdict)
-    return relevance.queue(scored(spark, sf_dir).withColumn("score", F.round(score, 9)), ["pattern"])
+    return relevance.queue(scanned(spark, sf_dir).select("pattern", "path", "keyword_score").withColumn("score", F.round(score, 9)), ["pattern"])
 
 
 @query(f"WITH {_QUEUE} SELECT pattern, path, score, rank, tier FROM q")
@@ -129,12 +123,12 @@ def _first(table: tuple[tuple[str, float], ...], otherwise: float) -> str:
     return "CASE " + " ".join(f"WHEN contains(lower(name), '{p}') THEN {w}::DOUBLE" for p, w in table) + f" ELSE {otherwise}::DOUBLE END"
 
 
-_NAMES = "n AS (SELECT p_brand AS file, concat(CASE p_size % 5 WHEN 0 THEN 'Order' WHEN 1 THEN 'RestController' WHEN 2 THEN 'ApiGateway' WHEN 3 THEN 'getAll' ELSE 'Kafkalistener' END, p_type) AS name FROM part WHERE p_partkey % 17 = p_size % 17)"
+_NAMES = "n AS (SELECT concat(p_brand, '/', p_size) AS file, concat(CASE p_size % 5 WHEN 0 THEN 'Order' WHEN 1 THEN 'RestController' WHEN 2 THEN 'ApiGateway' WHEN 3 THEN 'getAll' ELSE 'Kafkalistener' END, p_type) AS name FROM part)"
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 5
-    return read_table(spark, sf_dir, "part").where("p_partkey % 17 = p_size % 17").select(F.col("p_brand").alias("file"), F.concat(F.when(k == 0, "Order").when(k == 1, "RestController").when(k == 2, "ApiGateway").when(k == 3, "getAll").otherwise("Kafkalistener"), "p_type").alias("name"))
+    return read_table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("file"), F.concat(F.when(k == 0, "Order").when(k == 1, "RestController").when(k == 2, "ApiGateway").when(k == 3, "getAll").otherwise("Kafkalistener"), "p_type").alias("name"))
 
 
 @query(f"WITH {_NAMES} SELECT file, round(least(sum({_first(relevance.DECORATOR_WEIGHTS, 0.1)}) / (count(*) * 0.9::DOUBLE), 1), 6) AS decorator_score FROM n GROUP BY 1")
@@ -193,10 +187,12 @@ def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance.batches(read_table(spark, sf_dir, "events").select("event_id", "event_type"), ["event_id"], ["event_type"])
 
 
-@query("""SELECT lang, string_agg(printf('%s (%.2f): %s', source, doc_id / 100, substr(text, 1, 20)), chr(10) ORDER BY doc_id DESC) AS digest FROM documents WHERE doc_id < 60 GROUP BY 1""")
+@query("""SELECT CAST(doc_id // 25 AS BIGINT) AS repo, string_agg(printf('%s (%.2f): %s', source, (doc_id % 25) / 25, substr(coalesce(text, ''), 1, 220)), chr(10) ORDER BY doc_id DESC) AS digest FROM documents GROUP BY 1""")
 def evidence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "documents").where("doc_id < 60").select("lang", (F.col("doc_id") / 100).alias("confidence"), F.col("source").alias("file"), "text")
-    return relevance.evidence_digest(rows, ["lang"], 20)
+    """Every document as a piece of evidence of a repository of 25."""
+    n = F.col("doc_id")
+    rows = read_table(spark, sf_dir, "documents").select(F.floor(n / 25).alias("repo"), ((n % 25) / 25).alias("confidence"), F.col("source").alias("file"), F.coalesce("text", F.lit("")).alias("text"))
+    return relevance.evidence_digest(rows, ["repo"])
 
 
 @query("""WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) SELECT page_id, link, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY ALL""")

@@ -54,13 +54,13 @@ def correlation_without_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.pearson(stats.residuals(brands(spark, sf_dir), "x", "y").where("NOT outlier"), "x", "y"), "r")
 
 
-@query("""WITH v AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_acctbal AS x, count(*) OVER () AS n FROM supplier WHERE s_suppkey <= 60),
-        d AS (SELECT b, j, CAST(concat('0x', substr(md5(concat('42-', b, '-', j)), 1, 8)) AS BIGINT) AS h FROM range(200) t(b), range((SELECT count(*) FROM v)) u(j)),
+@query("""WITH v AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_acctbal AS x, count(*) OVER () AS n FROM supplier),
+        d AS (SELECT b, j, CAST(concat('0x', substr(md5(concat('42-', b, '-', j)), 1, 8)) AS BIGINT) AS h FROM range(1500) t(b), range((SELECT count(*) FROM v)) u(j)),
         m AS (SELECT b, avg(x) AS m FROM d JOIN v ON v.i = d.h % v.n GROUP BY b)
         SELECT CAST((SELECT count(*) FROM v) AS BIGINT) AS n, round((SELECT avg(x) FROM v), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM m""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "supplier").where("s_suppkey <= 60")
-    return rounded(stats.bootstrap_mean(rows, "s_acctbal", "s_suppkey", resamples=200), "mean", "lo", "hi", places=4)
+    rows = read_table(spark, sf_dir, "supplier")
+    return rounded(stats.bootstrap_mean(rows, "s_acctbal", "s_suppkey"), "mean", "lo", "hi", places=4)
 
 
 @query("""WITH g AS (SELECT month(o_orderdate) AS m, count(*) AS n, avg(o_totalprice) AS a, var_pop(o_totalprice) AS v FROM orders GROUP BY 1), t AS (SELECT sum(n) AS n, sum(n * a) / sum(n) AS a FROM g)
