@@ -1,8 +1,9 @@
 """Probabilistic automata from positive samples by state merging (ALERGIA; Carrasco and Oncina, 1994).
 
-The strings become a prefix tree with counts. States are visited breadth first; each is merged with the first
-kept state that it is compatible with - the shares of endings and of every outgoing symbol agree within
-Hoeffding bounds, and so do those of their successors - or is kept.
+The strings become a prefix tree with counts. States are visited breadth first; each is merged with a kept state that
+it is compatible with - the shares of endings and of every outgoing symbol agree within Hoeffding bounds, and so do
+those of their successors - or is kept. Of several such states it is the one from which the strings below are
+likeliest: states of few strings are compatible with any, and the first would draw all of them.
 """
 
 from __future__ import annotations
@@ -55,6 +56,20 @@ class Automaton:
                     todo.append((to1, to2))
         return True
 
+    def _likeness(self, a: int, b: int) -> float:
+        """Natural logarithm of the probability that the strings below b begin in a."""
+        total, todo, share = 0.0, [(a, b)], 1 / (self.alphabet + 1)
+        while todo:
+            a, b = todo.pop()
+            n = self.arrivals[a] + 1 if a >= 0 else 0
+            if self.endings[b]:
+                total += self.endings[b] * math.log((self.endings[a] + share) / n if a >= 0 else share)
+            for symbol, (below, count) in self.edges[b].items():
+                to, f = self.edges[a].get(symbol, (-1, 0)) if a >= 0 else (-1, 0)
+                total += count * math.log((f + share) / n if a >= 0 else share)
+                todo.append((to, below))
+        return total
+
     def _fold(self, a: int, b: int) -> None:
         """Adds the tree below b to a."""
         todo = [(a, b)]
@@ -80,15 +95,14 @@ class Automaton:
             state, count = self.edges[source][symbol]
             if state in kept:
                 continue
-            for other in kept:
-                if self._compatible(other, state, alpha):
-                    self.edges[source][symbol] = (other, count)
-                    before = set(self.edges[other])
-                    self._fold(other, state)
-                    waiting.extend((other, s) for s in self.edges[other].keys() - before)
-                    for k in kept:  # what folding hung under kept states is visited too
-                        waiting.extend((k, s) for s, (to, _) in self.edges[k].items() if to not in kept and (k, s) not in waiting)
-                    break
+            alike = [other for other in kept if self._compatible(other, state, alpha)]
+            if alike:
+                other = max(alike, key=lambda k: self._likeness(k, state)) if len(alike) > 1 else alike[0]
+                self.edges[source][symbol] = (other, count)
+                self._fold(other, state)
+                queued = set(waiting)
+                for k in kept:  # what folding hung under kept states is visited too
+                    waiting.extend((k, s) for s, (to, _) in sorted(self.edges[k].items()) if to not in kept and (k, s) not in queued)
             else:
                 kept.append(state)
                 waiting.extend((state, s) for s in self.edges[state])

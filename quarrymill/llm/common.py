@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +29,29 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000, text: str
                 start, size = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Workers live on after a task and would hold what its work space took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def by_text(f: Callable[[list[str | None]], Any], kind: str, chars: int = 300_000) -> Callable[[Column], Column]:
+    """The function of a text column that `f` computes from lists of texts, some `chars` bytes of text at once. kind: double or string."""
+    type_ = {"double": pa.float64(), "string": pa.string()}[kind]
+
+    @F.arrow_udf(kind)
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            batch = pa.RecordBatch.from_arrays([part], ["text"])
+            done = [pa.array(f(piece.column(0).to_pylist()), type_) for piece in slices([batch], chars)]
+            yield pa.concat_arrays(done) if done else pa.array([], type_)
+
+    return run
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:

@@ -16,13 +16,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import slices, texts_of
-from quarrymill.llm.spans import Span, digest, free, joined, ordered, replaced
+from quarrymill.llm.common import by_text, slices, texts_of
+from quarrymill.llm.spans import Span, covered, digest, joined, ordered, outside, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -103,11 +102,9 @@ def candidates(text: str, base: list[Span]) -> list[tuple[Span, tuple[int, ...],
         return []
     out, taken = [], list(base)
     for kind, pattern in _LOOSE:
-        for m in pattern.finditer(text):
-            span = (kind, m.start(), m.end())
-            if free(span, taken):
-                taken.append(span)
-                out.append((span, *_judge(kind, text, m.start(), m.end())))
+        mine = outside(((kind, m.start(), m.end()) for m in pattern.finditer(text)), covered(taken))
+        taken += mine
+        out += [(span, *_judge(kind, text, span[1], span[2])) for span in mine]
     return out
 
 
@@ -258,9 +255,4 @@ def find(docs: DataFrame, model: PiiModel, id_col: str = "doc_id", text_col: str
 def redacted(text: Column, model: PiiModel) -> Column:
     """The text with every span replaced by its kind in brackets; null stays null."""
 
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series([None if t is None else replaced(t, model.spans(t)[1]) for t in part], dtype=object)
-
-    return run(text)
+    return by_text(lambda part: [None if t is None else replaced(t, model.spans(t)[1]) for t in part], "string")(text)

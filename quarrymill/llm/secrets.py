@@ -14,14 +14,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.automata import Automaton, infer
-from quarrymill.llm.common import slices, texts_of
-from quarrymill.llm.spans import Span, digest, free, joined, ordered, replaced
+from quarrymill.llm.common import by_text, slices, texts_of
+from quarrymill.llm.spans import Span, covered, digest, joined, ordered, outside, replaced
 from quarrymill.sources.tables import cut
 
 KINDS = ("assign", "access", "hex")
@@ -52,7 +51,8 @@ def base_spans(text: str) -> list[tuple[Span, str]]:
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int, str]]:
     """(start, end, token) of what may be a credential outside the base spans."""
-    return [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text) if m.end() - m.start() >= LEAST and free(("", m.start(), m.end()), base)]
+    found = [("", m.start(), m.end()) for m in _TOKEN.finditer(text) if m.end() - m.start() >= LEAST]
+    return [(a, b, text[a:b]) for _, a, b in outside(found, covered(base))]
 
 
 @dataclass
@@ -130,19 +130,39 @@ def fit(docs: DataFrame, per_kind: int = 400, least: int = 20, alpha: float = 0.
     gain that a candidate needs is what all but 2 % of held-back credentials of its kind reach, `margin` at least.
     """
     sample = samples(docs, per_kind, text_col)
-    backgrounds = [infer(sample[k][: per_kind * 3 // 4], alpha) for k in ("other", "plain")]
-    kinds, gain = {}, {}
-    for kind in KINDS:
-        tokens = sample[kind]
-        if len(tokens) < least:
-            continue
-        held = len(tokens) // 4
-        kinds[kind] = infer(tokens[held:], alpha)
-        reached = sorted((kinds[kind].log_likelihood(t) - max(b.log_likelihood(t) for b in backgrounds)) / (len(t) + 1) for t in tokens[:held])
+    kinds = {k: infer(sample[k][len(sample[k]) // 4 :], alpha) for k in KINDS if len(sample[k]) >= least}
+    held = {k: sample[k][: len(sample[k]) // 4] for k in kinds}
+    typical = {k: float(np.quantile([a.log_likelihood(t) / (len(t) + 1) for t in held[k]], 0.02)) for k, a in kinds.items()}
+    backgrounds = [infer(purified(sample[k][: per_kind * 3 // 4], kinds, typical, alpha), alpha) for k in ("other", "plain")]
+    gain = {}
+    for kind, a in kinds.items():
+        reached = sorted((a.log_likelihood(t) - max(b.log_likelihood(t) for b in backgrounds)) / (len(t) + 1) for t in held[kind])
         gain[kind] = max(margin, float(np.quantile(reached, 0.02)))
     return SecretModel(kinds, backgrounds, gain)
 
 
+def purified(tokens: list[str], kinds: dict[str, Automaton], typical: dict[str, float], alpha: float, rounds: int = 5) -> list[str]:
+    """The tokens of a background sample without those that credentials outside the base rules put there.
+
+    Each half of the sample is scored by the automaton of the other half. A token goes if it is likelier under the
+    automaton of a kind of credentials, and as likely for each symbol as credentials of that kind are (all but 2 %), until
+    none does. A format that makes up a share of the background has that share of its likelihood there, so it is found as
+    long as the share is below 1.
+    """
+
+    def credential(token: str, background: Automaton) -> bool:
+        other = background.log_likelihood(token)
+        return any((x := a.log_likelihood(token)) > other and x >= typical[k] * (len(token) + 1) for k, a in kinds.items())
+
+    for _ in range(rounds):
+        halves = [infer(tokens[i::2], alpha) for i in (0, 1)]
+        kept = [t for i, t in enumerate(tokens) if not credential(t, halves[1 - i % 2])]
+        if len(kept) == len(tokens):
+            break
+        tokens = kept
+    return tokens
+
+
 def find(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex (spans of the base rules), base_sha256 and spans (all) of every whole text.
 
@@ -167,9 +187,4 @@ def find(docs: DataFrame, model: SecretModel, id_col: str = "doc_id", text_col:
 def redacted(text: Column, model: SecretModel) -> Column:
     """The text with every span replaced by its kind in brackets; null stays null."""
 
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series([None if t is None else replaced(t, model.spans(t)[1]) for t in part], dtype=object)
-
-    return run(text)
+    return by_text(lambda part: [None if t is None else replaced(t, model.spans(t)[1]) for t in part], "string")(text)

@@ -22,9 +22,26 @@ def digest(spans: list[Span]) -> str:
     return hashlib.sha256(joined(spans).encode("ascii")).hexdigest()
 
 
-def free(span: Span, taken: list[Span]) -> bool:
-    """Whether the span overlaps none of the others."""
-    return all(span[2] <= a or span[1] >= b for _, a, b in taken)
+def covered(spans: Iterable[Span]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, ascending and apart."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def outside(spans: Iterable[Span], stretches: list[tuple[int, int]]) -> list[Span]:
+    """Those of the spans, which ascend, that overlap none of the stretches. One sweep over both."""
+    out, at = [], 0
+    for span in spans:
+        while at < len(stretches) and stretches[at][1] <= span[1]:
+            at += 1
+        if at == len(stretches) or span[2] <= stretches[at][0]:
+            out.append(span)
+    return out
 
 
 def replaced(text: str, spans: list[Span]) -> str:
