@@ -10,15 +10,13 @@ and all of it is learned from labels of documents alone (Ilse, Tomczak and Welli
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import held_out
+from quarrymill.llm.common import by_text, held_out
 from quarrymill.llm.training import labelled_sample
 
 PASSAGE = 512
@@ -107,7 +105,7 @@ class QualityModel:
     def logits(self, vectors: np.ndarray, bags: np.ndarray) -> np.ndarray:
         return _forward(self.p, (vectors - self.mean) / self.scale, bags)["logit"]
 
-    def scores(self, texts: list[str], chars: int = 1_000_000) -> np.ndarray:
+    def scores(self, texts: list[str], chars: int = 300_000) -> np.ndarray:
         out, start = np.zeros(len(texts)), 0
         while start < len(texts):
             end, size = start, 0
@@ -184,12 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 def score(text: Column, model: QualityModel) -> Column:
     """The score of a text from 0 to 1; null counts as empty."""
 
-    @F.pandas_udf("double")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series(model.scores([t or "" for t in part]))
-
-    return run(text)
+    return by_text(lambda part: model.scores([t or "" for t in part]), "double")(text)
 
 
 def score_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

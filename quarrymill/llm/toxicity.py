@@ -7,15 +7,13 @@ other training documents. A logistic regression is fitted on the scaled features
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import held_out
+from quarrymill.llm.common import by_text, held_out
 from quarrymill.llm.training import labelled_sample
 
 BITS = 20
@@ -30,7 +28,7 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
-    def scores(self, texts: list[str], chars: int = 1_000_000) -> np.ndarray:
+    def scores(self, texts: list[str], chars: int = 300_000) -> np.ndarray:
         out = np.full(len(texts), self.bias)
         start = 0
         while start < len(texts):
@@ -131,12 +129,7 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarr
 def score(text: Column, model: ToxicityModel) -> Column:
     """The score of a text from 0 to 1; null counts as empty."""
 
-    @F.pandas_udf("double")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series(model.scores([t or "" for t in part]))
-
-    return run(text)
+    return by_text(lambda part: model.scores([t or "" for t in part]), "double")(text)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
