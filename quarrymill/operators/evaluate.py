@@ -111,6 +111,14 @@ def evolution(reports: DataFrame, order: list[str], step: int = 5, part: str | N
     return with_rates(run.where((F.col("seen") % step == 0) | (F.col("seen") == F.col("all_rows"))).select("seen", *sums))
 
 
+def side_by_side(tables: list[DataFrame], key: str) -> DataFrame:
+    """Tables of one row for each key, joined where all of them have it."""
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.join(other, key)
+    return out
+
+
 def status_lists(rows: DataFrame, group: str, pattern: str, of: int | None = None) -> DataFrame:
     """Sorted arrays of the patterns of each outcome for each group, and accuracy over `of` patterns (their number if None)."""
     name = outcome_name(F.col("truth"), F.col("detected"))

@@ -138,6 +138,11 @@ def reason_histogram(validated: DataFrame) -> DataFrame:
     return validated.where(~F.col("valid")).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
+def confident(score: Column, threshold: int = 5) -> Column:
+    """Whether a verdict's confidence, from 0 to 10, reaches the threshold; none doesn't."""
+    return F.coalesce(score >= threshold, F.lit(False))
+
+
 def looks_like_text(size_mb: Column, content: Column, max_mb: float = 10.0) -> Column:
     """Not too large, and at least 10 characters that aren't blank in the first 1000."""
     return (size_mb <= max_mb) & (F.length(F.regexp_replace(F.substring(content, 1, 1000), r"\s", "")) >= 10)

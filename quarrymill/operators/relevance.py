@@ -234,6 +234,19 @@ def chunks(text: Column, size: int = 2000, most: int = 10, least: int = 100) ->
     return F.slice(F.when(F.size(blocks) > 0, blocks).when(F.length(t) > 500, places).otherwise(F.array().cast("array<string>")), 1, most)
 
 
+#: Words that a listed definition begins with, and that the next one begins with.
+_OPENS, _NEXT = "def|function|func|class|interface|public|private", "def|function|func|class|public|private"
+
+
+def function_chunks(text: Column, names: Column, size: int = 3000, most: int = 10, least: int = 100) -> Column:
+    """The first way of chunking: bodies of the definitions in `names`, from the opening word to the next definition, each
+    over `least` characters and cut to `size`; without any, the chunks of the second way (see `chunks`)."""
+    t = F.coalesce(text, F.lit(""))
+    body = lambda n: F.concat(F.lit(rf"(?sim)((?:{_OPENS})\s+"), F.regexp_replace(n, r"([^\w])", r"\\$1"), F.lit(rf"\s*[\({{].*?(?=\n(?:{_NEXT})\s|\z))"))
+    found = F.filter(F.flatten(F.transform(names, lambda n: F.regexp_extract_all(t, body(n), F.lit(1)))), lambda c: F.length(c) > least)
+    return F.slice(F.when(F.size(found) > 0, F.transform(found, lambda c: F.substring(c, 1, size))).otherwise(chunks(text)), 1, most)
+
+
 def batches(rows: DataFrame, order: list[str], by: list[str], size: int = 600, threshold: int = 800) -> DataFrame:
     """batch number within each group: one batch up to `threshold` rows, else batches of `size` in order."""
     w, all_ = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)

@@ -60,6 +60,16 @@ def evidence_position(rows: DataFrame, by: str, rank: str, is_evidence: Column,
     return rows.groupBy(by).agg(F.avg(F.when(is_evidence, confidence)).alias("mean_confidence"), F.min(F.when(is_evidence, F.col(rank))).alias("first_at"), F.max(F.when(is_evidence, F.col(rank))).alias("last_at"), F.count_if(is_evidence).alias("n_evidence"))
 
 
+def evidence_rate(rows: DataFrame, by: str, is_evidence: Column, seconds: Column) -> DataFrame:
+    """Pieces of evidence and how many there are for each second that files took."""
+    return rows.groupBy(by).agg(F.count_if(is_evidence).alias("n_evidence"), rates.guarded(F.count_if(is_evidence), F.sum(seconds)).alias("per_second"))
+
+
+def phase_cost(rows: DataFrame, phase: str, each: float = 0.10) -> DataFrame:
+    """How many entries a phase has, and what they cost at a price for each."""
+    return rows.groupBy(phase).agg(F.count("*").alias("n")).withColumn("cost", F.col("n") * each)
+
+
 def hint_usage(rows: DataFrame, by: str, hint: Column, score: Column, floor: float) -> DataFrame:
     return rows.groupBy(by).agg(F.avg(hint).alias("mean_hint"), F.count_if(hint != 0).alias("non_zero"), F.count_if(score < floor).alias("rejected"))
 

@@ -1,21 +1,22 @@
 """Nodes and edges of a code graph from files, by kind of file.
 
-Each parser takes files (path, text) and returns edges: src, src_type, dst, dst_type, name, type. Regular
-expressions run in built-in functions; only YAML needs a Python parser, in Arrow batches.
+Each parser takes files (path, text) and returns edges: src, src_type, dst, dst_type, name, type. They are
+built-in functions; only turning YAML into JSON needs Python, in Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text as T
+from quarrymill.operators import graph
 from quarrymill.sources.schemas import PACKAGE_JSON
-
-EDGE = "src string, src_type string, dst string, dst_type string, name string, type string"
+from quarrymill.sources.tables import cut
 
 
 def _edges(found: DataFrame, dst: Column, dst_type: str, name: Column, kind: str) -> DataFrame:
@@ -58,14 +59,16 @@ def maven(files: DataFrame) -> DataFrame:
     return _edges(found, F.concat(F.lit("maven:"), "m"), "maven_artifact", F.col("m"), "requires")
 
 
-#: What begins a function or class in a line, for files of no known kind.
-PSEUDO = r"^\s*(?:def\s+([A-Za-z_]\w*)\s*\(|function\s+([A-Za-z_]\w*)\s*\(|([A-Za-z_]\w*)\s*=\s*\([^)]*\)\s*=>|class\s+([A-Za-z_]\w*)\s*[:\{]|func\s+([A-Za-z_]\w*)\s*\()"
+#: Words that begin a definition in files of no known kind, and the marks that follow its name.
+OPENERS = {"def": "(", "function": "(", "func": "(", "class": ":{"}
+_NAME = r"([A-Za-z_]\w*)"
 
 
 def heuristic(files: DataFrame) -> DataFrame:
-    """Pseudo-functions in the first 2000 lines."""
-    each = files.select("path", F.explode(T.lines(F.col("text"), 2000)).alias("line")).where(F.col("line").rlike(PSEUDO))
-    found = each.select("path", F.coalesce(*(F.nullif(F.regexp_extract("line", PSEUDO, i), F.lit("")) for i in range(1, 6))).alias("m"))
+    """Pseudo-functions in the first 2000 lines: an opening word with a name and its mark, or a name that an arrow function is given to."""
+    rules = [rf"^\s*{word}\s+{_NAME}\s*[{marks}]" for word, marks in OPENERS.items()] + [rf"^\s*{_NAME}\s*=\s*\([^)]*\)\s*=>"]
+    each = files.select("path", F.explode(T.lines(F.col("text"), 2000)).alias("line"))
+    found = each.select("path", F.coalesce(*(F.nullif(F.regexp_extract("line", r, 1), F.lit("")) for r in rules)).alias("m")).where("m IS NOT NULL")
     return _edges(found, F.concat_ws(":", "path", "m"), "function", F.col("m"), "defines")
 
 
@@ -84,51 +87,121 @@ CODE = {
 }
 _STRING = r"(?:\"([^\"\n]{1,500})\"|'([^'\n]{1,500})')"
 _CALL = r"([A-Za-z_][\w.]*)\s*\("
+#: What stands before a bracket without being called.
+NOT_CALLED = ("if", "for", "while", "switch", "catch", "return", "def", "function", "func", "fn", "class", "elif", "and", "or", "not", "in")
 
 
-def code(files: DataFrame) -> DataFrame:
-    """Functions, classes, imports and classed string literals of source files of the known extensions."""
-    ext = T.suffix(F.col("path"))
-    known = files.withColumn("__ext", ext).where(F.col("__ext").isin(list(CODE)))
-
-    def found(what: str) -> DataFrame:
-        per = F.array().cast("array<string>")
-        for e, patterns in CODE.items():
-            if what in patterns:
-                groups = 2 if patterns[what].count("(") - patterns[what].count("(?") >= 2 else 1
-                each = F.concat(*(F.regexp_extract_all("text", F.lit(patterns[what]), F.lit(g)) for g in range(1, groups + 1)))
-                per = F.when(F.col("__ext") == e, each).otherwise(per)
-        return known.select("path", F.explode(F.array_distinct(F.filter(per, lambda x: (x != "") & (F.length(x) < 200)))).alias("m"))
+def _known(files: DataFrame) -> DataFrame:
+    return files.withColumn("__ext", T.suffix(F.col("path"))).where(F.col("__ext").isin(list(CODE)))
 
-    local = F.concat_ws(":", "path", "m")
-    strings = known.select("path", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(_STRING), F.lit(1)), F.regexp_extract_all("text", F.lit(_STRING), F.lit(2))))).alias("m"))
-    strings = strings.where((F.col("m") != "") & T.literal_class(F.col("m")).isNotNull())
-    return (
-        _edges(found("function"), local, "function", F.col("m"), "defines")
-        .union(_edges(found("class"), local, "class", F.col("m"), "defines"))
-        .union(_edges(found("import"), F.concat(F.lit("dep:"), "m"), "external_dependency", F.col("m"), "imports"))
-        .union(_edges(strings, F.concat(F.lit("str:"), "m"), "string_literal", F.col("m"), "uses_string"))
-    )
+
+def _matches(text: Column, what: str) -> Column:
+    """All names of a kind in a text, by the rules of the file's extension; names of 200 characters or more are none."""
+    per = F.array().cast("array<string>")
+    for e, patterns in CODE.items():
+        if what in patterns:
+            groups = range(1, re.compile(patterns[what]).groups + 1)
+            each = F.concat(*(F.regexp_extract_all(text, F.lit(patterns[what]), F.lit(g)) for g in groups))
+            per = F.when(F.col("__ext") == e, each).otherwise(per)
+    return F.filter(per, lambda x: (x != "") & (F.length(x) < 200))
+
+
+def code_lines(files: DataFrame) -> DataFrame:
+    """path, line_no, line, start (characters before it), and of each line of a source file: defined {name, type} and within.
+
+    within: the last function that begins in this line or above it, null before the first. Without a parse tree this is
+    what stands for the function around a line.
+    """
+    lines = _known(files).select("path", "__ext", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    in_order = Window.partitionBy("path").orderBy("line_no")
+    function, kind = F.get(_matches(F.col("line"), "function"), 0), F.get(_matches(F.col("line"), "class"), 0)
+    named = lines.withColumn("__f", function).withColumn("__c", kind)
+    defined = F.when(F.col("__f").isNotNull(), F.struct(F.col("__f").alias("name"), F.lit("function").alias("type"))).when(F.col("__c").isNotNull(), F.struct(F.col("__c").alias("name"), F.lit("class").alias("type")))
+    start = F.coalesce(F.sum(F.length("line") + 1).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.last("__f", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    return named.select("path", "__ext", "line_no", "line", start.alias("start"), defined.alias("defined"), within.alias("within"))
+
+
+def definitions(lines: DataFrame) -> DataFrame:
+    """file, name, type, start, seq of what source lines define. seq: where it stands among all, by file and line."""
+    return lines.where(F.col("defined").isNotNull()).select(F.col("path").alias("file"), "defined.name", "defined.type", "start", F.concat_ws(":", "path", F.lpad(F.col("line_no").cast("string"), 9, "0")).alias("seq"))
 
 
 def decorators(files: DataFrame) -> DataFrame:
-    """file, name of every decorator or annotation at the start of a line."""
-    return files.select(F.col("path").alias("file"), F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^[ \t]*(@[\w.]+)"), F.lit(1))).alias("name"))
+    """file, name, stop of every decorator, annotation or attribute, in the way of the file's language."""
+    found = code_lines(files).select("path", "line", "start", F.get(_matches(F.col("line"), "decorator"), 0).alias("name"))
+    return found.where(F.col("name").isNotNull()).select(F.col("path").alias("file"), "name", (F.col("start") + F.instr("line", F.col("name")) - 1 + F.length("name")).alias("stop"))
+
+
+def decorated(files: DataFrame) -> DataFrame:
+    """id, decorators: the functions and classes that decorators stand before, and these in order of name."""
+    near = graph.attached_decorators(decorators(files), definitions(code_lines(files)))
+    return near.groupBy(F.concat_ws(":", "file", "target").alias("id")).agg(F.sort_array(F.collect_list("decorator")).alias("decorators"))
+
+
+def calls(lines: DataFrame) -> DataFrame:
+    """call_id, file, name, within of called names in source lines, to be resolved by `graph.first_dotted`; once for each name and function around it."""
+    each = lines.select("path", "within", "defined", F.explode(F.regexp_extract_all("line", F.lit(_CALL), F.lit(1))).alias("name"))
+    called = each.where(~F.col("name").isin(*NOT_CALLED) & ~F.coalesce(F.col("defined.name") == F.col("name"), F.lit(False)))
+    once = called.select(F.col("path").alias("file"), "name", "within").distinct()
+    return once.select(F.concat_ws(":", "file", "name", F.coalesce("within", F.lit(""))).alias("call_id"), "file", "name", "within")
+
+
+def call_edges(files: DataFrame) -> DataFrame:
+    """Edges of resolved calls: from the function around a call, else from its file; and from file to file where they differ."""
+    lines = code_lines(files).where(F.col("defined").isNotNull() | F.contains("line", F.lit("(")))
+    lines = cut(lines)  # read for calls and for what they may call
+    made = calls(lines)
+    target = graph.first_dotted(made, definitions(lines).where("type = 'function'")).where("stage IS NOT NULL").select("call_id", "target")
+    to = F.regexp_extract("target", r"^(.*):", 1)
+    each = cut(made.join(target, "call_id").select("file", "within", "target", to.alias("to"), F.regexp_extract("target", r":([^:]*)$", 1).alias("name")))
+    inner = each.where("within IS NOT NULL").select(F.concat_ws(":", "file", "within").alias("src"), F.lit("function").alias("src_type"), F.col("target").alias("dst"), F.lit("function").alias("dst_type"), "name", F.lit("calls").alias("type"))
+    outer = each.where("within IS NULL").select(F.col("file").alias("src"), F.lit("file").alias("src_type"), F.col("target").alias("dst"), F.lit("function").alias("dst_type"), "name", F.lit("calls_from_file").alias("type"))
+    across = each.where("within IS NOT NULL AND file <> to").select(F.col("file").alias("src"), F.lit("file").alias("src_type"), F.col("to").alias("dst"), F.lit("file").alias("dst_type"), F.col("to").alias("name"), F.lit("calls_file").alias("type"))
+    return inner.union(outer).union(across).distinct()
+
 
+#: What a relative import may leave out at the end of a path, in the order in which files are tried.
+IMPORT_ENDS = ("", ".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".go", "/index.js")
 
-def calls(files: DataFrame) -> DataFrame:
-    """call_id, file, name of called names, to be resolved by `graph.first_dotted`."""
-    each = files.where(T.suffix(F.col("path")).isin(list(CODE))).select(F.col("path").alias("file"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_CALL), F.lit(1)))).alias("name"))
-    return each.select(F.concat_ws(":", "file", "name").alias("call_id"), "file", "name")
+
+def _imported(source: Column, name: Column) -> Column:
+    """The path that a relative import names, without its end: './' and '../' from the file's folder, '/' from the root, leading dots as in Python."""
+    dots = F.regexp_extract(name, r"^(\.+)", 1)
+    as_path = F.when(name.rlike(r"^\.+[\w.]*$"), F.concat(F.repeat(F.lit("../"), F.length(dots) - 1), F.translate(F.regexp_replace(name, r"^\.+", ""), ".", "/"))).otherwise(name)
+    whole = F.when(name.startswith("/"), name).otherwise(F.concat_ws("/", T.parent(source), as_path))
+    step = lambda done, part: F.when(part.isin("", "."), done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+    return F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/")
 
 
 def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    """src, dst: relative imports as files, by candidates with the usual extensions; the first that exists wins."""
-    base = F.regexp_replace(F.concat_ws("/", T.parent(F.col("src")), F.regexp_replace("name", r"^\./", "")), r"^\./", "")
-    up = F.regexp_replace(base, r"[^/]+/\.\./", "")
-    ends = ("", ".py", ".js", ".ts", ".jsx", ".tsx", "/index.js")
-    cand = imports.where(F.col("name").rlike(r"^\.{1,2}/")).select("src", "name", F.posexplode(F.array(*(F.concat(up, F.lit(e)) for e in ends))).alias("k", "path"))
-    return cand.join(paths.select("path").distinct(), "path").groupBy("src", "name").agg(F.min_by("path", "k").alias("dst")).select("src", "dst")
+    """src, dst: relative imports (src, name) as files, by candidates with the usual ends; the first that exists wins."""
+    near = imports.where(F.col("name").rlike(r"^[./]")).withColumn("__p", _imported(F.col("src"), F.col("name")))
+    tried = near.select("src", "name", F.posexplode(F.array(*(F.concat("__p", F.lit(e)) for e in IMPORT_ENDS))).alias("k", "path"))
+    there = paths.select("path").distinct()
+    return tried.join(there, "path").groupBy("src", "name").agg(F.min_by("path", "k").alias("dst")).select("src", "dst").distinct()
+
+
+def code(files: DataFrame) -> DataFrame:
+    """Functions, classes, imports, classed string literals and calls of source files of the known extensions.
+
+    A relative import is an edge to the file that it names, if that is among the files; any other is a dependency.
+    """
+    known = _known(files)
+    found = lambda what: known.select("path", F.explode(F.array_distinct(_matches(F.col("text"), what))).alias("m"))
+    local = F.concat_ws(":", "path", "m")
+    literals = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(_STRING), F.lit(1)), F.regexp_extract_all("text", F.lit(_STRING), F.lit(2))))
+    strings = known.select("path", F.explode(literals).alias("m")).where((F.col("m") != "") & T.literal_class(F.col("m")).isNotNull())
+    imports = found("import")
+    files_of = resolve_imports(imports.select(F.col("path").alias("src"), F.col("m").alias("name")), files).select(F.col("src").alias("path"), F.col("dst").alias("m"))
+    return (
+        _edges(found("function"), local, "function", F.col("m"), "defines")
+        .union(_edges(found("class"), local, "class", F.col("m"), "defines"))
+        .union(_edges(imports.where(~F.col("m").rlike(r"^[./]")), F.concat(F.lit("dep:"), "m"), "external_dependency", F.col("m"), "imports"))
+        .union(_edges(files_of, F.col("m"), "file", F.col("m"), "imports"))
+        .union(_edges(strings, F.concat(F.lit("str:"), "m"), "string_literal", F.col("m"), "uses_string"))
+        .union(call_edges(files))
+    )
 
 
 #: Kubernetes kinds and their node types; any other is k8s_resource.
@@ -138,52 +211,52 @@ KINDS = {
 }
 
 
-def yaml_edges(path: str, text: str) -> list[tuple[str, str, str, str, str, str]]:
-    """Edges of the first YAML document of a file: a Kubernetes resource or Compose services."""
-    import yaml
-
-    try:
-        data = next(iter(yaml.safe_load_all(text)), None)
-    except yaml.YAMLError:
-        return []
-    if not isinstance(data, dict):
-        return []
-    out = []
-    get = lambda d, k: (d.get(k) if isinstance(d, dict) else None) or {}
-    if "apiVersion" in data and "kind" in data:
-        kind, name = data["kind"], get(data, "metadata").get("name", "unknown")
-        node_type = KINDS.get(kind, "k8s_resource")
-        node = f"{node_type}:{name}"
-        out.append((path, "file", node, node_type, str(name), "defines_resource"))
-        spec = get(data, "spec")
-        if kind == "Service":
-            for port in spec.get("ports") or []:
-                if port.get("port"):
-                    out.append((node, node_type, f"k8s_endpoint:{name}:{port['port']}", "k8s_endpoint", str(port["port"]), "exposes_port"))
-        elif kind == "Ingress":
-            for rule in spec.get("rules") or []:
-                for p in get(rule, "http").get("paths") or []:
-                    backend = get(p, "backend")
-                    service = get(backend, "service").get("name") or backend.get("serviceName")
-                    if service:
-                        out.append((node, node_type, f"k8s_service:{service}", "k8s_service", str(service), "routes_to"))
-        return out
-    services = data.get("services")
-    for name, body in (services.items() if isinstance(services, dict) else ()):
-        out.append((path, "file", f"service:{name}", "service", str(name), "defines_service"))
-        needs = body.get("depends_on") if isinstance(body, dict) else None
-        for other in needs if isinstance(needs, list) else ():
-            out.append((f"service:{name}", "service", f"service:{other}", "service", str(other), "depends_on"))
-    return out
+#: What is read of a YAML document. A value of another shape is null.
+_MANIFEST = """apiVersion string, kind string, metadata struct<name: string>,
+    spec struct<ports: array<struct<port: string>>, rules: array<struct<http: struct<paths: array<struct<backend: struct<service: struct<name: string>, serviceName: string>>>>>>>,
+    services map<string, string>"""
 
 
-def yaml_files(files: DataFrame) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [e for p, t in zip(part["path"], part["text"], strict=True) for e in yaml_edges(p, t or "")]
-            yield pd.DataFrame(rows, columns=["src", "src_type", "dst", "dst_type", "name", "type"])
+def first_document(text: Column) -> Column:
+    """The first YAML document of a text as JSON; null if it isn't YAML. The one step that built-in functions don't have."""
+
+    @F.pandas_udf("string")
+    def run(parts: pd.Series) -> pd.Series:
+        import json
+
+        import yaml
+
+        def one(body: str | None) -> str | None:
+            try:
+                return json.dumps(next(iter(yaml.safe_load_all(body or "")), None), default=str)
+            except (yaml.YAMLError, TypeError, ValueError):
+                return None
+
+        return parts.map(one)
 
-    return files.select("path", "text").mapInPandas(run, EDGE)
+    return run(text)
+
+
+def yaml_files(files: DataFrame) -> DataFrame:
+    """Kubernetes resources with the ports of services and the backends of ingresses, or Compose services with their needs, of each first document."""
+    j = files.select("path", F.from_json(first_document(F.col("text")), _MANIFEST).alias("j")).where("j IS NOT NULL")
+    node_type = F.coalesce(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[F.col("j.kind")], F.lit("k8s_resource"))
+    own = j.where("j.apiVersion IS NOT NULL AND j.kind IS NOT NULL").select("path", "j.kind", "j.spec", F.coalesce("j.metadata.name", F.lit("unknown")).alias("name"), node_type.alias("node_type"))
+    own = own.withColumn("node", F.concat_ws(":", "node_type", "name"))
+    backends = F.flatten(F.transform("spec.rules", lambda r: F.coalesce(r["http"]["paths"], F.array().cast("array<struct<backend: struct<service: struct<name: string>, serviceName: string>>>"))))
+    #: kind, values below its spec, type of their nodes, how a node is named, edge
+    below = (
+        ("Service", F.transform("spec.ports", lambda p: p["port"]), "k8s_endpoint", F.concat_ws(":", F.lit("k8s_endpoint"), "name", "value"), "exposes_port"),
+        ("Ingress", F.transform(backends, lambda p: F.coalesce(p["backend"]["service"]["name"], p["backend"]["serviceName"])), "k8s_service", F.concat_ws(":", F.lit("k8s_service"), "value"), "routes_to"),
+    )
+    out = own.select(F.col("path").alias("src"), F.lit("file").alias("src_type"), F.col("node").alias("dst"), F.col("node_type").alias("dst_type"), "name", F.lit("defines_resource").alias("type"))
+    for kind, values, dst_type, dst, edge in below:
+        each = own.where(F.col("kind") == kind).withColumn("value", F.explode(values)).where("value IS NOT NULL AND value NOT IN ('', '0')")
+        out = out.union(each.select(F.col("node").alias("src"), F.col("node_type").alias("src_type"), dst.alias("dst"), F.lit(dst_type).alias("dst_type"), F.col("value").alias("name"), F.lit(edge).alias("type")))
+    services = j.where("j.apiVersion IS NULL OR j.kind IS NULL").select("path", F.explode("j.services").alias("name", "body")).withColumn("node", F.concat(F.lit("service:"), "name"))
+    needs = services.select("node", F.explode(F.from_json(F.get_json_object("body", "$.depends_on"), "array<string>")).alias("need")).where("need IS NOT NULL")
+    out = out.union(services.select("path", F.lit("file"), "node", F.lit("service"), "name", F.lit("defines_service")))
+    return out.union(needs.select("node", F.lit("service"), F.concat(F.lit("service:"), "need"), F.lit("service"), "need", F.lit("depends_on"))).distinct()
 
 
 #: Parsers in the order in which they are asked; the first that takes a file has it. More may be put before the last.
@@ -199,7 +272,10 @@ PARSERS: list[tuple[Callable[[Column], Column], Callable[[DataFrame], DataFrame]
 
 
 def build_graph(files: DataFrame, parsers: list | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, type, name; edges: src, dst, type) of files (path, text). One edge for each pair; a parser that finds nothing doesn't pass a file on."""
+    """(nodes: id, type, name, decorators; edges: src, dst, type) of files (path, text).
+
+    One edge for each pair; a parser that finds nothing doesn't pass a file on. decorators is null where there are none.
+    """
     parsers = PARSERS if parsers is None else parsers
     owner = F.coalesce(*(F.when(takes(F.col("path")), F.lit(i)) for i, (takes, _) in enumerate(parsers)))
     dealt = files.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("__parser", owner)
@@ -207,8 +283,9 @@ def build_graph(files: DataFrame, parsers: list | None = None) -> tuple[DataFram
     for i, (_, parse) in enumerate(parsers):
         part = parse(dealt.where(F.col("__parser") == i))
         found = part if found is None else found.union(part)
+    found = cut(found)  # nodes and edges both come from it
     ends = found.select(F.col("dst").alias("id"), F.col("dst_type").alias("type"), "name").union(found.select(F.col("src").alias("id"), F.col("src_type").alias("type"), F.col("src").alias("name")))
     ends = ends.union(files.select(F.col("path").alias("id"), F.lit("file").alias("type"), F.col("path").alias("name")))
-    nodes = ends.groupBy("id").agg(F.min(F.struct("type", "name")).alias("n")).select("id", "n.type", "n.name")
+    nodes = ends.groupBy("id").agg(F.min(F.struct("type", "name")).alias("n")).select("id", "n.type", "n.name").join(decorated(dealt), "id", "left")
     edges = found.groupBy("src", "dst").agg(F.max("type").alias("type"))
     return nodes, edges

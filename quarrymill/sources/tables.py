@@ -50,10 +50,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """`df`, computed once and written to the checkpoint folder; its lineage ends there.
 
-    parts: in so many files at most. Small tables of many partitions would be as many files, each costlier than its rows.
+    parts: in so many files. Small tables of many partitions would be as many files, each costlier than its rows. The
+    result is dealt anew for that, so what computes it keeps its own partitions.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
+    return (df.repartition(parts) if parts else df).checkpoint(eager=True)
 
 
 def parts_for(rows: int, each: int = 100_000) -> int:

@@ -197,3 +197,85 @@ def test_settings():
     for wrong in ({"llm_weight": 0.9}, {"medium": 0.6}, {"judge_confidence": 11}, {"keyword_weight": -0.1, "embedding_weight": 0.4}):
         with pytest.raises(ValueError):
             Settings(**wrong)
+
+
+def test_claim_query_is_the_walk(spark, sf_dir):
+    from quarrymill.plans.curation import email_claim_dedup
+    from quarrymill.sources import read_table
+
+    address = lambda x: f"u{x}@mail.example.com"
+    rows = [(r["event_id"] % 97, r["event_id"], f"m{r['event_id']}", [address(r["user_id"]), address((r["user_id"] * 7 + r["event_id"]) % 400), address(r["user_id"] % 31)]) for r in read_table(spark, sf_dir, "events").collect()]
+    assert sorted(map(tuple, email_claim_dedup(spark, sf_dir).collect())) == walk(rows)
+
+
+def test_chunks_query_is_pythons(spark, sf_dir):
+    from quarrymill.plans.ranking import chunks
+    from quarrymill.sources import read_table
+
+    got = {}
+    for r in chunks(spark, sf_dir).collect():
+        got.setdefault(r["doc_id"], []).append((r["pos"], r["chunk"]))
+    texts = {r["doc_id"]: r["text"] or "" for r in read_table(spark, sf_dir, "documents").collect()}
+    assert {i: [c for _, c in sorted(v)] for i, v in got.items()} == {i: c for i, t in texts.items() if (c := python_chunks(t))}
+
+
+def python_bodies(text, names):
+    """Bodies by hand: from each opening word before a listed name to the line before the next opening word."""
+    opens, following = ("def", "function", "func", "class", "interface", "public", "private"), ("def", "function", "func", "class", "public", "private")
+    out = []
+    for name in names:
+        at = 0
+        while True:
+            places = [m for w in opens for m in [re.compile(rf"{w}\s+{re.escape(name)}\s*[({{]", re.I).search(text, at)] if m]
+            if not places:
+                break
+            first = min(places, key=lambda m: m.start())
+            ends = [m.start() for w in following for m in re.finditer(rf"\n{w}\s", text[first.end() :], re.I)]
+            end = first.end() + min(ends) if ends else len(text)
+            out.append(text[first.start() : end])
+            at = end
+    return [b[:3000] for b in out if len(b) > 100][:10]
+
+
+def test_function_chunks_query(spark, sf_dir):
+    from quarrymill.plans.code import function_chunks, source_files
+
+    got = {}
+    for r in function_chunks(spark, sf_dir).collect():
+        got.setdefault(r["path"], []).append((r["pos"], r["chunk"]))
+    for r in source_files(spark, sf_dir).collect():
+        text = r["text"] + "# more of it\n" * 12
+        names = re.findall(r"(?m)^(?:def|class) (\w+)", text)
+        want = python_bodies(text, names) or python_chunks(text)
+        assert [c for _, c in sorted(got.get(r["path"], []))] == want
+
+
+def test_function_chunks_cut_and_fall_back(spark):
+    long = "def go(a):\n" + "    x = 1\n" * 500 + "\nclass Other:\n    pass\n"
+    names = F.array(F.lit("go"), F.lit("a.b+c"), F.lit("gone"))
+    assert value(spark, relevance.function_chunks(F.lit(long), names)) == python_bodies(long, ["go"]) == [long[:3000]]
+    assert value(spark, relevance.function_chunks(F.lit("z" * 600), names)) == python_chunks("z" * 600)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_call_resolution_against_all_definitions(spark, seed):
+    random.seed(seed)
+    calls = [(i, f"f{random.randrange(4)}", random.choice(["", "m."]) + f"g{random.randrange(6)}") for i in range(60)]
+    defined = [(f"f{random.randrange(4)}", random.choice(["", "", "m."]) + f"g{random.randrange(6)}", i) for i in range(25)]
+    want = {}
+    for i, file, name in calls:
+        base = name.split(".")[-1]
+        found = [(1, s, f, n) for f, n, s in defined if f == file and n == name] + [(2, s, f, n) for f, n, s in defined if f == file and n == base] + [(3, s, f, n) for f, n, s in defined if f != file and n == base]
+        want[i] = (f"{min(found)[2]}:{min(found)[3]}", min(found)[0]) if found else ("", None)
+    got = graph.first_dotted(spark.createDataFrame(calls, "call_id int, file string, name string"), spark.createDataFrame(defined, "file string, name string, seq int")).collect()
+    assert {r["call_id"]: (r["target"], r["stage"]) for r in got} == want
+
+
+def test_running_total_is_that_of_one_order(spark):
+    from quarrymill.operators.order import running_total
+
+    random.seed(1)
+    rows = [(i, random.randrange(9)) for i in range(500)]
+    got = running_total(spark.createDataFrame(rows, "k int, w int").repartition(5), ["k"], F.col("w"), "before").collect()
+    assert {r["k"]: r["before"] for r in got} == {k: sum(w for j, w in rows if j < k) for k, _ in rows}
+    assert running_total(spark.createDataFrame([], "k int, w int"), ["k"], F.col("w"), "before").collect() == []

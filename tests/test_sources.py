@@ -116,3 +116,56 @@ def test_survey_and_last_wins(spark, tmp_path):
     a = spark.createDataFrame([("x", 1), ("x", 2), ("", 9)], "k string, v int").coalesce(1)
     b = spark.createDataFrame([("y", 3), ("x", 4)], "k string, v int").coalesce(1)
     assert sorted(map(tuple, readers.last_wins([a, b], "k").collect())) == [("x", 4), ("y", 3)]
+
+
+def test_code_of_every_language(spark):
+    files = [
+        ("a/x.java", "import java.util.List;\n@Service\npublic class Shop {\n    @Get\n    public int price(int a) {\n        return count(a);\n    }\n}\n"),
+        ("a/x.cs", "using System.Text;\n[HttpGet]\npublic class Cart {\n    public void Fill(int a) { }\n}\n"),
+        ("a/x.php", "<?php\nuse App\\Thing;\n#[Route]\nfunction show($a) { }\n"),
+        ("a/x.rs", "use std::fs;\n#[test]\nfn probe() { }\n"),
+        ("a/x.go", 'import "fmt"\nfunc Run(a int) {\n}\ntype Box struct {\n}\n'),
+        ("a/x.rb", "require 'json'\ndef go(a)\nend\nclass Cat\nend\n"),
+        ("a/x.sh", "source lib.sh\nstart() {\n}\n"),
+        ("a/b/x.js", "const y = require('../z')\nfunction f(a) { return g(a) }\n"),
+        ("a/z.ts", "import q from '../w/index'\nfunction g(a) { return 1 }\n"),
+        ("w/index.js", "function h() { }\n"),
+        ("a/p.py", "from .q import x\nfrom ..w.r import y\n"),
+        ("a/q.py", ""),
+        ("w/r.py", ""),
+    ]
+    nodes, edges = parsers.build_graph(spark.createDataFrame(files, "path string, text string"))
+    found = {(r["src"], r["dst"], r["type"]) for r in edges.collect()}
+    for e in [
+        ("a/x.java", "a/x.java:Shop", "defines"), ("a/x.java", "a/x.java:price", "defines"), ("a/x.java", "dep:java.util.List", "imports"), ("a/x.cs", "a/x.cs:Cart", "defines"), ("a/x.cs", "a/x.cs:Fill", "defines"), ("a/x.cs", "dep:System.Text", "imports"),
+        ("a/x.php", "a/x.php:show", "defines"), ("a/x.php", "dep:App\\Thing", "imports"), ("a/x.rs", "a/x.rs:probe", "defines"), ("a/x.rs", "dep:std::fs", "imports"), ("a/x.go", "a/x.go:Run", "defines"), ("a/x.go", "a/x.go:Box", "defines"), ("a/x.go", "dep:fmt", "imports"),
+        ("a/x.rb", "a/x.rb:go", "defines"), ("a/x.rb", "a/x.rb:Cat", "defines"), ("a/x.rb", "dep:json", "imports"), ("a/x.sh", "a/x.sh:start", "defines"), ("a/x.sh", "dep:lib.sh", "imports"),
+        ("a/b/x.js", "a/z.ts", "imports"), ("a/z.ts", "w/index.js", "imports"), ("a/p.py", "a/q.py", "imports"), ("a/p.py", "w/r.py", "imports"), ("a/b/x.js:f", "a/z.ts:g", "calls"),
+    ]:
+        assert e in found, e
+    assert not any(d.startswith("dep:.") for _, d, _ in found)
+    marks = {r["id"]: r["decorators"] for r in nodes.where("decorators IS NOT NULL").collect()}
+    # a function that begins soon after goes before a class
+    assert marks == {"a/x.java:price": ["@Get", "@Service"], "a/x.cs:Fill": ["[HttpGet"], "a/x.php:show": ["#[Route"], "a/x.rs:probe": ["#[test"]}
+
+
+def test_yaml_of_other_shapes(spark):
+    files = [
+        ("list.yaml", "- a\n- b\n"),
+        ("bad.yaml", "a: [1\n b: {"),
+        ("named.yaml", "apiVersion: v1\nkind: Custom\nmetadata: {}\n"),
+        ("odd.yaml", "apiVersion: v1\nkind: Service\nmetadata: {name: 7}\nspec: {ports: [{port: 80}, {name: x}], rules: 3}\n"),
+        ("old.yaml", "apiVersion: v1\nkind: Ingress\nmetadata: {name: i}\nspec: {rules: [{http: {paths: [{backend: {serviceName: s}}]}}, {host: h}]}\n"),
+        ("map.yml", "services:\n  a: {depends_on: {b: {condition: up}}}\n  c:\n"),
+        ("date.yml", "when: 2020-01-01\n"),
+    ]
+    found = {(r["src"], r["dst"], r["type"]) for r in parsers.yaml_files(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert found == {
+        ("named.yaml", "k8s_resource:unknown", "defines_resource"),
+        ("odd.yaml", "k8s_service:7", "defines_resource"),
+        ("k8s_service:7", "k8s_endpoint:7:80", "exposes_port"),
+        ("old.yaml", "k8s_ingress:i", "defines_resource"),
+        ("k8s_ingress:i", "k8s_service:s", "routes_to"),
+        ("map.yml", "service:a", "defines_service"),
+        ("map.yml", "service:c", "defines_service"),
+    }
