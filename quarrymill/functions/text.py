@@ -84,6 +84,16 @@ def lines(text: Column, limit: int | None = None) -> Column:
     return F.slice(parts, 1, limit) if limit else parts
 
 
+#: Least and greatest length of what counts as an identifier, a string literal, a matched block.
+LENGTHS = {"identifier": (1, 199), "literal": (1, 500), "match": (101, None)}
+
+
+def sane_length(text: Column, kind: str) -> Column:
+    """Whether a text has a length that its kind may have."""
+    low, high = LENGTHS[kind]
+    return F.length(text) >= low if high is None else F.length(text).between(low, high)
+
+
 def literal_class(value: Column) -> Column:
     """'url', 'endpoint', 'queue' or null, in this order of precedence."""
     return (
@@ -123,7 +133,8 @@ def json_repaired(raw: Column, schema: str) -> Column:
 
 def yaml_block(text: Column) -> Column:
     """The YAML in a free text: a fence tagged yaml, any fence, else the run of lines from the first `key:`."""
-    tagged = F.trim(F.regexp_extract(text, r"(?is)```ya?ml\s*\n(.*?)```", 1))
-    fenced = F.trim(F.regexp_extract(text, r"(?s)```\s*\n(.*?)```", 1))
+    stripped = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    tagged = stripped(F.regexp_extract(text, r"(?is)```ya?ml\s*\n(.*?)```", 1))
+    fenced = stripped(F.regexp_extract(text, r"(?s)```\s*\n(.*?)```", 1))
     keys = F.regexp_extract(text, r"(?m)((?:^[A-Za-z_][\w ]*:.*(?:\n[ \t-].*)*\n?)+)", 1)
-    return F.coalesce(F.when(tagged != "", tagged), F.when(fenced != "", fenced), F.when(keys != "", F.trim(keys)))
+    return F.coalesce(F.when(tagged != "", tagged), F.when(fenced != "", fenced), F.when(keys != "", stripped(keys)))

@@ -79,6 +79,16 @@ def resolution_rate(rows: DataFrame, tier: str, resolved: Column) -> DataFrame:
     return out.withColumn("pct", rates.percent(F.col("resolved"), F.col("returned")))
 
 
+def as_map(rows: DataFrame, by: str, key: str, value: str, name: str) -> DataFrame:
+    """One map for each group from rows of a key and a value; keys are distinct within a group."""
+    return rows.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias(name))
+
+
+def as_rows(maps: DataFrame, by: str, name: str, key: str, value: str) -> DataFrame:
+    """A row for each entry of each group's map."""
+    return maps.select(by, F.explode(name).alias(key, value))
+
+
 def distinct_per_file(rows: DataFrame, file: str, value: str) -> DataFrame:
     """Distinct values of each file and (file null) of all, in one pass over grouping sets."""
     pairs = rows.select(file, value).where(F.col(value).isNotNull()).distinct()

@@ -103,7 +103,7 @@ def _matches(text: Column, what: str) -> Column:
             groups = range(1, re.compile(patterns[what]).groups + 1)
             each = F.concat(*(F.regexp_extract_all(text, F.lit(patterns[what]), F.lit(g)) for g in groups))
             per = F.when(F.col("__ext") == e, each).otherwise(per)
-    return F.filter(per, lambda x: (x != "") & (F.length(x) < 200))
+    return F.filter(per, lambda x: T.sane_length(x, "identifier"))
 
 
 def code_lines(files: DataFrame) -> DataFrame:
