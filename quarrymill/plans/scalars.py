@@ -89,13 +89,13 @@ def declared_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.union(readers.distinct_globs(t["rule"]).select(F.lit("glob"), F.lit(None).cast("string"), "glob"))
 
 
-@query("""SELECT n_name AS folder, concat('nation ', n_nationkey, chr(10), 'é', chr(10)) AS text FROM nation WHERE n_name NOT IN ('n1', 'JAPAN')""")
+@query("""SELECT n_name AS folder, concat('nation ', n_nationkey, chr(10), 'é', chr(10)) AS text FROM nation WHERE n_name NOT IN ('NATION_1', 'NATION_7')""")
 def scanned_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files written below a folder for each nation, found again but for those of an excluded one."""
     where = scratch(spark, "folder")
     rows = read_table(spark, sf_dir, "nation")
     rows.select(F.col("n_name").alias("folder"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string"), F.lit("\né")).alias("value")).write.partitionBy("folder").text(where)
-    found = readers.folder(spark, where, ["**/folder=n1/**", "**/folder=JAPAN/**"])
+    found = readers.folder(spark, where, ["**/folder=NATION_1/**", "**/folder=NATION_7/**"])
     return found.select(F.regexp_extract("path", "folder=([^/]+)/", 1).alias("folder"), "text").where("folder <> ''")
 
 
