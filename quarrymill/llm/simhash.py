@@ -22,28 +22,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import slices, texts_of
-from quarrymill.sources.tables import cut
+from quarrymill.sources.tables import cut, parts_for
 
 LOW = 0xFFFFFFFF
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """The fingerprint of one text; 0 without words."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of a text, repeats included; fewer than `words` words are one shingle, none have none."""
     found = text.encode("utf-8").lower().split()  # bytes: A-Z alone is lowered, and exactly \x20 \x09-\x0D separate
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(found))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype=np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if it is set in over half of them. Of none, 0."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words: int = 3) -> int:
+    """The fingerprint of one text; 0 without words."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """id and signed 64-bit fingerprint `fp` of every whole text."""
 
@@ -93,7 +102,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A node with very many links is split by the group-by's own partial sums: a step needs only minima.
     """
     current = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    if current.isEmpty():
+    size = current.count()
+    if not size:
         return nodes.select("node", F.col("node").alias("root"))
     while True:
         # large star: every larger neighbour goes to the least of the neighbourhood, itself included
@@ -102,8 +112,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # small star: what is smaller or equal goes to the least smaller neighbour
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        after = cut(small.union(small.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-        if current.count() == after.count() and current.exceptAll(after).isEmpty():
+        after = cut(small.union(small.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), parts_for(size))
+        before, size = size, after.count()
+        if before == size and current.exceptAll(after).isEmpty():
             break
         current = after
     roots = current.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
@@ -119,8 +130,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document but never names a component unless all of its component are null. Columns besides id and text are not read.
     """
     prints = cut(fingerprints(docs, id_col, text_col, words))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = cut(links(distinct.select("fp"), crowd))
+    few = parts_for(prints.count())
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), few)
+    edges = cut(links(distinct.select("fp"), crowd), few)
     touched = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     roots = components(touched, edges)
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
