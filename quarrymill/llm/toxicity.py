@@ -86,9 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         toxic = y[i : i + step][row] == 1
         count[1] += np.bincount(bucket[toxic], minlength=size)
         count[0] += np.bincount(bucket[~toxic], minlength=size)
-    # naive Bayes: log of the ratio of smoothed, normalised counts
-    p, q = count[1] + 1, count[0] + 1
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    ratio = log_count_ratio(count[1], count[0])
     s1, s0 = count[1] / n1, count[0] / n0
     mean = (count[1] + count[0]) / (n1 + n0)
     z = (s1 - s0) / np.sqrt(np.maximum(mean * (1 - mean), 1e-12) * (1 / n1 + 1 / n0))
@@ -109,6 +107,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     return ToxicityModel(out, bias)
 
 
+def log_count_ratio(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Naive Bayes: log of the ratio of the smoothed, normalised counts of each bucket in the two classes."""
+    p, q = toxic + 1, other + 1
+    return np.log(p / p.sum()) - np.log(q / q.sum())
+
+
 def _logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, n: int, steps: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights of the scaled features and the bias, by Adam on the whole (class-balanced, penalised) likelihood."""
     d = len(scale)

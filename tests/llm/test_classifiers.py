@@ -1,3 +1,7 @@
+import math
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +92,145 @@ def test_a_text_beyond_the_budget_does_not_end_the_sample(spark, long):
     assert len(got) == len(ids) - len(over) and set(got["text"].str.len()) == {10} and set(got["y"]) == {0, 1}
     only = labelled_sample(docs.where(F.length("text") > 10), labels, "good", 1000, 4000)
     assert sorted(only["y"]) == sorted({y[i] for i in over})
+
+
+def test_repeated_ids_give_one_text_each(spark):
+    rows = [(i, f"text {i} {k}") for i in range(60) for k in range(4)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 1 - i % 2) for i in range(0, 60, 7)], "doc_id long, good int")
+    one = labelled_sample(docs.repartition(7), labels, "good", 1000, 10**6)
+    assert one.equals(labelled_sample(docs.orderBy(F.desc("text")).coalesce(1), labels, "good", 1000, 10**6))
+    ids = one["text"].str.split().str[1]
+    assert ids.is_unique and len(one) == spark.range(60).where(~held_out(F.col("id"))).count()
+    few = labelled_sample(docs, labels, "good", 1000, 40)
+    assert 0 < few["text"].str.len().sum() <= 40
+
+
+def plain_sample(docs, labels, per_class):
+    """Which ids are in the sample, in plain Python but for the hash of their order."""
+    order = {r["id"]: r["h"] for r in labels.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", F.lit(2025)).alias("h")).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = []
+    for y in (0, 1):
+        own = sorted((order[r["doc_id"]], r["doc_id"]) for r in labels.collect() if r["toxic"] == y and zlib.crc32(str(r["doc_id"]).encode()) % 5)
+        out += [(h, texts[i], y) for h, i in own[:per_class] if i in texts]
+    return [(t, y) for _, t, y in sorted(out)]
+
+
+def test_sample_is_that_of_plain_python(tables):
+    docs, labels = tables
+    got = labelled_sample(docs, labels, "toxic", per_class=30, max_chars=10**9)
+    assert list(zip(got["text"], got["y"], strict=True)) == plain_sample(docs, labels, 30)
+
+
+TEXTS = ["", "a", "Ab cd!", "plain words stand here, plain words.", "日本語 é ñ 12", "x" * 1200, "the the the cat %%% sat 12 " * 60]
+
+
+def test_passages_counted_by_hand():
+    """What passages have that can be counted plainly: shares of letters, digits and blanks, upper case, byte pairs, repeated words."""
+    vectors, bags = quality.encode(TEXTS)
+    assert bags.tolist() == [max(1, -(-len(t.encode()) // quality.PASSAGE)) for t in TEXTS]
+    at = 0
+    for t, n in zip(TEXTS, bags, strict=True):
+        raw = t.encode()
+        for k in range(n):
+            part, v = raw[k * quality.PASSAGE : (k + 1) * quality.PASSAGE], vectors[at]
+            size = max(1, len(part))
+            for letter in range(26):
+                assert v[letter] == pytest.approx(sum(b | 32 == 97 + letter and chr(b).isalpha() and b < 128 for b in part) / size, abs=1e-6)
+            assert v[26] == pytest.approx(sum(48 <= b < 58 for b in part) / size, abs=1e-6)
+            assert v[59] == pytest.approx(sum(b in (32, 9) for b in part) / size, abs=1e-6)
+            assert v[64] == pytest.approx(sum(65 <= b < 91 for b in part) / size, abs=1e-6)
+            pairs = {}
+            for a, b in zip(part, part[1:]):  # noqa: B905
+                h = (a * 257 + b) * 2654435761 % 2**32 >> 22
+                pairs[h] = pairs.get(h, 0) + 1
+            total = max(1, sum(pairs.values()))
+            assert v[65] == pytest.approx(math.sqrt(sum((c / total) ** 2 for c in pairs.values())), abs=1e-5)
+            assert v[66] == pytest.approx(len(pairs) / min(size, 1024), abs=1e-6)
+            at += 1
+
+
+def plain_score(model, text):
+    """The score by the formula, number by number."""
+    vectors, _ = quality.encode([text])
+    p, sigmoid = model.p, lambda x: 1 / (1 + math.exp(-x))
+    h = [[(float(x) - m) / s for x, m, s in zip(v, model.mean, model.scale, strict=True)] for v in vectors]
+    gates = []
+    for v in h:
+        terms = [math.tanh(sum(x * w for x, w in zip(v, p["V"][:, u], strict=True))) * sigmoid(sum(x * w for x, w in zip(v, p["U"][:, u], strict=True))) for u in range(p["V"].shape[1])]
+        gates.append(math.exp(sum(t * w for t, w in zip(terms, p["w"], strict=True))))
+    weights = [g / sum(gates) for g in gates]
+    z = [sum(a * v[j] for a, v in zip(weights, h, strict=True)) for j in range(quality.WIDTH)]
+    return sigmoid(sum(c * x for c, x in zip(p["c"], z, strict=True)) + p["b"][0])
+
+
+def test_attention_score_number_by_number(tables):
+    model = quality.fit(*tables, per_class=60, epochs=2)
+    assert [model.scores([t])[0] for t in TEXTS] == pytest.approx([plain_score(model, t) for t in TEXTS], abs=1e-5)
+
+
+def test_gradients_are_differences():
+    rng = np.random.default_rng(0)
+    bags, y = np.array([1, 3, 2]), np.array([1.0, 0.0, 1.0])
+    h = rng.normal(0, 1, (6, quality.WIDTH))
+    p = {"V": rng.normal(0, 0.2, (quality.WIDTH, 3)), "U": rng.normal(0, 0.2, (quality.WIDTH, 3)), "w": rng.normal(0, 1, 3), "c": rng.normal(0, 0.3, quality.WIDTH), "b": np.array([0.1])}
+
+    def loss():
+        logit = quality._forward(p, h, bags)["logit"]
+        return float(np.mean(np.logaddexp(0, logit) - y * logit)) + 0.5e-4 * sum(float((p[k] ** 2).sum()) for k in ("V", "U", "c"))
+
+    for name, g in quality._gradients(p, h, bags, y, 1e-4).items():
+        for place in [tuple(rng.integers(0, d) for d in g.shape) for _ in range(6)]:
+            kept, e = p[name][place], 1e-5
+            p[name][place] = kept + e
+            up = loss()
+            p[name][place] = kept - e
+            down = loss()
+            p[name][place] = kept
+            assert g[place] == pytest.approx((up - down) / (2 * e), abs=1e-6)
+
+
+def plain_buckets(text):
+    """The buckets of a text's 3-, 4- and 5-grams, one character at a time."""
+    codes = [ord(c) for c in f"  {text.lower()}  "]
+    mul = lambda x, m: x * int(m) % 2**32
+    found = set()
+    for i in range(len(codes)):
+        h = mul(codes[i], toxicity._MIX[0])
+        for n in range(2, max(toxicity.ORDERS) + 1):
+            if i + n > len(codes):
+                break
+            h = (mul(h ^ h >> 15, toxicity._MIX[1]) + mul(codes[i + n - 1], toxicity._MIX[0])) % 2**32
+            if n in toxicity.ORDERS:
+                found.add((h ^ h >> 13) >> 32 - toxicity.BITS)
+    return found
+
+
+def test_buckets_ratios_and_scores_by_hand(tables):
+    rows, buckets = toxicity.buckets(TEXTS)
+    got = {i: set() for i in range(len(TEXTS))}
+    for r, b in zip(rows.tolist(), buckets.tolist(), strict=True):
+        got[r].add(b)
+    assert got == {i: plain_buckets(t) for i, t in enumerate(TEXTS)}
+    toxic, other = np.array([5.0, 0.0, 2.0]), np.array([1.0, 3.0, 2.0])
+    assert toxicity.log_count_ratio(toxic, other) == pytest.approx([math.log((a + 1) / 10 / ((b + 1) / 9)) for a, b in zip(toxic, other, strict=True)])
+    model = toxicity.fit(*tables)
+    for t, score in zip(TEXTS, model.scores(TEXTS), strict=True):
+        assert score == pytest.approx(1 / (1 + math.exp(-model.bias - sum(float(model.weights[b]) for b in plain_buckets(t)))), abs=1e-6)
+
+
+def test_weights_go_with_the_ratio(tables):
+    """Every weight is a bucket's log-count ratio times what the regression gave it: 0 where no bucket differs enough."""
+    docs, labels = tables
+    sample = labelled_sample(docs, labels, "toxic", 4000, 24_000_000)
+    counts = [{}, {}]
+    for t, y in zip(sample["text"], sample["y"], strict=True):
+        for b in plain_buckets(t[:400]):
+            counts[y][b] = counts[y].get(b, 0) + 1
+    model = toxicity.fit(docs.withColumn("text", F.substring("text", 1, 400)), labels)
+    n = [int((sample["y"] == y).sum()) for y in (0, 1)]
+    for b in np.flatnonzero(model.weights).tolist():
+        s0, s1 = counts[0].get(b, 0) / n[0], counts[1].get(b, 0) / n[1]
+        mean = (counts[0].get(b, 0) + counts[1].get(b, 0)) / sum(n)
+        assert abs(s1 - s0) / math.sqrt(mean * (1 - mean) * (1 / n[0] + 1 / n[1])) >= 5 - 1e-9
