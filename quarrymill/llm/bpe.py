@@ -67,14 +67,16 @@ class Merger:
             at[again[ok]] = found[ok]
         return self.rank[at], self.merged[at]
 
-    def _skipped(self, word_key: np.ndarray, offset: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        pair = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
-        return mix(mix(word_key ^ offset.astype(np.uint64)) ^ pair) < self.limit
+    def _salt(self, word_key: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """What the hash of a candidate takes from its word and its place, the same for all pairs there."""
+        return mix(word_key ^ offset.astype(np.uint64)) if self.limit else np.zeros(len(offset), np.uint64)
 
-    def _candidates(self, left, right, offset, word_key) -> tuple[np.ndarray, np.ndarray]:
+    def _candidates(self, left: np.ndarray, right: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of each pair; NONE as the rank of one that is no merge or is skipped."""
         rank, merged = self._look_up(left, right)
         if self.limit:
-            rank[self._skipped(word_key, offset, left, right)] = NONE
+            pair = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+            rank[mix(salt ^ pair) < self.limit] = NONE
         return rank, merged
 
     def merge(self, symbols: np.ndarray, lengths: np.ndarray, word_keys: np.ndarray | None = None) -> list[np.ndarray]:
@@ -118,8 +120,7 @@ class Merger:
         start = np.cumsum(size) - size
         word = np.repeat(np.arange(len(which)), size)
         place = np.arange(len(sym))
-        off = place - start[word]
-        key = keys[which]
+        salt = self._salt(keys[which][word], place - start[word])
         after, before = place + 1, place - 1
         after[start + size - 1] = -1
         before[start] = -1
@@ -127,7 +128,7 @@ class Merger:
         order, into = np.full(len(sym), NONE), np.zeros(len(sym), np.int64)
 
         def judge(at: np.ndarray) -> None:
-            rank, into[at] = self._candidates(sym[at], sym[after[at]], off[at], key[word[at]])
+            rank, into[at] = self._candidates(sym[at], sym[after[at]], salt[at])
             order[at] = np.where(rank < NONE, (rank << 31) | at, NONE)
 
         judge(np.flatnonzero(after >= 0))
@@ -147,10 +148,10 @@ class Merger:
                 moved = np.cumsum(stay) - 1
                 after, before = after[stay], before[stay]
                 after, before = np.where(after < 0, -1, moved[after]), np.where(before < 0, -1, moved[before])
-                sym, off, into, order = sym[stay], off[stay], into[stay], order[stay]
+                sym, salt, into, order = sym[stay], salt[stay], into[stay], order[stay]
                 order = np.where(order < NONE, (order >> 31 << 31) | np.arange(len(order)), NONE)
                 word = (np.cumsum(going) - 1)[word[stay]]
-                which, key = which[going], key[going]
+                which = which[going]
                 start = np.searchsorted(word, np.arange(n))
                 best = np.minimum.reduceat(order, start)
             elif n < len(which):
@@ -174,7 +175,8 @@ class Merger:
         n = len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         alive, version = [True] * n, [0] * n
-        rank, into = self._candidates(sym[:-1], sym[1:], np.arange(n - 1), np.full(n - 1, word_key))
+        salt = self._salt(np.full(n, word_key), np.arange(n))
+        rank, into = self._candidates(sym[:-1], sym[1:], salt[:-1])
         ids = sym.tolist()
         heap = [(int(r), i, 0, 0, int(m)) for i, (r, m) in enumerate(zip(rank, into, strict=True)) if r < NONE]
         heapq.heapify(heap)
@@ -182,7 +184,7 @@ class Merger:
         def push(i: int) -> None:
             j = after[i]
             if j < n:
-                r, m = self._candidates(np.array([ids[i]]), np.array([ids[j]]), np.array([i]), np.array([word_key]))
+                r, m = self._candidates(np.array([ids[i]]), np.array([ids[j]]), salt[i : i + 1])
                 if r[0] < NONE:
                     heapq.heappush(heap, (int(r[0]), i, version[i], version[j], int(m[0])))
 

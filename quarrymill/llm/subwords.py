@@ -34,17 +34,20 @@ _CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
 class _Recorder(Merger):
-    """Merges without dropout and notes each candidate: the word's key, the place and the pair."""
+    """Merges without dropout and notes each candidate: the word's number and the place in one integer, and the pair."""
 
     def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
         super().__init__(pairs)
-        self.seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def _candidates(self, left, right, offset, word_key):
+    def _salt(self, word_key, offset):
+        return (word_key << np.uint64(32)) | offset.astype(np.uint64)
+
+    def _candidates(self, left, right, salt):
         rank, merged = self._look_up(left, right)
         met = rank < NONE
         pair = (left[met].astype(np.uint64) << np.uint64(32)) | right[met].astype(np.uint64)
-        self.seen.append((word_key[met], offset[met], pair))
+        self.seen.append((salt[met], pair))
         return rank, merged
 
 
@@ -161,9 +164,10 @@ class PieceCodec:
         symbols, lengths = self._symbols("".join(chunks)), np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
         self.recorder.seen = []
         merged, sizes = self.recorder.merge_flat(symbols, lengths, np.arange(len(chunks), dtype=np.uint64))
-        word, place, pair = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*self.recorder.seen, strict=True)) if self.recorder.seen else (np.empty(0, np.int64),) * 3
+        where, pair = (np.concatenate([np.empty(0, np.uint64), *x]) for x in zip(*self.recorder.seen, strict=True)) if self.recorder.seen else (np.empty(0, np.uint64),) * 2
+        word, place = (where >> np.uint64(32)).astype(np.int64), (where & np.uint64(2**32 - 1)).astype(np.int64)
         order = np.argsort(word, kind="stable")
-        met = np.bincount(word.astype(np.int64), minlength=len(chunks))
+        met = np.bincount(word, minlength=len(chunks))
         self.cache.update(zip(names, range(len(self.keys), len(self.keys) + len(names)), strict=True))
         self.ids.extend(*self._spelled(merged, sizes))
         self.symbols.extend(symbols, lengths)
