@@ -105,6 +105,20 @@ def config_graph_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.type_histogram(nodes.where(F.col("type").isin("k8s_service", "k8s_ingress", "file")))
 
 
+@query("""SELECT concat('f', n_nationkey, '.ini') AS src, concat('section:s', n_nationkey % 5) AS dst, 'has_section' AS type FROM nation""")
+def added_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parser for another kind of file, put before the one that takes all."""
+    key = F.col("n_nationkey")
+    files = read_table(spark, sf_dir, "nation").select(F.concat(F.lit("f"), _text(key), F.lit(".ini")).alias("path"), F.concat(F.lit("; x\n[s"), _text(key % 5), F.lit("]\nk = 1\n")).alias("text"))
+
+    def sections(some: DataFrame) -> DataFrame:
+        each = some.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\[(\w+)\]"), F.lit(1))).alias("name"))
+        return each.select(F.col("path").alias("src"), F.lit("file").alias("src_type"), F.concat(F.lit("section:"), "name").alias("dst"), F.lit("section").alias("dst_type"), "name", F.lit("has_section").alias("type"))
+
+    mine = (lambda p: F.endswith(p, F.lit(".ini")), sections)
+    return parsers.build_graph(files, [*parsers.PARSERS[:-1], mine, parsers.PARSERS[-1]])[1].select("src", "dst", "type")
+
+
 @query()
 def function_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of the functions that the graph lists for each file; their end is found by look-ahead, which the oracle doesn't have; tests compare with Python's."""

@@ -12,7 +12,7 @@ from quarrymill.functions import text as T
 from quarrymill.operators import evaluate, quality_gate, relevance, shares, stats
 from quarrymill.plans.evaluation import _COUNTS, _O, _RATES, outcome_rows, rounded
 from quarrymill.plans.registry import query
-from quarrymill.sources import readers, read_table, sinks
+from quarrymill.sources import read_table, readers, schemas, sinks
 from quarrymill.sources.tables import ensure_checkpoint_dir
 from quarrymill.streaming import event_fold
 
@@ -222,3 +222,30 @@ def path_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN length(text) > 500 THEN concat(substr(text, 1, 250), '...', substr(text, length(text) - 249)) ELSE text END AS short FROM documents""")
 def squeezed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", T.squeeze(F.col("text"), 500, "...").alias("short"))
+
+
+@query("""SELECT concat('repo', s_suppkey) AS repo, CAST(s_suppkey % 4 AS BIGINT) AS run FROM supplier WHERE s_suppkey % 3 = 1 AND s_suppkey % 4 = 2""")
+def selected_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of a folder, one object in each file, by threshold of the judge, scheme, run and phase; those without a summary are none."""
+    where = scratch(spark, "reports")
+    n = F.col("s_suppkey")
+    configuration = F.struct(F.struct((n % 3 + 5).alias("judge_confidence")).alias("thresholds"), F.lit("base").alias("weight_scheme"))
+    metadata = F.struct(F.struct((n % 4).alias("run_number"), F.lit("test").alias("phase")).alias("experiment"), F.struct(configuration.alias("configuration")).alias("reproducibility"))
+    suppliers = read_table(spark, sf_dir, "supplier")
+    suppliers.select(F.struct(F.concat(F.lit("repo"), _text(n)).alias("repository_name")).alias("summary"), metadata.alias("_metadata")).write.option("maxRecordsPerFile", 1).json(f"{where}/a")
+    suppliers.select(n.alias("other")).write.option("maxRecordsPerFile", 1).json(f"{where}/b")
+    found = readers.select_reports(readers.reports(spark, where), judge=6, scheme="base", run=2, phase="test")
+    return found.select(F.col("summary.repository_name").alias("repo"), F.col("_metadata.experiment.run_number").alias("run"))
+
+
+_EVENT = "['run_summary', 'session_start', 'session_end', 'pattern_analysis_start', 'pattern_analysis_end', 'file_scored', 'prioritization_complete', 'file_investigated', 'evidence_accepted', 'investigation_phase_complete', 'deliberation_start', 'pattern_verdict', 'error', 'warning', 'performance_metric', 'llm_call', 'graph_built', 'graph_stats', 'negative_evidence'][event_id % 19 + 1]"
+
+
+@query(f"""SELECT {_EVENT} AS event, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS duration, CAST(count(*) FILTER (value > 50) AS BIGINT) AS detected FROM events GROUP BY 1""")
+def event_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with every kind of event, written as JSON lines and read under the one wide schema."""
+    where = scratch(spark, "log")
+    kind = F.element_at(F.array(*map(F.lit, schemas.EVENT_KINDS)), (F.col("event_id") % len(schemas.EVENT_KINDS) + 1).cast("int"))
+    lines = read_table(spark, sf_dir, "events").select(kind.alias("event"), F.col("value").alias("duration_seconds"), (F.col("value") > 50).alias("detected"), F.lit("x").alias("unknown_field"))
+    lines.write.json(where)
+    return readers.detection_log(spark, where).groupBy("event").agg(F.count("*").alias("n"), F.round(F.sum("duration_seconds"), 4).alias("duration"), F.count_if("detected").alias("detected"))
