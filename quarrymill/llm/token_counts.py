@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -42,7 +41,8 @@ class TokenCounter:
     #: Chunks remembered; when there are more, all but those of the current batch are forgotten.
     CACHE = 500_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
+        """whole: the strings of the vocabulary that are proved whole; they are proved here if it is None."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -55,7 +55,7 @@ class TokenCounter:
         self.pattern = regex.compile(PATTERN)
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
-        self.whole = self._prove(vocab, alphabet)
+        self.whole = self._prove(vocab, alphabet) if whole is None else whole
         self.cache: dict[str, int] = {}
 
     def _prove(self, vocab: dict[str, int], alphabet: dict[str, int]) -> frozenset[str]:
@@ -139,10 +139,14 @@ class TokenCounter:
         return out
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> TokenCounter:
-    """One counter for each worker process."""
-    return TokenCounter(path)
+_COUNTERS: dict[str, TokenCounter] = {}
+
+
+def counter(path: str, whole: frozenset[str] | None = None) -> TokenCounter:
+    """One counter for each process and vocabulary."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = TokenCounter(path, whole)
+    return _COUNTERS[path]
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
@@ -155,8 +159,10 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
+    whole = counter(path).whole  # proved once, on the driver
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = counter(path)
+        tool = counter(path, whole)
         for batch in slices(batches):
             tokens = tool.count(texts_of(batch))
             sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
