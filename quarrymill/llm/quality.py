@@ -196,5 +196,7 @@ def score_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, whose score is at least the threshold."""
+    """The rows of `docs`, all columns, whose score is at least the threshold. A model without weights, as one without labels of both classes, rejects none."""
+    if not model.p["c"].any():
+        return docs
     return docs.where(score(F.col(text_col), model) >= threshold)

@@ -147,5 +147,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, whose score is below the threshold."""
+    """The rows of `docs`, all columns, whose score is below the threshold. A model without weights, as one without labels of both classes, rejects none."""
+    if not model.weights.any():
+        return docs
     return docs.where(score(F.col(text_col), model) < threshold)

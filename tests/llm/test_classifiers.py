@@ -47,6 +47,8 @@ def test_without_labels(spark, odd, module, label, threshold):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in module.score_documents(odd, module.fit(odd, empty)).collect()} == {0.5}
     one = spark.createDataFrame([(i, 1, 1) for i in range(1, 8)], "doc_id long, quality int, toxic int")
+    keep = module.keep_good if module is quality else module.keep_clean
+    assert keep(odd, module.fit(odd, empty)).count() == keep(odd, module.fit(odd, one)).count() == odd.count()
     assert all(r["score"] > 0.5 for r in module.score_documents(odd, module.fit(odd, one)).collect())
 
 
