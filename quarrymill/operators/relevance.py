@@ -61,14 +61,15 @@ def tiers(matches: DataFrame, path: str = "path") -> DataFrame:
 
 
 def keyword_hits(files: DataFrame, matches: DataFrame, keywords: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """pattern, path, keywords, anti_keywords: what a file contains of the keywords of the rules that match it, sorted.
+    """pattern, path, keywords, anti_keywords, keyword_score: what a file contains of the keywords of the rules that match it, sorted.
 
-    keywords: pattern, rule_no, keyword, kind ('pos' or 'anti') - declared, small, broadcast.
+    keywords: pattern, rule_no, keyword, kind ('pos' or 'anti') - declared, small, broadcast. What is wanted of a file is
+    gathered without its text; texts are joined to it once. Where rules match all files, `keyword_scan` needs no join.
     """
-    wanted = matches.join(F.broadcast(keywords), ["pattern", "rule_no"]).select("pattern", path, "keyword", "kind").distinct()
-    hit = wanted.join(files.select(path, text), path).where(T.contains_folded(F.col(text), F.col("keyword")))
-    gather = lambda kind: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("keyword"))))
-    return hit.groupBy("pattern", path).agg(gather("pos").alias("keywords"), gather("anti").alias("anti_keywords"))
+    words = lambda kind: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("keyword"))))
+    each = matches.join(F.broadcast(keywords), ["pattern", "rule_no"]).groupBy(path, "pattern").agg(words("pos").alias("pos"), words("anti").alias("anti"))
+    wanted = each.groupBy(path).agg(F.collect_list(F.struct("pattern", "pos", "anti")).alias("__wanted"))
+    return keyword_scan(files.select(path, text).join(wanted, path), F.col("__wanted"), path, text)
 
 
 def declared(keywords: list[tuple[str, int, str, str]]) -> Column:

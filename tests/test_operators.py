@@ -279,3 +279,14 @@ def test_running_total_is_that_of_one_order(spark):
     got = running_total(spark.createDataFrame(rows, "k int, w int").repartition(5), ["k"], F.col("w"), "before").collect()
     assert {r["k"]: r["before"] for r in got} == {k: sum(w for j, w in rows if j < k) for k, _ in rows}
     assert running_total(spark.createDataFrame([], "k int, w int"), ["k"], F.col("w"), "before").collect() == []
+
+
+def test_keywords_of_matching_rules_only(spark):
+    files = spark.createDataFrame([("a.py", "def Route():\n    test proxy proxy"), ("b.go", "proxy"), ("c.md", None)], "path string, text string")
+    matches = spark.createDataFrame([("gate", "a.py", 0), ("gate", "b.go", 1), ("gate", "c.md", 0), ("other", "a.py", 0)], "pattern string, path string, rule_no int")
+    words = [("gate", 0, "route", "pos"), ("gate", 0, "proxy", "pos"), ("gate", 0, "test", "anti"), ("gate", 1, "nothing", "pos"), ("other", 0, "absent", "pos"), ("other", 0, "test", "anti")]
+    got = {(r["pattern"], r["path"]): (r["keywords"], r["anti_keywords"], round(r["keyword_score"], 9)) for r in relevance.keyword_hits(files, matches, spark.createDataFrame(words, "pattern string, rule_no int, keyword string, kind string")).collect()}
+    # route: 0.15 + 0.25 in a line that defines + 0.03; proxy: 0.15 + 0.10 + 0.06; test takes 0.08; two keywords
+    assert got == {("gate", "a.py"): (["proxy", "route"], ["test"], round((0.43 + 0.31 - 0.08) / 1.6, 9)), ("other", "a.py"): ([], ["test"], 0.0)}
+    everywhere = relevance.keyword_scan(files, relevance.declared(words)).where("path = 'b.go'").collect()
+    assert [(r["pattern"], r["keywords"], r["anti_keywords"]) for r in everywhere] == [("gate", ["proxy"], [])]
