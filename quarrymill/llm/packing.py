@@ -205,27 +205,37 @@ def plan(histogram: dict[int, int], size: int = 2048) -> list[tuple[int, int, in
     return slots
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", salts: int = 256, broadcast_rows: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", part_rows: int = 512, broadcast_rows: int = 100_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece of every document in a sequence of at most `size` tokens.
 
     A null or empty text is the end id alone. Documents longer than `size` are cut into pieces. Repeated
     rows, also with one id, are packed each on its own; an empty table gives none. Other columns are not read.
-    The driver gets the histogram (at most `size` rows) and the plan, no row of a document. Ranks within a
-    length are counted in `salts` parts by hash, so a length that many documents share is not one task's work.
+    The driver gets the histogram (at most `size` rows) and the plan, no row of a document.
+
+    Ranks within a length are counted in parts by hash, as many as give a part some `part_rows` pieces, so a length that
+    many documents share is not one task's work. Slots meet pieces by length and by the thousand that their ranks are in,
+    so a piece is tried against the slots of its thousand, not against all of its length.
     """
-    found = cut(pieces(docs, path, size, id_col=id_col, text_col=text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts))))
-    counts = cut(found.groupBy("length", "salt").agg(F.count("*").alias("n")))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = plan(histogram, size)
-    schema = "length bigint, a bigint, b bigint, first bigint, each bigint, place bigint"
-    table = docs.sparkSession.createDataFrame(slots, schema)
+    found = cut(pieces(docs, path, size, id_col=id_col, text_col=text_col))
+    histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    session = docs.sparkSession
+    # one row for each length, `size` at most, so broadcast
+    dealt = F.broadcast(session.createDataFrame([(n, -(-k // part_rows)) for n, k in histogram.items()], "length bigint, parts bigint"))
+    salted = found.join(dealt, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
+    counts = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "before")
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = found.withColumn("k", F.row_number().over(within) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("k"))
-    table = F.broadcast(table) if len(slots) <= broadcast_rows else table
+    ranked = salted.withColumn("k", F.row_number().over(within) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("k"))
+    slots = plan(histogram, size)
+    thousand = lambda rank: F.shiftright(rank, 10)
+    table = session.createDataFrame(slots, "length bigint, a bigint, b bigint, first bigint, each bigint, place bigint")
+    table = table.withColumn("thousand", F.explode(F.sequence(thousand(F.col("a")), thousand(F.col("b") - 1))))
+    rows = sum((b - 1 >> 10) - (a >> 10) + 1 for _, a, b, *_ in slots)
+    table = F.broadcast(table) if rows <= broadcast_rows else table
     at = F.col("rank") - F.col("a")
     return (
-        ranked.join(table, "length")
+        ranked.withColumn("thousand", thousand(F.col("rank")))
+        .join(table, ["length", "thousand"])
         .where((F.col("rank") >= F.col("a")) & (F.col("rank") < F.col("b")))
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"), (F.col("place") + F.pmod(at, F.col("each")) * F.col("length")).alias("offset"))
     )

@@ -51,7 +51,7 @@ def check_whole(rows, size):
 
 @pytest.mark.parametrize("size", [7, 64, 2048])
 def test_pieces_and_places(spark, odd, library, size):
-    rows = packing.pack(odd, PATH, size=size, salts=4).collect()
+    rows = packing.pack(odd, PATH, size=size, part_rows=3).collect()
     expected = {}
     for d in odd.select("doc_id", "text").collect():
         whole = ids(library, d["text"] or "") + bytes(4)
