@@ -20,3 +20,24 @@ def running_total(rows: DataFrame, order: list[str], weight: Column, name: str)
     own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     # as many rows as ranges, so broadcast
     return ranged.join(F.broadcast(carried), "__part").withColumn(name, F.col("__before") + F.coalesce(F.sum("__w").over(own), F.lit(0))).drop("__part", "__w", "__before")
+
+
+def running_totals(rows: DataFrame, groups: list[str], order: list[str], weights: dict[str, Column]) -> DataFrame:
+    """`rows` with, for each name of `weights`, the sum over the rows of its group before this one; 0 for the first.
+
+    With weight 1 it is the place of a row in its group, from 0. No task sees a group: rows are dealt out by ranges of
+    (groups, order), so a large group takes many ranges, each is summed by itself, and what a range leaves of its last
+    group is carried into the next, by a table of one row for each range. Nulls come first and are one group.
+    """
+    inner = {name: f"__w{i}" for i, name in enumerate(weights)}
+    group = F.struct(*groups)
+    weighted = rows.withColumns({inner[name]: weight for name, weight in weights.items()})
+    ranged = cut(weighted.repartitionByRange(*groups, *order).withColumn("__part", F.spark_partition_id()))
+    last = ranged.groupBy("__part").agg(F.max(group).alias("__last"))
+    left = ranged.join(F.broadcast(last), "__part").where(group.eqNullSafe(F.col("__last"))).groupBy("__part").agg(F.first("__last").alias("__last"), *(F.sum(w).alias(w) for w in inner.values()))
+    so_far = Window.partitionBy("__last").orderBy("__part")  # as many rows as ranges
+    carried = left.select(F.lead("__part").over(Window.orderBy("__part")).alias("__next"), "__last", *(F.sum(w).over(so_far).alias(f"{w}c") for w in inner.values()))
+    own = Window.partitionBy("__part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = ranged.join(F.broadcast(carried), (F.col("__part") == F.col("__next")) & group.eqNullSafe(F.col("__last")), "left")
+    zero = F.lit(0)
+    return met.withColumns({name: F.coalesce(F.sum(w).over(own), zero) + F.coalesce(F.col(f"{w}c"), zero) for name, w in inner.items()}).select(*rows.columns, *weights)
