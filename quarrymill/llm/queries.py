@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import fingerprints, packing, pii, quality, secrets, simhash, subwords, token_counts, topk, toxicity
+from quarrymill.llm import fingerprints, packing, pii, prefix_trie, quality, secrets, simhash, subwords, token_counts, topk, toxicity
 from quarrymill.sources import read_table
 
 
@@ -53,7 +53,11 @@ def op10_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), drop=0.1, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_fingerprints, op4_toxicity, op5_simhash, op6_topk_search, op7_pii, op8_secrets, op9_token_counts, op10_subwords)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_fingerprints, op4_toxicity, op5_simhash, op6_topk_search, op7_pii, op8_secrets, op9_token_counts, op10_subwords, op11_prefix_trie)}
 ORACLE_SQL: dict[str, str] = {
     "op6_topk_search": """
         WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -64,4 +68,26 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 20
     """,
+    "op11_prefix_trie": r"""
+        WITH t AS (SELECT conv_id, text, sha256(length(role) || ':' || role || text) AS digest, turn
+                   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+             turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS place FROM t),
+             crc AS (SELECT conv_id, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                         lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) AS crc
+                     FROM (SELECT DISTINCT conv_id FROM turns)),
+             convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, crc % 4 AS h FROM crc),
+             moved AS (SELECT c.conv_id, place, digest, text FROM turns t JOIN convs c ON t.conv_id = c.base AND place < h
+                       UNION ALL SELECT c.conv_id, place, digest, text FROM turns t JOIN convs c ON t.conv_id = c.conv_id AND place >= h),
+             paths AS (SELECT *, row_number() OVER p AS depth, count(*) OVER (PARTITION BY conv_id) AS len, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens, string_agg(digest, '') OVER (p ROWS UNBOUNDED PRECEDING) AS prefix FROM moved WINDOW p AS (PARTITION BY conv_id ORDER BY place)),
+             occ AS (SELECT conv_id, depth, len, tokens, sha256(prefix) AS node FROM paths
+                     UNION ALL SELECT conv_id, 0, (SELECT count(*) FROM moved m WHERE m.conv_id = c.conv_id), 0, '' FROM convs c),
+             nodes AS (SELECT node, any_value(depth) AS depth, min(conv_id) AS owner, count(*) AS n_convs, max(len) AS deepest, (count(*) - 1) * any_value(tokens) AS saved,
+                              sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = len), '')) AS ends_sha256 FROM occ GROUP BY node),
+             below AS (SELECT DISTINCT p.node AS top, q.node FROM occ p JOIN occ q ON p.conv_id = q.conv_id AND q.depth >= p.depth),
+             sums AS (SELECT top, sum(n.saved) AS saved_tokens, count(*) FILTER (WHERE n.depth = n.deepest) AS n_leaves, count(*) FILTER (WHERE n.depth = t.depth + 1) AS n_children
+                      FROM below b JOIN nodes n ON b.node = n.node JOIN nodes t ON b.top = t.node GROUP BY top),
+             above AS (SELECT DISTINCT q.node, p.node AS parent FROM occ p JOIN occ q ON p.conv_id = q.conv_id AND q.depth = p.depth + 1)
+        SELECT n.owner AS conv_id, CAST(n.depth AS BIGINT) AS depth, p.owner AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums s ON n.node = s.top LEFT JOIN above a ON n.node = a.node LEFT JOIN nodes p ON a.parent = p.node
+    """,
 }
