@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import fingerprints, packing, pii, prefix_trie, quality, secrets, simhash, subwords, token_counts, topk, toxicity
+from quarrymill.llm import fingerprints, packing, pii, prefix_trie, quality, secrets, simhash, subwords, token_counts, topk, toxicity, url_filter
 from quarrymill.sources import read_table
 
 
@@ -57,7 +57,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_fingerprints, op4_toxicity, op5_simhash, op6_topk_search, op7_pii, op8_secrets, op9_token_counts, op10_subwords, op11_prefix_trie)}
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_fingerprints, op4_toxicity, op5_simhash, op6_topk_search, op7_pii, op8_secrets, op9_token_counts, op10_subwords, op11_prefix_trie, op13_url_filter)}
 ORACLE_SQL: dict[str, str] = {
     "op6_topk_search": """
         WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -90,4 +94,42 @@ ORACLE_SQL: dict[str, str] = {
         SELECT n.owner AS conv_id, CAST(n.depth AS BIGINT) AS depth, p.owner AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
         FROM nodes n JOIN sums s ON n.node = s.top LEFT JOIN above a ON n.node = a.node LEFT JOIN nodes p ON a.parent = p.node
     """,
+    "op13_url_filter": r"""
+        WITH u AS (SELECT row_number() OVER () AS n, page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+             h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+             s AS (SELECT n, page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+             rules(label, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+             fits AS (SELECT n, rhost || rpath AS rule, label FROM s JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+                      QUALIFY row_number() OVER (PARTITION BY n ORDER BY length(rhost || rpath) DESC, rhost || rpath DESC) = 1),
+             base AS (SELECT s.*, rule, label, left(md5(url), 1) < '3' AS aside FROM s LEFT JOIN fits ON s.n = fits.n),
+             met AS (SELECT n, label, aside, unnest(list_transform(generate_series(1, length(url) + 1), lambda i: substring(repeat(chr(2), 4) || url || chr(3), i, 5))) AS gram FROM base),
+             g5 AS (SELECT gram, count(*) FILTER (WHERE label = 'allow' AND NOT aside) AS a, count(*) FILTER (WHERE label = 'block' AND NOT aside) AS b, FROM met GROUP BY gram),
+             g4 AS (SELECT substring(gram, 2) AS gram, sum(a) AS a, sum(b) AS b FROM g5 GROUP BY ALL),
+             g3 AS (SELECT substring(gram, 2) AS gram, sum(a) AS a, sum(b) AS b FROM g4 GROUP BY ALL),
+             g2 AS (SELECT substring(gram, 2) AS gram, sum(a) AS a, sum(b) AS b FROM g3 GROUP BY ALL),
+             g1 AS (SELECT substring(gram, 2) AS gram, sum(a) AS a, sum(b) AS b FROM g2 GROUP BY ALL),
+             t1 AS (SELECT left(gram, 0) AS context, sum(a) AS n_a, sum(b) AS n_b, count(*) FILTER (WHERE a > 0) AS kinds_a, count(*) FILTER (WHERE b > 0) AS kinds_b FROM g1 GROUP BY ALL),
+             p1 AS (SELECT gram, CASE WHEN n_a = 0 THEN q ELSE (a + kinds_a * q) / (n_a + kinds_a) END AS q_a, CASE WHEN n_b = 0 THEN q ELSE (b + kinds_b * q) / (n_b + kinds_b) END AS q_b
+                    FROM g1 JOIN t1 ON left(g1.gram, 0) = context CROSS JOIN (SELECT 1.0::DOUBLE / (count(*) + 1) AS q FROM g1)),
+             t2 AS (SELECT left(gram, 1) AS context, sum(a) AS n_a, sum(b) AS n_b, count(*) FILTER (WHERE a > 0) AS kinds_a, count(*) FILTER (WHERE b > 0) AS kinds_b FROM g2 GROUP BY ALL),
+             p2 AS (SELECT gram, CASE WHEN n_a = 0 THEN q_a ELSE (a + kinds_a * q_a) / (n_a + kinds_a) END AS q_a, CASE WHEN n_b = 0 THEN q_b ELSE (b + kinds_b * q_b) / (n_b + kinds_b) END AS q_b
+                    FROM g2 JOIN t2 ON left(g2.gram, 1) = context JOIN (SELECT gram AS suffix, q_a, q_b FROM p1) ON substring(g2.gram, 2) = suffix),
+             t3 AS (SELECT left(gram, 2) AS context, sum(a) AS n_a, sum(b) AS n_b, count(*) FILTER (WHERE a > 0) AS kinds_a, count(*) FILTER (WHERE b > 0) AS kinds_b FROM g3 GROUP BY ALL),
+             p3 AS (SELECT gram, CASE WHEN n_a = 0 THEN q_a ELSE (a + kinds_a * q_a) / (n_a + kinds_a) END AS q_a, CASE WHEN n_b = 0 THEN q_b ELSE (b + kinds_b * q_b) / (n_b + kinds_b) END AS q_b
+                    FROM g3 JOIN t3 ON left(g3.gram, 2) = context JOIN (SELECT gram AS suffix, q_a, q_b FROM p2) ON substring(g3.gram, 2) = suffix),
+             t4 AS (SELECT left(gram, 3) AS context, sum(a) AS n_a, sum(b) AS n_b, count(*) FILTER (WHERE a > 0) AS kinds_a, count(*) FILTER (WHERE b > 0) AS kinds_b FROM g4 GROUP BY ALL),
+             p4 AS (SELECT gram, CASE WHEN n_a = 0 THEN q_a ELSE (a + kinds_a * q_a) / (n_a + kinds_a) END AS q_a, CASE WHEN n_b = 0 THEN q_b ELSE (b + kinds_b * q_b) / (n_b + kinds_b) END AS q_b
+                    FROM g4 JOIN t4 ON left(g4.gram, 3) = context JOIN (SELECT gram AS suffix, q_a, q_b FROM p3) ON substring(g4.gram, 2) = suffix),
+             t5 AS (SELECT left(gram, 4) AS context, sum(a) AS n_a, sum(b) AS n_b, count(*) FILTER (WHERE a > 0) AS kinds_a, count(*) FILTER (WHERE b > 0) AS kinds_b FROM g5 GROUP BY ALL),
+             p5 AS (SELECT gram, CASE WHEN n_a = 0 THEN q_a ELSE (a + kinds_a * q_a) / (n_a + kinds_a) END AS q_a, CASE WHEN n_b = 0 THEN q_b ELSE (b + kinds_b * q_b) / (n_b + kinds_b) END AS q_b
+                    FROM g5 JOIN t5 ON left(g5.gram, 4) = context JOIN (SELECT gram AS suffix, q_a, q_b FROM p4) ON substring(g5.gram, 2) = suffix),
+             totals AS (SELECT n, CAST(sum(CAST(round(ln(q_a / q_b) * 1000000) AS BIGINT)) AS BIGINT) AS total FROM met JOIN p5 ON met.gram = p5.gram WHERE label IS NULL OR aside GROUP BY n),
+             scored AS (SELECT b.n, label, CAST(floor(total / (2000 * (length(url) + 1))) AS BIGINT) AS step FROM base b JOIN totals t ON b.n = t.n),
+             held AS (SELECT greatest(least(step, 5000), -5000) AS step, count(*) FILTER (WHERE label = 'allow') AS good, count(*) FILTER (WHERE label = 'block') AS bad FROM scored WHERE label IS NOT NULL GROUP BY 1),
+             edges AS (SELECT step AS upto, least(greatest(0, coalesce(lag(step) OVER (ORDER BY step) + 1, -5000)), step) AS step FROM (SELECT step FROM held UNION ALL SELECT 5001)),
+             rated AS (SELECT e.step, coalesce(sum(good) FILTER (WHERE h.step >= e.upto), 0) * sum(bad) + coalesce(sum(bad) FILTER (WHERE h.step < e.upto), 0) * sum(good) AS right_, sum(good) * sum(bad) AS both_ FROM edges e CROSS JOIN held h GROUP BY ALL),
+             chosen AS (SELECT coalesce((SELECT step FROM rated WHERE both_ > 0 ORDER BY right_ DESC, abs(step), step LIMIT 1), 0) AS edge, (SELECT coalesce(sum(a), 0) > 0 AND coalesce(sum(b), 0) > 0 FROM g5) AS learned)
+        SELECT page_id, host, path, rule, coalesce(b.label, CASE WHEN NOT learned OR s.step >= edge THEN 'allow' ELSE 'block' END) AS verdict
+        FROM base b LEFT JOIN scored s ON b.n = s.n CROSS JOIN chosen
+    """,
 }
