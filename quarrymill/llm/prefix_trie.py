@@ -61,7 +61,7 @@ def paths_of(turns: DataFrame, family: int = 20, heads: int = 4) -> tuple[DataFr
     taken = F.least("h", F.coalesce("there", F.lit(0)))
     known = counts.join(bases, "base", "left").select("conv_id", "base", "h", taken.alias("m"), (F.floor((F.col("n") - 1) / STEP) + 1).alias("blocks"), (taken + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("len"))
     known = cut(known)
-    own = turns.join(in_blocks(known), ["conv_id", "block"]).where("place >= h").select("conv_id", "block", (F.col("place") - F.col("h") + F.col("m") + 1).alias("depth"), "digest", "tokens", "len", "blocks")
+    own = turns.join(in_blocks(known).hint("shuffle_hash"), ["conv_id", "block"]).where("place >= h").select("conv_id", "block", (F.col("place") - F.col("h") + F.col("m") + 1).alias("depth"), "digest", "tokens", "len", "blocks")
     # a base has `heads` - 1 turns at most and `family` conversations or twice as many (around 0)
     first = turns.where((F.col("place") < heads - 1) & (F.col("conv_id") % family == 0)).select(F.col("conv_id").alias("base"), "place", "digest", "tokens")
     given = first.join(known, "base").where("place < m").select("conv_id", F.lit(0).cast("long").alias("block"), (F.col("place") + 1).alias("depth"), "digest", "tokens", "len", "blocks")
@@ -73,14 +73,17 @@ def in_blocks(members: DataFrame) -> DataFrame:
     return members.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
 
 
-def _along(paths: DataFrame, columns: tuple[str, ...], backward: bool = False) -> DataFrame:
-    """`paths` with sums of `columns` from the start of a path to this turn, or from this turn to the end."""
+def _along(paths: DataFrame, columns: tuple[str, ...], blocks: int, backward: bool = False) -> DataFrame:
+    """`paths` with sums of `columns` from the start of a path to this turn, or from this turn to the end. blocks: of the longest path."""
     way = (lambda c: F.desc(c)) if backward else F.col
     within = Window.partitionBy("conv_id", "block").orderBy(way("depth")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = paths.withColumns({f"{c}_sum": F.sum(c).over(within) for c in columns})
+    if blocks <= 1:
+        return summed
     before = Window.partitionBy("conv_id").orderBy(way("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
     totals = paths.where("blocks > 1").groupBy("conv_id", "block").agg(*(F.sum(c).alias(c) for c in columns))
     carried = totals.select("conv_id", "block", *(F.sum(c).over(before).alias(f"{c}_carried") for c in columns))
-    summed = paths.withColumns({f"{c}_sum": F.sum(c).over(within) for c in columns}).join(carried, ["conv_id", "block"], "left")
+    summed = summed.join(carried, ["conv_id", "block"], "left")
     return summed.withColumns({f"{c}_sum": F.col(f"{c}_sum") + F.coalesce(f"{c}_carried", F.lit(0)) for c in columns}).drop(*(f"{c}_carried" for c in columns))
 
 
@@ -88,11 +91,11 @@ def _joined(low: Column, high: Column) -> Column:
     return low.bitwiseAND(_HALF).bitwiseOR(F.shiftleft(high.bitwiseAND(_HALF), 32))
 
 
-def occurrences(paths: DataFrame) -> DataFrame:
+def occurrences(paths: DataFrame, blocks: int) -> DataFrame:
     """Each turn of each path with the name of the prefix that it ends (k1, k2, depth) and that of the one before (p1, p2)."""
     hashes = [F.xxhash64(F.lit(seed), F.col("depth").cast("long"), "digest") for seed in (1, 2)]
     lanes = [half for h in hashes for half in (h.bitwiseAND(_HALF), F.shiftrightunsigned(h, 32))]
-    summed = _along(paths.withColumns(dict(zip(_LANES, lanes, strict=True))).drop("digest"), _LANES)
+    summed = _along(paths.withColumns(dict(zip(_LANES, lanes, strict=True))).drop("digest"), _LANES, blocks)
     total, earlier = [F.col(f"{c}_sum") for c in _LANES], [F.col(f"{c}_sum") - F.col(c) for c in _LANES]
     return summed.select("conv_id", "block", "blocks", "depth", "len", "tokens", _joined(*total[:2]).alias("k1"), _joined(*total[2:]).alias("k2"), _joined(*earlier[:2]).alias("p1"), _joined(*earlier[2:]).alias("p2"))
 
@@ -102,7 +105,7 @@ def _owners_above(owned: DataFrame, nodes: DataFrame, root_owner: int) -> DataFr
 
     Where many conversations leave one node, that node is among the few of more than `CROWD` members, which are broadcast.
     """
-    entries = owned.select("conv_id", F.col("entry.p1").alias("k1"), F.col("entry.p2").alias("k2"), (F.col("entry.depth") - 1).alias("depth"))
+    entries = owned.select("conv_id", F.col("p1").alias("k1"), F.col("p2").alias("k2"), (F.col("from") - 1).alias("depth"))
     owners = nodes.select(*_KEY, F.col("owner").alias("above"))
     top = entries.where("depth = 0").select("conv_id", F.lit(root_owner).alias("above"))
     entries = entries.where("depth > 0")
@@ -152,17 +155,18 @@ def trie(paths: DataFrame, members: DataFrame) -> DataFrame:
     conv_id (the smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens and ends_sha256. Without
     members there is no node.
     """
-    top = members.agg(F.min("conv_id").alias("owner"), F.max("len").alias("deepest")).first()
+    top = members.agg(F.min("conv_id").alias("owner"), F.max("len").alias("deepest"), F.max("blocks").alias("blocks")).first()
     root_owner, flat = top["owner"] if top["owner"] is not None else 0, top["deepest"] == 0
-    found = cut(occurrences(paths))
+    blocks = top["blocks"] or 0
+    found = cut(occurrences(paths, blocks))
     nodes = found.groupBy(*_KEY).agg(F.min("conv_id").alias("owner"), F.max("len").alias("deepest"), F.count("*").alias("n"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
     nodes = cut(nodes)
-    owned = nodes.groupBy(F.col("owner").alias("conv_id")).agg(F.min(F.struct("depth", "p1", "p2")).alias("entry"), F.max((F.col("deepest") == F.col("depth")).cast("int")).alias("leaf"))
+    owned = nodes.groupBy(F.col("owner").alias("conv_id")).agg(F.min("depth").alias("from"), F.min_by("p1", "depth").alias("p1"), F.min_by("p2", "depth").alias("p2"), F.max((F.col("deepest") == F.col("depth")).cast("int")).alias("leaf"))
     marks = members.join(owned, "conv_id", "left").join(_owners_above(owned, nodes, root_owner), "conv_id", "left")
     at_root = (F.col("conv_id") == root_owner) & F.lit(flat)
-    marks = cut(marks.select("conv_id", "blocks", "len", F.coalesce("entry.depth", F.col("len") + 1).alias("from"), F.when(at_root, 1).otherwise(F.coalesce("leaf", F.lit(0))).alias("leaf"), "above"))
-    marked = found.join(in_blocks(marks.drop("len")).drop("blocks"), ["conv_id", "block"]).withColumn("more", F.when(F.col("depth") < F.col("from"), F.col("tokens")).otherwise(0))
-    rest = _along(marked, ("more",), backward=True)
+    marks = cut(marks.select("conv_id", "blocks", "len", F.coalesce("from", F.col("len") + 1).alias("from"), F.when(at_root, 1).otherwise(F.coalesce("leaf", F.lit(0))).alias("leaf"), "above"))
+    marked = found.join(in_blocks(marks.drop("len")).drop("blocks").hint("shuffle_hash"), ["conv_id", "block"]).withColumn("more", F.when(F.col("depth") < F.col("from"), F.col("tokens")).otherwise(0))
+    rest = _along(marked, ("more",), blocks, backward=True)
     # the first turn of a path stands for the root too
     seen = rest.withColumn("at", F.explode(F.when(F.col("depth") == 1, F.array(F.lit(0).cast("long"), "depth")).otherwise(F.array("depth"))))
     zero = F.lit(0).cast("long")
@@ -172,10 +176,10 @@ def trie(paths: DataFrame, members: DataFrame) -> DataFrame:
     rows = seen.select(key("k1"), key("k2"), F.col("at").alias("depth"), "conv_id", parent.alias("parent"), child.alias("child"), F.col("leaf").cast("long").alias("leaf"), F.col("more_sum").alias("more"))
     none = F.lit(None).cast("long")
     rows = rows.union(marks.where("len = 0").select(zero, zero, zero, "conv_id", none, zero, F.col("leaf").cast("long"), zero))
-    summed = rows.groupBy(*_KEY).agg(F.min(F.struct("conv_id", "parent")).alias("least"), F.count("*").alias("n_convs"), F.sum("child").alias("n_children"), F.sum("leaf").alias("n_leaves"), F.sum("more").alias("saved_tokens"))
+    summed = rows.groupBy(*_KEY).agg(F.min("conv_id").alias("conv_id"), F.min_by("parent", "conv_id").alias("parent_conv_id"), F.count("*").alias("n_convs"), F.sum("child").alias("n_children"), F.sum("leaf").alias("n_leaves"), F.sum("more").alias("saved_tokens"))
     ends = found.where("depth = len").select(*_KEY, "conv_id").union(marks.where("len = 0").select(zero, zero, zero, "conv_id"))
     out = summed.join(digests(ends), _KEY, "left")
-    return out.select(F.col("least.conv_id").alias("conv_id"), "depth", F.col("least.parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"))
 
 
 def prefix_trie(conversations: DataFrame, family: int = 20, heads: int = 4) -> DataFrame:
