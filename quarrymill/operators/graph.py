@@ -114,10 +114,13 @@ def attached_decorators(decorators: DataFrame, defined: DataFrame, reach: int =
 
     decorators: file, name, stop; defined: file, name, type, start. A decorator with neither is left out.
     """
-    d = decorators.select("file", F.col("name").alias("decorator"), "stop")
-    found = d.join(defined.select("file", F.col("name").alias("target"), "type", "start"), "file").where((F.col("start") >= F.col("stop")) & (F.col("start") - F.col("stop") < reach))
-    w = Window.partitionBy("file", "decorator", "stop").orderBy((F.col("type") != "function"), "start", "target")
-    return found.where(F.col("type").isin("function", "class")).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("file", "decorator", "target")
+    # a definition within reach starts in the stretch of `reach` bytes where the decorator ends, or in the next one
+    stretch = lambda place: F.floor(F.col(place) / reach)
+    d = decorators.select("file", F.col("name").alias("decorator"), "stop", F.explode(F.array(stretch("stop"), stretch("stop") + 1)).alias("stretch"))
+    near = defined.where(F.col("type").isin("function", "class")).select("file", F.col("name").alias("target"), "type", "start", stretch("start").alias("stretch"))
+    found = d.join(near, ["file", "stretch"]).where((F.col("start") >= F.col("stop")) & (F.col("start") - F.col("stop") < reach))
+    best = found.groupBy("file", "decorator", "stop").agg(F.min(F.struct((F.col("type") != "function").alias("other"), "start", "target")).alias("b"))
+    return best.select("file", "decorator", F.col("b.target").alias("target"))
 
 
 def evidence_pairs(evidence: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import graph, relevance
 from quarrymill.plans.registry import query
-from quarrymill.sources import parsers, read_table
+from quarrymill.sources import parsers, read_table, scopes
+from quarrymill.sources.tables import cut
 
 
 def _text(k: Column | int) -> Column:
@@ -46,15 +47,53 @@ def code_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_FILES} SELECT path AS file, concat('@route', k % 3) AS decorator, concat('g', k) AS target FROM p""")
 def decorator_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = source_files(spark, sf_dir)
-    return graph.attached_decorators(parsers.decorators(files), parsers.definitions(parsers.code_lines(files)))
+    items = cut(scopes.items(source_files(spark, sf_dir)))
+    return graph.attached_decorators(parsers.decorators(items), parsers.definitions(items))
+
+
+def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python or JavaScript file for each part: comments, strings, a function in a function, and calls after a function's end."""
+    k = F.col("p_partkey")
+    python = F.format_string(
+        """# g%s() in a comment\ndef outer%s(a,\n    b=size%s(2),\n):\n    \"\"\"def fake(): call(%s)\"\"\"\n    def inner%s(b):\n        return far%s(b)\n\n    s = 'g(1)'  # h(%s)\n    return inner%s(a)\nafter%s(0)\nclass K%s:\n    def m%s(self):\n        return far%s(1)\n    x = last%s()\n""",
+        *map(_text, (k, k, k % 5, k, k, k + 1, k, k, k % 9, k, k, k + 2, k % 4)),
+    )
+    script = F.format_string(
+        """// function fake() { g%s(); }\nfunction outer%s(a = {}) {\n  /* call(%s) */\n  function inner%s(b) { return far%s(b); }\n  const s = "}" + `h(${a})` + size%s(2);\n  return inner%s(a);\n} after%s(0);\n""",
+        *map(_text, (k, k, k, k, k + 1, k % 5, k, k % 9)),
+    )
+    path = F.concat(F.lit("n"), _text(k % 40), F.lit("/f"), _text(k), F.when(k % 2 == 0, ".py").otherwise(".js"))
+    return read_table(spark, sf_dir, "part").select(path.alias("path"), F.when(k % 2 == 0, python).otherwise(script).alias("text"))
+
+
+_NESTED = "p AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS py, concat('n', p_partkey % 40, '/f', p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.js' END) AS path FROM part)"
+
+
+@query(f"""WITH {_NESTED} SELECT path AS file, concat('far', k + 1) AS name, concat('inner', k) AS within FROM p UNION ALL SELECT path, concat('size', k % 5), concat('outer', k) FROM p
+        UNION ALL SELECT path, concat('inner', k), concat('outer', k) FROM p UNION ALL SELECT path, concat('after', k % 9), NULL FROM p
+        UNION ALL SELECT path, concat('far', k + 2), concat('m', k) FROM p WHERE py UNION ALL SELECT path, concat('last', k % 4), NULL FROM p WHERE py""")
+def scoped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Called names with the innermost function around them; comments and strings call nothing, and a function ends where its scope does."""
+    return parsers.calls(scopes.items(nested_files(spark, sf_dir))).select("file", "name", "within")
+
+
+@query(f"""WITH {_NESTED}, b AS (SELECT *, CASE WHEN py THEN concat('def inner', k, '(b):' || chr(10) || '        return far', k + 1, '(b)') ELSE concat('function inner', k, '(b) {{ return far', k + 1, '(b); }}') END AS inside FROM p)
+        SELECT path, concat('inner', k) AS name, 'function' AS type, inside AS body FROM b
+        UNION ALL SELECT path, concat('outer', k), 'function', CASE WHEN py THEN concat('def outer', k, '(a,' || chr(10) || '    b=size', k % 5, '(2),' || chr(10) || '):' || chr(10) || '    ' || repeat(chr(34), 3) || 'def fake(): call(', k, ')' || repeat(chr(34), 3) || chr(10) || '    ', inside, chr(10), chr(10), '    s = ''g(1)''  # h(', k, ')' || chr(10) || '    return inner', k, '(a)')
+            ELSE concat('function outer', k, '(a = {{}}) {{' || chr(10) || '  /* call(', k, ') */' || chr(10) || '  ', inside, chr(10), '  const s = "}}" + `h(${{a}})` + size', k % 5, '(2);' || chr(10) || '  return inner', k, '(a);' || chr(10) || '}}') END FROM b
+        UNION ALL SELECT path, concat('K', k), 'class', concat('class K', k, ':' || chr(10) || '    def m', k, '(self):' || chr(10) || '        return far', k + 2, '(1)' || chr(10) || '    x = last', k % 4, '()') FROM b WHERE py
+        UNION ALL SELECT path, concat('m', k), 'function', concat('def m', k, '(self):' || chr(10) || '        return far', k + 2, '(1)') FROM b WHERE py""")
+def function_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every definition, from its first word to the end of its scope."""
+    files = nested_files(spark, sf_dir)
+    return parsers.bodies(files, scopes.items(files)).select("path", "name", "type", "body")
 
 
 @query(f"""WITH {_FILES} SELECT p.path AS src, q.path AS dst FROM p JOIN p q ON q.k = p.k - 40 OR q.k = p.k + 3""")
 def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = source_files(spark, sf_dir)
-    imports = parsers.code_lines(files).select(F.col("path").alias("src"), F.regexp_extract("line", r"^from ([\w.]+) import", 1).alias("name")).where("name <> ''")
-    return parsers.resolve_imports(imports, files)
+    imports = scopes.items(files).where("kind = 'import'")
+    return parsers.resolve_imports(imports.select(F.col("path").alias("src"), "name"), files)
 
 
 #: One kind of file for each remainder of the key: path, text, and what is put into each.
@@ -123,6 +162,6 @@ def added_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
 def function_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of the functions that the graph lists for each file; their end is found by look-ahead, which the oracle doesn't have; tests compare with Python's."""
     files = source_files(spark, sf_dir).withColumn("text", F.concat("text", F.repeat(F.lit("# more of it\n"), 12)))
-    names = parsers.definitions(parsers.code_lines(files)).groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(F.struct("start", "name"))).alias("n"))
+    names = parsers.definitions(scopes.items(files)).groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(F.struct("start", "name"))).alias("n"))
     rows = files.join(names.select("path", F.col("n.name").alias("names")), "path")
     return rows.select("path", F.posexplode(relevance.function_chunks(F.col("text"), F.col("names"))).alias("pos", "chunk"))

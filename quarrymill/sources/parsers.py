@@ -1,20 +1,20 @@
 """Nodes and edges of a code graph from files, by kind of file.
 
 Each parser takes files (path, text) and returns edges: src, src_type, dst, dst_type, name, type. They are
-built-in functions; only turning YAML into JSON needs Python, in Arrow batches.
+built-in functions; only turning YAML into JSON and reading the scopes of source files need Python, file by file.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text as T
 from quarrymill.operators import graph
+from quarrymill.sources import scopes
 from quarrymill.sources.schemas import PACKAGE_JSON
 from quarrymill.sources.tables import cut
 
@@ -59,100 +59,60 @@ def maven(files: DataFrame) -> DataFrame:
     return _edges(found, F.concat(F.lit("maven:"), "m"), "maven_artifact", F.col("m"), "requires")
 
 
-#: Words that begin a definition in files of no known kind, and the marks that follow its name.
-OPENERS = {"def": "(", "function": "(", "func": "(", "class": ":{"}
-_NAME = r"([A-Za-z_]\w*)"
+#: What is a pseudo-function in a line of a file of no known kind.
+PSEUDO_FUNCTIONS = (
+    r"^\s*def\s+([A-Za-z_]\w*)\s*\(",
+    r"^\s*function\s+([A-Za-z_]\w*)\s*\(",
+    r"^\s*([A-Za-z_]\w*)\s*=\s*\([^)]*\)\s*=>",
+    r"^\s*class\s+([A-Za-z_]\w*)\s*[:\{]",
+    r"^\s*func\s+([A-Za-z_]\w*)\s*\(",
+)
 
 
 def heuristic(files: DataFrame) -> DataFrame:
-    """Pseudo-functions in the first 2000 lines: an opening word with a name and its mark, or a name that an arrow function is given to."""
-    rules = [rf"^\s*{word}\s+{_NAME}\s*[{marks}]" for word, marks in OPENERS.items()] + [rf"^\s*{_NAME}\s*=\s*\([^)]*\)\s*=>"]
+    """Pseudo-functions in the first 2000 lines, one of a line at most."""
     each = files.select("path", F.explode(T.lines(F.col("text"), 2000)).alias("line"))
-    found = each.select("path", F.coalesce(*(F.nullif(F.regexp_extract("line", r, 1), F.lit("")) for r in rules)).alias("m")).where("m IS NOT NULL")
+    found = each.select("path", F.coalesce(*(F.nullif(F.regexp_extract("line", r, 1), F.lit("")) for r in PSEUDO_FUNCTIONS)).alias("m")).where("m IS NOT NULL")
     return _edges(found, F.concat_ws(":", "path", "m"), "function", F.col("m"), "defines")
 
 
-#: Extraction by extension: functions, classes, imports, decorators, calls, strings. One group each.
-CODE = {
-    ".py": {"function": r"(?m)^[ \t]*(?:async\s+)?def\s+([A-Za-z_]\w*)", "class": r"(?m)^[ \t]*class\s+([A-Za-z_]\w*)", "import": r"(?m)^[ \t]*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", "decorator": r"(?m)^[ \t]*(@[\w.]+)"},
-    ".js": {"function": r"function\s+([A-Za-z_$][\w$]*)", "class": r"class\s+([A-Za-z_$][\w$]*)", "import": r"(?:from\s+['\"]([^'\"]+)['\"]|require\(\s*['\"]([^'\"]+)['\"])", "decorator": r"(?m)^[ \t]*(@[\w.]+)"},
-    ".ts": {"function": r"function\s+([A-Za-z_$][\w$]*)", "class": r"class\s+([A-Za-z_$][\w$]*)", "import": r"(?:from\s+['\"]([^'\"]+)['\"]|require\(\s*['\"]([^'\"]+)['\"])", "decorator": r"(?m)^[ \t]*(@[\w.]+)"},
-    ".java": {"function": r"(?m)^[ \t]*(?:(?:public|private|protected|static|final)\s+)+[\w<>\[\], ]+?\s+([A-Za-z_]\w*)\s*\(", "class": r"\bclass\s+([A-Za-z_]\w*)", "import": r"(?m)^import\s+(?:static\s+)?([\w.]+)", "decorator": r"(?m)^[ \t]*(@[\w.]+)"},
-    ".go": {"function": r"(?m)^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)", "class": r"(?m)^type\s+([A-Za-z_]\w*)", "import": r"(?m)^(?:import\s+|\s+)\"([^\"]+)\""},
-    ".cs": {"function": r"(?m)^[ \t]*(?:(?:public|private|protected|internal|static|async)\s+)+[\w<>\[\], ]+?\s+([A-Za-z_]\w*)\s*\(", "class": r"\bclass\s+([A-Za-z_]\w*)", "import": r"(?m)^using\s+([\w.]+)", "decorator": r"(?m)^[ \t]*(\[[\w.]+)"},
-    ".rb": {"function": r"(?m)^[ \t]*def\s+([A-Za-z_]\w*[?!]?)", "class": r"(?m)^[ \t]*class\s+([A-Z]\w*)", "import": r"(?m)^[ \t]*require(?:_relative)?\s+['\"]([^'\"]+)['\"]"},
-    ".php": {"function": r"function\s+([A-Za-z_]\w*)", "class": r"class\s+([A-Za-z_]\w*)", "import": r"(?m)^(?:use\s+([\w\\]+)|(?:include|require)(?:_once)?\s*\(?['\"]([^'\"]+)['\"])", "decorator": r"(#\[\w+)"},
-    ".sh": {"function": r"(?m)^[ \t]*(?:function\s+)?([A-Za-z_]\w*)\s*\(\)", "import": r"(?m)^[ \t]*(?:source|\.)\s+(\S+)"},
-    ".rs": {"function": r"\bfn\s+([A-Za-z_]\w*)", "class": r"\b(?:struct|impl)\s+([A-Za-z_]\w*)", "import": r"(?m)^use\s+([\w:]+)", "decorator": r"(#\[\w+)"},
-}
-_STRING = r"(?:\"([^\"\n]{1,500})\"|'([^'\n]{1,500})')"
-_CALL = r"([A-Za-z_][\w.]*)\s*\("
-#: What stands before a bracket without being called.
-NOT_CALLED = ("if", "for", "while", "switch", "catch", "return", "def", "function", "func", "fn", "class", "elif", "and", "or", "not", "in")
-
-
-def _known(files: DataFrame) -> DataFrame:
-    return files.withColumn("__ext", T.suffix(F.col("path"))).where(F.col("__ext").isin(list(CODE)))
-
-
-def _matches(text: Column, what: str) -> Column:
-    """All names of a kind in a text, by the rules of the file's extension; names of 200 characters or more are none."""
-    per = F.array().cast("array<string>")
-    for e, patterns in CODE.items():
-        if what in patterns:
-            groups = range(1, re.compile(patterns[what]).groups + 1)
-            each = F.concat(*(F.regexp_extract_all(text, F.lit(patterns[what]), F.lit(g)) for g in groups))
-            per = F.when(F.col("__ext") == e, each).otherwise(per)
-    return F.filter(per, lambda x: T.sane_length(x, "identifier"))
-
-
-def code_lines(files: DataFrame) -> DataFrame:
-    """path, line_no, line, start (characters before it), and of each line of a source file: defined {name, type} and within.
-
-    within: the last function that begins in this line or above it, null before the first. Without a parse tree this is
-    what stands for the function around a line.
-    """
-    lines = _known(files).select("path", "__ext", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    in_order = Window.partitionBy("path").orderBy("line_no")
-    function, kind = F.get(_matches(F.col("line"), "function"), 0), F.get(_matches(F.col("line"), "class"), 0)
-    named = lines.withColumn("__f", function).withColumn("__c", kind)
-    defined = F.when(F.col("__f").isNotNull(), F.struct(F.col("__f").alias("name"), F.lit("function").alias("type"))).when(F.col("__c").isNotNull(), F.struct(F.col("__c").alias("name"), F.lit("class").alias("type")))
-    start = F.coalesce(F.sum(F.length("line") + 1).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.last("__f", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    return named.select("path", "__ext", "line_no", "line", start.alias("start"), defined.alias("defined"), within.alias("within"))
+def _of(items: DataFrame, kind: str) -> DataFrame:
+    return items.where(F.col("kind") == kind)
+
+
+def definitions(items: DataFrame) -> DataFrame:
+    """file, name, type, start, stop, seq of the functions and classes among `scopes.items`. seq: where one stands among all, by file and place."""
+    rows = items.where(F.col("kind").isin("function", "class"))
+    return rows.select(F.col("path").alias("file"), "name", F.col("kind").alias("type"), "start", "stop", F.concat_ws(":", "path", F.lpad(F.col("start").cast("string"), 12, "0")).alias("seq"))
 
 
-def definitions(lines: DataFrame) -> DataFrame:
-    """file, name, type, start, seq of what source lines define. seq: where it stands among all, by file and line."""
-    return lines.where(F.col("defined").isNotNull()).select(F.col("path").alias("file"), "defined.name", "defined.type", "start", F.concat_ws(":", "path", F.lpad(F.col("line_no").cast("string"), 9, "0")).alias("seq"))
+def bodies(files: DataFrame, items: DataFrame) -> DataFrame:
+    """path, name, type, start and body of every definition: its text from the first word to the end of its extent."""
+    found = definitions(items).select(F.col("file").alias("path"), "name", "type", "start", "stop")
+    return files.select("path", "text").join(found, "path").select("path", "name", "type", "start", F.substr("text", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("body"))
 
 
-def decorators(files: DataFrame) -> DataFrame:
+def decorators(items: DataFrame) -> DataFrame:
     """file, name, stop of every decorator, annotation or attribute, in the way of the file's language."""
-    found = code_lines(files).select("path", "line", "start", F.get(_matches(F.col("line"), "decorator"), 0).alias("name"))
-    return found.where(F.col("name").isNotNull()).select(F.col("path").alias("file"), "name", (F.col("start") + F.instr("line", F.col("name")) - 1 + F.length("name")).alias("stop"))
+    return _of(items, "decorator").select(F.col("path").alias("file"), "name", "stop")
 
 
-def decorated(files: DataFrame) -> DataFrame:
+def decorated(items: DataFrame) -> DataFrame:
     """id, decorators: the functions and classes that decorators stand before, and these in order of name."""
-    near = graph.attached_decorators(decorators(files), definitions(code_lines(files)))
+    near = graph.attached_decorators(decorators(items), definitions(items))
     return near.groupBy(F.concat_ws(":", "file", "target").alias("id")).agg(F.sort_array(F.collect_list("decorator")).alias("decorators"))
 
 
-def calls(lines: DataFrame) -> DataFrame:
-    """call_id, file, name, within of called names in source lines, to be resolved by `graph.first_dotted`; once for each name and function around it."""
-    each = lines.select("path", "within", "defined", F.explode(F.regexp_extract_all("line", F.lit(_CALL), F.lit(1))).alias("name"))
-    called = each.where(~F.col("name").isin(*NOT_CALLED) & ~F.coalesce(F.col("defined.name") == F.col("name"), F.lit(False)))
-    once = called.select(F.col("path").alias("file"), "name", "within").distinct()
+def calls(items: DataFrame) -> DataFrame:
+    """call_id, file, name, within of called names, to be resolved by `graph.first_dotted`; once for each name and function around it."""
+    once = _of(items, "call").select(F.col("path").alias("file"), "name", "within").distinct()
     return once.select(F.concat_ws(":", "file", "name", F.coalesce("within", F.lit(""))).alias("call_id"), "file", "name", "within")
 
 
-def call_edges(files: DataFrame) -> DataFrame:
+def call_edges(items: DataFrame) -> DataFrame:
     """Edges of resolved calls: from the function around a call, else from its file; and from file to file where they differ."""
-    lines = code_lines(files).where(F.col("defined").isNotNull() | F.contains("line", F.lit("(")))
-    lines = cut(lines)  # read for calls and for what they may call
-    made = calls(lines)
-    target = graph.first_dotted(made, definitions(lines).where("type = 'function'")).where("stage IS NOT NULL").select("call_id", "target")
+    made = calls(items)
+    target = graph.first_dotted(made, definitions(_of(items, "function"))).where("stage IS NOT NULL").select("call_id", "target")
     to = F.regexp_extract("target", r"^(.*):", 1)
     each = cut(made.join(target, "call_id").select("file", "within", "target", to.alias("to"), F.regexp_extract("target", r":([^:]*)$", 1).alias("name")))
     inner = each.where("within IS NOT NULL").select(F.concat_ws(":", "file", "within").alias("src"), F.lit("function").alias("src_type"), F.col("target").alias("dst"), F.lit("function").alias("dst_type"), "name", F.lit("calls").alias("type"))
@@ -187,11 +147,10 @@ def code(files: DataFrame) -> DataFrame:
 
     A relative import is an edge to the file that it names, if that is among the files; any other is a dependency.
     """
-    known = _known(files)
-    found = lambda what: known.select("path", F.explode(F.array_distinct(_matches(F.col("text"), what))).alias("m"))
+    items = cut(scopes.items(files))
+    found = lambda kind: _of(items, kind).select("path", F.col("name").alias("m")).distinct()
     local = F.concat_ws(":", "path", "m")
-    literals = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(_STRING), F.lit(1)), F.regexp_extract_all("text", F.lit(_STRING), F.lit(2))))
-    strings = known.select("path", F.explode(literals).alias("m")).where((F.col("m") != "") & T.literal_class(F.col("m")).isNotNull())
+    strings = found("string").where(F.length("m").between(1, 500) & ~F.contains("m", F.lit("\n")) & T.literal_class(F.col("m")).isNotNull())
     imports = found("import")
     files_of = resolve_imports(imports.select(F.col("path").alias("src"), F.col("m").alias("name")), files).select(F.col("src").alias("path"), F.col("dst").alias("m"))
     return (
@@ -200,7 +159,7 @@ def code(files: DataFrame) -> DataFrame:
         .union(_edges(imports.where(~F.col("m").rlike(r"^[./]")), F.concat(F.lit("dep:"), "m"), "external_dependency", F.col("m"), "imports"))
         .union(_edges(files_of, F.col("m"), "file", F.col("m"), "imports"))
         .union(_edges(strings, F.concat(F.lit("str:"), "m"), "string_literal", F.col("m"), "uses_string"))
-        .union(call_edges(files))
+        .union(call_edges(items))
     )
 
 
@@ -261,7 +220,7 @@ def yaml_files(files: DataFrame) -> DataFrame:
 
 #: Parsers in the order in which they are asked; the first that takes a file has it. More may be put before the last.
 PARSERS: list[tuple[Callable[[Column], Column], Callable[[DataFrame], DataFrame]]] = [
-    (lambda p: T.suffix(p).isin(list(CODE)), code),
+    (lambda p: T.suffix(p).isin(list(scopes.LANGUAGES)), code),
     (lambda p: F.lower(T.suffix(p)).isin(".yaml", ".yml"), yaml_files),
     (lambda p: F.lower(T.suffix(p)) == ".json", package_json),
     (lambda p: F.lower(T.file_name(p)).rlike(r"^dockerfile(\..*)?$"), dockerfile),
@@ -286,6 +245,6 @@ def build_graph(files: DataFrame, parsers: list | None = None) -> tuple[DataFram
     found = cut(found)  # nodes and edges both come from it
     ends = found.select(F.col("dst").alias("id"), F.col("dst_type").alias("type"), "name").union(found.select(F.col("src").alias("id"), F.col("src_type").alias("type"), F.col("src").alias("name")))
     ends = ends.union(files.select(F.col("path").alias("id"), F.lit("file").alias("type"), F.col("path").alias("name")))
-    nodes = ends.groupBy("id").agg(F.min(F.struct("type", "name")).alias("n")).select("id", "n.type", "n.name").join(decorated(dealt), "id", "left")
+    nodes = ends.groupBy("id").agg(F.min(F.struct("type", "name")).alias("n")).select("id", "n.type", "n.name").join(decorated(scopes.items(dealt)), "id", "left")
     edges = found.groupBy("src", "dst").agg(F.max("type").alias("type"))
     return nodes, edges
