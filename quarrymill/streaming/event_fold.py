@@ -47,21 +47,35 @@ def user_fold(events: DataFrame) -> DataFrame:
     )
 
 
-def stream_user_fold(spark: SparkSession, path: str, schema: str, name: str, checkpoint: str, files: int = 1) -> DataFrame:
-    """`user_fold` over a folder of Parquet files as a stream that ends with what is there; the result as a table in memory."""
+def write_updates(changed: DataFrame, out: str, checkpoint: str) -> None:
+    """A stream in update mode to folders `batch=N` of `out`, until what is there has been read. A batch that is run again overwrites itself."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number:06d}")
+
+    changed.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(spark: SparkSession, out: str, keys: list[str], version: list[str]) -> DataFrame:
+    """The last row that a stream wrote of each key, by `version` within a batch."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct("batch", *version)).alias("r"))
+    return best.select(*keys, *(F.col("r")[c].alias(c) for c in values))
+
+
+def stream_user_fold(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, files: int = 1) -> DataFrame:
+    """`user_fold` over a folder of Parquet files as a stream that ends with what is there; users that change are written to `out`."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-    query = user_fold(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    write_updates(user_fold(stream), out, checkpoint)
+    return latest(spark, out, ["user_id"], [])
 
 
-def stream_pattern_counts(spark: SparkSession, path: str, name: str, checkpoint: str) -> DataFrame:
-    """Counts of a detection log by event and pattern, as a stream over a folder of JSON lines."""
+def stream_pattern_counts(spark: SparkSession, path: str, out: str, checkpoint: str) -> DataFrame:
+    """Counts of a detection log by event and pattern, as a stream over a folder of JSON lines, written to `out`."""
     lines = spark.readStream.schema(schemas.DETECTION_EVENT).option("maxFilesPerTrigger", 1).json(path)
-    counts = lines.groupBy("event", "pattern").agg(F.count("*").alias("n"))
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    write_updates(lines.groupBy("event", "pattern").agg(F.count("*").alias("n")), out, checkpoint)
+    return latest(spark, out, ["event", "pattern"], [])
 
 
 def stream_evolution(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str) -> None:

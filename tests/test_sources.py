@@ -96,7 +96,7 @@ def test_log_fold(spark, tmp_path):
     got = event_fold.pattern_reports(log).collect()
     assert [(r["run"], r["pattern"], r["files"], r["files_analyzed"], r["detected"]) for r in got] == [("r", "p", ["f"], 3, True)]
     assert event_fold.pattern_reports(log, gated=False).first()["n_files"] == 3
-    counts = event_fold.stream_pattern_counts(spark, str(tmp_path / "log"), "counts", str(tmp_path / "state"))
+    counts = event_fold.stream_pattern_counts(spark, str(tmp_path / "log"), str(tmp_path / "counts"), str(tmp_path / "state"))
     assert counts.where("event = 'file_scored'").first()["n"] == 3
 
 
