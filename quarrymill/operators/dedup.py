@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import is_generic_email
-from quarrymill.operators.graph import connected_components
+from quarrymill.operators.order import running_total
+from quarrymill.sources.tables import cut
 
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -40,41 +40,35 @@ def without(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return marked.join(seen, "__k", "left_anti").drop("__k")
 
 
-def claim(rows: DataFrame, group: str, position: str, member: str, values: str) -> DataFrame:
+def claim(rows: DataFrame, group: str, position: str, member: str, values: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The sequential claim: members, walked by (group, position), each take their first usable value that none before took.
 
     rows: one row for each member with an array of values. Returns group, position, member, claimed; members
     without a usable value left are not in the result.
 
-    What a member takes depends only on members that share a value with it, directly or through others. So
-    members that are the only ones with any of their values take the first at once, and only connected
-    components of the others are walked, each on its own.
+    It is found in rounds, all members at once. In a round each member without a value bids for the first of its own that
+    no earlier member holds; of the bids for a value the earliest member's is kept, and who held it goes on in the next
+    round. Holders only become earlier ones, so a value that is refused once is refused for good, and no member is refused
+    what the walk would give it: when nobody bids any more, values are held as the walk gives them. A round is a join
+    by value and two group-bys of minima; there is one more for each further value that members have to turn to.
     """
     usable = F.array_distinct(F.filter(F.transform(F.coalesce(F.col(values), F.array()), lambda e: F.lower(F.trim(e))), lambda e: ~is_generic_email(e)))
-    base = rows.select(group, position, member, usable.alias("__v")).where(F.size("__v") > 0).withColumn("__m", F.to_json(F.struct(group, position, member)))
-    pairs = base.select("__m", F.explode("__v").alias("__e"))
-    shared = pairs.groupBy("__e").agg(F.count_distinct("__m").alias("n")).where("n > 1").select("__e")
-    tangled = pairs.join(shared, "__e").select("__m", "__e")
-    alone = base.join(tangled.select("__m").distinct(), "__m", "left_anti")
-    free = alone.select(group, position, member, F.col("__v")[0].alias("claimed"))
-    if tangled.isEmpty():
-        return free
-    edges = tangled.select(F.concat(F.lit("m"), "__m").alias("a"), F.concat(F.lit("e"), F.col("__e")).alias("b"))
-    component = connected_components(edges).where(F.startswith("node", F.lit("m"))).select(F.expr("substring(node, 2)").alias("__m"), "component")
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = f"{group} {types[group]}, {position} {types[position]}, {member} {types[member]}, claimed string"
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        out = []
-        for row in part.sort_values([group, position]).itertuples(index=False):
-            record = row._asdict() if "__v" in getattr(row, "_fields", ()) else dict(zip(part.columns, row, strict=True))
-            for v in record["__v"]:
-                if v not in taken:
-                    taken.add(v)
-                    out.append((record[group], record[position], record[member], v))
-                    break
-        return pd.DataFrame(out, columns=[group, position, member, "claimed"])
-
-    walked = base.join(component, "__m").select(group, position, member, "__v", "component").groupBy("component").applyInPandas(walk, schema)
-    return free.unionByName(walked)
+    base = rows.select(group, position, member, usable.alias("__v")).where(F.size("__v") > 0).withColumn("__all", F.concat_ws("\n", "__v"))
+    # equal rows are members each; a member is its place among all
+    base = base.groupBy(group, position, member, "__all").agg(F.first("__v").alias("__v"), F.count("*").alias("__n")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    base = cut(running_total(base, [group, position, member, "__all", "__copy"], F.lit(1).cast("long"), "__m").select(group, position, member, "__m", "__v"))
+    wanted = base.select("__m", F.posexplode("__v").alias("__k", "__e"))
+    held = None
+    while True:
+        bidding = wanted
+        if held is not None:
+            holders = F.broadcast(held) if held.count() <= broadcast_rows else held
+            wanted = cut(wanted.join(holders.select("__e", F.col("__m").alias("__by")), "__e", "left").where("__by IS NULL OR __m <= __by").select("__m", "__k", "__e"))
+            bidding = wanted.join(holders.select("__m"), "__m", "left_anti")
+        bids = cut(bidding.groupBy("__m").agg(F.min_by("__e", "__k").alias("__e")))
+        if bids.isEmpty():
+            break
+        best = bids if held is None else bids.unionByName(held)
+        held = cut(best.groupBy("__e").agg(F.min("__m").alias("__m")))
+    claimed = base.drop("__v") if held is None else base.drop("__v").join(held, "__m")
+    return claimed.select(group, position, member, F.col("__e") if held is not None else F.lit(None).cast("string").alias("__e")).withColumnRenamed("__e", "claimed")

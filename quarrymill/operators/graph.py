@@ -71,22 +71,6 @@ def contextual_centrality(base: DataFrame, edges: DataFrame, relevant: DataFrame
     return base.join(near, "id", "left").select("id", F.when(F.col("n").isNull(), F.col("centrality")).otherwise(rates.clamp(score)).alias("centrality"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component: the least node that each reaches. Rounds of taking the least of the neighbours, then of the neighbour's own."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    while True:
-        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = label.join(near, "node").select("node", F.least("component", "near").alias("c"))
-        # a label is a node: take the label that it has by now
-        jump = label.select(F.col("node").alias("c"), F.col("component").alias("further"))
-        new = cut(step.join(jump, "c", "left").select("node", F.least("c", F.coalesce("further", "c")).alias("component")))
-        if new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
-            return new
-        label = new
-
-
 def first_dotted(names: DataFrame, defined: DataFrame) -> DataFrame:
     """Call resolution: call_id, file, name -> target. A function of that name in the same file, else of its base name
     (after the last dot) there, else the first of that name in another file.

@@ -41,3 +41,11 @@ def running_totals(rows: DataFrame, groups: list[str], order: list[str], weights
     met = ranged.join(F.broadcast(carried), (F.col("__part") == F.col("__next")) & group.eqNullSafe(F.col("__last")), "left")
     zero = F.lit(0)
     return met.withColumns({name: F.coalesce(F.sum(w).over(own), zero) + F.coalesce(F.col(f"{w}c"), zero) for name, w in inner.items()}).select(*rows.columns, *weights)
+
+
+def with_sizes(rows: DataFrame, groups: list[str], name: str, weight: Column | None = None, broadcast_rows: int = 200_000) -> DataFrame:
+    """`rows` with the number of rows of its group, or the sum of `weight` over them. Sizes are broadcast if there are at most `broadcast_rows` groups."""
+    keys = [f"__g{i}" for i in range(len(groups))]
+    sizes = rows.groupBy(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True))).agg((F.count("*") if weight is None else F.sum(weight)).alias(name))
+    sizes = F.broadcast(sizes) if sizes.count() <= broadcast_rows else sizes
+    return rows.join(sizes, [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(groups, keys, strict=True)]).drop(*keys)

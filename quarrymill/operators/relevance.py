@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import rates
 from quarrymill.functions import text as T
+from quarrymill.operators.order import running_totals, with_sizes
 from quarrymill.functions.globs import match_regex
 
 #: Weight of the first entry that a lower-cased decorator contains.
@@ -249,10 +250,10 @@ def function_chunks(text: Column, names: Column, size: int = 3000, most: int = 1
 
 
 def batches(rows: DataFrame, order: list[str], by: list[str], size: int = 600, threshold: int = 800) -> DataFrame:
-    """batch number within each group: one batch up to `threshold` rows, else batches of `size` in order."""
-    w, all_ = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
-    n = F.count("*").over(all_)
-    return rows.withColumn("batch", F.when(n <= threshold, F.lit(0)).otherwise(F.floor((F.row_number().over(w) - 1) / size)).cast("int"))
+    """batch number within each group: one batch up to `threshold` rows, else batches of `size` in order. Places come by ranges, not by a window of a group."""
+    placed = with_sizes(running_totals(rows, by, order, {"__place": F.lit(1).cast("long")}), by, "__size")
+    batch = F.when(F.col("__size") <= threshold, F.lit(0)).otherwise(F.floor(F.col("__place") / size)).cast("int")
+    return placed.withColumn("batch", batch).drop("__place", "__size")
 
 
 def evidence_digest(evidence: DataFrame, by: list[str], chars: int = 220) -> DataFrame:

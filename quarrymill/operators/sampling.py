@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import rates
+from quarrymill.operators.order import running_totals, with_sizes
 
 
 def shuffled(key: Column, seed: int) -> Column:
@@ -14,10 +15,11 @@ def shuffled(key: Column, seed: int) -> Column:
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, ratio: float = 0.7, seed: int = 42) -> DataFrame:
-    """`rows` with `part`: 'train' for floor(n * ratio) of each stratum, else 'test'."""
-    w = Window.partitionBy(stratum)
-    place = F.row_number().over(w.orderBy(shuffled(F.col(key), seed), key))
-    return rows.withColumn("part", F.when(place <= F.floor(F.count("*").over(w) * F.lit(ratio) + F.lit(1e-9)), "train").otherwise("test"))
+    """`rows` with `part`: 'train' for floor(n * ratio) of each stratum, else 'test'. Places within strata come by ranges, so a few large ones are dealt out."""
+    mixed = rows.withColumn("__mixed", shuffled(F.col(key), seed))
+    placed = with_sizes(running_totals(mixed, [stratum], ["__mixed", key], {"__place": F.lit(1).cast("long")}), [stratum], "__size")
+    part = F.when(F.col("__place") < F.floor(F.col("__size") * F.lit(ratio) + F.lit(1e-9)), "train").otherwise("test")
+    return placed.withColumn("part", part).drop("__mixed", "__place", "__size")
 
 
 def split_quality(split: DataFrame, pattern: str, present: str) -> DataFrame:

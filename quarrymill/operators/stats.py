@@ -8,14 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import rates
-from quarrymill.operators.order import running_total
+from quarrymill.operators.order import running_total, running_totals, with_sizes
+
+
+def percentiles(rows: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """The exact percentiles of each group, by linear interpolation: a column of each name in `shares`. Nulls don't count.
+
+    Values are counted first, then distinct ones are placed within their group by ranges, and only those at the wanted
+    places are picked. So no buffer and no task holds a group.
+    """
+    groups = by or ["__all"]
+    rows = rows if by else rows.withColumn("__all", F.lit(0))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("__x")).agg(F.count("*").alias("__c"))
+    placed = with_sizes(running_totals(counts, groups, ["__x"], {"__before": F.col("__c")}), groups, "__n", F.col("__c"))
+    place = {name: F.lit(p) * (F.col("__n") - 1) for name, p in shares.items()}
+    at = lambda k: F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__c")), F.col("__x")))
+    picked = placed.groupBy(*groups).agg(F.max("__n").alias("__n"), *(f(at, place[name]).alias(f"{name}_{end}") for name in shares for end, f in (("lo", lambda pick, p: pick(F.floor(p))), ("hi", lambda pick, p: pick(F.ceil(p))))))
+    between = lambda name: (F.ceil(place[name]) - place[name]) * F.col(f"{name}_lo") + (place[name] - F.floor(place[name])) * F.col(f"{name}_hi")
+    return picked.select(*by, *(F.when(F.col(f"{name}_lo") == F.col(f"{name}_hi"), F.col(f"{name}_lo")).otherwise(between(name)).alias(name) for name in shares))
 
 
 def describe(rows: DataFrame, value: str, by: list[str], sample: bool = False) -> DataFrame:
     """n, mean, median, std (population unless `sample`), min, max, p25 and p75 by linear interpolation; exact percentiles."""
     x = F.col(value)
-    q = lambda p: F.percentile(x, F.lit(p))
-    return rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), q(0.5).alias("median"), (F.stddev_samp(x) if sample else F.stddev_pop(x)).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"), q(0.25).alias("p25"), q(0.75).alias("p75"))
+    sums = rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.stddev_samp(x) if sample else F.stddev_pop(x)).alias("std"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    found = percentiles(rows, value, by, {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    columns = [*by, "n", "mean", "median", "std", "lo", "hi", "p25", "p75"]
+    keys = {c: f"__{c}" for c in by}
+    return sums.join(found.withColumnsRenamed(keys), [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()] or F.lit(True), "left").select(*columns)
 
 
 def average_rank(rows: DataFrame, value: str, name: str) -> DataFrame:

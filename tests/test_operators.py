@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -290,3 +291,76 @@ def test_keywords_of_matching_rules_only(spark):
     assert got == {("gate", "a.py"): (["proxy", "route"], ["test"], round((0.43 + 0.31 - 0.08) / 1.6, 9)), ("other", "a.py"): ([], ["test"], 0.0)}
     everywhere = relevance.keyword_scan(files, relevance.declared(words)).where("path = 'b.go'").collect()
     assert [(r["pattern"], r["keywords"], r["anti_keywords"]) for r in everywhere] == [("gate", ["proxy"], [])]
+
+
+def one_component(members, seed):
+    """Members of one chain: each shares an address with the next, and all have some of a few."""
+    draw = random.Random(seed)
+    return [(i % 7, i, f"m{i}", draw.sample([f"c{i}@x.org", f"c{i + 1}@x.org", f"h{draw.randrange(9)}@x.org", f"r{draw.randrange(members)}@x.org", " ", "noreply@x.org"], 4)) for i in range(members)]
+
+
+@pytest.mark.parametrize("members", [1, 40, 400])
+def test_claim_in_rounds_is_the_walk(spark, members):
+    rows = one_component(members, members)
+    rows += rows[:2]  # equal rows are members each
+    claim = dedup.claim(spark.createDataFrame(rows, "repo int, position int, member string, emails array<string>").repartition(3), "repo", "position", "member", "emails")
+    assert sorted(map(tuple, claim.collect())) == walk(rows)
+    plan = claim._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_claim_of_nothing(spark):
+    empty = spark.createDataFrame([(1, 1, "m", None), (1, 2, "n", []), (1, 3, "o", ["noreply@x.org"])], "repo int, position int, member string, emails array<string>")
+    assert dedup.claim(empty, "repo", "position", "member", "emails").collect() == []
+    assert dedup.claim(empty.where("false"), "repo", "position", "member", "emails").collect() == []
+
+
+def large_group(spark):
+    """One group of most rows, a small one and that of null."""
+    random.seed(5)
+    rows = [(g, i, random.choice([None, float(random.randrange(50)), random.random()])) for i, g in enumerate(["big"] * 900 + ["small"] * 3 + [None] * 20)]
+    random.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "g string, k int, x double").repartition(6)
+
+
+def windows_of(df):
+    return re.findall(r"Window \[.*?\], \[(.*?)\]", df._jdf.queryExecution().toString())
+
+
+def test_running_totals_carry_a_group_over_ranges(spark):
+    from quarrymill.operators.order import running_totals, with_sizes
+
+    rows, df = large_group(spark)
+    got = running_totals(df, ["g"], ["k"], {"place": F.lit(1), "sum": F.coalesce(F.col("k"), F.lit(0))}).collect()
+    for g in ("big", "small", None):
+        mine = sorted(k for h, k, _ in rows if h == g)
+        assert {r["k"]: (r["place"], r["sum"]) for r in got if r["g"] == g} == {k: (i, sum(mine[:i])) for i, k in enumerate(mine)}
+    sizes = {(r["g"], r["n"]) for r in with_sizes(df, ["g"], "n", broadcast_rows=0).collect()}
+    assert sizes == {("big", 900), ("small", 3), (None, 20)}
+    assert running_totals(df.where("false"), ["g"], ["k"], {"place": F.lit(1)}).collect() == []
+
+
+def test_percentiles_by_places_are_numpys(spark):
+    rows, df = large_group(spark)
+    found = stats.describe(df, "x", ["g"])
+    for r in found.collect():
+        mine = np.array([x for g, _, x in rows if g == r["g"] and x is not None])
+        assert r["n"] == len(mine)
+        assert [r["p25"], r["median"], r["p75"]] == pytest.approx(np.percentile(mine, [25, 50, 75]).tolist() if len(mine) else [None] * 3)
+    every = np.array([x for *_, x in rows if x is not None])
+    assert stats.describe(df, "x", []).first()["median"] == pytest.approx(np.median(every))
+    assert stats.describe(df.where("x is null"), "x", ["g"]).where("g = 'big'").first()["median"] is None
+    assert "percentile" not in found._jdf.queryExecution().toString()
+
+
+def test_splits_and_batches_have_no_window_of_a_group(spark):
+    from quarrymill.operators import sampling
+
+    rows, df = large_group(spark)
+    split = sampling.stratified_split(df, "g", "k")
+    assert {r["g"]: r["count"] for r in split.where("part = 'train'").groupBy("g").count().collect()} == {"big": 630, "small": 2, None: 14}
+    batched = relevance.batches(df, ["k"], ["g"], size=100, threshold=50)
+    of_big = sorted((r["k"], r["batch"]) for r in batched.where("g = 'big'").collect())
+    assert [b for _, b in of_big] == [i // 100 for i in range(900)] and batched.where("g = 'small' and batch <> 0").isEmpty()
+    for df in (split, batched):
+        assert windows_of(df) and all("__part" in w for w in windows_of(df))
