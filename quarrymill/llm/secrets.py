@@ -123,20 +123,30 @@ def samples(docs: DataFrame, per_kind: int, text_col: str = "text") -> dict[str,
     return out
 
 
-def fit(docs: DataFrame, per_kind: int = 400, least: int = 20, alpha: float = 0.01, margin: float = 0.35, text_col: str = "text") -> SecretModel:
-    """Automata from the labelled credentials of the corpus.
+def cross_scored(strings: list[str], alpha: float, folds: int = 4) -> list[float]:
+    """For each symbol the log-likelihood of each string by the automaton of the others' folds; alone, by its own."""
+    folds = min(folds, len(strings)) if len(strings) >= 4 * folds else len(strings)
+    parts = [[t for j, t in enumerate(strings) if j % folds != i] or strings for i in range(folds)]
+    automata = [infer(p, alpha) for p in parts]
+    return [automata[j % folds].log_likelihood(t) / (len(t) + 1) for j, t in enumerate(strings)]
 
-    per_kind bounds the sample of each kind; a kind with fewer than `least` credentials has no automaton. The
-    gain that a candidate needs is what all but 2 % of held-back credentials of its kind reach, `margin` at least.
+
+def fit(docs: DataFrame, per_kind: int = 400, alpha: float = 0.01, margin: float = 0.35, text_col: str = "text") -> SecretModel:
+    """Automata from the labelled credentials of the corpus, however few of a kind there are.
+
+    per_kind bounds the sample of each kind; a kind without any credential has no automaton. The gain that a candidate
+    needs is what all but 2 % of the kind's credentials reach under automata that were inferred without them, `margin` at
+    least. Of few credentials the automaton is a general one, since states of few strings are compatible: then they
+    reach little themselves, and what is asked of others is `margin` and a format as likely as theirs.
     """
     sample = samples(docs, per_kind, text_col)
-    kinds = {k: infer(sample[k][len(sample[k]) // 4 :], alpha) for k in KINDS if len(sample[k]) >= least}
-    held = {k: sample[k][: len(sample[k]) // 4] for k in kinds}
-    typical = {k: float(np.quantile([a.log_likelihood(t) / (len(t) + 1) for t in held[k]], 0.02)) for k, a in kinds.items()}
+    kinds = {k: infer(sample[k], alpha) for k in KINDS if sample[k]}
+    scores = {k: cross_scored(sample[k], alpha) for k in kinds}
+    typical = {k: float(np.quantile(x, 0.02)) for k, x in scores.items()}
     backgrounds = [infer(purified(sample[k][: per_kind * 3 // 4], kinds, typical, alpha), alpha) for k in ("other", "plain")]
     gain = {}
-    for kind, a in kinds.items():
-        reached = sorted((a.log_likelihood(t) - max(b.log_likelihood(t) for b in backgrounds)) / (len(t) + 1) for t in held[kind])
+    for kind in kinds:
+        reached = [x - max(b.log_likelihood(t) for b in backgrounds) / (len(t) + 1) for x, t in zip(scores[kind], sample[kind], strict=True)]
         gain[kind] = max(margin, float(np.quantile(reached, 0.02)))
     return SecretModel(kinds, backgrounds, gain)
 

@@ -128,6 +128,22 @@ def test_grammar_adds_spans(spark):
     assert not any(rows[i] for i in range(120, 240))
 
 
+@pytest.mark.parametrize("few", [1, 3, 9])
+def test_a_grammar_is_inferred_from_few_credentials(spark, few):
+    random.seed(few)
+    form = lambda: "".join(random.choices("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=28))
+    plain = ["the quick brown foxes jumped over seventeen lazy documents", "reference 8812734 of the extraordinary catalogue, section nineteen"]
+    rows = [(i, f"password = {form()} and so on") for i in range(few)] + [(100 + i, plain[i % 2]) for i in range(60)]
+    hidden = form()
+    docs = spark.createDataFrame([*rows, (500, f"it was {hidden} once")], "doc_id long, text string")
+    model = secrets.fit(docs)
+    assert list(model.kinds) == ["assign"]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find(docs, model).collect()}
+    assert not any(got[i] for i in range(100, 160))
+    if few > 1:
+        assert got[500] == f"assign:7:{7 + len(hidden)}"
+
+
 @pytest.mark.parametrize(
     ("text", "tokens"),
     [
