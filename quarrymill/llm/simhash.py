@@ -139,24 +139,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = joined.join(names, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, crowd: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of `docs`, all columns, without near duplicates: of each component the row of its least id stays and,
-    of rows that repeat that id, the one of the least hash of its text.
-
-    Rows are told apart by id and text; of equal ones, one stays. Rows of a null id can't be named as copies and stay.
-    What goes is broadcast if it has at most `broadcast_rows` rows, else joined by a shuffle.
-    """
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    both = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), text_hash.alias("hash")))
-    found = near_duplicates(docs.select(both.alias("__both"), F.col(text_col).alias("__text")), "__both", "__text", words, crowd)
-    found = cut(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("copies")))
-    gone = found.where(F.col("doc_id") != F.col("least")).select(F.col("doc_id.id").alias("__id"), F.col("doc_id.hash").alias("__gone"))
-    if gone.count() <= broadcast_rows:
-        gone = F.broadcast(gone)
-    hashed = docs.withColumn("__hash", text_hash)
-    kept = hashed.join(gone, (F.col(id_col) == F.col("__id")) & (F.col("__hash") == F.col("__gone")), "left_anti")
-    if not found.where("copies > 1").isEmpty():
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__hash"]).union(kept.where(F.col(id_col).isNull()))
-    return kept.drop("__hash")

@@ -1,6 +1,6 @@
 import pytest
 
-CLASH = "score double, piece int, fp long, length long, salt int, rank int, v string, next string, blk long, guest int, component_id long, held_out int, predicted int, spans string, shard int, block int, id long"
+CLASH = "score double, piece int, fp long, length long, salt int, rank int, v string, next string, blk long, guest int, component_id long, held_out int, predicted int, spans string, shard int, block int, id long, __mark string, __id string, __gone long, __HASH string, mark string, row string, gone long, component string, label long"
 ODD = [
     (1, "plain words stand here, and more of them. A second sentence."),
     (2, None),

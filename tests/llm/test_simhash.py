@@ -73,19 +73,12 @@ def test_links_reach_what_brute_force_reaches(spark, crowd):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
-def test_keep_one(odd, none):
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    ids = sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect())
-    named = simhash.near_duplicates(odd).where("doc_id is not null")
-    assert ids == sorted({r["component_id"] for r in named.collect()})
-    assert kept.where("doc_id is null").count() == 2
-    assert simhash.keep_one(none).collect() == [] and simhash.near_duplicates(none).collect() == []
-
-
-@pytest.mark.parametrize("keep_one", [simhash.keep_one, near_copies.keep_one])
-def test_unlike_texts_of_one_id_are_decided_by_row(spark, keep_one):
+def test_no_rows(none):
+    assert simhash.near_duplicates(none).collect() == []
+
+
+def test_unlike_texts_of_one_id_are_decided_by_row(spark):
     text = lambda n: " ".join(f"{n}w{i}" for i in range(80))
     rows = [(3, text("a")), (7, text("a")), (7, text("b")), (8, text("c")), (8, text("d")), (8, text("d"))]
-    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == sorted({rows[0], *rows[2:]})
