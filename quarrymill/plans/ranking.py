@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import rates
 from quarrymill.functions import text as T
-from quarrymill.operators import relevance, shares
+from quarrymill.operators import keywords, relevance, shares
 from quarrymill.plans.evaluation import rounded
 from quarrymill.plans.registry import query
 from quarrymill.sources import read_table
@@ -52,7 +52,8 @@ def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(spark, sf_dir).select("pattern", "path", F.array_join("keywords", ",").alias("keywords"), F.array_join("anti_keywords", ",").alias("anti_keywords"))
 
 
-_SCORE = f"""{_HITS},
+def _score_sql(hits: str) -> str:
+    return f"""{hits},
         l AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\r?\\n')[1:200]) AS line FROM documents),
         w AS (SELECT doc_id, line, CASE WHEN contains(line, 'class ') OR contains(line, 'interface ') OR contains(line, 'struct ') THEN 0.30::DOUBLE
               WHEN contains(line, 'def ') OR contains(line, 'function ') OR contains(line, 'func ') OR contains(line, 'public ') OR contains(line, 'private ') THEN 0.25::DOUBLE
@@ -65,11 +66,30 @@ _SCORE = f"""{_HITS},
         f AS (SELECT pattern, path, CASE WHEN c > 0 THEN least(greatest(p - a, 0) / (c * 0.8::DOUBLE), 1::DOUBLE) ELSE 0::DOUBLE END AS keyword_score FROM s)"""
 
 
+_SCORE = _score_sql(_HITS)
+
+
 @query(f"WITH {_SCORE} SELECT pattern, path, round(keyword_score, 6) AS keyword_score FROM f")
 def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scanned(spark, sf_dir).select("pattern", "path", "keyword_score"), "keyword_score")
 
 
+_WORDS = """b AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS keyword FROM benchmark),
+        k AS (SELECT DISTINCT concat('p', length(keyword) % 3) AS pattern, keyword, CASE WHEN length(keyword) % 5 = 0 THEN 'anti' ELSE 'pos' END AS kind FROM b),
+        h AS (SELECT pattern, doc_id, keyword, kind, lower(text) AS t FROM documents, k WHERE contains(lower(text), lower(keyword)))"""
+
+
+@query(f"""WITH {_score_sql(_WORDS)}, c AS (SELECT pattern, doc_id AS path, CAST(count(*) FILTER (kind = 'pos') AS INTEGER) AS n_keywords, CAST(count(*) FILTER (kind = 'anti') AS INTEGER) AS n_anti FROM h GROUP BY ALL)
+        SELECT pattern, path, n_keywords, n_anti, round(keyword_score, 6) AS keyword_score FROM f JOIN c USING (pattern, path)""")
+def many_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the benchmark as keywords, by one automaton."""
+    length = F.length("keyword")
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("keyword")).distinct()
+    declared = words.select(F.concat(F.lit("p"), (length % 3).cast("string")).alias("pattern"), "keyword", F.when(length % 5 == 0, "anti").otherwise("pos").alias("kind"))
+    found = keywords.scan(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"), declared)
+    return rounded(found.select("pattern", "path", F.size("keywords").alias("n_keywords"), F.size("anti_keywords").alias("n_anti"), "keyword_score"), "keyword_score")
+
+
 _QUEUE = f"""{_SCORE}, v AS (SELECT pattern, path, round(0.2::DOUBLE * keyword_score + 0.1::DOUBLE * ((path % 10) / 10::DOUBLE) + 0.7::DOUBLE * CASE path % 3 WHEN 0 THEN 1 WHEN 1 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END, 9) AS score FROM f),
         q AS (SELECT *, CAST(row_number() OVER (PARTITION BY pattern ORDER BY score DESC, path) AS INTEGER) AS rank, CASE WHEN score >= 0.5::DOUBLE THEN 'high' WHEN score >= 0.3::DOUBLE THEN 'medium' ELSE 'low' END AS tier FROM v WHERE score >= 0.1::DOUBLE QUALIFY rank <= 20)"""
 
