@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +38,70 @@ def match_regex(glob: str) -> str:
     return f"^{body}$" if glob.startswith("/") else f"(?:^|/){body}$"
 
 
+class GlobIndex:
+    """Many globs of the right-anchored dialect as a tree of components from the right; a path walks only the branches that it fits.
+
+    A branch without wildcards is found by name. One with wildcards is found by the fixed text that it ends with, else by
+    the one that it begins with, and then tried; only what has neither is tried on every component.
+    """
+
+    def __init__(self, globs: Sequence[str]):
+        self.root = _Node()
+        for number, glob in enumerate(globs):
+            node = self.root
+            for part in reversed([p for p in glob.split("/") if p]):
+                node = node.below(part)
+            (node.rooted if glob.startswith("/") else node.ends).append(number)
+        self.tried = 0
+
+    def matches(self, path: str) -> list[int]:
+        """Numbers of the globs that a path has, ascending."""
+        found: list[int] = []
+        parts = path.split("/")
+        todo = [(self.root, len(parts))]
+        while todo:
+            node, left = todo.pop()
+            if node is not self.root:
+                found += node.ends if left else [*node.ends, *node.rooted]
+            if left:
+                for child in node.fitting(parts[left - 1], self):
+                    todo.append((child, left - 1))
+        return sorted(found)
+
+
+class _Node:
+    def __init__(self) -> None:
+        self.ends: list[int] = []
+        self.rooted: list[int] = []
+        self.exact: dict[str, _Node] = {}
+        self.wild: dict[str, _Node] = {}
+        #: What wildcards stand before, behind, or on both sides of: fixed text -> (pattern, child)s.
+        self.tails: dict[str, list[tuple[re.Pattern[str], _Node]]] = {}
+        self.heads: dict[str, list[tuple[re.Pattern[str], _Node]]] = {}
+
+    def below(self, part: str) -> _Node:
+        if part != "**" and not set(part) & set("*?["):
+            return self.exact.setdefault(part, _Node())
+        if part not in self.wild:
+            child = self.wild[part] = _Node()
+            pattern = re.compile("[^/]+" if part == "**" else _segment(part), re.DOTALL)
+            tail, head = re.search(r"[^*?\[\]]*$", part)[0], re.match(r"[^*?\[]*", part)[0]
+            table, fixed = (self.tails, tail) if tail or not head else (self.heads, head)
+            table.setdefault(fixed, []).append((pattern, child))
+        return self.wild[part]
+
+    def fitting(self, name: str, index: GlobIndex) -> list[_Node]:
+        found = [self.exact[name]] if name in self.exact else []
+        for table, cut in ((self.tails, lambda n: name[len(name) - n :]), (self.heads, lambda n: name[:n])):
+            for size in {len(k) for k in table} if len(table) < len(name) else range(len(name) + 1):
+                if size <= len(name):
+                    for pattern, child in table.get(cut(size), ()):
+                        index.tried += 1
+                        if pattern.fullmatch(name):
+                            found.append(child)
+        return found
+
+
 def path_regex(glob: str) -> str:
     """The whole-path dialect: ** is any number of components, none included; at the end, it is anything below."""
     parts, out = [p for p in glob.split("/") if p], "^"

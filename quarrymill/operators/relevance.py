@@ -1,13 +1,16 @@
-"""Rule matching and relevance scores of files against declared patterns, in built-in functions only."""
+"""Rule matching and relevance scores of files against declared patterns, in built-in functions but for the index of globs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import rates
 from quarrymill.functions import text as T
-from quarrymill.functions.globs import match_regex
+from quarrymill.functions.globs import GlobIndex
 from quarrymill.operators.order import running_totals, with_sizes
 
 #: Weight of the first entry that a lower-cased decorator contains.
@@ -34,26 +37,25 @@ SIGNALS = {
 }
 
 
-def match_rules(files: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+def match_rules(files: DataFrame, rules: DataFrame, path: str = "path", limit: int = 100_000) -> DataFrame:
     """path, pattern, rule_no, priority of every rule whose glob matches a file.
 
-    rules: pattern, rule_no, glob, priority - a declared table, small. Globs are compiled once on the driver.
-    Globs that end in a plain suffix are joined on it by equality; only the others are tried against all files.
+    rules: pattern, rule_no, glob, priority - a declared table; more than `limit` are refused. They are put into an index
+    once on the driver (see `globs.GlobIndex`), and a path meets only the rules whose components it has from the right on.
     """
-    spark = files.sparkSession
-    listed = [(r["pattern"], r["rule_no"], r["priority"], match_regex(r["glob"]), _fixed_suffix(r["glob"])) for r in rules.select("pattern", "rule_no", "glob", "priority").collect()]
-    table = spark.createDataFrame(listed, "pattern string, rule_no int, priority string, rx string, sfx string")
-    keyed = files.select(path).distinct().withColumn("__s", T.suffix(F.col(path)))
-    by_suffix = keyed.join(F.broadcast(table.where("sfx is not null")), F.col("__s") == F.col("sfx")).where(F.rlike(F.col(path), F.col("rx")))
-    by_regex = keyed.join(F.broadcast(table.where("sfx is null")), F.rlike(F.col(path), F.col("rx")))
-    return by_suffix.select(path, "pattern", "rule_no", "priority").unionByName(by_regex.select(path, "pattern", "rule_no", "priority"))
-
-
-def _fixed_suffix(glob: str) -> str | None:
-    name = glob.rsplit("/", 1)[-1]
-    dot = name.rfind(".")
-    tail = name[dot:] if dot > 0 else ""
-    return tail if len(tail) > 1 and not set(tail) & set("*?[") else None
+    listed = rules.select("pattern", F.col("rule_no").cast("int"), "priority", "glob").limit(limit + 1).collect()
+    if len(listed) > limit:
+        raise ValueError(f"more than {limit} rules")
+    names = [path, "pattern", "rule_no", "priority"]
+    shared = files.sparkSession.sparkContext.broadcast(([tuple(r)[:3] for r in listed], GlobIndex([r["glob"] for r in listed])))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, index = shared.value
+        for part in parts:
+            yield pd.DataFrame([(p, *of[i]) for p in part[path] for i in index.matches(p)], columns=names)
+
+    each = files.select(path).where(F.col(path).isNotNull()).distinct()
+    return each.mapInPandas(run, f"`{path}` string, pattern string, rule_no int, priority string")
 
 
 def tiers(matches: DataFrame, path: str = "path") -> DataFrame:

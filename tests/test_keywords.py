@@ -1,10 +1,12 @@
 """Very many keywords by one automaton, and globs by an index of rules."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarrymill.functions import globs
 from quarrymill.operators import keywords, relevance
 
 WORDS = [("p", "aa", "pos"), ("p", "aba", "anti"), ("q", "A", "pos"), ("q", "", "anti"), ("r", "x\ny", "pos"), ("r", "É", "pos"), ("p", "Class ", "pos"), ("s", "never there", "pos"), ("q", "a", "anti")]
@@ -42,3 +44,41 @@ def test_ten_thousand_keywords_in_one_pass(spark):
     words = [f" w{i} " for i in range(10_000)]
     for r in files.where("path % 50 = 0").collect():
         assert got[r["path"]] == sorted(w for w in words if w in r["text"])
+
+
+def random_globs(draw, n):
+    part = lambda: draw.choice(["*", "**", "a", "b", "*.py", "a*", "?", "[ab]c", "[!a]*", "x*y", "*.tar.gz", "a.b", "*b*", "ab?"])
+    return [draw.choice(["", "", "", "/"]) + "/".join(part() for _ in range(draw.randint(1, 4))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_index_of_globs_is_each_of_them(seed):
+    draw = random.Random(seed)
+    listed = random_globs(draw, 120)
+    index = globs.GlobIndex(listed)
+    name = lambda: draw.choice(["a", "b", "ab", "ac", "bc", "x.py", "xy", "xzy", "a.b", "abc", "q.tar.gz", ""])
+    for _ in range(300):
+        path = "/".join(name() for _ in range(draw.randint(1, 5)))
+        want = [i for i, g in enumerate(listed) if component_wise(path, g)]
+        assert index.matches(path) == want, path
+
+
+def component_wise(path, glob):
+    parts, names = [p for p in glob.split("/") if p], path.split("/")
+    if len(parts) > len(names) or (glob.startswith("/") and len(parts) != len(names)):
+        return False
+    return all(re.search(globs.match_regex(p).replace("(?:^|/)", "^"), n) is not None for p, n in zip(parts, names[len(names) - len(parts) :], strict=True))
+
+
+def test_a_path_meets_few_of_many_rules(spark):
+    listed = [f"src/**/part{i}/*.x{i % 500}" for i in range(5000)] + [f"*.y{i}" for i in range(5000)] + ["**/*.x7"]
+    index = globs.GlobIndex(listed)
+    assert index.matches("src/a/part7/main.x7") == [7, 10_000] and index.matches("z.y44") == [5044]
+    assert index.tried < 10
+    rules = spark.createDataFrame([("p", i, g, "high") for i, g in enumerate(listed)], "pattern string, rule_no int, glob string, priority string")
+    files = spark.createDataFrame([("src/a/part7/main.x7",), ("src/a/part7/main.x7",), (None,), ("",)], "path string")
+    found = relevance.match_rules(files, rules)
+    assert sorted(r["rule_no"] for r in found.collect()) == [7, 10_000]
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        relevance.match_rules(files, rules, limit=10)
