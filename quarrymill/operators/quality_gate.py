@@ -144,5 +144,11 @@ def confident(score: Column, threshold: int = 5) -> Column:
 
 
 def looks_like_text(size_mb: Column, content: Column, max_mb: float = 10.0) -> Column:
-    """Not too large, and at least 10 characters that aren't blank in the first 1000."""
-    return (size_mb <= max_mb) & (F.length(F.regexp_replace(F.substring(content, 1, 1000), r"\s", "")) >= 10)
+    """Not too large, and at least 10 characters in the first 1000 without the blanks at either end. A null text is empty."""
+    head = F.regexp_replace(F.substring(F.coalesce(content, F.lit("")), 1, 1000), r"(?U)^\s+|\s+$", "")
+    return (size_mb <= max_mb) & (F.length(head) >= 10)
+
+
+def sane_files(files: DataFrame, max_mb: float = 10.0) -> DataFrame:
+    """The files of a scan (path, length in bytes, text; see `readers.folder`) that are worth reading."""
+    return files.where(looks_like_text(F.col("length") / (1024 * 1024), F.col("text"), max_mb))

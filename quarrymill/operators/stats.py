@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +133,43 @@ def bootstrap_mean(rows: DataFrame, value: str, key: str, resamples: int = 1500,
     return placed.agg(F.count("*").alias("n"), F.avg("x").alias("mean")).crossJoin(interval)  # one row each
 
 
+def bootstrap_by_counts(rows: DataFrame, value: str, key: str, resamples: int = 1500, seed: int = 42, level: float = 0.95, part: int = 10_000) -> DataFrame:
+    """n, mean, lo, hi: the percentile interval of the mean over seeded resamples; zeros for fewer than 3 values.
+
+    Values are cut into parts of `part` by their place (by key). How many of the n draws of a resample fall into a part is
+    drawn on the way to it in a tree of halves, a binomial number at each, from a generator that the seed and the place in
+    the tree start. So parts agree on their shares without a word, each makes its own draws only and sends one sum for each
+    resample, and the draws depend neither on layout nor on retries. Null values don't count.
+    """
+    rows = rows.where(F.col(value).isNotNull())
+    placed = running_total(rows.select(F.col(key).alias("__key"), F.col(value).cast("double").alias("x")), ["__key", "x"], F.lit(1).cast("long"), "i").select("i", "x")
+    n = rows.count()
+    if n < 3:
+        return rows.sparkSession.createDataFrame([(n, 0.0, 0.0, 0.0)], "n bigint, mean double, lo double, hi double")
+
+    def draws_of(number: int) -> np.ndarray:
+        """How many draws of each resample fall into a part."""
+        low, high, left = 0, -(-n // part), np.full(resamples, n, np.int64)
+        while high - low > 1:
+            middle = (low + high) // 2
+            whole, first = min(high * part, n) - low * part, (middle - low) * part
+            below = np.random.default_rng([seed, low, high]).binomial(left, first / whole)
+            low, high, left = (low, middle, below) if number < middle else (middle, high, left - below)
+        return left
+
+    def inside(some: pd.DataFrame) -> pd.DataFrame:
+        number = int(some["i"].iloc[0]) // part
+        x = some.sort_values("i")["x"].to_numpy()
+        draw = np.random.default_rng([seed, number])
+        return pd.DataFrame({"b": np.arange(resamples), "s": [x[draw.integers(len(x), size=m)].sum() for m in draws_of(number).tolist()]})
+
+    sums = placed.groupBy(F.floor(F.col("i") / part).alias("part")).applyInPandas(inside, "b int, s double")
+    means = sums.groupBy("b").agg((F.sum("s") / n).alias("m"))
+    tail = (1 - level) / 2
+    interval = means.agg(F.percentile("m", F.lit(tail)).alias("lo"), F.percentile("m", F.lit(1 - tail)).alias("hi"))  # of `resamples` values
+    return placed.agg(F.count("*").alias("n"), F.avg("x").alias("mean")).crossJoin(interval)  # one row each
+
+
 def interval_flag(n: Column, lo: Column, hi: Column, wide: float = 0.3) -> Column:
     return F.when(n < 3, "insufficient").when(hi - lo > wide, "high_uncertainty").otherwise("ok")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import globs, rates
 from quarrymill.functions import text as T
-from quarrymill.operators import shares, stats, vectors
+from quarrymill.operators import quality_gate, relevance, shares, stats, vectors
 from quarrymill.plans.records import scratch
 from quarrymill.plans.registry import query
 from quarrymill.sources import readers, read_table
@@ -118,3 +118,28 @@ def upserted_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("doc_id", vectors.upsert_id("source", "lang", "place", "text").alias("id"), "v")
     stored = rows.where(d % 3 != 0).groupBy("id").agg(F.min("v").alias("v"))
     return vectors.upsert(stored, rows.where(d % 2 == 0).groupBy("id").agg((F.max("v") + 1000000).alias("v")))
+
+
+@query("""SELECT doc_id AS path, CAST(strlen(text) AS BIGINT) AS length FROM documents WHERE strlen(text) / 1048576.0 <= 0.002 AND length(regexp_replace(substr(coalesce(text, ''), 1, 1000), '^\\s+|\\s+$', '', 'g')) >= 10""")
+def sane_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a scan would read: not over a size, and with something in them."""
+    files = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.octet_length("text").cast("long").alias("length"), "text")
+    return quality_gate.sane_files(files, max_mb=0.002).select("path", "length")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier)
+        SELECT concat('p', k) AS pattern, concat('**/*.x', k % 5) AS high, concat('f', k % 4, '/*') AS low, concat('a', k, ' b', k % 3) AS keywords, concat('c', k % 2) AS anti_keywords, CAST(NULL AS VARCHAR) AS problem FROM s WHERE k % 6 <> 0 AND k % 7 <> 0
+        UNION ALL SELECT concat('p', k), NULL, NULL, NULL, NULL, 'rule 1: search_method is none of keyword, embedding, hybrid' FROM s WHERE k % 6 = 0 AND k % 7 <> 0
+        UNION ALL SELECT concat('file', k), NULL, NULL, NULL, NULL, 'not YAML: ParserError' FROM s WHERE k % 7 = 0""")
+def declared_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A YAML file for each supplier, some of them wrong: what the patterns ask for, and what is wrong with the others."""
+    k = F.col("s_suppkey")
+    body = F.format_string(
+        "pattern_name: p%s\ndescription: d\nrepository_fingerprint:\n  glob_patterns:\n  - {glob: '**/*.x%s', search_method: keyword, analysis_priority: high, keywords: [a%s, b%s], anti_keywords: [c%s]}\n  - {glob: 'f%s/*', search_method: %s}\npositive_examples: ['twenty characters and more']\n",
+        *(c.cast("string") for c in (k, k % 5, k, k % 3, k % 2, k % 4)), F.when(k % 6 == 0, "guess").otherwise("embedding"),
+    )
+    files = read_table(spark, sf_dir, "supplier").select(F.concat(F.lit("file"), k.cast("string")).alias("path"), F.when(k % 7 == 0, "a: [1").otherwise(body).alias("text"))
+    t = readers.patterns_of(files)
+    found = relevance.hints(t["rule"], t["keyword"]).select("pattern", *(F.array_join(c, " ").alias(c) for c in ("high", "low", "keywords", "anti_keywords")))
+    wrong = t["problem"].where(~F.startswith("problem", F.lit("WARNING")))
+    return found.withColumn("problem", F.lit(None).cast("string")).unionByName(wrong, allowMissingColumns=True)

@@ -63,6 +63,12 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.bootstrap_mean(rows, "s_acctbal", "s_suppkey"), "mean", "lo", "hi", places=4)
 
 
+@query()
+def bootstrap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of the mean price of all orders; its draws come from generators that SQL doesn't have, tests compare it with direct resampling."""
+    return stats.bootstrap_by_counts(read_table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey")
+
+
 @query("""WITH g AS (SELECT month(o_orderdate) AS m, count(*) AS n, avg(o_totalprice) AS a, var_pop(o_totalprice) AS v FROM orders GROUP BY 1), t AS (SELECT sum(n) AS n, sum(n * a) / sum(n) AS a FROM g)
         SELECT CAST(count(*) AS BIGINT) AS groups, CAST(any_value(t.n) AS BIGINT) AS n, round((sum(g.n * (g.a - t.a) ** 2) / (count(*) - 1)) / (sum(g.n * g.v) / (any_value(t.n) - count(*))), 6) AS f FROM g, t""")
 def anova_f(spark: SparkSession, sf_dir: str) -> DataFrame:

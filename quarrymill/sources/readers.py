@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions import globs
 from quarrymill.sources import schemas
+from quarrymill.sources.tables import cut
 
 
 def archive_names(spark: SparkSession, path: str) -> DataFrame:
@@ -147,39 +149,60 @@ def decoded(content: Column) -> Column:
 METHODS = ("keyword", "embedding", "hybrid")
 
 
-def patterns(spark: SparkSession, texts: Sequence[str]) -> dict[str, DataFrame]:
-    """Declared patterns from YAML texts: the tables pattern, rule, keyword, example and problem.
+_PATTERN_ROW = "part string, pattern string, description string, rule_no int, glob string, priority string, search_method string, keyword string, kind string, example_index int, text string, problem string"
+#: The tables of declared patterns and their columns.
+PATTERN_TABLES = {
+    "pattern": ("pattern", "description"),
+    "rule": ("pattern", "rule_no", "glob", "priority", "search_method"),
+    "keyword": ("pattern", "rule_no", "keyword", "kind"),
+    "example": ("pattern", "kind", "example_index", "text"),
+    "problem": ("pattern", "problem"),
+}
 
-    problem lists what is wrong with each pattern; those that start with WARNING don't keep it out. The
-    others keep the whole pattern out of the first four tables.
-    """
+
+def _pattern_rows(name: str, body: str | None) -> Iterator[dict]:
+    """The rows that one YAML text declares. name: what it is called if it has no name of its own."""
     import yaml
 
-    found, rules, keywords, examples, problems = [], [], [], [], []
-    for number, body in enumerate(texts):
-        try:
-            data = yaml.safe_load(body) or {}
-        except yaml.YAMLError as e:
-            data, errors = {}, [f"not YAML: {type(e).__name__}"]
-        else:
-            errors = pattern_problems(data)
-        name = str(data.get("pattern_name") or f"#{number}") if isinstance(data, dict) else f"#{number}"
-        problems += [(name, e) for e in errors]
-        if any(not e.startswith("WARNING") for e in errors):
-            continue
-        found.append((name, str(data["description"])))
-        for i, rule in enumerate(data["repository_fingerprint"]["glob_patterns"]):
-            rules.append((name, i, rule["glob"], rule.get("analysis_priority") or "low", rule["search_method"]))
-            keywords += [(name, i, str(k), kind) for field, kind in (("keywords", "pos"), ("anti_keywords", "anti")) for k in rule.get(field) or []]
-        examples += [(name, kind, i, t) for kind in ("positive", "negative") for i, t in enumerate(data.get(f"{kind}_examples") or [])]
-    make = spark.createDataFrame
-    return {
-        "pattern": make(found, "pattern string, description string"),
-        "rule": make(rules, "pattern string, rule_no int, glob string, priority string, search_method string"),
-        "keyword": make(keywords, "pattern string, rule_no int, keyword string, kind string"),
-        "example": make(examples, "pattern string, kind string, example_index int, text string"),
-        "problem": make(problems, "pattern string, problem string"),
-    }
+    try:
+        data = yaml.safe_load(body or "") or {}
+    except yaml.YAMLError as e:
+        data, errors = {}, [f"not YAML: {type(e).__name__}"]
+    else:
+        errors = pattern_problems(data)
+    name = str(data.get("pattern_name") or name) if isinstance(data, dict) else name
+    yield from ({"part": "problem", "pattern": name, "problem": e} for e in errors)
+    if any(not e.startswith("WARNING") for e in errors):
+        return
+    yield {"part": "pattern", "pattern": name, "description": str(data["description"])}
+    for i, rule in enumerate(data["repository_fingerprint"]["glob_patterns"]):
+        yield {"part": "rule", "pattern": name, "rule_no": i, "glob": rule["glob"], "priority": rule.get("analysis_priority") or "low", "search_method": rule["search_method"]}
+        for field, kind in (("keywords", "pos"), ("anti_keywords", "anti")):
+            yield from ({"part": "keyword", "pattern": name, "rule_no": i, "keyword": str(k), "kind": kind} for k in rule.get(field) or [])
+    for kind in ("positive", "negative"):
+        yield from ({"part": "example", "pattern": name, "kind": kind, "example_index": i, "text": str(t)} for i, t in enumerate(data.get(f"{kind}_examples") or []))
+
+
+def patterns_of(files: DataFrame) -> dict[str, DataFrame]:
+    """Declared patterns from YAML files (path, text), as `folder` reads them: the tables pattern, rule, keyword, example and problem.
+
+    problem lists what is wrong with each pattern; those that start with WARNING don't keep it out. The others keep the
+    whole pattern out of the first four tables. A file without a name of its own goes by its path.
+    """
+    columns = [c.split()[0] for c in _PATTERN_ROW.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [r for path, text in zip(part["path"], part["text"], strict=True) for r in _pattern_rows(path, text)]
+            yield pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns).astype({"rule_no": "Int32", "example_index": "Int32"})
+
+    rows = cut(files.select("path", "text").mapInPandas(run, _PATTERN_ROW))
+    return {part: rows.where(F.col("part") == part).select(*names) for part, names in PATTERN_TABLES.items()}
+
+
+def patterns(spark: SparkSession, texts: Sequence[str]) -> dict[str, DataFrame]:
+    """Declared patterns from YAML texts; see `patterns_of`. A text without a name goes by its number."""
+    return patterns_of(spark.createDataFrame([(f"#{i}", t) for i, t in enumerate(texts)], "path string, text string"))
 
 
 def pattern_problems(data: object) -> list[str]:

@@ -364,3 +364,29 @@ def test_splits_and_batches_have_no_window_of_a_group(spark):
     assert [b for _, b in of_big] == [i // 100 for i in range(900)] and batched.where("g = 'small' and batch <> 0").isEmpty()
     for df in (split, batched):
         assert windows_of(df) and all("__part" in w for w in windows_of(df))
+
+
+@pytest.mark.parametrize("part", [7, 50, 10_000])
+def test_bootstrap_by_counts_is_a_bootstrap(spark, part):
+    draw = np.random.default_rng(3)
+    x = draw.exponential(10, 173)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(999, None)], "k int, x double")
+    got = stats.bootstrap_by_counts(df, "x", "k", resamples=1500, part=part).first()
+    again = stats.bootstrap_by_counts(df.repartition(7), "x", "k", resamples=1500, part=part).first()
+    assert tuple(got) == pytest.approx(tuple(again), rel=1e-12)  # sums are added up in any order
+    means = x[draw.integers(len(x), size=(20_000, len(x)))].mean(axis=1)
+    lo, hi = np.percentile(means, [2.5, 97.5])
+    assert got["n"] == 173 and got["mean"] == pytest.approx(x.mean())
+    assert got["lo"] == pytest.approx(lo, abs=0.2) and got["hi"] == pytest.approx(hi, abs=0.2)
+
+
+def test_bootstrap_by_counts_makes_n_draws_in_all(spark):
+    ones = spark.range(1003).select("id", F.lit(1.0).alias("x"))
+    assert tuple(stats.bootstrap_by_counts(ones, "x", "id", resamples=50, part=10).first()) == (1003, 1.0, 1.0, 1.0)
+    assert tuple(stats.bootstrap_by_counts(ones.limit(2), "x", "id").first()) == (2, 0.0, 0.0, 0.0)
+
+
+def test_files_worth_reading(spark):
+    rows = [("a", 5, "0123456789"), ("b", 5, "  0123 5678\t\n\u00a0"), ("c", 11 * 1024 * 1024, "0123456789"), ("d", 5, None), ("e", 5, " " * 1000 + "0123456789"), ("f", 5, " 0 23 567 9 ")]
+    df = spark.createDataFrame(rows, "path string, length long, text string")
+    assert sorted(r["path"] for r in quality_gate.sane_files(df).collect()) == ["a", "f"]

@@ -57,6 +57,17 @@ def test_patterns(spark):
     assert {r["pattern"] for r in t["problem"].where("problem not like 'WARNING%'").collect()} == {"Q", "#2", "#3"}
 
 
+def test_patterns_of_a_folder(spark, tmp_path):
+    for k in range(5):
+        write(tmp_path / f"patterns/p{k}.yaml", f"pattern_name: P{k}\ndescription: d\nrepository_fingerprint:\n  glob_patterns:\n  - {{glob: '*.x{k}', search_method: keyword, keywords: [a, {k}]}}\n")
+    write(tmp_path / "patterns/bad.yaml", "- a list")
+    t = readers.patterns_of(readers.folder(spark, str(tmp_path / "patterns")))
+    assert sorted((r["pattern"], r["rule_no"], r["glob"], r["priority"]) for r in t["rule"].collect()) == [(f"P{k}", 0, f"*.x{k}", "low") for k in range(5)]
+    assert {r["keyword"] for r in t["keyword"].where("pattern = 'P3'").collect()} == {"a", "3"}
+    assert {r["pattern"] for r in t["problem"].where("problem not like 'WARNING%'").collect()} == {"bad.yaml"}
+    assert all(t[k].columns == list(c) for k, c in readers.PATTERN_TABLES.items())
+
+
 def test_folder(spark, tmp_path):
     write(tmp_path / "in/a.py", "x = 1")
     write(tmp_path / "in/node_modules/b.js", "y")
