@@ -81,4 +81,4 @@ def test_odd_documents_pass_through(spark, odd, sf_dir):
 
 def test_every_operator_is_registered():
     found = {int(n[2:].split("_")[0]) for n in queries.QUERIES}
-    assert found == set(range(1, 11))
+    assert found == set(range(1, 14))
