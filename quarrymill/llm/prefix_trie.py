@@ -45,7 +45,8 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     digest = F.sha2(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text), 256)
     tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long"), "turn", F.unhex(digest).alias("digest"), tokens.alias("tokens"))
-    return running_totals(rows, ["conv_id"], ["turn", "digest"], {"place": F.lit(1).cast("long")}).drop("turn")
+    # texts are read once: ranges are drawn from a sample of these rows, which would read them again
+    return running_totals(cut(rows), ["conv_id"], ["turn", "digest"], {"place": F.lit(1).cast("long")}).drop("turn")
 
 
 def paths_of(turns: DataFrame, family: int = 20, heads: int = 4) -> tuple[DataFrame, DataFrame]:
