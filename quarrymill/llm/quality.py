@@ -10,6 +10,7 @@ and all of it is learned from labels of documents alone (Ilse, Tomczak and Welli
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,7 @@ from quarrymill.llm.training import labelled_sample
 
 PASSAGE = 512
 _PAIRS = 128
+PIECE = 512 * PASSAGE  # bytes whose passages are encoded at once
 _BACK = 12  # a word repeats if it equals one of so many before it
 
 
@@ -38,24 +40,142 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+_BLANK = np.isin(np.arange(256), [32, 10, 9, 13])
 _HASH = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 WIDTH = 64 + _PAIRS + 7
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors of all passages, passages of each text). A text has one passage at least; an empty one is zeros."""
-    raw = [t.encode("utf-8", "replace") for t in texts]
+    """(vectors of all passages, passages of each text). A text has one passage at least; an empty one is zeros.
+
+    Work space is that of PIECE bytes, however long a text is; only the vectors themselves grow with the texts.
+    """
+    made: list[np.ndarray] = [np.zeros((0, WIDTH), np.float32)]
+    bags: list[np.ndarray] = [np.zeros(0, np.int64)]
+    for raw in _groups([t.encode("utf-8", "replace") for t in texts]):
+        if len(raw[0]) > PIECE:
+            vectors = list(_long(raw[0]))
+            made += vectors
+            bags.append(np.array([sum(map(len, vectors))], np.int64))
+        else:
+            vectors, sizes = _together(raw)
+            made.append(vectors)
+            bags.append(sizes)
+    return np.concatenate(made), np.concatenate(bags)
+
+
+def _groups(raw: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, in groups of PIECE bytes at most; a longer text is a group of its own."""
+    group, size = [], 0
+    for r in raw:
+        if group and size + len(r) > PIECE:
+            yield group
+            group, size = [], 0
+        group.append(r)
+        size += len(r) + PASSAGE
+    if group:
+        yield group
+
+
+def _together(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and passages of several texts at once."""
     lengths = np.array([len(r) for r in raw], dtype=np.int64)
     bags = np.maximum(1, -(-lengths // PASSAGE))
     flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
     first = np.concatenate([[0], np.cumsum(bags)[:-1]])
     total = int(bags.sum())
-    out = np.zeros((total, WIDTH), np.float32)
     if not len(flat):
-        return out, bags
+        return np.zeros((total, WIDTH), np.float32), bags
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    doc = np.repeat(np.arange(len(texts)), lengths)
+    doc = np.repeat(np.arange(len(raw)), lengths)
     part = first[doc] + (np.arange(len(flat)) - starts[doc]) // PASSAGE
+    # words: runs without blanks; a hash of each, and whether it stood shortly before
+    inside = ~_BLANK[flat]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1] | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(begin)
+    counts = np.zeros((3, total))
+    if len(at):
+        place = np.arange(len(flat)) - at[np.maximum(np.cumsum(begin) - 1, 0)]
+        code = np.add.reduceat(np.where(inside, _mixed(flat, place), np.uint64(0)), at)
+        counts = _repeats(code, doc[at], part[at], total)
+    return _vectors(flat, part, total, counts), bags
+
+
+def _long(raw: bytes) -> Iterator[np.ndarray]:
+    """Vectors of one text's passages, PIECE bytes of it at once; they are those that `_together` gives."""
+    flat = np.frombuffer(raw, dtype=np.uint8)
+    total = -(-len(flat) // PASSAGE)
+    counts = np.zeros((3, total), np.int32)
+    last = np.zeros(0, np.uint64)
+    opened: tuple[np.ndarray, int, int] | None = None  # code, length and passage of a word that the piece's end cuts
+    for low in range(0, len(flat), PIECE):
+        piece = flat[low : low + PIECE]
+        inside = ~_BLANK[piece]
+        code, part = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        head = 0
+        if opened is not None:
+            head = len(piece) if inside.all() else int(np.argmin(inside))
+            more = _mixed(piece[:head], opened[1] + np.arange(head)).sum(dtype=np.uint64, keepdims=True)
+            opened = (opened[0] + more, opened[1] + head, opened[2])
+            if head < len(piece):
+                code, part, opened = opened[0], np.array([opened[2]]), None
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1]
+        begin[:head] = False
+        at = np.flatnonzero(begin)
+        if len(at):
+            place = np.arange(len(piece)) - at[np.maximum(np.cumsum(begin) - 1, 0)]
+            own, of = np.add.reduceat(np.where(inside, _mixed(piece, place), np.uint64(0)), at), (low + at) // PASSAGE
+            if inside[-1]:
+                opened = (own[-1:], len(piece) - int(at[-1]), int(of[-1]))
+                own, of = own[:-1], of[:-1]
+            code, part = np.concatenate([code, own]), np.concatenate([part, of])
+        last = _tell(last, code, part, counts)
+    if opened is not None:
+        _tell(last, opened[0], np.array([opened[2]]), counts)
+    for low in range(0, len(flat), PIECE):
+        piece = flat[low : low + PIECE]
+        part = np.arange(len(piece)) // PASSAGE
+        from_ = low // PASSAGE
+        size = int(part[-1]) + 1
+        yield _vectors(piece, part, size, counts[:, from_ : from_ + size])
+
+
+def _tell(last: np.ndarray, code: np.ndarray, part: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Add the words of a piece, of one text, to its counts; returns the codes that the next words look back to."""
+    if not len(code):
+        return last
+    low, n = int(part[0]), int(part[-1] - part[0]) + 1
+    every = np.concatenate([last, code])
+    counts[:, low : low + n] += _repeats(every, None, part - low, n, len(last)).astype(counts.dtype)
+    return every[-_BACK:]
+
+
+def _mixed(flat: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What bytes at places within their words add to the words' hashes."""
+    return _HASH[flat] * ((np.minimum(place, 62).astype(np.uint64) << np.uint64(1)) + np.uint64(1))
+
+
+def _repeats(code: np.ndarray, doc: np.ndarray | None, part: np.ndarray, total: int, skip: int = 0) -> np.ndarray:
+    """By passage: words, those that equal one of _BACK before them in their text, those that equal the one before.
+
+    doc: the text of each word, None for one text. The first `skip` words are looked back to only; `part` has none for them.
+    """
+    seen, next_same = np.zeros(len(code), bool), np.zeros(len(code), bool)
+    for k in range(1, min(_BACK, len(code) - 1) + 1):
+        equal = code[k:] == code[:-k]
+        if doc is not None:
+            equal &= doc[k:] == doc[:-k]
+        seen[k:] |= equal
+        if k == 1:
+            next_same[1:] = equal
+    return np.stack([np.bincount(part, minlength=total), np.bincount(part, weights=seen[skip:], minlength=total), np.bincount(part, weights=next_same[skip:], minlength=total)])
+
+
+def _vectors(flat: np.ndarray, part: np.ndarray, total: int, counts: np.ndarray) -> np.ndarray:
+    """Vectors of passages: part is the passage of each byte, counts what `_repeats` gives."""
+    out = np.zeros((total, WIDTH), np.float32)
     size = np.bincount(part, minlength=total).astype(np.float64)
     per = np.maximum(size, 1)
     out[:, :64] = np.bincount(part * 64 + _CLASS[flat], minlength=total * 64).reshape(total, 64) / per[:, None]
@@ -70,28 +190,10 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out[:, 67] = -(share * np.log(np.maximum(share, 1e-9))).sum(axis=1) / 7
     folded = many.reshape(total, _PAIRS, 1024 // _PAIRS).sum(axis=2)
     out[:, 71:] = np.sqrt(folded / np.maximum(folded.sum(axis=1, keepdims=True), 1))
-    # words: runs without blanks; a hash of each, and whether it stood shortly before
-    blank = (flat == 32) | (flat == 10) | (flat == 9) | (flat == 13)
-    begin = ~blank
-    begin[1:] &= blank[:-1] | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(begin)
-    if len(at):
-        word = np.cumsum(begin) - 1
-        inside = ~blank
-        place = np.arange(len(flat)) - at[np.maximum(word, 0)]
-        mixed = np.where(inside, _HASH[flat] * ((np.minimum(place, 62).astype(np.uint64) << np.uint64(1)) + np.uint64(1)), np.uint64(0))
-        code = np.add.reduceat(mixed, at)
-        wpart = part[at]
-        seen = np.zeros(len(at), bool)
-        for k in range(1, min(_BACK, len(at) - 1) + 1):
-            seen[k:] |= (code[k:] == code[:-k]) & (doc[at[k:]] == doc[at[:-k]])
-        next_same = np.zeros(len(at), bool)
-        next_same[1:] = (code[1:] == code[:-1]) & (doc[at[1:]] == doc[at[:-1]])
-        words = np.maximum(np.bincount(wpart, minlength=total), 1)
-        out[:, 68] = np.bincount(wpart, weights=seen, minlength=total) / words
-        out[:, 69] = np.bincount(wpart, weights=next_same, minlength=total) / words
-        out[:, 70] = np.minimum(per / words / 20, 3)
-    return out, bags
+    words = np.maximum(counts[0], 1)
+    out[:, 68], out[:, 69] = counts[1] / words, counts[2] / words
+    out[:, 70] = np.minimum(size / words / 20, 3)
+    return out
 
 
 @dataclass
@@ -105,25 +207,36 @@ class QualityModel:
     def logits(self, vectors: np.ndarray, bags: np.ndarray) -> np.ndarray:
         return _forward(self.p, (vectors - self.mean) / self.scale, bags)["logit"]
 
-    def scores(self, texts: list[str], chars: int = 300_000) -> np.ndarray:
-        out, start = np.zeros(len(texts)), 0
-        while start < len(texts):
-            end, size = start, 0
-            while end < len(texts) and (size == 0 or size + len(texts[end]) <= chars):
-                size += len(texts[end]) + PASSAGE
-                end += 1
-            # rounded: sums in another order, with other texts in the batch, may differ in the last digits
-            out[start:end] = np.round(1 / (1 + np.exp(-np.clip(self.logits(*encode(texts[start:end])), -40, 40))), 9)
-            start = end
-        return out
+    def scores(self, texts: list[str]) -> np.ndarray:
+        logits = []
+        for raw in _groups([t.encode("utf-8", "replace") for t in texts]):
+            logits.append(np.array([self._long_logit(raw[0])]) if len(raw[0]) > PIECE else self.logits(*_together(raw)))
+        # rounded: sums in another order, with other texts in the batch, may differ in the last digits
+        return np.round(1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *logits]), -40, 40))), 9)
+
+    def _long_logit(self, raw: bytes) -> float:
+        """The logit of one text: attention over its pieces, rescaled to the greatest weight so far."""
+        top, total, weighted = -np.inf, 0.0, np.zeros(WIDTH)
+        for vectors in _long(raw):
+            h = (vectors - self.mean) / self.scale
+            s, _, _ = _attention(self.p, h)
+            now = max(top, float(s.max()))
+            e, before = np.exp(s - now), np.exp(top - now)
+            total, weighted, top = total * before + e.sum(), weighted * before + e @ h, now
+        return float(weighted / total @ self.p["c"] + self.p["b"][0])
+
+
+def _attention(p: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the gated layer gives each passage, and its two factors."""
+    t = np.tanh(h @ p["V"])
+    g = 1 / (1 + np.exp(-np.clip(h @ p["U"], -30, 30)))
+    return (t * g) @ p["w"], t, g
 
 
 def _forward(p: dict[str, np.ndarray], h: np.ndarray, bags: np.ndarray) -> dict[str, np.ndarray]:
     starts = np.concatenate([[0], np.cumsum(bags)[:-1]])
     bag = np.repeat(np.arange(len(bags)), bags)
-    t = np.tanh(h @ p["V"])
-    g = 1 / (1 + np.exp(-np.clip(h @ p["U"], -30, 30)))
-    s = (t * g) @ p["w"]
+    s, t, g = _attention(p, h)
     e = np.exp(s - np.maximum.reduceat(s, starts)[bag])
     a = e / np.add.reduceat(e, starts)[bag]
     z = np.add.reduceat(a[:, None] * h, starts, axis=0)
@@ -159,8 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     if not len(y) or y.min() == y.max():
         return QualityModel(np.zeros(WIDTH), np.ones(WIDTH), p)
     texts = sample["text"].tolist()
-    made = [encode(texts[i : i + 200]) for i in range(0, len(texts), 200)]
-    vectors, bags = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+    vectors, bags = encode(texts)
     model = QualityModel(vectors.mean(axis=0), vectors.std(axis=0) + 0.02, p)
     h = ((vectors - model.mean) / model.scale).astype(np.float32)
     starts = np.concatenate([[0], np.cumsum(bags)])

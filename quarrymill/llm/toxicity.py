@@ -7,6 +7,7 @@ other training documents. A logistic regression is fitted on the scaled features
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,41 +29,64 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
-    def scores(self, texts: list[str], chars: int = 300_000) -> np.ndarray:
-        out = np.full(len(texts), self.bias)
-        start = 0
-        while start < len(texts):
-            end, size = start, 0
-            while end < len(texts) and (size == 0 or size + len(texts[end]) <= chars):
-                size += len(texts[end]) + 8
-                end += 1
-            row, bucket = buckets(texts[start:end], keep=self.weights != 0)
-            out[start:end] += np.bincount(row, weights=self.weights[bucket], minlength=end - start)
-            start = end
+    def scores(self, texts: list[str]) -> np.ndarray:
+        row, bucket = buckets(texts, keep=self.weights != 0)
+        out = self.bias + np.bincount(row, weights=self.weights[bucket], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def buckets(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of the n-grams of each text, each bucket once for a text. keep: only buckets that it marks."""
+def buckets(texts: list[str], keep: np.ndarray | None = None, chars: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the n-grams of each text, each bucket once for a text. keep: only buckets that it marks.
+
+    Some `chars` characters are worked on at once; a longer text marks what it has in one bit set, piece by piece.
+    """
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (size == 0 or size + len(texts[end]) <= chars):
+            size += len(texts[end]) + 8
+            end += 1
+        row, bucket = _of_long(texts[start], keep, chars) if size > chars + 8 else _of_several(texts[start:end], keep)
+        rows.append(row + start)
+        found.append(bucket)
+        start = end
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def _of_several(texts: list[str], keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     lowered = [f"  {t.lower()}  " for t in texts]
-    flat = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    lengths = np.array([len(t) for t in lowered], dtype=np.int64)
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
-    found = []
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in lowered])
+    found = [np.zeros(0, np.int64)]
+    for n, b in _hashed("".join(lowered)):
+        at = row[: len(b)]
+        ok = at == row[n - 1 :]
+        if keep is not None:
+            ok &= keep[b]
+        found.append((at[ok] << BITS) | b[ok].astype(np.int64))
+    pairs = np.unique(np.concatenate(found))
+    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+
+
+def _of_long(text: str, keep: np.ndarray | None, chars: int) -> tuple[np.ndarray, np.ndarray]:
+    lowered = f"  {text.lower()}  "
+    has = np.zeros(1 << BITS, bool)
+    for low in range(0, len(lowered), chars):
+        # the next piece's first characters complete the n-grams that begin in this one
+        for _, b in _hashed(lowered[low : low + chars + max(ORDERS) - 1]):
+            has[b] = True
+    bucket = np.flatnonzero(has if keep is None else has & keep)
+    return np.zeros(len(bucket), np.int64), bucket
+
+
+def _hashed(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, bucket of the n-gram at each place) of each order that the text is long enough for."""
+    flat = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     h = flat * _MIX[0]
-    for n in range(2, max(ORDERS) + 1):
-        if len(flat) < n:
-            break
+    for n in range(2, min(max(ORDERS), len(flat)) + 1):
         h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * _MIX[1] + flat[n - 1 :] * _MIX[0]
         if n in ORDERS:
-            b = (h ^ (h >> np.uint32(13))) >> np.uint32(32 - BITS)
-            at = row[: len(b)]
-            ok = at == row[n - 1 :]
-            if keep is not None:
-                ok &= keep[b]
-            found.append((at[ok] << BITS) | b[ok].astype(np.int64))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+            yield n, (h ^ (h >> np.uint32(13))) >> np.uint32(32 - BITS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4000, max_chars: int = 24_000_000, min_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
@@ -140,7 +164,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
     """doc_id, held_out, score and predicted of every whole text, row by row.
 
     Null and empty texts get the score of a text without n-grams of the model. Repeated rows give repeated
-    results, an empty table an empty one; a null id is not held out unless crc32('') says so. Other columns are not read.
+    results, an empty table an empty one; a null id is held out, as crc32('') is 0. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), score(F.col(text_col), model).alias("score"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -236,3 +237,49 @@ def test_weights_go_with_the_ratio(tables):
         s0, s1 = counts[0].get(b, 0) / n[0], counts[1].get(b, 0) / n[1]
         mean = (counts[0].get(b, 0) + counts[1].get(b, 0)) / sum(n)
         assert abs(s1 - s0) / math.sqrt(mean * (1 - mean) * (1 / n[0] + 1 / n[1])) >= 5 - 1e-9
+
+
+LONG = ["word and more words of it, word word\n" * 40, "x" * 5000, " " * 3000, ("ab " * 700 + "y" * 2100 + " ") * 2, "é😀 Σ σς " * 300, "Σ" * 900, "a", "", " \n"]
+
+
+@pytest.mark.parametrize("passages", [1, 2, 3])
+def test_pieces_of_a_long_text_give_the_vectors_of_the_whole(monkeypatch, passages):
+    whole, sizes = quality.encode(LONG)
+    draw = np.random.default_rng(passages)
+    p = {"V": draw.normal(0, 0.1, (quality.WIDTH, 8)), "U": draw.normal(0, 0.1, (quality.WIDTH, 8)), "w": draw.normal(0, 1, 8), "c": draw.normal(0, 0.2, quality.WIDTH), "b": np.array([0.1])}
+    model = quality.QualityModel(whole.mean(axis=0), whole.std(axis=0) + 0.02, p)
+    scores = model.scores(LONG)
+    monkeypatch.setattr(quality, "PIECE", passages * quality.PASSAGE)
+    pieces, again = quality.encode(LONG)
+    assert np.array_equal(sizes, again) and np.array_equal(whole, pieces)
+    assert np.abs(model.scores(LONG) - scores).max() <= 2e-9
+
+
+def test_a_text_is_scored_alike_in_any_company():
+    starts = np.cumsum([0, *quality.encode(LONG)[1]])
+    together = quality.encode(LONG)[0]
+    for i, text in enumerate(LONG):
+        assert np.array_equal(quality.encode([text])[0], together[starts[i] : starts[i + 1]])
+    assert not quality.encode([""])[0].any()
+
+
+@pytest.mark.parametrize("chars", [1, 7, 1000])
+def test_pieces_of_a_long_text_have_its_n_grams(chars):
+    keep = np.random.default_rng(chars).random(1 << toxicity.BITS) < 0.5
+    for only in (None, keep):
+        row, bucket = toxicity.buckets(LONG, only)
+        again, same = toxicity.buckets(LONG, only, chars)
+        assert np.array_equal(row, again) and np.array_equal(bucket, same)
+
+
+def test_work_space_does_not_grow_with_a_text():
+    text = "some words stand here and 12 more " * 600_000
+    p = {"V": np.zeros((quality.WIDTH, 24)), "U": np.zeros((quality.WIDTH, 24)), "w": np.zeros(24), "c": np.ones(quality.WIDTH), "b": np.zeros(1)}
+    models = quality.QualityModel(np.zeros(quality.WIDTH), np.ones(quality.WIDTH), p), toxicity.ToxicityModel(np.ones(1 << toxicity.BITS, np.float32), 0.0)
+    for model in models:
+        tracemalloc.start()
+        assert len(model.scores([text])) == 1
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # a copy or two of the text, and the space of one piece
+        assert peak < 3 * len(text) + 60_000_000
