@@ -234,9 +234,15 @@ def repository_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevance.summary(files.drop("centrality"), files.select("path", "centrality"))
 
 
-@query("""SELECT pattern, coalesce(string_agg(g, ' ' ORDER BY rule_no) FILTER (priority = 'high'), '') AS high, coalesce(string_agg(g, ' ' ORDER BY rule_no) FILTER (priority <> 'high'), '') AS low
-        FROM (VALUES ('fr', 0, 'fr/*', 'high'), ('fr', 1, '**/fr/[0-9]*', 'low'), ('deep', 0, 'http:/*/*/*', 'low'), ('top', 0, '*/*#top', 'high'), ('net', 0, '*.net/*/*', 'low')) r(pattern, rule_no, g, priority) GROUP BY 1""")
+@query("""WITH g AS (SELECT concat('p', s_nationkey) AS pattern, s_suppkey AS k, concat('**/', s_name, '/*') AS rule FROM supplier),
+        w AS (SELECT concat('p', c_nationkey) AS pattern, c_mktsegment AS word, c_custkey % 3 > 0 AS pos, min(c_custkey) AS first_key FROM customer GROUP BY ALL),
+        v AS (SELECT pattern, string_agg(word, ' ' ORDER BY first_key) FILTER (pos) AS keywords, string_agg(word, ' ' ORDER BY first_key) FILTER (NOT pos) AS anti_keywords FROM w GROUP BY 1)
+        SELECT pattern, coalesce(string_agg(rule, ' ' ORDER BY k) FILTER (k % 4 = 1), '') AS high, coalesce(string_agg(rule, ' ' ORDER BY k) FILTER (k % 4 <> 1), '') AS low, coalesce(any_value(keywords), '') AS keywords, coalesce(any_value(anti_keywords), '') AS anti_keywords
+        FROM g LEFT JOIN v USING (pattern) GROUP BY 1""")
 def pattern_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "pattern string, rule_no int, glob string, priority string")
-    words = spark.createDataFrame(KEYWORDS, "pattern string, rule_no int, keyword string, kind string")
-    return relevance.hints(rules, words).select("pattern", F.array_join("high", " ").alias("high"), F.array_join("low", " ").alias("low"))
+    """A pattern for each nation, with a rule for each of its suppliers and a keyword for each of its customers."""
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias("pattern")
+    k = F.col("s_suppkey")
+    rules = read_table(spark, sf_dir, "supplier").select(name("s_nationkey"), k.alias("rule_no"), F.concat(F.lit("**/"), "s_name", F.lit("/*")).alias("glob"), F.when(k % 4 == 1, "high").when(k % 4 == 2, "low").alias("priority"))
+    words = read_table(spark, sf_dir, "customer").select(name("c_nationkey"), F.col("c_custkey").alias("rule_no"), F.col("c_mktsegment").alias("keyword"), F.when(F.col("c_custkey") % 3 > 0, "pos").otherwise("anti").alias("kind"))
+    return relevance.hints(rules, words).select("pattern", *(F.array_join(c, " ").alias(c) for c in ("high", "low", "keywords", "anti_keywords")))

@@ -68,21 +68,25 @@ def log_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.paired_logs(paths).join(target, "operations").select("stamp", "detection", "operations", "target")
 
 
-#: Two patterns that are sound, one that warns, and two that aren't.
+#: Two patterns that are sound, one that warns among them, and two that aren't; %1$s is the nation.
 _PATTERNS = (
-    "pattern_name: gateway\ndescription: d\nrepository_fingerprint:\n  glob_patterns:\n  - {glob: '**/*.py', search_method: keyword, keywords: [route, proxy], anti_keywords: [test], analysis_priority: high}\n  - {glob: 'Dockerfile', search_method: embedding}\npositive_examples: ['twenty characters or more of it']\nnegative_examples: ['twenty characters or more of that']\n",
-    "pattern_name: warns\ndescription: d\nrepository_fingerprint: {glob_patterns: [{glob: '*.go', search_method: hybrid}]}\n",
-    "pattern_name: wrong\ndescription: d\nrepository_fingerprint: {glob_patterns: [{glob: '*.go', search_method: guess}]}\n",
-    "a: [1",
+    "pattern_name: gateway%1$s\ndescription: d\nrepository_fingerprint:\n  glob_patterns:\n  - {glob: '**/*.py%1$s', search_method: keyword, keywords: [route, proxy], anti_keywords: [test], analysis_priority: high}\n  - {glob: 'Dockerfile', search_method: embedding}\npositive_examples: ['twenty characters or more of it']\nnegative_examples: ['twenty characters or more of that']\n",
+    "pattern_name: warns%1$s\ndescription: d\nrepository_fingerprint: {glob_patterns: [{glob: '*.go', search_method: hybrid}]}\n",
+    "pattern_name: wrong%1$s\ndescription: d\nrepository_fingerprint: {glob_patterns: [{glob: '*.go', search_method: guess}]}\n",
+    "a: [%1$s",
 )
 
 
-@query("""SELECT * FROM (VALUES ('rule', 'gateway', '0 **/*.py high keyword'), ('rule', 'gateway', '1 Dockerfile low embedding'), ('rule', 'warns', '0 *.go low hybrid'), ('keyword', 'gateway', '0 proxy pos'), ('keyword', 'gateway', '0 route pos'), ('keyword', 'gateway', '0 test anti'),
-        ('example', 'gateway', 'positive 0'), ('example', 'gateway', 'negative 0'), ('glob', NULL, '**/*.py'), ('glob', NULL, 'Dockerfile'), ('glob', NULL, '*.go'), ('problem', '#3', 'not YAML: ParserError'), ('problem', 'wrong', 'rule 0: search_method is none of keyword, embedding, hybrid'),
-        ('problem', 'warns', 'WARNING: rule 0: no keywords'), ('problem', 'warns', 'WARNING: no positive_examples'), ('problem', 'warns', 'WARNING: no negative_examples'), ('problem', 'wrong', 'WARNING: no positive_examples'), ('problem', 'wrong', 'WARNING: no negative_examples')) t(part, pattern, entry)""")
+@query("""WITH t(part, pattern, entry) AS (VALUES ('rule', 'gateway', '0 **/*.py@ high keyword'), ('rule', 'gateway', '1 Dockerfile low embedding'), ('rule', 'warns', '0 *.go low hybrid'), ('keyword', 'gateway', '0 proxy pos'), ('keyword', 'gateway', '0 route pos'), ('keyword', 'gateway', '0 test anti'),
+        ('example', 'gateway', 'positive 0'), ('example', 'gateway', 'negative 0'), ('problem', '#', 'not YAML: ParserError'), ('problem', 'wrong', 'rule 0: search_method is none of keyword, embedding, hybrid'),
+        ('problem', 'warns', 'WARNING: rule 0: no keywords'), ('problem', 'warns', 'WARNING: no positive_examples'), ('problem', 'warns', 'WARNING: no negative_examples'), ('problem', 'wrong', 'WARNING: no positive_examples'), ('problem', 'wrong', 'WARNING: no negative_examples'))
+        SELECT part, concat(pattern, n_nationkey) AS pattern, replace(entry, '@', CAST(n_nationkey AS VARCHAR)) AS entry FROM t, nation
+        UNION ALL SELECT DISTINCT 'glob', NULL, replace(g, '@', CAST(n_nationkey AS VARCHAR)) FROM (VALUES ('**/*.py@'), ('Dockerfile'), ('*.go')) v(g), nation""")
 def declared_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables that declared patterns give; what is wrong with the others."""
-    t = readers.patterns(spark, _PATTERNS)
+    """YAML files of each nation: the tables that their patterns give, and what is wrong with the others."""
+    name = F.col("n_nationkey").cast("string")
+    texts = F.array(*(F.format_string(t, name) for t in _PATTERNS))
+    t = readers.patterns_of(read_table(spark, sf_dir, "nation").select(F.concat(F.lit("#"), name).alias("path"), F.explode(texts).alias("text")))
     rows = lambda part, name, entry: t[part].select(F.lit(name).alias("part"), "pattern", entry.alias("entry"))
     words = lambda *c: F.concat_ws(" ", *(F.col(x).cast("string") for x in c))
     every = rows("rule", "rule", words("rule_no", "glob", "priority", "search_method")).union(rows("keyword", "keyword", words("rule_no", "keyword", "kind"))).union(rows("example", "example", words("kind", "example_index"))).union(rows("problem", "problem", F.col("problem")))
