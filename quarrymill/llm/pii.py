@@ -4,16 +4,19 @@ Base rules find e-mail addresses, IP addresses, card and phone numbers. Beyond t
 candidates: obfuscated addresses, numbers in other formats, numbers that a rule dropped. Labelers of three sorts -
 regular expressions, gazetteers, context - vote on each candidate or abstain. The votes of all candidates of the
 corpus are counted by pattern; expectation-maximisation over these counts estimates how reliable each labeler is
-and how likely each pattern is personal data; a logistic classifier of span features is then trained on these
-likelihoods and decides which candidates are added. Spans of the base rules always stay.
+and how likely each pattern is personal data. A logistic classifier is then trained on these likelihoods and decides
+which candidates are added. It sees more than the votes: the shape of the span and the words around it. It learns each
+candidate once with its votes and once without, and none from candidates on which all labelers abstain, so that shape
+and words carry weight of their own and decide where there are no votes. Spans of the base rules always stay.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import by_text, slices, texts_of
 from quarrymill.llm.spans import Span, covered, digest, joined, ordered, outside, replaced
+from quarrymill.sources.tables import cut
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -97,7 +101,7 @@ _BEFORE = re.compile(r"[\w-]+")
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[Span, tuple[int, ...], tuple[int, ...]]]:
-    """(span, votes, features) of what looser patterns find outside the base spans. A vote is 1, -1 or 0 (abstains)."""
+    """(span, votes, columns) of what looser patterns find outside the base spans. A vote is 1, -1 or 0 (abstains); columns: see `_columns`."""
     if not _DIGIT.search(text) and "(" not in text and "[" not in text and "{" not in text and "<" not in text:
         return []
     out, taken = [], list(base)
@@ -139,80 +143,108 @@ def _judge(kind: str, text: str, a: int, b: int) -> tuple[tuple[int, ...], tuple
     edge = -1 if glued else 0
     same = -1 if digits and len(set(digits)) <= 2 else 0
     votes = (form, gazetteer, word, against, crowd, edge, same)
-    features = (KINDS.index(kind), min(len(digits), 20) // 4, int(any(c in body for c in "()")), *votes)
-    return votes, features
+    after = _BEFORE.search(text, b, min(len(text), b + 24))
+    return votes, _columns(kind, body, len(digits), before[-3:], after.group().lower() if after else "", votes)
 
 
 N_VOTES = 7
+_DIGITS, _LETTERS = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]+")
+#: Where the columns of a sort begin; shapes and words are hashed into what lies between.
+_SIZE, _BRACKETS, _SHAPE, _PIECE, _WORD, _NEXT, _VOTE = 4, 10, 11, 267, 331, 843, 971
+WIDTH = _VOTE + 2 * N_VOTES
+
+
+def _hashed(low: int, high: int, *words: str) -> int:
+    return low + zlib.crc32(" ".join(words).encode("utf-8", "replace")) % (high - low)
+
+
+def _columns(kind: str, body: str, digits: int, before: list[str], after: str, votes: tuple[int, ...]) -> tuple[int, ...]:
+    """The classifier's columns that are 1 for a candidate, ascending.
+
+    Kind, length class, brackets, shape (digits as 9, runs of letters as a) as a whole and its first and last piece, the
+    words before and the one after (digits as 9), and each vote as for, against.
+    """
+    shape = _DIGITS.sub("9", _LETTERS.sub("a", body))
+    pieces = re.findall("[9a]+", shape) or [""]
+    out = {KINDS.index(kind), _SIZE + min(digits, 20) // 4, _hashed(_SHAPE, _PIECE, kind, shape), _hashed(_PIECE, _WORD, kind, "first", pieces[0]), _hashed(_PIECE, _WORD, kind, "last", pieces[-1])}
+    if "(" in body or ")" in body:
+        out.add(_BRACKETS)
+    out.update(_hashed(_WORD, _NEXT, kind, _DIGITS.sub("9", w)) for w in before)
+    out.add(_hashed(_NEXT, _VOTE, kind, _DIGITS.sub("9", after)))
+    out.update(_VOTE + 2 * j + (v < 0) for j, v in enumerate(votes) if v)
+    return tuple(sorted(out))
 
 
 @dataclass
 class PiiModel:
-    """reliability: share of right votes of each labeler; weights, bias: the span classifier; kept: features -> decision cache."""
+    """reliability: share of right votes of each labeler; weights (of columns), bias: the span classifier."""
 
     reliability: list[float]
     prior: float
-    weights: np.ndarray
+    weights: list[float]
     bias: float = 0.0
     threshold: float = 0.5
-    memo: dict[tuple[int, ...], float] = field(default_factory=dict)
 
-    def likelihood(self, features: tuple[int, ...]) -> float:
-        if features not in self.memo:
-            self.memo[features] = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(design([features])[0] @ self.weights) + self.bias))))
-        return self.memo[features]
+    def likelihood(self, columns: tuple[int, ...]) -> float:
+        odds = self.bias + math.fsum(map(self.weights.__getitem__, columns))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """(base spans, all spans) of a text."""
         base = base_spans(text)
-        more = [s for s, _, f in candidates(text, base) if self.likelihood(f) >= self.threshold]
+        more = [s for s, _, c in candidates(text, base) if self.likelihood(c) >= self.threshold]
         return base, ordered([*base, *more], KINDS)
 
 
-def design(features: list[tuple[int, ...]]) -> np.ndarray:
-    """Features as one-hot columns: kind, length class, brackets, and each vote as for, against."""
-    x = np.zeros((len(features), 4 + 6 + 1 + 2 * N_VOTES))
-    for i, (kind, size, brackets, *votes) in enumerate(features):
-        x[i, kind] = 1
-        x[i, 4 + size] = 1
-        x[i, 10] = brackets
-        for j, v in enumerate(votes):
-            x[i, 11 + 2 * j] = v > 0
-            x[i, 12 + 2 * j] = v < 0
-    return x
-
-
-def vote_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """How many candidates of the corpus have each combination of features (votes among them): `features`, `n`.
+def candidate_counts(docs: DataFrame, text_col: str = "text", held: int = 50_000) -> DataFrame:
+    """How many candidates of the corpus have the same votes and columns: `votes`, `columns`, `n`.
 
-    Each task adds up its own before the shuffle; there are at most 4 * 6 * 2 * 3**7 combinations.
+    Each task adds up its own before the shuffle, and hands on what it has whenever that is more than `held` rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, ...], int] = {}
+        found: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
+
+        def told() -> pa.RecordBatch:
+            arrays = [pa.array([list(v) for v, _ in found], pa.list_(pa.int32())), pa.array([list(c) for _, c in found], pa.list_(pa.int32())), pa.array(list(found.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, ["votes", "columns", "n"])
+
         for batch in slices(batches):
             for text in texts_of(batch):
-                for _, _, f in candidates(text, base_spans(text)):
-                    found[f] = found.get(f, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array(list(found.values()), pa.int64())], ["features", "n"])
+                for _, v, c in candidates(text, base_spans(text)):
+                    found[v, c] = found.get((v, c), 0) + 1
+                    if len(found) > held:
+                        yield told()
+                        found.clear()
+        yield told()
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "features array<int>, n bigint")
-    return counts.groupBy("features").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "votes array<int>, columns array<int>, n bigint")
+    return counts.groupBy("votes", "columns").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = 50, threshold: float = 0.5) -> PiiModel:
-    """Reliabilities and the span classifier, from the votes on all candidates of the corpus.
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = 50, threshold: float = 0.5, most: int = 10_000) -> PiiModel:
+    """Reliabilities, from the votes on all candidates of the corpus, and the span classifier.
 
-    Without candidates nothing is learned, and nothing is added to the base spans.
+    At most 3**7 patterns of votes reach the driver. The classifier is fitted on at most `most` combinations of columns,
+    each weighted by how many candidates have it; which ones is decided by a hash, so any layout of the input gives the
+    same. Without candidates nothing is learned, and nothing is added to the base spans.
     """
-    rows = vote_counts(docs, text_col).collect()
+    counts = cut(candidate_counts(docs, text_col))
+    rows = sorted((tuple(r["votes"]), r["n"]) for r in counts.groupBy("votes").agg(F.sum("n").alias("n")).collect())
     if not rows:
-        return PiiModel([0.5] * N_VOTES, 0.5, np.zeros(11 + 2 * N_VOTES), bias=-30.0, threshold=threshold)
-    rows = sorted((tuple(r["features"]), r["n"]) for r in rows)
-    features, n = [f for f, _ in rows], np.array([c for _, c in rows], dtype=float)
-    votes = np.array([f[3:] for f in features], dtype=float)
+        return PiiModel([0.5] * N_VOTES, 0.5, [0.0] * WIDTH, bias=-30.0, threshold=threshold)
+    votes, n = np.array([v for v, _ in rows], dtype=float), np.array([c for _, c in rows], dtype=float)
+    reliability, prior, p = _reliabilities(votes, n, rounds)
+    likely = {v: float(q) for (v, _), q in zip(rows, p, strict=True)}
+    taught = counts.where(F.exists("votes", lambda v: v != 0)).orderBy(F.xxhash64("columns"), "columns").limit(most).collect()
+    weights, bias = _classifier([(tuple(r["columns"]), likely[tuple(r["votes"])], r["n"]) for r in taught])
+    return PiiModel(reliability.tolist(), prior, weights, bias, threshold)
+
+
+def _reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Reliability of each labeler, the prior, and how likely each pattern of votes is personal data, by expectation-maximisation."""
     # one reliability for each labeler: P(vote agrees with the truth | it votes); a weak prior of 7 in 10 keeps them identified
-    reliability, prior = np.full(N_VOTES, 0.7), 0.3
+    reliability, prior, p = np.full(N_VOTES, 0.7), 0.3, np.zeros(len(n))
     for _ in range(rounds):
         odds = np.log(reliability / (1 - reliability))
         p = 1 / (1 + np.exp(-np.clip(votes @ odds + math.log(prior / (1 - prior)), -30, 30)))
@@ -222,13 +254,26 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = 50, threshold: fl
         strength = 0.1 * n.sum() + 10
         reliability = np.clip((n @ right + 0.7 * strength) / (n @ cast + strength), 0.55, 0.99)
         prior = float(np.clip((n @ p + 3) / (n.sum() + 10), 0.05, 0.9))
-    x, w, b = design(features), np.zeros(11 + 2 * N_VOTES), 0.0
-    weight = n / n.sum()
-    for step in range(600):
-        e = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - p)
-        w -= 2.0 * (x.T @ e + 1e-4 * w)
-        b -= 2.0 * e.sum()
-    return PiiModel(reliability.tolist(), prior, w, b, threshold)
+    return reliability, prior, p
+
+
+def _classifier(rows: list[tuple[tuple[int, ...], float, int]], steps: int = 300, penalty: float = 1e-4) -> tuple[list[float], float]:
+    """Weights and bias of a logistic regression on (columns, likelihood, count), by Adam; each row once with its votes and once without. Without rows nothing is likely."""
+    if not rows:
+        return [0.0] * WIDTH, -30.0
+    every = [(c, p, n) for columns, p, n in rows for c in (columns, tuple(i for i in columns if i < _VOTE))]
+    at = np.repeat(np.arange(len(every)), [len(c) for c, _, _ in every])
+    column = np.array([i for c, _, _ in every for i in c], dtype=np.int64)
+    target, share = np.array([p for _, p, _ in every]), np.array([n for _, _, n in every], dtype=float)
+    share /= max(share.sum(), 1.0)
+    w, m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
+    for t in range(1, steps + 1):
+        odds = np.bincount(at, weights=w[column], minlength=len(every)) + w[-1]
+        e = share * (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - target)
+        g = np.append(np.bincount(column, weights=e[at], minlength=WIDTH) + penalty * w[:-1], e.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return w[:-1].tolist(), float(w[-1])
 
 
 def find(docs: DataFrame, model: PiiModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

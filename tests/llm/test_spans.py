@@ -199,7 +199,7 @@ def test_expectation_maximisation_row_by_row(spark):
     """The same estimates from every candidate by itself, in plain Python."""
     texts = [f"please write to me, mail: user{i} [at] example [dot] com today" for i in range(9)] + ["see 12-345-6789 or page 415-555-0100", "card 4111-1111-1111-1112 order no 1234-5678-9012-3456"] * 3
     model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rounds=7)
-    votes = [f[3:] for t in texts for _, _, f in pii.candidates(t, pii.base_spans(t))]
+    votes = [v for t in texts for _, v, _ in pii.candidates(t, pii.base_spans(t))]
     right, prior, n = [0.7] * pii.N_VOTES, 0.3, len(votes)
     for _ in range(7):
         p = []
@@ -214,6 +214,29 @@ def test_expectation_maximisation_row_by_row(spark):
     assert model.reliability == pytest.approx(right) and model.prior == pytest.approx(prior)
 
 
+def test_words_around_a_span_decide_where_all_labelers_abstain(spark):
+    """"dial" is in no gazetteer and "batch" in no list against; they are learned from candidates that have votes."""
+    texts = [f"by phone you may dial 77/345/68{i:02d} today" for i in range(60)] + [f"order no 1234-5678-9012-{i:04d} is a number" for i in range(60)]
+    texts += [f"the order no of the batch 12-345-6{i:02d} today" for i in range(60)]
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    good, bad = "then you may dial 77/345/688 today", "it is of the batch 77/345/688 today"
+    for text in (good, bad):
+        ((_, votes, columns),) = pii.candidates(text, [])
+        assert not any(votes) and columns == tuple(sorted(set(columns))) and columns[-1] < pii.WIDTH
+    assert [len(model.spans(t)[1]) for t in (good, bad)] == [1, 0]
+
+
+def test_counts_of_candidates_are_those_of_each_text(spark):
+    texts = ["call 415-555-0100 or 415-555-0101", "call 415-555-0102", None, "", "mail: me [at] host [dot] org"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = {}
+    for t in texts:
+        for _, votes, columns in pii.candidates(t or "", []):
+            counted[votes, columns] = counted.get((votes, columns), 0) + 1
+    for held in (1, 50_000):
+        assert {(tuple(r["votes"]), tuple(r["columns"])): r["n"] for r in pii.candidate_counts(docs, held=held).collect()} == counted
+
+
 WORDS = st.lists(st.text("ab", max_size=4), min_size=1, max_size=30)
 
 
@@ -305,6 +328,13 @@ def test_rates_of_added_personal_data(spark, documents):
     recall, precision = rates({r["doc_id"]: r["spans"] for r in pii.find(docs, pii.fit(docs)).collect()}, spans)
     print(f"personal data: recall {recall:.3f}, precision {precision:.3f}")
     assert recall >= 0.9 and precision >= 0.9
+    # forms and decoys planted in documents that the model has not seen
+    rows = documents.collect()
+    taught, _ = planted(spark, rows[: len(rows) // 2], forms, decoys, 5)
+    docs, spans = planted(spark, rows[len(rows) // 2 :], forms, decoys, 6)
+    recall, precision = rates({r["doc_id"]: r["spans"] for r in pii.find(docs, pii.fit(taught)).collect()}, spans)
+    print(f"personal data, unseen: recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.9 and precision >= 0.9
 
 
 def test_rates_of_added_secrets(spark, documents):
