@@ -212,19 +212,21 @@ def pack(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", t
     rows, also with one id, are packed each on its own; an empty table gives none. Other columns are not read.
     The driver gets the histogram (at most `size` rows) and the plan, no row of a document.
 
-    Ranks within a length are counted in parts by hash, as many as give a part some `part_rows` pieces, so a length that
-    many documents share is not one task's work. Slots meet pieces by length and by the thousand that their ranks are in,
+    Ranks within a length are counted in parts, as many as give a part some `part_rows` pieces, so a length that many
+    documents share is not one task's work, nor is a row that is repeated often: parts are dealt by a piece's place in the
+    written table of pieces, whatever it holds. Slots meet pieces by length and by the thousand that their ranks are in,
     so a piece is tried against the slots of its thousand, not against all of its length.
     """
-    found = cut(pieces(docs, path, size, id_col=id_col, text_col=text_col))
+    # numbered as written, so a task that runs again gives a piece the same number
+    found = cut(pieces(docs, path, size, id_col=id_col, text_col=text_col)).withColumn("at", F.monotonically_increasing_id())
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     session = docs.sparkSession
     # one row for each length, `size` at most, so broadcast
     dealt = F.broadcast(session.createDataFrame([(n, -(-k // part_rows)) for n, k in histogram.items()], "length bigint, parts bigint"))
-    salted = found.join(dealt, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
+    salted = found.join(dealt, "length").withColumn("salt", F.pmod(F.xxhash64("at"), F.col("parts"))).drop("parts")
     counts = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "before")
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("at")
     ranked = salted.withColumn("k", F.row_number().over(within) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("k"))
     slots = plan(histogram, size)
     thousand = lambda rank: F.shiftright(rank, 10)

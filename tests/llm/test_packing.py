@@ -109,3 +109,12 @@ def test_plan_is_best_fit(seed):
             at += n
         assert at <= size
     assert len(places) == best_fit([n for n, c in histogram.items() for _ in range(c)], size)
+
+
+def test_rows_that_repeat_are_dealt_to_many_parts(spark):
+    """A row of one id and text, repeated, is packed as often as it stands there, in parts of a few pieces."""
+    docs = spark.range(3000).selectExpr("7L AS doc_id", "if(id % 3 = 0, 'some other words, more of them', 'one text') AS text").repartition(3)
+    rows = packing.pack(docs, PATH, size=64, part_rows=16).collect()
+    assert len(rows) == 3000 and {r["doc_id"] for r in rows} == {7}
+    total = sum(r["length"] for r in rows)
+    assert check_whole(rows, 64) <= -(-total // 64) * 1.05 + 1
