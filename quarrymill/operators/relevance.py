@@ -63,14 +63,15 @@ def tiers(matches: DataFrame, path: str = "path") -> DataFrame:
     return matches.select("pattern", path, F.when(F.col("priority") == "high", 1).otherwise(2).alias("tier")).distinct()
 
 
-def keyword_hits(files: DataFrame, matches: DataFrame, keywords: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+def keyword_hits(files: DataFrame, matches: DataFrame, keywords: DataFrame, path: str = "path", text: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
     """pattern, path, keywords, anti_keywords, keyword_score: what a file contains of the keywords of the rules that match it, sorted.
 
-    keywords: pattern, rule_no, keyword, kind ('pos' or 'anti') - declared, small, broadcast. What is wanted of a file is
-    gathered without its text; texts are joined to it once. Where rules match all files, `keyword_scan` needs no join.
+    keywords: pattern, rule_no, keyword, kind ('pos' or 'anti') - declared, broadcast if there are `broadcast_rows` at most,
+    else joined by a shuffle. What is wanted of a file is gathered without its text; texts are joined to it once. Where rules match all files, `keyword_scan` needs no join.
     """
     words = lambda kind: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("keyword"))))
-    each = matches.join(F.broadcast(keywords), ["pattern", "rule_no"]).groupBy(path, "pattern").agg(words("pos").alias("pos"), words("anti").alias("anti"))
+    few = keywords.limit(broadcast_rows + 1).count() <= broadcast_rows
+    each = matches.join(F.broadcast(keywords) if few else keywords, ["pattern", "rule_no"]).groupBy(path, "pattern").agg(words("pos").alias("pos"), words("anti").alias("anti"))
     wanted = each.groupBy(path).agg(F.collect_list(F.struct("pattern", "pos", "anti")).alias("__wanted"))
     return keyword_scan(files.select(path, text).join(wanted, path), F.col("__wanted"), path, text)
 

@@ -40,12 +40,13 @@ def top_per_group(rows: DataFrame, by: Sequence[str], order: Sequence[Column], n
 def cost_ledger(calls: DataFrame, prices: DataFrame, default: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """operation, calls, tokens_in, tokens_out, cost. prices: ord, prefix, price_in, price_out for a million tokens.
 
-    A model's price is that of the first prefix (by ord) that its name starts with; `default` without one.
+    A model's price is that of the first prefix (by ord) that its name starts with; `default` without one or without a name.
+    Each distinct name meets prices by all its own prefixes, so prices of any number are joined by equality.
     """
-    models = calls.select("model").distinct()
-    named = models.join(F.broadcast(prices), F.startswith(F.col("model"), F.col("prefix")), "left")
+    prefixes = F.transform(F.sequence(F.lit(0), F.char_length("model")), lambda n: F.substr("model", F.lit(1), n))
+    named = calls.select("model").distinct().select("model", F.explode(prefixes).alias("prefix")).join(prices, "prefix")
     price = named.groupBy("model").agg(F.min_by(F.struct("price_in", "price_out"), "ord").alias("p"))
-    priced = calls.join(price, "model").withColumn("cost", (F.col("tokens_in") * F.coalesce("p.price_in", F.lit(default[0])) + F.col("tokens_out") * F.coalesce("p.price_out", F.lit(default[1]))) / 1e6)
+    priced = calls.join(price, "model", "left").withColumn("cost", (F.col("tokens_in") * F.coalesce("p.price_in", F.lit(default[0])) + F.col("tokens_out") * F.coalesce("p.price_out", F.lit(default[1]))) / 1e6)
     return priced.groupBy("operation").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").alias("cost"))
 
 

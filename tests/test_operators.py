@@ -161,6 +161,10 @@ def test_prices_by_first_prefix(spark):
     calls = spark.createDataFrame([("op", "m-1-mini", 10**6, 0), ("op", "zzz", 5, 5)], "operation string, model string, tokens_in long, tokens_out long")
     prices = spark.createDataFrame([(1, "m-1", 2.0, 0.0), (2, "m-1-mini", 9.0, 0.0)], "ord int, prefix string, price_in double, price_out double")
     assert shares.cost_ledger(calls, prices).first()["cost"] == 2.0
+    calls = spark.createDataFrame([("a", "é-1", 10**6, 0), ("b", "", 10**6, 0), ("c", None, 10**6, 0), ("d", "e", 10**6, 0)], "operation string, model string, tokens_in long, tokens_out long")
+    priced = lambda rows: {r["operation"]: r["cost"] for r in shares.cost_ledger(calls, spark.createDataFrame(rows, prices.schema), (1.0, 1.0)).collect()}
+    assert priced([(2, "", 5.0, 0.0), (1, "é-", 3.0, 0.0)]) == {"a": 3.0, "b": 5.0, "c": 1.0, "d": 5.0}
+    assert priced([]) == {"a": 1.0, "b": 1.0, "c": 1.0, "d": 1.0}
 
 
 @settings(max_examples=20, deadline=None)
@@ -286,7 +290,9 @@ def test_keywords_of_matching_rules_only(spark):
     files = spark.createDataFrame([("a.py", "def Route():\n    test proxy proxy"), ("b.go", "proxy"), ("c.md", None)], "path string, text string")
     matches = spark.createDataFrame([("gate", "a.py", 0), ("gate", "b.go", 1), ("gate", "c.md", 0), ("other", "a.py", 0)], "pattern string, path string, rule_no int")
     words = [("gate", 0, "route", "pos"), ("gate", 0, "proxy", "pos"), ("gate", 0, "test", "anti"), ("gate", 1, "nothing", "pos"), ("other", 0, "absent", "pos"), ("other", 0, "test", "anti")]
-    got = {(r["pattern"], r["path"]): (r["keywords"], r["anti_keywords"], round(r["keyword_score"], 9)) for r in relevance.keyword_hits(files, matches, spark.createDataFrame(words, "pattern string, rule_no int, keyword string, kind string")).collect()}
+    table = spark.createDataFrame(words, "pattern string, rule_no int, keyword string, kind string")
+    got, shuffled = ({(r["pattern"], r["path"]): (r["keywords"], r["anti_keywords"], round(r["keyword_score"], 9)) for r in relevance.keyword_hits(files, matches, table, broadcast_rows=n).collect()} for n in (100_000, 1))
+    assert got == shuffled
     # route: 0.15 + 0.25 in a line that defines + 0.03; proxy: 0.15 + 0.10 + 0.06; test takes 0.08; two keywords
     assert got == {("gate", "a.py"): (["proxy", "route"], ["test"], round((0.43 + 0.31 - 0.08) / 1.6, 9)), ("other", "a.py"): ([], ["test"], 0.0)}
     everywhere = relevance.keyword_scan(files, relevance.declared(words)).where("path = 'b.go'").collect()
