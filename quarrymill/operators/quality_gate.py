@@ -149,6 +149,11 @@ def looks_like_text(size_mb: Column, content: Column, max_mb: float = 10.0) -> C
     return (size_mb <= max_mb) & (F.length(head) >= 10)
 
 
+def has_words(size_mb: Column, content: Column, max_mb: float = 10.0) -> Column:
+    """Not too large, and at least 10 characters in the first 1000 that aren't blanks, wherever these stand. Null for a null text."""
+    return (size_mb <= max_mb) & (F.length(F.regexp_replace(F.substring(content, 1, 1000), r"[\t\n\f\r ]", "")) >= 10)
+
+
 def sane_files(files: DataFrame, max_mb: float = 10.0) -> DataFrame:
     """The files of a scan (path, length in bytes, text; see `readers.folder`) that are worth reading."""
     return files.where(looks_like_text(F.col("length") / (1024 * 1024), F.col("text"), max_mb))
