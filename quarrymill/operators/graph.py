@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import rates
-from quarrymill.sources.tables import cut
+from quarrymill.sources.tables import cut, shuffled
 
 
 def one_edge_per_pair(edges: DataFrame, seq: str) -> DataFrame:
@@ -86,11 +86,11 @@ def first_dotted(names: DataFrame, defined: DataFrame) -> DataFrame:
     def stage(n: int, found: DataFrame) -> DataFrame:
         return found.select("call_id", "dfile", "dname", F.lit(n).alias("stage"), "seq")
 
-    own = stage(1, calls.join(firsts, (F.col("file") == F.col("dfile")) & (F.col("name") == F.col("dname"))))
-    near = stage(2, calls.join(firsts, (F.col("file") == F.col("dfile")) & (F.col("base") == F.col("dname"))))
-    far = stage(3, calls.join(two, F.col("base") == F.col("dname")).where("file <> dfile"))
+    own = stage(1, calls.join(shuffled(firsts), (F.col("file") == F.col("dfile")) & (F.col("name") == F.col("dname"))))
+    near = stage(2, calls.join(shuffled(firsts), (F.col("file") == F.col("dfile")) & (F.col("base") == F.col("dname"))))
+    far = stage(3, calls.join(shuffled(two), F.col("base") == F.col("dname")).where("file <> dfile"))
     best = own.union(near).union(far).groupBy("call_id").agg(F.min(F.struct("stage", "seq", "dfile", "dname")).alias("b"))
-    return calls.select("call_id").join(best, "call_id", "left").select("call_id", F.concat_ws(":", "b.dfile", "b.dname").alias("target"), F.col("b.stage").alias("stage"))
+    return calls.select("call_id").join(shuffled(best), "call_id", "left").select("call_id", F.concat_ws(":", "b.dfile", "b.dname").alias("target"), F.col("b.stage").alias("stage"))
 
 
 def attached_decorators(decorators: DataFrame, defined: DataFrame, reach: int = 100) -> DataFrame:
@@ -102,7 +102,7 @@ def attached_decorators(decorators: DataFrame, defined: DataFrame, reach: int =
     stretch = lambda place: F.floor(F.col(place) / reach)
     d = decorators.select("file", F.col("name").alias("decorator"), "stop", F.explode(F.array(stretch("stop"), stretch("stop") + 1)).alias("stretch"))
     near = defined.where(F.col("type").isin("function", "class")).select("file", F.col("name").alias("target"), "type", "start", stretch("start").alias("stretch"))
-    found = d.join(near, ["file", "stretch"]).where((F.col("start") >= F.col("stop")) & (F.col("start") - F.col("stop") < reach))
+    found = d.join(shuffled(near), ["file", "stretch"]).where((F.col("start") >= F.col("stop")) & (F.col("start") - F.col("stop") < reach))
     best = found.groupBy("file", "decorator", "stop").agg(F.min(F.struct((F.col("type") != "function").alias("other"), "start", "target")).alias("b"))
     return best.select("file", "decorator", F.col("b.target").alias("target"))
 

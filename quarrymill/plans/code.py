@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators import graph, relevance
 from quarrymill.plans.registry import query
 from quarrymill.sources import parsers, read_table, scopes
-from quarrymill.sources.tables import cut
+from quarrymill.sources.tables import cut, shuffled, spread
 
 
 def _text(k: Column | int) -> Column:
@@ -22,7 +22,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "g%s()\nimport os\nimport lib%s\nfrom .f%s import a\nfrom ..m%s.f%s import b\n@route%s\ndef g%s(a):\n    s = 'https://h%s.org/x'\n    return obj.g%s(a)\nclass C%sService:\n    pass\n",
         *map(_text, (k + 2, k % 7, k - 40, (k + 3) % 40, k + 3, k % 3, k, k % 9, k + 1, k)),
     )
-    return read_table(spark, sf_dir, "part").select(F.concat(F.lit("m"), _text(k % 40), F.lit("/f"), _text(k), F.lit(".py")).alias("path"), lines.alias("text"))
+    return spread(read_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("m"), _text(k % 40), F.lit("/f"), _text(k), F.lit(".py")).alias("path"), lines.alias("text"))
 
 
 _FILES = "p AS (SELECT p_partkey AS k, concat('m', p_partkey % 40, '/f', p_partkey, '.py') AS path FROM part)"
@@ -63,7 +63,7 @@ def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(_text, (k, k, k, k, k + 1, k % 5, k, k % 9)),
     )
     path = F.concat(F.lit("n"), _text(k % 40), F.lit("/f"), _text(k), F.when(k % 2 == 0, ".py").otherwise(".js"))
-    return read_table(spark, sf_dir, "part").select(path.alias("path"), F.when(k % 2 == 0, python).otherwise(script).alias("text"))
+    return spread(read_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(path.alias("path"), F.when(k % 2 == 0, python).otherwise(script).alias("text"))
 
 
 _NESTED = "p AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS py, concat('n', p_partkey % 40, '/f', p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.js' END) AS path FROM part)"
@@ -116,7 +116,7 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, text = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, (name, body) in enumerate(_KINDS):
         path, text = F.when(k % len(_KINDS) == i, made(name)).otherwise(path), F.when(k % len(_KINDS) == i, made(body)).otherwise(text)
-    return read_table(spark, sf_dir, "customer").select(path.alias("path"), text.alias("text"))
+    return spread(read_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(path.alias("path"), text.alias("text"))
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 8 AS kind, c_custkey % 5 AS x, 10 + c_custkey % 7 AS y FROM customer),
@@ -163,5 +163,5 @@ def function_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of the functions that the graph lists for each file; their end is found by look-ahead, which the oracle doesn't have; tests compare with Python's."""
     files = source_files(spark, sf_dir).withColumn("text", F.concat("text", F.repeat(F.lit("# more of it\n"), 12)))
     names = parsers.definitions(scopes.items(files)).groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(F.struct("start", "name"))).alias("n"))
-    rows = files.join(names.select("path", F.col("n.name").alias("names")), "path")
+    rows = spread(files, "path").join(shuffled(names.select("path", F.col("n.name").alias("names"))), "path")
     return rows.select("path", F.posexplode(relevance.function_chunks(F.col("text"), F.col("names"))).alias("pos", "chunk"))

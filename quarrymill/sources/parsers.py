@@ -16,7 +16,7 @@ from quarrymill.functions import text as T
 from quarrymill.operators import graph
 from quarrymill.sources import scopes
 from quarrymill.sources.schemas import PACKAGE_JSON
-from quarrymill.sources.tables import cut
+from quarrymill.sources.tables import cut, shuffled
 
 
 def _edges(found: DataFrame, dst: Column, dst_type: str, name: Column, kind: str) -> DataFrame:
@@ -89,7 +89,7 @@ def definitions(items: DataFrame) -> DataFrame:
 def bodies(files: DataFrame, items: DataFrame) -> DataFrame:
     """path, name, type, start and body of every definition: its text from the first word to the end of its extent."""
     found = definitions(items).select(F.col("file").alias("path"), "name", "type", "start", "stop")
-    return files.select("path", "text").join(found, "path").select("path", "name", "type", "start", F.substr("text", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("body"))
+    return files.select("path", "text").join(shuffled(found), "path").select("path", "name", "type", "start", F.substr("text", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("body"))
 
 
 def decorators(items: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def call_edges(items: DataFrame) -> DataFrame:
     made = calls(items)
     target = graph.first_dotted(made, definitions(_of(items, "function"))).where("stage IS NOT NULL").select("call_id", "target")
     to = F.regexp_extract("target", r"^(.*):", 1)
-    each = cut(made.join(target, "call_id").select("file", "within", "target", to.alias("to"), F.regexp_extract("target", r":([^:]*)$", 1).alias("name")))
+    each = cut(made.join(shuffled(target), "call_id").select("file", "within", "target", to.alias("to"), F.regexp_extract("target", r":([^:]*)$", 1).alias("name")))
     inner = each.where("within IS NOT NULL").select(F.concat_ws(":", "file", "within").alias("src"), F.lit("function").alias("src_type"), F.col("target").alias("dst"), F.lit("function").alias("dst_type"), "name", F.lit("calls").alias("type"))
     outer = each.where("within IS NULL").select(F.col("file").alias("src"), F.lit("file").alias("src_type"), F.col("target").alias("dst"), F.lit("function").alias("dst_type"), "name", F.lit("calls_from_file").alias("type"))
     across = each.where("within IS NOT NULL AND file <> to").select(F.col("file").alias("src"), F.lit("file").alias("src_type"), F.col("to").alias("dst"), F.lit("file").alias("dst_type"), F.col("to").alias("name"), F.lit("calls_file").alias("type"))
@@ -139,7 +139,7 @@ def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
     near = imports.where(F.col("name").rlike(r"^[./]")).withColumn("__p", _imported(F.col("src"), F.col("name")))
     tried = near.select("src", "name", F.posexplode(F.array(*(F.concat("__p", F.lit(e)) for e in IMPORT_ENDS))).alias("k", "path"))
     there = paths.select("path").distinct()
-    return tried.join(there, "path").groupBy("src", "name").agg(F.min_by("path", "k").alias("dst")).select("src", "dst").distinct()
+    return tried.join(shuffled(there), "path").groupBy("src", "name").agg(F.min_by("path", "k").alias("dst")).select("src", "dst").distinct()
 
 
 def code(files: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def first_document(text: Column) -> Column:
 
 def yaml_files(files: DataFrame) -> DataFrame:
     """Kubernetes resources with the ports of services and the backends of ingresses, or Compose services with their needs, of each first document."""
-    j = files.select("path", F.from_json(first_document(F.col("text")), _MANIFEST).alias("j")).where("j IS NOT NULL")
+    j = cut(files.select("path", F.from_json(first_document(F.col("text")), _MANIFEST).alias("j")).where("j IS NOT NULL"))  # read once for all that is made of it
     node_type = F.coalesce(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[F.col("j.kind")], F.lit("k8s_resource"))
     own = j.where("j.apiVersion IS NOT NULL AND j.kind IS NOT NULL").select("path", "j.kind", "j.spec", F.coalesce("j.metadata.name", F.lit("unknown")).alias("name"), node_type.alias("node_type"))
     own = own.withColumn("node", F.concat_ws(":", "node_type", "name"))
@@ -245,6 +245,6 @@ def build_graph(files: DataFrame, parsers: list | None = None) -> tuple[DataFram
     found = cut(found)  # nodes and edges both come from it
     ends = found.select(F.col("dst").alias("id"), F.col("dst_type").alias("type"), "name").union(found.select(F.col("src").alias("id"), F.col("src_type").alias("type"), F.col("src").alias("name")))
     ends = ends.union(files.select(F.col("path").alias("id"), F.lit("file").alias("type"), F.col("path").alias("name")))
-    nodes = ends.groupBy("id").agg(F.min(F.struct("type", "name")).alias("n")).select("id", "n.type", "n.name").join(decorated(scopes.items(dealt)), "id", "left")
+    nodes = ends.groupBy("id").agg(F.min(F.struct("type", "name")).alias("n")).select("id", "n.type", "n.name").join(shuffled(decorated(scopes.items(dealt))), "id", "left")
     edges = found.groupBy("src", "dst").agg(F.max("type").alias("type"))
     return nodes, edges

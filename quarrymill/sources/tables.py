@@ -57,6 +57,24 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     return (df.repartition(parts) if parts else df).checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` for a join of which no side may be sent to the driver and to all tasks.
+
+    Spark takes a table that functions have made for as large as the columns it was made of: files of a few hundred bytes
+    that are written for each key of a table, or what is read in them, pass for a few bytes a row, and are broadcast.
+    """
+    return df.hint("merge")
+
+
+def spread(df: DataFrame, *keys: str, each: int = 20_000) -> DataFrame:
+    """`df` dealt by its keys into parts of about `each` rows.
+
+    For narrow rows of which each becomes much text or much work: by bytes, Spark reads a table of millions of them in a few
+    tasks.
+    """
+    return df.repartition(parts_for(df.count(), each), *keys)
+
+
 def parts_for(rows: int, each: int = 100_000) -> int:
     """How many partitions a table of narrow rows is worth."""
     return max(8, -(-rows // each))
