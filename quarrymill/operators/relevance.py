@@ -12,6 +12,7 @@ from quarrymill.functions import rates
 from quarrymill.functions import text as T
 from quarrymill.functions.globs import GlobIndex
 from quarrymill.operators.order import running_totals, with_sizes
+from quarrymill.sources.tables import shuffled
 
 #: Weight of the first entry that a lower-cased decorator contains.
 DECORATOR_WEIGHTS = (
@@ -195,19 +196,29 @@ def queue_composition(queued: DataFrame, by: list[str]) -> DataFrame:
     return queued.groupBy(*by).agg(*(F.count_if(F.col("tier") == t).alias(t) for t in ("high", "medium", "low")))
 
 
+def _tails(path: Column) -> Column:
+    """What follows each / of a path, longest first."""
+    parts = F.split(path, "/", -1)
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).otherwise(F.array().cast("array<string>"))
+
+
 def resolve_paths(claimed: DataFrame, real: DataFrame) -> DataFrame:
     """claim_id, claimed -> path, stage: exact, else case-insensitive, else as a suffix, else by file name; null if none.
 
-    real: path, seq; the lowest seq of the first stage that hits wins. The stages are equality joins - on the path,
-    on the lower-cased path, and on the file name, which a suffix match shares - not a nested loop.
+    real: path, seq; the lowest seq of the first stage that hits wins. Each way of hitting is a key: the path, the
+    lower-cased path, what follows one of its slashes (of either side), the file name. Of all paths of a key only the first
+    can win, so a claim meets one row for each of its keys, however many paths a file name has.
     """
-    c = claimed.select("claim_id", "claimed", F.lower("claimed").alias("low"), F.lower(T.file_name(F.col("claimed"))).alias("name"))
-    r = real.select("path", "seq", F.lower("path").alias("rlow"), F.lower(T.file_name(F.col("path"))).alias("rname"))
-    found = c.join(r, F.col("name") == F.col("rname"))
-    stage = F.when(F.col("claimed") == F.col("path"), 1).when(F.col("low") == F.col("rlow"), 2).when(F.endswith(F.col("rlow"), F.concat(F.lit("/"), F.col("low"))) | F.endswith(F.col("low"), F.concat(F.lit("/"), F.col("rlow"))), 3).otherwise(4)
-    w = Window.partitionBy("claim_id").orderBy("stage", "seq")
-    best = found.withColumn("stage", stage).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("claim_id", "path", "stage")
-    return c.select("claim_id", "claimed").join(best, "claim_id", "left")
+    of = lambda way, found: F.transform(found, lambda k: F.struct(F.lit(way).alias("way"), k.alias("key")))
+    keys = lambda *each: F.explode(F.concat(*(of(way, found) for way, found in enumerate(each))))
+    low, rlow = F.lower("claimed"), F.lower("path")
+    name = lambda path: F.array(F.lower(T.file_name(path)))
+    c = claimed.where("claimed IS NOT NULL").select("claim_id", keys(F.array("claimed"), F.array(low), F.array(low), _tails(low), name(F.col("claimed"))).alias("k")).select("claim_id", "k.way", "k.key").distinct()
+    r = real.where("path IS NOT NULL").select("seq", "path", keys(F.array("path"), F.array(rlow), _tails(rlow), F.array(rlow), name(F.col("path"))).alias("k"))
+    firsts = r.groupBy("k.way", "k.key").agg(F.min(F.struct("seq", "path")).alias("first"))
+    stage = F.element_at(F.array(*map(F.lit, (1, 2, 3, 3, 4))), F.col("way") + 1)
+    best = c.join(shuffled(firsts), ["way", "key"]).groupBy("claim_id").agg(F.min(F.struct(stage.alias("stage"), "first")).alias("b")).select("claim_id", F.col("b.first.path").alias("path"), F.col("b.stage").alias("stage"))
+    return claimed.select("claim_id", "claimed").join(shuffled(best), "claim_id", "left")
 
 
 def context_windows(text: Column, keywords: Column, around: int = 2, limit: int = 5) -> Column:
