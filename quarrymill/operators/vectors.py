@@ -30,6 +30,16 @@ class Cells(NamedTuple):
     of: dict[object, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+#: How many distances a task holds at once, and how many rows with their vectors it gives out at once.
+AT_ONCE, ROWS = 2_000_000, 10_000
+
+
+def _slices(n: int, width: int) -> Iterator[slice]:
+    """Slices of n rows of which each has `width` distances."""
+    each = max(1, AT_ONCE // max(1, width))
+    return (slice(i, i + each) for i in range(0, n, each))
+
+
 def _units(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Vectors at unit length, and which are zero."""
     x = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
@@ -54,11 +64,13 @@ def celled(items: DataFrame, by: str | None, size: int = 256, most: int = 4096)
     types = {f.name: f.dataType.simpleString() for f in items.schema.fields}
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            x, zero = _units(part["ivec"])
-            d = _apart(x, centres) if len(centres) and len(part) else np.zeros((len(part), 1))
-            cell = np.where(zero, -1, d.argmin(axis=1))
-            yield part.assign(cell=cell.astype(np.int32), away=np.where(zero, 0.0, d.min(axis=1)))
+        for whole in parts:
+            for some in _slices(len(whole), len(centres)):
+                part = whole.iloc[some]
+                x, zero = _units(part["ivec"])
+                d = _apart(x, centres) if len(centres) else np.zeros((len(part), 1))
+                cell = np.where(zero, -1, d.argmin(axis=1))
+                yield part.assign(cell=cell.astype(np.int32), away=np.where(zero, 0.0, d.min(axis=1)))
 
     schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "item_id", "ivec"]) + ", cell int, away double"
     return items.select(*keys, "item_id", "ivec").mapInPandas(assign, schema), centres
@@ -134,20 +146,26 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 5, by: str | None = N
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": left["query_id"][:0], "item_id": right["item_id"][:0], "distance": np.zeros(0)})
         a, b = _units(left["qvec"])[0], _units(right["ivec"])[0]
-        d = np.round(1 - a @ b.T, 6)
-        ids = right["item_id"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(left)), order.shape[1])
-        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows], "item_id": ids[order.ravel()], "distance": d[rows, order.ravel()]})
+        asked, ids, found = left["query_id"].to_numpy(), right["item_id"].to_numpy(), []
+        for some in _slices(len(a), len(b)):
+            d = np.round(1 - a[some] @ b.T, 6)
+            order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+            rows = np.repeat(np.arange(len(d)), order.shape[1])
+            found.append(pd.DataFrame({"query_id": asked[some][rows], "item_id": ids[order.ravel()], "distance": d[rows, order.ravel()]}))
+        return pd.concat(found)
 
     def wave(some: DataFrame) -> DataFrame:
         """What is found in the cells that each query looks into now; with a column `worst` the second time."""
         again = "worst" in some.columns
 
         def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                who, where = cells_to_visit(batch["qvec"], batch[by] if by else None, cells.value, k, batch["worst"].fillna(np.inf).to_numpy() if again else None)
-                yield batch.iloc[who][[*keys, "query_id", "qvec"]].assign(cell=where.astype(np.int32))
+            width = max((len(number) for number, _, _ in cells.value.of.values()), default=1)
+            for whole in batches:
+                for some in _slices(len(whole), width):
+                    batch = whole.iloc[some]
+                    who, where = cells_to_visit(batch["qvec"], batch[by] if by else None, cells.value, k, batch["worst"].fillna(np.inf).to_numpy() if again else None)
+                    for at in range(0, len(who), ROWS):
+                        yield batch.iloc[who[at : at + ROWS]][[*keys, "query_id", "qvec"]].assign(cell=where[at : at + ROWS].astype(np.int32))
 
         vec = some.schema["qvec"].dataType.simpleString()
         seen = some.mapInPandas(visits, ", ".join([*(f"{c} {some.schema[c].dataType.simpleString()}" for c in keys), f"query_id {types['query_id']}", f"qvec {vec}", "cell int"]))
