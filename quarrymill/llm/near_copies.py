@@ -1,9 +1,10 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least a share.
 
-Texts of equal sets are grouped first. Of the others, pairs are proposed, then compared by the complete distance of their
-SimHash fingerprints (see `simhash`; of the distinct 5-word shingles here), then by their complete sets, which decide.
+Texts of equal sets are grouped first. Of the others, pairs are proposed, then compared by their complete sets, which decide.
 
-Proposals come from MinHash: texts that have all `rows` minima of one of `bands` bands in common share a bucket. With 25
+Proposals come from SimHash: texts whose fingerprints (of the distinct 5-word shingles here) `simhash.links` joins, or that
+have one fingerprint; of each fingerprint, the text of the least label meets the others. At 2 bits these are the closest
+copies. More come from MinHash, and are compared by the complete distance of their fingerprints first: texts that have all `rows` minima of one of `bands` bands in common share a bucket. With 25
 bands of 4, a pair at 0.8 shares no bucket with probability (1 - 0.8^4)^25 < 2e-6, a likelier pair less often. Segments
 of a SimHash can't propose them: at a similarity of 0.8 each bit differs with probability arccos(8/9) / pi = 0.151, so
 10 of 64 bits do on average, and a segment that is long enough to tell texts apart is hardly ever equal (32 bits: 0.5 %,
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import give_back, slices, texts_of
-from quarrymill.llm.simhash import components, majority, shingle_hashes
+from quarrymill.llm.simhash import components, links, majority, shingle_hashes
 from quarrymill.sources.tables import cut, parts_for
 
 #: Two sets of MANY shingles or more that are 0.8 alike have fingerprints that differ in more than FAR bits with
@@ -110,6 +111,15 @@ def _pairs(members: DataFrame, condition: Column | str, share: float) -> DataFra
     return p.join(q, "key").where(F.expr("p_label < q_label") & sizes & (near | (F.least("p_n", "q_n") < MANY)) & condition).select(F.col("p_label").alias("a"), F.col("q_label").alias("b")).distinct()
 
 
+def _by_print(distinct: DataFrame) -> DataFrame:
+    """The pairs (a, b) that fingerprints propose: those of one fingerprint with the first of it, and the firsts of linked ones."""
+    firsts = distinct.groupBy("fp").agg(F.min("label").alias("label"))
+    same = distinct.select("fp", F.col("label").alias("b")).join(firsts.select("fp", F.col("label").alias("a")), "fp").where("a < b").select("a", "b")
+    p, q = (firsts.select(F.col("fp").alias(f"{s}_fp"), F.col("label").alias(s)) for s in "pq")
+    near = links(firsts.select("fp")).select(F.col("a").alias("p_fp"), F.col("b").alias("q_fp")).join(p, "p_fp").join(q, "q_fp")
+    return same.union(near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct()
+
+
 def _common(sets: DataFrame) -> DataFrame:
     """label, common (shingles that another of the sets has too) and often (in how many of the sets its common shingles are, added up)."""
     each = sets.select("label", F.explode("hashes").alias("s"))
@@ -151,10 +161,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = distinct.select("label", "n", "fp", F.explode("keys").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
     members = cut(buckets.join(sizes, "key"), parts)
-    firsts = distinct.join(members.select("label").distinct(), "label", "left_semi").select(F.col("first.id").alias("of_id"), F.col("first.mark").alias("of_mark"))
+    by_print = cut(_by_print(distinct), parts)
+    needed_sets = members.select("label").union(by_print.select("a")).union(by_print.select("b")).distinct()
+    firsts = distinct.join(needed_sets, "label", "left_semi").select(F.col("first.id").alias("of_id"), F.col("first.mark").alias("of_mark"))
     sets = cut(_sets(texts.join(firsts, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))).select("text"), words).dropDuplicates(["label"]))
     few, many = members.where(F.col("in_bucket") <= crowd).select("key", "label", "n", "fp"), members.where(F.col("in_bucket") > crowd)
-    edges = _alike(_pairs(few, F.lit(True), share), sets, share, parts)
+    edges = _alike(_pairs(few, F.lit(True), share).union(by_print).distinct(), sets, share, parts)
     nodes = distinct.select(F.col("label").alias("node"))
     if many.isEmpty():
         roots = cut(components(nodes, edges), parts)
