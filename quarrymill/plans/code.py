@@ -116,7 +116,8 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, text = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, (name, body) in enumerate(_KINDS):
         path, text = F.when(k % len(_KINDS) == i, made(name)).otherwise(path), F.when(k % len(_KINDS) == i, made(body)).otherwise(text)
-    return spread(read_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(path.alias("path"), text.alias("text"))
+    # written, as seven parsers read them: each would make path and text anew, and for every condition on the path again
+    return cut(spread(read_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(path.alias("path"), text.alias("text")))
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 8 AS kind, c_custkey % 5 AS x, 10 + c_custkey % 7 AS y FROM customer),

@@ -198,7 +198,8 @@ def first_document(text: Column) -> Column:
 
 def yaml_files(files: DataFrame) -> DataFrame:
     """Kubernetes resources with the ports of services and the backends of ingresses, or Compose services with their needs, of each first document."""
-    j = cut(files.select("path", F.from_json(first_document(F.col("text")), _MANIFEST).alias("j")).where("j IS NOT NULL"))  # read once for all that is made of it
+    # read once for all that is made of it; a condition on it before the cut would be pushed below the dealing of files, into a few tasks
+    j = cut(files.select("path", F.from_json(first_document(F.col("text")), _MANIFEST).alias("j"))).where("j IS NOT NULL")
     node_type = F.coalesce(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[F.col("j.kind")], F.lit("k8s_resource"))
     own = j.where("j.apiVersion IS NOT NULL AND j.kind IS NOT NULL").select("path", "j.kind", "j.spec", F.coalesce("j.metadata.name", F.lit("unknown")).alias("name"), node_type.alias("node_type"))
     own = own.withColumn("node", F.concat_ws(":", "node_type", "name"))

@@ -70,9 +70,10 @@ def spread(df: DataFrame, *keys: str, each: int = 20_000) -> DataFrame:
     """`df` dealt by its keys into parts of about `each` rows.
 
     For narrow rows of which each becomes much text or much work: by bytes, Spark reads a table of millions of them in a few
-    tasks.
+    tasks. The parts are written to the checkpoint folder: else conditions on what the rows become would be pushed below
+    the dealing, work and all, into those few tasks, and each use would deal the rows again.
     """
-    return df.repartition(parts_for(df.count(), each), *keys)
+    return cut(df.repartition(parts_for(df.count(), each), *keys))
 
 
 def parts_for(rows: int, each: int = 100_000) -> int:

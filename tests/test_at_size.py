@@ -39,6 +39,18 @@ def test_yaml_is_read_once(spark, sf_dir):
     assert "ArrowEvalPython" not in plan(parsers.yaml_files(code.config_files(spark, sf_dir)))
 
 
+def test_yaml_is_parsed_where_files_were_dealt(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(parsers, "cut", lambda df, parts=None: seen.append(plan(df)) or df)
+    parsers.yaml_files(spark.createDataFrame([("a.yaml", "kind: x")], "path string, text string").repartition(3))
+    assert "ArrowEvalPython" not in seen[0].split("Exchange", 1)[1]
+
+
+@pytest.mark.parametrize("made", [code.source_files, code.nested_files, code.config_files])
+def test_conditions_on_files_stay_where_files_were_dealt(spark, sf_dir, made):
+    assert "Exchange" not in plan(made(spark, sf_dir).where("path LIKE '%a' AND length(text) > 3"))
+
+
 def test_blanks_inside_do_not_count(spark):
     rows = spark.createDataFrame([("Onhaha sh.",), ("Onhahaxsh.",), (None,)], "text string")
     assert [r[0] for r in rows.select(quality_gate.has_words(F.lit(0.0), F.col("text"))).collect()] == [False, True, None]
