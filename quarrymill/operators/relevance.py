@@ -244,10 +244,10 @@ def chunks(text: Column, size: int = 2000, most: int = 10, least: int = 100) ->
     the text has over 500 characters, its head, a piece from a third of it on, and its tail."""
     t = F.coalesce(text, F.lit(""))
     found = F.filter(F.concat(*(F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in BLOCKS)), lambda c: F.length(c) > least)
-    blocks = F.transform(found, lambda c: F.substring(c, 1, size))
     third = F.least(F.floor(F.length(t) / 3), F.lit(5000)).cast("int")
     places = F.array_compact(F.array(F.substring(t, 1, size), F.substring(t, third + 1, F.lit(size)), F.when(F.length(t) > size, F.right(t, F.lit(size)))))
-    return F.slice(F.when(F.size(blocks) > 0, blocks).when(F.length(t) > 500, places).otherwise(F.array().cast("array<string>")), 1, most)
+    packed = F.array(F.transform(found, lambda c: F.substring(c, 1, size)))  # blocks are searched once for a text
+    return F.slice(F.transform(packed, lambda blocks: F.when(F.size(blocks) > 0, blocks).when(F.length(t) > 500, places).otherwise(F.array().cast("array<string>")))[0], 1, most)
 
 
 #: Words that a listed definition begins with, and that the next one begins with.
@@ -260,7 +260,8 @@ def function_chunks(text: Column, names: Column, size: int = 3000, most: int = 1
     t = F.coalesce(text, F.lit(""))
     body = lambda n: F.concat(F.lit(rf"(?sim)((?:{_OPENS})\s+"), F.regexp_replace(n, r"([^\w])", r"\\$1"), F.lit(rf"\s*[\({{].*?(?=\n(?:{_NEXT})\s|\z))"))
     found = F.filter(F.flatten(F.transform(names, lambda n: F.regexp_extract_all(t, body(n), F.lit(1)))), lambda c: F.length(c) > least)
-    return F.slice(F.when(F.size(found) > 0, F.transform(found, lambda c: F.substring(c, 1, size))).otherwise(chunks(text)), 1, most)
+    packed = F.array(F.struct(t.alias("t"), found.alias("found")))  # found once for a text
+    return F.slice(F.transform(packed, lambda d: F.when(F.size(d["found"]) > 0, F.transform(d["found"], lambda c: F.substring(c, 1, size))).otherwise(chunks(d["t"])))[0], 1, most)
 
 
 def batches(rows: DataFrame, order: list[str], by: list[str], size: int = 600, threshold: int = 800) -> DataFrame:

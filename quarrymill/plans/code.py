@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators import graph, relevance
 from quarrymill.plans.registry import query
 from quarrymill.sources import parsers, read_table, scopes
-from quarrymill.sources.tables import cut, shuffled, spread
+from quarrymill.sources.tables import cut, parts_for, shuffled, spread
 
 
 def _text(k: Column | int) -> Column:
@@ -163,6 +163,8 @@ def added_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
 def function_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of the functions that the graph lists for each file; their end is found by look-ahead, which the oracle doesn't have; tests compare with Python's."""
     files = source_files(spark, sf_dir).withColumn("text", F.concat("text", F.repeat(F.lit("# more of it\n"), 12)))
-    names = parsers.definitions(scopes.items(files)).groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(F.struct("start", "name"))).alias("n"))
-    rows = spread(files, "path").join(shuffled(names.select("path", F.col("n.name").alias("names"))), "path")
+    parts = parts_for(files.count(), 20_000)  # by bytes, a few tasks would search all the texts
+    names = parsers.definitions(scopes.items(files)).select(F.col("file").alias("path"), "start", "name").repartition(parts, "path")
+    names = names.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "name"))).alias("n"))
+    rows = files.repartition(parts, "path").join(shuffled(names.select("path", F.col("n.name").alias("names"))), "path")
     return rows.select("path", F.posexplode(relevance.function_chunks(F.col("text"), F.col("names"))).alias("pos", "chunk"))

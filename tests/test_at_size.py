@@ -51,6 +51,12 @@ def test_conditions_on_files_stay_where_files_were_dealt(spark, sf_dir, made):
     assert "Exchange" not in plan(made(spark, sf_dir).where("path LIKE '%a' AND length(text) > 3"))
 
 
+def test_blocks_are_searched_once(spark):
+    rows = spark.createDataFrame([("def f(): pass", ["f"])], "text string, names array<string>").repartition(2)
+    assert plan(rows.select(relevance.chunks(F.col("text")).alias("c"))).count("regexp_extract_all") == 3
+    assert plan(rows.select(relevance.function_chunks(F.col("text"), F.col("names")).alias("c"))).count("regexp_extract_all") == 4
+
+
 def test_blanks_inside_do_not_count(spark):
     rows = spark.createDataFrame([("Onhaha sh.",), ("Onhahaxsh.",), (None,)], "text string")
     assert [r[0] for r in rows.select(quality_gate.has_words(F.lit(0.0), F.col("text"))).collect()] == [False, True, None]
