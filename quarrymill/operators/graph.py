@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import rates
-from quarrymill.sources.tables import cut, shuffled
+from quarrymill.sources.tables import cut, dealt, shuffled
 
 
 def one_edge_per_pair(edges: DataFrame, seq: str) -> DataFrame:
@@ -93,17 +93,19 @@ def first_dotted(names: DataFrame, defined: DataFrame) -> DataFrame:
     return calls.select("call_id").join(shuffled(best), "call_id", "left").select("call_id", F.concat_ws(":", "b.dfile", "b.dname").alias("target"), F.col("b.stage").alias("stage"))
 
 
-def attached_decorators(decorators: DataFrame, defined: DataFrame, reach: int = 100) -> DataFrame:
+def attached_decorators(decorators: DataFrame, defined: DataFrame, reach: int = 100, parts: int | None = None) -> DataFrame:
     """file, decorator, target: the first function that starts less than `reach` bytes after a decorator's end, else the first class.
 
-    decorators: file, name, stop; defined: file, name, type, start. A decorator with neither is left out.
+    decorators: file, name, stop; defined: file, name, type, start. A decorator with neither is left out. parts: into how
+    many the rows are dealt (see `dealt`).
     """
     # a definition within reach starts in the stretch of `reach` bytes where the decorator ends, or in the next one
     stretch = lambda place: F.floor(F.col(place) / reach)
     d = decorators.select("file", F.col("name").alias("decorator"), "stop", F.explode(F.array(stretch("stop"), stretch("stop") + 1)).alias("stretch"))
     near = defined.where(F.col("type").isin("function", "class")).select("file", F.col("name").alias("target"), "type", "start", stretch("start").alias("stretch"))
-    found = d.join(shuffled(near), ["file", "stretch"]).where((F.col("start") >= F.col("stop")) & (F.col("start") - F.col("stop") < reach))
-    best = found.groupBy("file", "decorator", "stop").agg(F.min(F.struct((F.col("type") != "function").alias("other"), "start", "target")).alias("b"))
+    met = dealt(d, parts, "file", "stretch").join(shuffled(dealt(near, parts, "file", "stretch")), ["file", "stretch"])
+    found = met.where((F.col("start") >= F.col("stop")) & (F.col("start") - F.col("stop") < reach))
+    best = dealt(found, parts, "file", "decorator", "stop").groupBy("file", "decorator", "stop").agg(F.min(F.struct((F.col("type") != "function").alias("other"), "start", "target")).alias("b"))
     return best.select("file", "decorator", F.col("b.target").alias("target"))
 
 

@@ -48,7 +48,7 @@ def code_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_FILES} SELECT path AS file, concat('@route', k % 3) AS decorator, concat('g', k) AS target FROM p""")
 def decorator_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = cut(scopes.items(source_files(spark, sf_dir)))
-    return graph.attached_decorators(parsers.decorators(items), parsers.definitions(items))
+    return graph.attached_decorators(parsers.decorators(items), parsers.definitions(items), parts=parts_for(items.count(), 200_000))
 
 
 def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,8 @@ _NESTED = "p AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS py, concat('n', p_p
         UNION ALL SELECT path, concat('far', k + 2), concat('m', k) FROM p WHERE py UNION ALL SELECT path, concat('last', k % 4), NULL FROM p WHERE py""")
 def scoped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Called names with the innermost function around them; comments and strings call nothing, and a function ends where its scope does."""
-    return parsers.calls(scopes.items(nested_files(spark, sf_dir))).select("file", "name", "within")
+    files = nested_files(spark, sf_dir)
+    return parsers.calls(scopes.items(files), parts_for(files.count(), 20_000)).select("file", "name", "within")
 
 
 @query(f"""WITH {_NESTED}, b AS (SELECT *, CASE WHEN py THEN concat('def inner', k, '(b):' || chr(10) || '        return far', k + 1, '(b)') ELSE concat('function inner', k, '(b) {{ return far', k + 1, '(b); }}') END AS inside FROM p)

@@ -16,7 +16,7 @@ from quarrymill.functions import text as T
 from quarrymill.operators import graph
 from quarrymill.sources import scopes
 from quarrymill.sources.schemas import PACKAGE_JSON
-from quarrymill.sources.tables import cut, shuffled
+from quarrymill.sources.tables import cut, dealt, parts_for, shuffled
 
 
 def _edges(found: DataFrame, dst: Column, dst_type: str, name: Column, kind: str) -> DataFrame:
@@ -97,21 +97,24 @@ def decorators(items: DataFrame) -> DataFrame:
     return _of(items, "decorator").select(F.col("path").alias("file"), "name", "stop")
 
 
-def decorated(items: DataFrame) -> DataFrame:
+def decorated(items: DataFrame, parts: int | None = None) -> DataFrame:
     """id, decorators: the functions and classes that decorators stand before, and these in order of name."""
-    near = graph.attached_decorators(decorators(items), definitions(items))
+    near = graph.attached_decorators(decorators(items), definitions(items), parts=parts)
     return near.groupBy(F.concat_ws(":", "file", "target").alias("id")).agg(F.sort_array(F.collect_list("decorator")).alias("decorators"))
 
 
-def calls(items: DataFrame) -> DataFrame:
-    """call_id, file, name, within of called names, to be resolved by `graph.first_dotted`; once for each name and function around it."""
-    once = _of(items, "call").select(F.col("path").alias("file"), "name", "within").distinct()
+def calls(items: DataFrame, parts: int | None = None) -> DataFrame:
+    """call_id, file, name, within of called names, to be resolved by `graph.first_dotted`; once for each name and function around it.
+
+    parts: into how many the rows are dealt (see `tables.dealt`).
+    """
+    once = dealt(_of(items, "call").select(F.col("path").alias("file"), "name", "within"), parts, "file", "name", "within").distinct()
     return once.select(F.concat_ws(":", "file", "name", F.coalesce("within", F.lit(""))).alias("call_id"), "file", "name", "within")
 
 
-def call_edges(items: DataFrame) -> DataFrame:
+def call_edges(items: DataFrame, parts: int | None = None) -> DataFrame:
     """Edges of resolved calls: from the function around a call, else from its file; and from file to file where they differ."""
-    made = calls(items)
+    made = calls(items, parts)
     target = graph.first_dotted(made, definitions(_of(items, "function"))).where("stage IS NOT NULL").select("call_id", "target")
     to = F.regexp_extract("target", r"^(.*):", 1)
     each = cut(made.join(shuffled(target), "call_id").select("file", "within", "target", to.alias("to"), F.regexp_extract("target", r":([^:]*)$", 1).alias("name")))
@@ -159,7 +162,7 @@ def code(files: DataFrame) -> DataFrame:
         .union(_edges(imports.where(~F.col("m").rlike(r"^[./]")), F.concat(F.lit("dep:"), "m"), "external_dependency", F.col("m"), "imports"))
         .union(_edges(files_of, F.col("m"), "file", F.col("m"), "imports"))
         .union(_edges(strings, F.concat(F.lit("str:"), "m"), "string_literal", F.col("m"), "uses_string"))
-        .union(call_edges(items))
+        .union(call_edges(items, parts_for(items.count(), 200_000)))
     )
 
 
@@ -238,14 +241,14 @@ def build_graph(files: DataFrame, parsers: list | None = None) -> tuple[DataFram
     """
     parsers = PARSERS if parsers is None else parsers
     owner = F.coalesce(*(F.when(takes(F.col("path")), F.lit(i)) for i, (takes, _) in enumerate(parsers)))
-    dealt = files.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("__parser", owner)
+    assigned = files.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("__parser", owner)
     found = None
     for i, (_, parse) in enumerate(parsers):
-        part = parse(dealt.where(F.col("__parser") == i))
+        part = parse(assigned.where(F.col("__parser") == i))
         found = part if found is None else found.union(part)
     found = cut(found)  # nodes and edges both come from it
     ends = found.select(F.col("dst").alias("id"), F.col("dst_type").alias("type"), "name").union(found.select(F.col("src").alias("id"), F.col("src_type").alias("type"), F.col("src").alias("name")))
     ends = ends.union(files.select(F.col("path").alias("id"), F.lit("file").alias("type"), F.col("path").alias("name")))
-    nodes = ends.groupBy("id").agg(F.min(F.struct("type", "name")).alias("n")).select("id", "n.type", "n.name").join(shuffled(decorated(scopes.items(dealt))), "id", "left")
+    nodes = ends.groupBy("id").agg(F.min(F.struct("type", "name")).alias("n")).select("id", "n.type", "n.name").join(shuffled(decorated(scopes.items(assigned), parts_for(files.count(), 20_000))), "id", "left")
     edges = found.groupBy("src", "dst").agg(F.max("type").alias("type"))
     return nodes, edges

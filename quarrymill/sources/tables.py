@@ -76,6 +76,14 @@ def spread(df: DataFrame, *keys: str, each: int = 20_000) -> DataFrame:
     return cut(df.repartition(parts_for(df.count(), each), *keys))
 
 
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """`df` dealt by the keys of the next join or group-by into `parts`; left to the session's number if None.
+
+    That number, and parts put together by their compressed bytes, make a task grow with the table.
+    """
+    return df.repartition(parts, *keys) if parts else df
+
+
 def parts_for(rows: int, each: int = 100_000) -> int:
     """How many partitions a table of narrow rows is worth."""
     return max(8, -(-rows // each))
