@@ -87,7 +87,7 @@ def scoped_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def function_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every definition, from its first word to the end of its scope."""
     files = nested_files(spark, sf_dir)
-    return parsers.bodies(files, scopes.items(files)).select("path", "name", "type", "body")
+    return parsers.bodies(files, scopes.items(files), parts_for(files.count(), 20_000)).select("path", "name", "type", "body")
 
 
 @query(f"""WITH {_FILES} SELECT p.path AS src, q.path AS dst FROM p JOIN p q ON q.k = p.k - 40 OR q.k = p.k + 3""")

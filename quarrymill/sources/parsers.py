@@ -86,10 +86,13 @@ def definitions(items: DataFrame) -> DataFrame:
     return rows.select(F.col("path").alias("file"), "name", F.col("kind").alias("type"), "start", "stop", F.concat_ws(":", "path", F.lpad(F.col("start").cast("string"), 12, "0")).alias("seq"))
 
 
-def bodies(files: DataFrame, items: DataFrame) -> DataFrame:
-    """path, name, type, start and body of every definition: its text from the first word to the end of its extent."""
+def bodies(files: DataFrame, items: DataFrame, parts: int | None = None) -> DataFrame:
+    """path, name, type, start and body of every definition: its text from the first word to the end of its extent.
+
+    parts: into how many the rows are dealt (see `tables.dealt`).
+    """
     found = definitions(items).select(F.col("file").alias("path"), "name", "type", "start", "stop")
-    return files.select("path", "text").join(shuffled(found), "path").select("path", "name", "type", "start", F.substr("text", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("body"))
+    return dealt(files.select("path", "text"), parts, "path").join(shuffled(dealt(found, parts, "path")), "path").select("path", "name", "type", "start", F.substr("text", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("body"))
 
 
 def decorators(items: DataFrame) -> DataFrame:

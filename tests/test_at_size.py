@@ -51,7 +51,7 @@ def test_conditions_on_files_stay_where_files_were_dealt(spark, sf_dir, made):
     assert "Exchange" not in plan(made(spark, sf_dir).where("path LIKE '%a' AND length(text) > 3"))
 
 
-@pytest.mark.parametrize("query", ["decorator_targets", "scoped_calls"])
+@pytest.mark.parametrize("query", ["decorator_targets", "scoped_calls", "function_bodies"])
 def test_parts_go_by_rows(spark, sf_dir, query, monkeypatch):
     monkeypatch.setattr(code, "parts_for", lambda rows, each=0: 23)
     assert getattr(code, query)(spark, sf_dir).rdd.getNumPartitions() == 23
