@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import give_back, slices, texts_of
-from quarrymill.llm.simhash import components, links, majority, shingle_hashes
-from quarrymill.sources.tables import cut, parts_for
+from quarrymill.llm.simhash import BROADCAST_ROWS, components, links, majority, shingle_hashes
+from quarrymill.sources.tables import cut, gathered, parts_for
 
 #: Two sets of MANY shingles or more that are 0.8 alike have fingerprints that differ in more than FAR bits with
 #: probability below 1e-6; two that have nothing in common are so near with probability 0.2.
@@ -104,19 +104,23 @@ def _alike(pairs: DataFrame, sets: DataFrame, share: float, parts: int) -> DataF
 
 
 def _pairs(members: DataFrame, condition: Column | str, share: float) -> DataFrame:
-    """The distinct pairs (a, b) of members p and q of a bucket that meet the condition and whose sizes and fingerprints allow the share."""
+    """The pairs (a, b), some repeated, of members p and q of a bucket that meet the condition and whose sizes and fingerprints allow the share."""
     p, q = (members.select("key", *(F.col(c).alias(f"{s}_{c}") for c in members.columns if c != "key")) for s in "pq")
     sizes = F.least("p_n", "q_n") >= F.greatest("p_n", "q_n") * share - 1e-9
     near = F.bit_count(F.col("p_fp").bitwiseXOR(F.col("q_fp"))) <= FAR if share >= 0.8 else F.lit(True)
-    return p.join(q, "key").where(F.expr("p_label < q_label") & sizes & (near | (F.least("p_n", "q_n") < MANY)) & condition).select(F.col("p_label").alias("a"), F.col("q_label").alias("b")).distinct()
+    return p.join(q, "key").where(F.expr("p_label < q_label") & sizes & (near | (F.least("p_n", "q_n") < MANY)) & condition).select(F.col("p_label").alias("a"), F.col("q_label").alias("b"))
 
 
-def _by_print(distinct: DataFrame) -> DataFrame:
+def _by_print(distinct: DataFrame, parts: int) -> DataFrame:
     """The pairs (a, b) that fingerprints propose: those of one fingerprint with the first of it, and the firsts of linked ones."""
-    firsts = distinct.groupBy("fp").agg(F.min("label").alias("label"))
-    same = distinct.select("fp", F.col("label").alias("b")).join(firsts.select("fp", F.col("label").alias("a")), "fp").where("a < b").select("a", "b")
+    firsts = gathered(distinct.groupBy("fp").agg(F.min("label").alias("label"), F.count("*").alias("n")), parts)
+    repeated = firsts.where("n > 1").select("fp", F.col("label").alias("a"))
+    small = F.broadcast if repeated.count() <= BROADCAST_ROWS else lambda df: df
+    same = distinct.select("fp", F.col("label").alias("b")).join(small(repeated), "fp").where("a < b").select("a", "b")
     p, q = (firsts.select(F.col("fp").alias(f"{s}_fp"), F.col("label").alias(s)) for s in "pq")
-    near = links(firsts.select("fp")).select(F.col("a").alias("p_fp"), F.col("b").alias("q_fp")).join(p, "p_fp").join(q, "q_fp")
+    linked = gathered(links(firsts.select("fp"), parts=parts).select(F.col("a").alias("p_fp"), F.col("b").alias("q_fp")), parts)
+    small = F.broadcast if linked.count() <= BROADCAST_ROWS else lambda df: df
+    near = q.join(small(p.join(small(linked), "p_fp")), "q_fp")
     return same.union(near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct()
 
 
@@ -128,7 +132,7 @@ def _common(sets: DataFrame) -> DataFrame:
 
 
 def _framed(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """hub, label, size (of the hub), both (shingles that the hub and the set have) and words: a bit for each shingle of the hub, 1 if the set has it."""
+    """hub, label, size (of the hub), n (of the set), both (shingles that the hub and the set have) and words: a bit for each shingle of the hub, 1 if the set has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,11 +144,11 @@ def _framed(stars: DataFrame, sets: DataFrame) -> DataFrame:
                 both.append(int(has.sum()))
                 words.append(np.packbits(np.append(has, np.zeros(-len(has) % 64, bool))).view(np.int64))
             ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("label"), pa.array(np.diff(hs), pa.int64()), pa.array(both, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *words]))], ["hub", "label", "size", "both", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("label"), pa.array(np.diff(hs), pa.int64()), pa.array(np.diff(xs), pa.int64()), pa.array(both, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *words]))], ["hub", "label", "size", "n", "both", "words"])
         give_back()
 
     joined = stars.join(sets.select(F.col("label").alias("hub"), F.col("hashes").alias("h")), "hub").join(sets.select("label", F.col("hashes").alias("x")), "label")
-    return joined.select("hub", "label", "h", "x").mapInArrow(run, "hub bigint, label bigint, size bigint, both bigint, words array<bigint>")
+    return joined.select("hub", "label", "h", "x").mapInArrow(run, "hub bigint, label bigint, size bigint, n bigint, both bigint, words array<bigint>")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: float = 0.8, bands: int = 25, rows: int = 4, crowd: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -153,15 +157,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     What is known of each crowded bucket is broadcast if there are `broadcast_rows` of them at most, so that a bucket
     of very many rows isn't one task's key; else it is joined by a shuffle.
     """
+    prints, roots, _ = _found(docs, id_col, text_col, words, share, bands, rows, crowd, broadcast_rows)
+    return prints.join(roots, F.col("label") == F.col("node")).select("id", "mark", F.col("root").alias("component"))
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, words: int, share: float, bands: int, rows: int, crowd: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """id, mark and label of every row; node (a label) and root of every label; how many partitions such tables are worth."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), mark(F.col(text_col)).alias("mark"))
     prints = cut(_prints(texts, words, bands, rows))
     parts = parts_for(prints.count())
     # one row stands for all of an equal set
-    distinct = cut(prints.groupBy("label").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), parts)
+    distinct = gathered(prints.groupBy("label").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), parts)
     buckets = distinct.select("label", "n", "fp", F.explode("keys").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
     members = cut(buckets.join(sizes, "key"), parts)
-    by_print = cut(_by_print(distinct), parts)
+    by_print = gathered(_by_print(distinct, parts), parts)
     needed_sets = members.select("label").union(by_print.select("a")).union(by_print.select("b")).distinct()
     firsts = distinct.join(needed_sets, "label", "left_semi").select(F.col("first.id").alias("of_id"), F.col("first.mark").alias("of_mark"))
     sets = cut(_sets(texts.join(firsts, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))).select("text"), words).dropDuplicates(["label"]))
@@ -169,33 +179,39 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = _alike(_pairs(few, F.lit(True), share).union(by_print).distinct(), sets, share, parts)
     nodes = distinct.select(F.col("label").alias("node"))
     if many.isEmpty():
-        roots = cut(components(nodes, edges), parts)
+        roots = gathered(components(nodes, edges), parts)
     else:
         small = F.broadcast if many.select("key").distinct().count() <= broadcast_rows else lambda df: df
         needed = lambda sizes: share / (1 + share) * sizes - 1e-9  # noqa: E731  of the shingles of two sets, so many in both
-        common = cut(_common(sets.join(many.select("label").distinct(), "label", "left_semi")), parts)
-        known = many.select("key", "label", "n", "fp").join(common, "label")
+        common = gathered(_common(sets.join(many.select("label").distinct(), "label", "left_semi")), parts)
+        known = gathered(many.select("key", "label", "n", "fp").join(common, "label"), parts)
         least = known.groupBy("key").agg(F.min("n").alias("smallest"))
         able = F.col("common") >= needed(F.col("n") + F.greatest(F.col("smallest"), share * F.col("n")))
         crowded = known.join(small(least), "key").where(able)
         hubs = crowded.groupBy("key").agg(F.max_by("label", F.struct(F.col("often") / F.col("n"), "label")).alias("hub"))
-        crowded = cut(crowded.join(small(hubs), "key").select("key", "hub", "label", "n", "fp", "common"), parts)
-        frames = cut(_framed(crowded.select("hub", "label").distinct(), sets).join(crowded.select("label", "n").distinct(), "label"), parts)
+        crowded = gathered(crowded.join(small(hubs), "key").select("key", "hub", "label", "n", "fp", "common"), parts)
+        frames = cut(_framed(crowded.select("hub", "label").distinct(), sets), parts)
         stars = frames.where((F.col("hub") != F.col("label")) & (F.col("both") >= needed(F.col("size") + F.col("n"))))
-        edges = edges.union(stars.select(F.least("hub", "label").alias("a"), F.greatest("hub", "label").alias("b"))).distinct()
-        roots = cut(components(nodes, edges), parts)
-        crowded = crowded.join(roots.select(F.col("node").alias("label"), "root"), "label")
+        edges = edges.union(stars.select(F.least("hub", "label").alias("a"), F.greatest("hub", "label").alias("b")))
+        roots = gathered(components(nodes, edges), parts)
+        crowded = gathered(crowded.join(roots.select(F.col("node").alias("label"), "root"), "label"), parts)
         # buckets of one component are done
-        open_ones = crowded.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+        open_ones = gathered(crowded.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"), parts)
+        if open_ones.isEmpty():
+            return prints.select("id", "mark", "label"), roots, parts
         seen = frames.select("hub", "label", "both", "words")
         crowded = cut(crowded.join(small(open_ones), "key").join(seen, ["hub", "label"]).select("key", "label", "n", "fp", "common", "root", "words", F.greatest(F.col("common") - F.col("both"), F.lit(0)).alias("beside")), parts)
         in_hub = F.aggregate(F.zip_with("p_words", "q_words", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda total, n: total + n)
         enough = needed(F.col("p_n") + F.col("q_n"))
         open_pairs = F.expr("p_root != q_root") & (F.least("p_common", "q_common") >= enough) & (in_hub + F.least("p_beside", "q_beside") >= enough)
-        more = _alike(_pairs(crowded, open_pairs, share), sets, share, parts)
+        more = _alike(_pairs(crowded, open_pairs, share).distinct(), sets, share, parts)
         if not more.isEmpty():
-            roots = cut(components(nodes, edges.union(more)), parts)
-    return prints.select("id", "mark", "label").join(roots, F.col("label") == F.col("node")).select("id", "mark", F.col("root").alias("component"))
+            # these join components, so the roots are the nodes
+            a, b = (roots.select(F.col("node").alias(s), F.col("root").alias(f"{s}_root")) for s in "ab")
+            across = more.join(a, "a").join(b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+            joined = components(roots.select(F.col("root").alias("node")).distinct(), across).select(F.col("node").alias("of"), F.col("root").alias("least"))
+            roots = gathered(roots.join(joined, F.col("root") == F.col("of")).select("node", F.col("least").alias("root")), parts)
+    return prints.select("id", "mark", "label"), roots, parts
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: float = 0.8, bands: int = 25, rows: int = 4, crowd: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -205,10 +221,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     What goes, and the components of more than one row, are broadcast if they have at most `broadcast_rows` rows each, else
     joined by a shuffle.
     """
-    found = near_copies(docs, id_col, text_col, words, share, bands, rows, crowd, broadcast_rows).where("id IS NOT NULL")
-    found = cut(found.groupBy("id", "mark", "component").agg(F.count("*").alias("copies")))
-    parts = parts_for(found.count())
-    least = cut(found.groupBy("component").agg(F.min(F.struct("id", "mark")).alias("least"), F.count("*").alias("n")).where("n > 1").select("component", "least"), parts)
+    prints, roots, parts = _found(docs, id_col, text_col, words, share, bands, rows, crowd, broadcast_rows)
+    found = prints.where("id IS NOT NULL").join(roots, F.col("label") == F.col("node"))
+    found = gathered(found.groupBy("id", "mark", F.col("root").alias("component")).agg(F.count("*").alias("copies")), parts)
+    least = gathered(found.groupBy("component").agg(F.min(F.struct("id", "mark")).alias("least"), F.count("*").alias("n")).where("n > 1").select("component", "least"), parts)
     least = F.broadcast(least) if least.count() <= broadcast_rows else least  # a large component is one key
     gone = cut(found.join(least, "component").where(F.struct("id", "mark") != F.col("least")).select("id", "mark"), parts)
     if gone.count() <= broadcast_rows:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import by_text, held_out
+from quarrymill.llm.common import by_text, give_back, held_out
 from quarrymill.llm.training import labelled_sample
 
 PASSAGE = 512
@@ -288,6 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
             for k, x in g.items():
                 m[k], v[k] = 0.9 * m[k] + 0.1 * x, 0.99 * v[k] + 0.01 * x * x
                 p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+    del sample, texts, vectors, h, h_rows
+    give_back()
     return model
 
 

@@ -22,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import slices, texts_of
-from quarrymill.sources.tables import cut, parts_for
+from quarrymill.sources.tables import cut, gathered, parts_for
+
+#: Tables of so many narrow rows are sent to all tasks, larger ones joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 LOW = 0xFFFFFFFF
 
@@ -65,33 +68,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp bigint")
 
 
-def links(values: DataFrame, crowd: int = 64) -> DataFrame:
+def links(values: DataFrame, crowd: int = 64, parts: int = 8) -> DataFrame:
     """Pairs (a, b) with a != b of the distinct fingerprints in `values` (column fp), all at 2 bits at most.
 
     Any two fingerprints within 2 bits are joined by a path of such pairs; pairs in segment values
-    of at most `crowd` fingerprints are all given.
+    of at most `crowd` fingerprints are all given. parts: in how many tasks crowded values are found.
     """
     low, high = F.col("fp").bitwiseAND(LOW), F.shiftrightunsigned("fp", 32)
     table = values.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), low.alias("key")), F.struct(F.lit(1).alias("seg"), high.alias("key")))).alias("e")).select("fp", "e.seg", "e.key")
-    sizes = table.groupBy("seg", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # crowded values are few, mostly none: found first, they spare the rest
+    busy = gathered(table.groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > max(crowd, 1)).select("seg", "key"), parts)
+    crowds = busy.count()
+    small = F.broadcast if crowds <= BROADCAST_ROWS else lambda df: df
     # the low segment: equal values. Of each pair the smaller one probes.
-    counted = table.join(sizes, ["seg", "key"])
-    shared = counted.where(F.col("n") <= crowd)
-    by_low = shared.where("seg = 0")
+    rest = table.join(small(busy), ["seg", "key"], "left_anti") if crowds else table
+    by_low = rest.where("seg = 0")
     same = by_low.alias("x").join(by_low.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= 2))
     # the high segment: a ball of radius 1. A pair that differs there is met once, from the side that has a 0 in that bit.
     ball = values.select("fp", high.alias("high")).select("fp", F.explode(F.expr("concat(array(high), transform(filter(sequence(0, 31), i -> shiftright(high, i) & 1 = 0), i -> high | shiftleft(1L, i)))")).alias("key"), "high")
-    busy = sizes.where(f"seg = 1 and n > {crowd}").select(F.col("key").alias("crowded"))
-    heads = table.where("seg = 1").select(F.col("fp").alias("other"), "key").join(busy, F.col("key") == F.col("crowded"), "left_anti")
+    heads = rest.where("seg = 1").select(F.col("fp").alias("other"), "key")
     near = ball.join(heads, "key").where((F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2) & ((F.col("key") != F.col("high")) | (F.col("fp") < F.col("other"))))
+    found = same.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).union(near.select(F.col("fp").alias("a"), F.col("other").alias("b")))
+    if not crowds:
+        return found.distinct()
     # crowded values: the midpoints
-    crowded = counted.where(F.col("n") > crowd).select("fp")
+    crowded = table.join(small(busy), ["seg", "key"], "left_semi").select("fp")
     # whoever can meet a fingerprint of a crowded value names its midpoints: for the high segment those within its ball too
-    reach = ball.join(busy, F.col("key") == F.col("crowded"), "left_semi").select("fp")
+    reach = ball.join(small(busy.where("seg = 1").select("key")), "key", "left_semi").select("fp")
     named = crowded.union(reach).distinct().select("fp", F.expr("explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))))").alias("mid"))
     least = named.groupBy("mid").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)  # 65 values at most have a midpoint in common
     middle = least.select(F.explode("all").alias("a"), "b").where("a != b")
-    return same.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).union(near.select(F.col("fp").alias("a"), F.col("other").alias("b"))).union(middle).distinct()
+    return found.union(middle).distinct()
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) and (b, a)."""
+    ways = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,20 +112,22 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     nodes: node, label; edges: a, b. Alternating large-star and small-star steps until nothing changes:
     each step is a group-by and a join, and the number of steps grows with the logarithm of the longest path.
-    A node with very many links is split by the group-by's own partial sums: a step needs only minima.
+    A node with very many links is split by the group-by's own partial sums: a step needs only minima. Of a small graph
+    these are sent to all tasks, so a step has two shuffles of minima and one of links.
     """
-    current = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    current = cut(_both_ways(edges))
     size = current.count()
     if not size:
         return nodes.select("node", F.col("node").alias("root"))
     while True:
         # large star: every larger neighbour goes to the least of the neighbourhood, itself included
+        small = F.broadcast if size <= BROADCAST_ROWS else lambda df: df
         least = current.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = current.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = current.where("b > a").join(small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         # small star: what is smaller or equal goes to the least smaller neighbour
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        after = cut(small.union(small.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), parts_for(size))
+        star = large.join(small(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b")))
+        after = gathered(_both_ways(star), parts_for(size))
         before, size = size, after.count()
         if before == size and current.exceptAll(after).isEmpty():
             break
@@ -132,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut(fingerprints(docs, id_col, text_col, words))
     few = parts_for(prints.count())
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), few)
-    edges = cut(links(distinct.select("fp"), crowd), few)
+    edges = cut(links(distinct.select("fp"), crowd, few), few)
     touched = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     roots = components(touched, edges)
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import by_text, held_out
+from quarrymill.llm.common import by_text, give_back, held_out
 from quarrymill.llm.training import labelled_sample
 
 BITS = 20
@@ -124,9 +124,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         rows.append(row + i)
         cols.append(place[bucket])
     rows, cols = np.concatenate(rows), np.concatenate(cols)
-    weight, bias = _logistic(rows, cols, ratio[used], y.astype(float), len(texts))
+    n, ratio = len(texts), ratio[used]
+    del sample, texts, count, s1, s0, mean, z, place
+    give_back()
+    weight, bias = _logistic(rows, cols, ratio, y.astype(float), n)
     out = np.zeros(size, np.float32)
-    out[used] = weight * ratio[used]
+    out[used] = weight * ratio
+    del rows, cols
+    give_back()
     # back from the balanced sample to the true share of the classes is not wanted here: the threshold is 0.5 on equal odds
     return ToxicityModel(out, bias)
 

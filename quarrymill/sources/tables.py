@@ -57,6 +57,15 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     return (df.repartition(parts) if parts else df).checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, parts: int) -> DataFrame:
+    """`df` as by `cut`, in `parts` files at most. Its rows aren't dealt anew: its last step runs in so many tasks.
+
+    For narrow rows that come from a group-by or join. Dealing them anew would take one task more for each partition of
+    the session's number, and what the driver holds and throws away grows with its tasks.
+    """
+    return cut(df.coalesce(parts))
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """`df` for a join of which no side may be sent to the driver and to all tasks.
 

@@ -81,3 +81,18 @@ def test_columns_of_any_name_are_kept(spark):
     rows = [(1, text, "a", "b", "c", 4), (2, text, "d", "e", "f", 5), (3, "other words", "g", "h", "i", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __mark string, `__ID` string, `x.y` string, component long")
     assert sorted(map(tuple, near_copies.keep_one(docs).collect())) == [rows[0], rows[2]]
+
+
+def test_the_driver_has_few_tasks_to_keep(spark):
+    rows = list(enumerate(texts(5)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.sparkContext.setJobGroup("few-tasks", "")
+    try:
+        kept = {r["doc_id"] for r in near_copies.keep_one(docs).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept == set(brute(rows).values())
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    ran = [i.numTasks for i in map(tracker.getStageInfo, stages) if i and i.numCompletedTasks]
+    assert 0 < sum(ran) < 500  # with 4 partitions; 711 before a shuffle's result was put together where it is made
